@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinspark.llm import licenses, quality_rules
+from twinspark.llm import bpe, licenses, quality_rules
 from twinspark.llm.common import read
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
@@ -16,5 +19,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER, digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op9_bpe)}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
