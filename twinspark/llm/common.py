@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,31 @@ def fold(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == rest, F.lit(False))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="twinspark-checkpoint-"))
-    return shared or jsc.getCheckpointDir().get()
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='twinspark-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+#: Tables written by this session, for ``release``.
+_WRITTEN: list[str] = []
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that later plans start there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared folder, so that later plans start from files that all executors see."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that ``settled`` wrote; results that were built on them must be stored by then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

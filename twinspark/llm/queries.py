@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinspark.llm import bpe, licenses, quality_rules
+from twinspark.llm import bpe, fingerprints, licenses, mixing, quality_rules
 from twinspark.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,9 +19,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(read(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op9_bpe)}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
