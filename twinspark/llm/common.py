@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,9 +67,33 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
+    # Shuffle files go once the driver's garbage is collected; without this they stay for the whole query.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents by a key that is theirs alone and follows their order.
+
+    Returns (key, text) of all different documents and (key, doc_id, text) of
+    all rows. Where ids are neither null nor repeated, they are the keys. Else
+    equal rows are one document, and documents are numbered by id (null first),
+    then text.
+    """
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+    odd = rows.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.isEmpty():
+        keys = rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return keys.select("key", "text"), keys
+    one = rows.distinct()
+    ordered = one.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = settled(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    back = ordered.select("key", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    every = rows.join(back, rows["doc_id"].eqNullSafe(back["_id"]) & (F.xxhash64(rows["text"]) == back["_hash"]))
+    return ordered.select("key", "text"), every.select("key", "doc_id", "text")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that ``settled`` wrote; results that were built on them must be stored by then."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
