@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinspark.llm import bpe, fingerprints, licenses, mixing, quality_rules, suffix_dedup
+from twinspark.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality_rules, suffix_dedup
 from twinspark.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents")).drop("sig")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
@@ -35,5 +39,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op7_ngram_join, op9_bpe, op10_suffix_dedup)}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
