@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinspark.llm import bpe, fingerprints, licenses, mixing, ngram_join, quality_rules, suffix_dedup
-from twinspark.llm.common import read
+from twinspark.llm import bpe, fingerprints, language_id, licenses, mixing, ngram_join, quality_gam, quality_rules, suffix_dedup
+from twinspark.llm.common import fold, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,10 +28,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    net = language_id.fit(docs, lambda doc_id: ~fold(doc_id, 3, 1))
+    found = language_id.predict(docs, net)
+    return found.select("doc_id", fold(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents")).drop("sig")
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_gam.fit(docs, read(spark, sf_dir, "labels"), "quality", lambda doc_id: ~fold(doc_id, 3, 1))
+    found = quality_gam.score(docs, model)
+    return found.select("doc_id", fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
@@ -39,5 +54,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op7_ngram_join, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op6_language_id, op7_ngram_join, op8_quality_gam, op9_bpe, op10_suffix_dedup)}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
