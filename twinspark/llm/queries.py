@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import bpe, fingerprints, language_id, licenses, mixing, ngram_join, quality_gam, quality_rules, suffix_dedup
+from twinspark.llm import bpe, class_lm, fingerprints, language_id, licenses, mixing, ngram_join, quality_gam, quality_rules, suffix_dedup
 from twinspark.llm.common import fold, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scorer, counts, total, different = class_lm.fit(docs, ~fold(F.col("doc_id"), 7, 2))
+    found = class_lm.score(docs, scorer, counts, total, different)
+    return found.select("doc_id", fold(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -54,5 +61,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op5_mixing, op6_language_id, op7_ngram_join, op8_quality_gam, op9_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op4_class_lm, op5_mixing, op6_language_id, op7_ngram_join, op8_quality_gam, op9_bpe, op10_suffix_dedup)}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
