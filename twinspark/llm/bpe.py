@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Pieces of the byte-level kind (a fixed value of the file format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -207,8 +206,18 @@ def vocabulary(key: str, spec: str) -> Vocabulary:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
-    """doc_id with ``ids`` and ``decoded``, or with ``digest`` their sizes and hashes.
+#: What ``encode`` can give for a text.
+COLUMNS = {
+    "n_tokens": ("long", pa.int64(), lambda ids, text: len(ids)),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, text: ids.astype(np.int32)),
+    "decoded": ("string", pa.string(), lambda ids, text: text),
+    "ids_sha256": ("string", pa.string(), lambda ids, text: hashlib.sha256(ids.tobytes()).hexdigest()),
+    "decoded_sha256": ("string", pa.string(), lambda ids, text: hashlib.sha256(text.encode()).hexdigest()),
+}
+
+
+def encode(docs: DataFrame, tokenizer: str, columns: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id and the named columns of COLUMNS for every row.
 
     ``tokenizer`` is a file on the driver; its text (of bounded size) goes to the workers.
     """
@@ -221,20 +230,12 @@ def encode(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(key, sent.value)
         for batch in batches:
-            names = ("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
-            cols: dict[str, list] = {n: [] for n in names}
+            cols: list[list] = [[] for _ in columns]
             for text in batch.column(1):
                 ids = np.array(v.encode(text.as_py() or ""), "<u4")
-                raw = v.decode(ids)
-                if digest:
-                    cols["n_tokens"].append(len(ids))
-                    cols["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    cols["decoded_sha256"].append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-                else:
-                    cols["ids"].append(ids.astype(np.int32))
-                    cols["decoded"].append(raw.decode("utf-8", "replace"))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[n], t) for n, t in zip(names, kinds))], ["doc_id", *names])
-
-    schema = f"doc_id {doc_id}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return docs.select("doc_id", F.col("text")).mapInArrow(work, schema)
+                back = v.decode(ids).decode("utf-8", "replace")
+                for col, name in zip(cols, columns):
+                    col.append(COLUMNS[name][2](ids, back))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, COLUMNS[n][1]) for c, n in zip(cols, columns))], ["doc_id", *columns])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {doc_id}, " + ", ".join(f"{n} {COLUMNS[n][0]}" for n in columns))
