@@ -39,3 +39,51 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def without_negatives(edges: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Edges (src, dst) that no negative edge (src, dst) names, in either direction."""
+    key = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return key(edges).distinct().join(key(negatives).distinct(), ["src", "dst"], "left_anti")
+
+
+def relation_edges(files: DataFrame, relations: DataFrame, types: tuple[str, ...], exact_hash: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Positive and negative edges between files: enabled relation types, and equal hashes as stars."""
+    from twinspark.operators.pairs import exact_stars
+
+    known = files.select("id")
+    inside = relations.join(known.withColumnRenamed("id", "id1"), "id1", "left_semi").join(known.withColumnRenamed("id", "id2"), "id2", "left_semi")
+    edge = [F.col("id1").alias("src"), F.col("id2").alias("dst")]
+    positive = inside.where(F.col("relation_type").isin(*[t for t in types if t != "not_duplicate"])).select(*edge)
+    if exact_hash:
+        positive = positive.unionByName(exact_stars(files).select(*edge))
+    negative = inside.where((F.col("relation_type") == "not_duplicate") & F.lit("not_duplicate" not in types)).select(*edge)
+    return positive, negative
+
+
+def edge_counts(files: DataFrame, relations: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Edges by kind: pairs of equal hashes and relations."""
+    from twinspark.operators.pairs import exact_groups
+
+    n = exact_groups(files).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("n")).select(F.lit("hash").alias("kind"), "n")
+    known = files.select("id")
+    inside = relations.join(known.withColumnRenamed("id", "id1"), "id1", "left_semi").join(known.withColumnRenamed("id", "id2"), "id2", "left_semi")
+    return n.unionByName(inside.where(F.col("relation_type").isin(*[t for t in types if t != "not_duplicate"])).agg(F.count(F.lit(1)).alias("n")).select(F.lit("db").alias("kind"), "n"))
+
+
+def groups(found: DataFrame) -> DataFrame:
+    """component and size, the largest first."""
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "component")
+
+
+def cliques(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """All pairs of each component. With ``known`` (id1, id2, distance) their distance, NULL where never compared; else 0.0.
+
+    The number of rows grows with the square of a component; it is a report for reviewing, no step of another operator.
+    """
+    a = found.select(F.col("id").alias("id1"), "component")
+    b = found.select(F.col("id").alias("id2"), "component")
+    pairs = a.join(b, "component").where("id1 < id2").select("id1", "id2", "component")
+    if known is None:
+        return pairs.withColumn("distance", F.lit(0.0))
+    return pairs.join(known.select("id1", "id2", "distance"), ["id1", "id2"], "left")
