@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that are numbered in one task.
+RANGE = 100_000
+
+
 def membership(members: DataFrame) -> DataFrame:
     """file_path, cluster_id; a path in several clusters counts to the lowest."""
     return members.groupBy("file_path").agg(F.min("cluster_id").alias("cluster_id"))
@@ -33,7 +37,6 @@ def reconcile(components: DataFrame, members: DataFrame, files: DataFrame) -> tu
     sticky = members.select("cluster_id", F.col("file_path").alias("path")).join(components.select("path"), "path", "left_anti").join(here, "path", "left_semi").select("cluster_id", "path")
     fresh = shown.where("primary is null")
     sizes = fresh.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    # Numbers without one task for all: counts of hash-free ranges of labels come before a range's own numbers.
     number = numbered(sizes, "component").select("component", (-F.col("number")).alias("cluster_id"))
     new = fresh.join(number, "component").select("cluster_id", "path")
     return kept.unionByName(sticky).unionByName(new).distinct(), delta
@@ -42,13 +45,18 @@ def reconcile(components: DataFrame, members: DataFrame, files: DataFrame) -> tu
 def numbered(rows: DataFrame, key: str) -> DataFrame:
     """Rows with ``number`` 1, 2, ... in the order of ``key``.
 
-    Keys are cut into ranges at percentiles; rows are numbered inside their range,
-    to which the sizes of the ranges before it (one row each) are added.
+    Keys are cut into ranges of about RANGE rows, with borders from about 50 keys a
+    range; rows are numbered inside their range, to which the sizes of the ranges
+    before it (one row each) are added. Borders only deal out the work.
     """
     n = rows.count()
-    shares = [i / (n // 10_000 + 1) for i in range(1, n // 10_000 + 1)]
-    borders = rows.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 10_000)).first()[0] if shares else []
-    part: Column = F.size(F.filter(F.lit(sorted(set(borders))), lambda b: b < F.col(key))) if borders else F.lit(0)
+    if n <= RANGE:
+        part: Column = F.lit(0)
+    else:
+        share = min(1.0, 50 * (n // RANGE + 1) / n)
+        drawn = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(key)
+        cut = drawn.withColumn("_t", F.ntile(n // RANGE + 1).over(W.orderBy(key))).groupBy("_t").agg(F.max(key).alias("b"))
+        part = F.size(F.filter(F.lit(sorted({r["b"] for r in cut.collect()})), lambda b: b < F.col(key)))
     rows = rows.withColumn("_part", part)
     before = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -2,5 +2,622 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from twinspark.functions import hashes, paths
+from twinspark.operators import clusters, files, graph, pairs, relations
+from twinspark.plans.shared import folder, kept
+from twinspark.sources import adapters
+from twinspark.sources.adapters import read
+from twinspark.streaming.index import current, upsert_stream
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+ROOTS = ["/src1", "/src3"]
+T = 5
+VECTOR_T = 0.65
+TYPES = ("duplicate", "near_duplicate")
+
+#: Tables of the engine as SQL over the driver's tables.
+FILES = "base as (select doc_id as id, '/' || source || '/' || lang || '/' || doc_id || '.txt' as path, n_chars as file_size from documents)"
+HASHED = (
+    FILES
+    + """,
+tok as (select distinct doc_id as id, unnest(string_split(lower(text), ' ')) as t from documents),
+dig as (select id, md5(t) as h from tok where t <> ''),
+votes as (select id, k, b, sum(case when (('0x' || substr(h, (4 * k + 1)::int, 4))::int >> (15 - b)::int) & 1 = 1 then 1 else -1 end) as s from dig, range(4) r1(k), range(16) r2(b) group by all),
+chunks as (select id, k, sum(case when s > 0 then (1 << (15 - b)::int) else 0 end)::int as c from votes group by id, k),
+hashed as (select id, string_agg(printf('%04x', c), '' order by k) as phash, max(c) filter (k = 0) as c1, max(c) filter (k = 1) as c2, max(c) filter (k = 2) as c3, max(c) filter (k = 3) as c4 from chunks group by id),
+files as (select base.*, phash, c1, c2, c3, c4 from base left join hashed using (id))"""
+)
+NEAR = (
+    HASHED
+    + f""",
+far as (select a.id as id1, b.id as id2, (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4)))::int as distance,
+  (a.c1 = b.c1 or a.c2 = b.c2 or a.c3 = b.c3 or a.c4 = b.c4) as chunk from files a join files b on a.id < b.id),
+near as (select id1, id2, distance from far where distance <= {T})"""
+)
+STORED = (
+    NEAR
+    + """,
+marks as (select doc_id as id, case when toxic = 1 then 'not_duplicate' when quality = 1 then 'duplicate' else 'similar' end as relation_type from labels),
+stored as (select id1, id2, relation_type, distance from near join marks on id1 = marks.id)"""
+)
+
+
+def closure(edges: str, name: str = "comp") -> str:
+    """(id, component) of all ends of the edges (a, b)."""
+    return f"""
+both_{name} as (select a as x, b as y from ({edges}) union select b, a from ({edges})),
+reach_{name} as (select x, x as y from both_{name} union select r.x, b.y from reach_{name} r join both_{name} b on r.y = b.x),
+{name} as (select x as id, min(y) as component from reach_{name} group by x)"""
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- what the queries share -------------------------------------------------
+
+
+def plain_files(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.files(spark, d, hashed=False)
+
+
+def hashed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files with hashes, written once: later joins use them more than once."""
+    return kept(adapters.files(spark, d))
+
+
+def near(spark: SparkSession, d: str, t: int = T) -> DataFrame:
+    return pairs.hamming_join(hashed_files(spark, d), t)
+
+
+def stored_of(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    marks = adapters.annotations(spark, d).withColumnRenamed("id", "id1")
+    return found.join(marks, "id1").select("id1", "id2", "relation_type", F.col("distance"))
+
+
+def edges(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
+
+
+def members_of(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of good quality are members of their source's cluster."""
+    docs = read(spark, d, "documents").join(read(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    return docs.select((F.regexp_extract("source", "([0-9]+)", 1).cast("bigint") + 1).alias("cluster_id"), adapters.doc_path().alias("file_path"))
+
+
+MEMBERS = "members as (select regexp_extract(source, '([0-9]+)', 1)::bigint + 1 as cluster_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' as file_path from documents where doc_id in (select doc_id from labels where quality = 1))"
+
+
+# --- scans, lookups, predicates ----------------------------------------------
+
+
+@query(f"with {FILES} select id, path from base where path = '/src1' or starts_with(path, '/src1/') or path = '/src3' or starts_with(path, '/src3/')")
+def scan_roots(spark: SparkSession, d: str) -> DataFrame:
+    return plain_files(spark, d).where(paths.in_roots(F.col("path"), ROOTS)).select("id", "path")
+
+
+@query(f"with {FILES} select id, path from base where path ilike '/src1' or path ilike '/src1/%'")
+def scan_roots_ci(spark: SparkSession, d: str) -> DataFrame:
+    return plain_files(spark, d).where(paths.in_roots(F.col("path"), ["/SRC1"], case_insensitive=True)).select("id", "path")
+
+
+@query(r"select page_id, url from pages where regexp_matches(lower(url), '\.(html|png|jpe?g)$')")
+def scan_suffix(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").where(paths.has_suffix(F.col("url"), r"\.(html|png|jpe?g)$")).select("page_id", "url")
+
+
+@query("select doc_id as id, '/' || source || '/' || lang || '/' || doc_id || '.txt' as path, n_chars as file_size from documents")
+def scan_all_files(spark: SparkSession, d: str) -> DataFrame:
+    return plain_files(spark, d)
+
+
+@query(f"with {FILES} select id, path from base where path = '/src7/en/7.txt' or id = 8")
+def lookup_point(spark: SparkSession, d: str) -> DataFrame:
+    return plain_files(spark, d).where((F.col("path") == "/src7/en/7.txt") | (F.col("id") == 8)).select("id", "path")
+
+
+@query(f"with {FILES} select id, path from base where id in (select event_id from events)")
+def lookup_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    return files.by_ids(plain_files(spark, d), read(spark, d, "events").select(F.col("event_id").alias("id"))).select("id", "path")
+
+
+@query("select distinct event_id as id from events where event_id not in (select doc_id from documents)")
+def missing_ids(spark: SparkSession, d: str) -> DataFrame:
+    return files.missing_ids(plain_files(spark, d), read(spark, d, "events").select(F.col("event_id").alias("id")))
+
+
+@query("select vec_id as id, label from embeddings where vec_id in (select doc_id from labels)")
+def vector_lookup(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return files.by_ids(v, read(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("select distinct doc_id as id from labels where doc_id not in (select vec_id from embeddings)")
+def vector_missing(spark: SparkSession, d: str) -> DataFrame:
+    return files.missing_ids(read(spark, d, "embeddings").select(F.col("vec_id").alias("id")), read(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("select (select count(*) from documents) as files, (select count(*) from embeddings) as vectors")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda t, name: read(spark, d, t).agg(F.count(F.lit(1)).alias(name))
+    return one("documents", "files").crossJoin(F.broadcast(one("embeddings", "vectors")))  # one row each
+
+
+# --- fingerprints --------------------------------------------------------------
+
+
+@query(f"with {HASHED} select id, phash from files")
+def simhash(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.files(spark, d).select("id", "phash")
+
+
+@query("with h as (select doc_id as id, left(md5(text), 16) as phash from documents) select id, phash, ('0x' || substr(phash, 1, 4))::int as phash_c1, ('0x' || substr(phash, 5, 4))::int as phash_c2, ('0x' || substr(phash, 9, 4))::int as phash_c3, ('0x' || substr(phash, 13, 4))::int as phash_c4 from h")
+def phash_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return hashes.with_chunks(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.md5("text"), 1, 16).alias("phash")))
+
+
+@query("select * from (values ('ffffffffffffffff', '0000000000000000', 64), ('0000000000000000', '0000000000000001', 1), ('8000000000000000', '0000000000000000', 1), ('abc', '0000000000000000', null::int), ('zzzzzzzzzzzzzzzz', '0000000000000000', null::int)) t(a, b, distance)")
+def hamming_literals(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("ffffffffffffffff", "0000000000000000"), ("0000000000000000", "0000000000000001"), ("8000000000000000", "0000000000000000"), ("abc", "0000000000000000"), ("zzzzzzzzzzzzzzzz", "0000000000000000")]
+    return spark.createDataFrame(rows, "a string, b string").select("a", "b", hashes.hamming_hex(F.col("a"), F.col("b")).alias("distance"))
+
+
+@query(
+    "with v as (select vec_id as id, embedding as e, list_sort(embedding)[32] as m from embeddings), b as (select id, unnest(range(64)) as k, unnest(e) > m as x from v), "
+    "g as (select id, k // 4 as q, sum(case when x then (8 >> (k % 4)::int) else 0 end)::int as n from b group by id, k // 4) select id, string_agg(printf('%x', n), '' order by q) as phash from g group by id"
+)
+def median_hash(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(spark, d).select("id", hashes.median_hash(F.col("embedding")).alias("phash"))
+
+
+@query("select vec_id as id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings")
+def vector_norm(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.vectors(spark, d).select("id", F.round(hashes.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# --- pairs ---------------------------------------------------------------------
+
+
+@query("select md5(text) as phash, count(*) as n, min(doc_id) as first_id from documents group by text having count(*) > 1")
+def exact_hash_groups(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.exact_groups(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("phash")))
+
+
+@query("select a.doc_id as id1, b.doc_id as id2 from documents a join documents b on a.text = b.text and a.doc_id < b.doc_id")
+def exact_hash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.exact_pairs(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("phash")))
+
+
+@query(f"with {NEAR} select id1, id2, distance from far where chunk")
+def mih_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.mih_candidates(hashed_files(spark, d))
+
+
+@query(f"with {NEAR} select id1, id2, distance, a.path as left_path, b.path as right_path from far join files a on a.id = id1 join files b on b.id = id2 where chunk and distance <= {T} order by distance, id1, id2")
+def hamming_mih_pairs(spark: SparkSession, d: str) -> DataFrame:
+    f = hashed_files(spark, d)
+    return relations.hydrate(pairs.hamming_mih(f, T), f, "path").select("id1", "id2", "distance", "left_path", "right_path").orderBy("distance", "id1", "id2")
+
+
+@query(f"with {NEAR} select id1, id2, distance from near")
+def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return near(spark, d)
+
+
+@query(f"with {NEAR} select id1, id2, distance from far where distance <= 10")
+def hamming_pairs_wide(spark: SparkSession, d: str) -> DataFrame:
+    return near(spark, d, 10)
+
+
+_COSINE = "round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
+_KNN = f"nn as (select id, match_id, distance, row_number() over (partition by id order by distance, match_id)::int as rank from (select a.vec_id as id, b.vec_id as match_id, {_COSINE} as distance from embeddings a, embeddings b)), nn20 as (select * from nn where rank <= 20)"
+
+
+@query(f"with {_KNN} select id, match_id, distance, rank from nn20")
+def knn20(spark: SparkSession, d: str) -> DataFrame:
+    v = adapters.vectors(spark, d)
+    return pairs.knn(v, v, 20, 6)
+
+
+_AI = f"{_KNN}, ai as (select least(id, match_id) as id1, greatest(id, match_id) as id2, min(distance) as distance from nn20 where id <> match_id and distance <= {VECTOR_T} group by all)"
+
+
+def vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    v = adapters.vectors(spark, d)
+    return pairs.knn_pairs(pairs.knn(v, v, 20, 6), VECTOR_T)
+
+
+@query(f"with {_AI} select * from ai")
+def knn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return vector_pairs(spark, d)
+
+
+@query(f"with recursive {_AI}, {closure('select id1 as a, id2 as b from ai')} select component, count(*) as n from comp group by component")
+def ai_groups(spark: SparkSession, d: str) -> DataFrame:
+    return graph.groups(graph.components(edges(vector_pairs(spark, d)), kept))
+
+
+@query(f"select a.vec_id as id1, b.vec_id as id2, {_COSINE} as distance from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label where {_COSINE} <= {VECTOR_T}")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "embeddings")
+    a = v.select(F.col("vec_id").alias("id1"), "label", F.col("embedding").alias("x"))
+    b = v.select(F.col("vec_id").alias("id2"), "label", F.col("embedding").alias("y"))
+    got = a.join(b, "label").where("id1 < id2").select("id1", "id2", F.round(hashes.cosine_distance(F.col("x"), F.col("y")), 6).alias("distance"))
+    return got.where(F.col("distance") <= VECTOR_T)
+
+
+# --- relations -------------------------------------------------------------------
+
+_IN = lambda p: f"({p} like '/src1/%' or {p} like '/src3/%')"
+
+
+@query(f"with {NEAR} select id1, id2, distance from near join base a on a.id = id1 join base b on b.id = id2 where {_IN('a.path')} and {_IN('b.path')}")
+def pairs_both_in_roots(spark: SparkSession, d: str) -> DataFrame:
+    scoped = plain_files(spark, d).where(paths.in_roots(F.col("path"), ROOTS))
+    return relations.both_in(near(spark, d), scoped).select("id1", "id2", "distance")
+
+
+@query(f"with {STORED} select id1, id2, relation_type, distance::double as distance from stored where distance <= 2")
+def pairs_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return relations.scan(stored_of(spark, d, near(spark, d)).withColumn("distance", F.col("distance").cast("double")), 2.0)
+
+
+@query(f"with {STORED} select id1, id2, n.distance, coalesce(s.relation_type, 'new_match') as relation_type from near n left join stored s using (id1, id2) where coalesce(s.relation_type, 'new_match') = 'new_match'")
+def pairs_visible(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.reconcile(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found)).select("id1", "id2", "distance", "relation_type")
+
+
+@query(f"with {STORED} select id1, id2, relation_type from stored where relation_type <> 'new_match'")
+def pairs_annotated(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.ignored(found, stored_of(spark, d, found)).where("ignored").select("id1", "id2", F.col("reason").alias("relation_type"))
+
+
+@query(f"with {STORED} select id1, id2, n.distance, coalesce(s.relation_type, 'new_match') as relation_type from near n left join stored s using (id1, id2)")
+def reconcile_relations(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.reconcile(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found), include_ignored=True).select("id1", "id2", "distance", "relation_type")
+
+
+@query(f"with {STORED}, r as (select coalesce(s.relation_type, 'new_match') as t from near n left join stored s using (id1, id2)) select count(*) filter (t <> 'new_match') as annotated, count(*) filter (t = 'new_match') as returned, count(*) as total from r")
+def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.reconcile_counts(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found))
+
+
+@query(f"with {STORED} select id1, id2, relation_type, distance from stored union all select id1, id2, 'new_match', distance from near anti join stored using (id1, id2)")
+def merge_keep(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.merge(stored_of(spark, d, found), found.select("*", F.lit("new_match").alias("relation_type"), F.lit(0).alias("seq")), overwrite=False)
+
+
+@query(f"with {STORED}, new as (select * from near where distance <= 3) select id1, id2, 'near_duplicate' as relation_type, distance from new union all select id1, id2, relation_type, distance from stored anti join new using (id1, id2)")
+def merge_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    new = found.where("distance <= 3").select("*", F.lit("near_duplicate").alias("relation_type"), F.lit(0).alias("seq"))
+    return relations.merge(stored_of(spark, d, found), new, overwrite=True)
+
+
+@query(f"with {STORED} select coalesce(s.id1, n.id1) as id1, coalesce(s.id2, n.id2) as id2, case when n.id1 is not null then 'same_image_set' else relation_type end as relation_type, s.distance from stored s full join (select * from near where distance = 0) n using (id1, id2)")
+def annotate_pair(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    marks = found.where("distance = 0").select("id1", "id2", F.lit("same_image_set").alias("relation_type"))
+    return relations.annotate(stored_of(spark, d, found), marks)
+
+
+@query(f"with {STORED} select id1, id2, relation_type, distance from stored where distance > 0")
+def remove_relations(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return relations.remove(stored_of(spark, d, found), found.where("distance = 0")).select("id1", "id2", "relation_type", "distance")
+
+
+@query(f"with {STORED} select relation_type, count(*) as n from stored group by relation_type")
+def relation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return relations.type_counts(stored_of(spark, d, near(spark, d)))
+
+
+# Relations between event ids and their users' ids: many ends are no documents.
+_LOOSE = "loose as (select least(event_id, user_id) as id1, greatest(event_id, user_id) as id2, event_type as relation_type from events where event_id <> user_id)"
+
+
+def loose_relations(spark: SparkSession, d: str) -> DataFrame:
+    return relations.canonical(read(spark, d, "events").select(F.col("event_id").alias("id1"), F.col("user_id").alias("id2"), F.col("event_type").alias("relation_type")))
+
+
+@query(f"with {_LOOSE} select count(*) filter (ok) as added, count(*) filter (not ok) as skipped from (select id1 in (select doc_id from documents) and id2 in (select doc_id from documents) as ok from loose)")
+def validate_relations(spark: SparkSession, d: str) -> DataFrame:
+    return relations.validation_counts(loose_relations(spark, d), plain_files(spark, d))
+
+
+@query(f"with {_LOOSE} select id1, id2, case when relation_type in ('new_match', 'duplicate') then relation_type else 'new_match' end as relation_type, 0.0::double as distance from loose where id1 in (select doc_id from documents) and id2 in (select doc_id from documents)")
+def scan_relations(spark: SparkSession, d: str) -> DataFrame:
+    rows = loose_relations(spark, d).withColumn("distance", F.lit(None).cast("double"))
+    return relations.scan(relations.valid(rows, plain_files(spark, d)))
+
+
+@query(f"with {_LOOSE} select id1, id2 from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents)")
+def orphan_relations(spark: SparkSession, d: str) -> DataFrame:
+    rows, ids = loose_relations(spark, d).select("id1", "id2"), plain_files(spark, d).select("id").withColumn("x", F.lit(1))
+    ends = rows.join(ids.select(F.col("id").alias("id1"), F.col("x").alias("x1")), "id1", "left").join(ids.select(F.col("id").alias("id2"), F.col("x").alias("x2")), "id2", "left")
+    return ends.where("x1 is null or x2 is null").select("id1", "id2")
+
+
+@query(f"with {NEAR} select id1, id2, distance, case when a.file_size < b.file_size then id1 when b.file_size < a.file_size then id2 end as delete_id from near join base a on a.id = id1 join base b on b.id = id2")
+def smart_resolve_size(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    full = relations.hydrate(found, plain_files(spark, d), "file_size")
+    return relations.smart_resolve(full, "size").join(found, ["id1", "id2"])
+
+
+@query(f"with {NEAR} select id1, id2, distance from near where id1 <> 3 and id2 <> 3")
+def pairs_without_file(spark: SparkSession, d: str) -> DataFrame:
+    return relations.without_file(near(spark, d), 3)
+
+
+@query(f"with {NEAR} select id1, id2, a.path as left_path, b.path as right_path, a.file_size as left_file_size, b.file_size as right_file_size from near join base a on a.id = id1 join base b on b.id = id2")
+def hydrate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return relations.hydrate(near(spark, d), plain_files(spark, d), "path", "file_size").drop("distance")
+
+
+@query(
+    f"with {NEAR} select id1, id2, string_split(a.path, '/')[-1] || ' vs ' || string_split(b.path, '/')[-1] as title, printf('%.2f', distance::double) as distance_text, printf('%.2f MB', a.file_size / 1048576.0::double) as left_size "
+    "from near join base a on a.id = id1 join base b on b.id = id2"
+)
+def pair_display(spark: SparkSession, d: str) -> DataFrame:
+    full = relations.hydrate(near(spark, d), plain_files(spark, d), "path", "file_size")
+    return full.select("id1", "id2", paths.pair_title(F.col("left_path"), F.col("right_path")).alias("title"), paths.distance_text(F.col("distance").cast("double")).alias("distance_text"), paths.megabytes(F.col("left_file_size")).alias("left_size"))
+
+
+@query(f"with {NEAR} select id1, id2, len(list_filter(list_zip(x, y), lambda z: z[1] is not distinct from z[2]))::int as same, greatest(len(x), len(y))::int as places from (select id1, id2, list_filter(string_split(a.path, '/'), lambda s: s <> '') as x, list_filter(string_split(b.path, '/'), lambda s: s <> '') as y from near join base a on a.id = id1 join base b on b.id = id2)")
+def path_segment_diff(spark: SparkSession, d: str) -> DataFrame:
+    full = relations.hydrate(near(spark, d), plain_files(spark, d), "path").withColumn("diff", paths.segment_diff(F.col("left_path"), F.col("right_path")))
+    return full.select("id1", "id2", F.size(F.filter("diff", lambda x: x["same"])).alias("same"), F.size("diff").alias("places"))
+
+
+# --- components and clusters ---------------------------------------------------------
+
+_EDGES = "select id1 as a, id2 as b from near"
+_NEGATIVE = "select id1 as a, id2 as b from near where (id1, id2) not in (select (id1, id2) from stored where relation_type = 'not_duplicate')"
+
+
+@query(f"with recursive {NEAR}, {closure(_EDGES)} select id, component from comp")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(edges(near(spark, d)), kept)
+
+
+@query(f"with recursive {STORED}, {closure(_NEGATIVE)} select id, component from comp")
+def components_negative(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    rejected = stored_of(spark, d, found).where("relation_type = 'not_duplicate'")
+    return graph.components(graph.without_negatives(edges(found), edges(rejected)), kept)
+
+
+_RELATED = "select a.id as a, b.id as b from files a join files b on a.phash = b.phash and a.id < b.id union select id1, id2 from stored where relation_type in ('duplicate', 'near_duplicate')"
+
+
+@query(f"with recursive {STORED}, positive as ({_RELATED}), {closure('select a, b from positive where (a, b) not in (select (id1, id2) from stored where relation_type = ' + chr(39) + 'not_duplicate' + chr(39) + ')')} select id, component from comp")
+def components_related(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters as detected: equal hashes and enabled relation types, less rejected pairs.
+
+    Equal hashes are joined pair by pair here, as a rejected pair takes away just its own edge.
+    """
+    f = hashed_files(spark, d)
+    found = pairs.hamming_join(f, T)
+    positive, negative = graph.relation_edges(f, stored_of(spark, d, found), TYPES, exact_hash=False)
+    positive = positive.unionByName(edges(pairs.exact_pairs(f)))
+    return graph.components(graph.without_negatives(positive, negative), kept)
+
+
+@query(f"with {STORED} select 'hash' as kind, (select coalesce(sum(n * (n - 1) // 2), 0) from (select count(*) as n from files where phash <> '' group by phash))::bigint as n union all select 'db', (select count(*) from stored where relation_type in ('duplicate', 'near_duplicate'))")
+def edge_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = hashed_files(spark, d)
+    return graph.edge_counts(f, stored_of(spark, d, pairs.hamming_join(f, T)), TYPES)
+
+
+@query(f"with recursive {NEAR}, {closure(_EDGES)} select component, count(*) as n from comp group by component having count(*) > 1")
+def groups_by_size(spark: SparkSession, d: str) -> DataFrame:
+    return graph.groups(graph.components(edges(near(spark, d)), kept))
+
+
+@query(f"with recursive {NEAR}, {closure(_EDGES)} select a.id as id1, b.id as id2, a.component, n.distance from comp a join comp b on a.component = b.component and a.id < b.id left join near n on n.id1 = a.id and n.id2 = b.id")
+def clique_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = near(spark, d)
+    return graph.cliques(graph.components(edges(found), kept), found)
+
+
+_CLUSTERS = f"""with recursive {NEAR}, {closure(_EDGES)}, {MEMBERS},
+owner as (select file_path as path, min(cluster_id) as owner from members group by file_path),
+found as (select base.path, comp.component, owner.owner from comp join base using (id) left join owner on owner.path = base.path),
+prim as (select component, min(owner) as prim, count(*) as n from found group by component),
+fresh as (select component, -row_number() over (order by component) as cluster_id from prim where prim is null and n > 1),
+shown as (select prim as cluster_id, path from found join prim using (component) where prim is not null
+  union select cluster_id, file_path from members where file_path not in (select path from found) and file_path in (select path from base)
+  union select fresh.cluster_id, path from found join fresh using (component))"""
+
+
+def shown_clusters(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    f = plain_files(spark, d)
+    found = graph.components(edges(near(spark, d)), kept).join(f.select("id", "path"), "id").select("path", "component")
+    return clusters.reconcile(kept(found), members_of(spark, d), f)
+
+
+@query(_CLUSTERS + " select cluster_id, path from shown")
+def cluster_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return shown_clusters(spark, d)[0]
+
+
+@query(_CLUSTERS + " select prim as cluster_id, path as file_path from found join prim using (component) where prim is not null and owner is null")
+def cluster_new_members(spark: SparkSession, d: str) -> DataFrame:
+    return shown_clusters(spark, d)[1]
+
+
+@query(_CLUSTERS + " select cluster_id, path from shown where cluster_id in (select cluster_id from shown group by cluster_id having bool_and(path ilike '/src1/%' or path ilike '/src3/%' or path ilike '/src7/%'))")
+def cluster_root_filter(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.inside_roots(shown_clusters(spark, d)[0], paths.in_roots(F.col("path"), [*ROOTS, "/src7"], case_insensitive=True))
+
+
+@query(_CLUSTERS + ", k as (select *, row_number() over (partition by cluster_id order by path) as k from shown) select cluster_id, count(*) as n, string_agg(path, '|' order by path) filter (k <= 4) as paths, printf('Cluster %d (%d items)', cluster_id, count(*)) as title from k group by cluster_id")
+def cluster_preview(spark: SparkSession, d: str) -> DataFrame:
+    got = clusters.preview(shown_clusters(spark, d)[0])
+    return got.withColumn("title", paths.cluster_title(F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string")), F.col("n")))
+
+
+@query(f"with {MEMBERS} select file_path, min(cluster_id) as cluster_id from members group by file_path")
+def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.membership(members_of(spark, d))
+
+
+@query(f"with {MEMBERS} select distinct cluster_id from members where cluster_id not in (select cluster_id from members where file_path like '%/en/%')")
+def empty_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters that would be empty without their English files."""
+    m = members_of(spark, d)
+    return m.select("cluster_id").distinct().join(m.where(F.col("file_path").contains("/en/")).select("cluster_id"), "cluster_id", "left_anti")
+
+
+@query(f"with {MEMBERS} select cluster_id, file_path from members where file_path not in (select '/' || source || '/' || lang || '/' || doc_id || '.txt' from documents join labels using (doc_id) where toxic = 0)")
+def orphan_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members that lose their file when toxic documents and those without a label go."""
+    left = read(spark, d, "documents").join(read(spark, d, "labels").where("toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi").select(adapters.doc_path().alias("file_path"))
+    return members_of(spark, d).join(left, "file_path", "left_anti").select("cluster_id", "file_path")
+
+
+# --- files and maintenance -----------------------------------------------------------
+
+
+@query(f"""with {_LOOSE}, {MEMBERS} select 'files' as metric, count(*) as value from documents union all select 'relations', count(*) from loose union all select 'members', count(*) from members
+union all select 'clusters', count(distinct source) from documents union all select 'orphan_relations', count(*) from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents)
+union all select 'orphan_members', 0 union all select 'empty_clusters', count(*) from (select distinct regexp_extract(source, '([0-9]+)', 1)::bigint + 1 as c from documents) where c not in (select cluster_id from members)""")
+def integrity_report(spark: SparkSession, d: str) -> DataFrame:
+    known = read(spark, d, "documents").select((F.regexp_extract("source", "([0-9]+)", 1).cast("bigint") + 1).alias("id")).distinct()
+    return files.integrity(plain_files(spark, d), loose_relations(spark, d), members_of(spark, d), known)
+
+
+@query(f"""with {_LOOSE}, left_ as (select doc_id, source from documents where lang <> 'es'), rel as (select id1, id2 from loose where id1 in (select doc_id from documents) and id2 in (select doc_id from documents))
+select 'files' as name, (select count(*) from left_) as n union all select 'relations', (select count(*) from rel where id1 in (select doc_id from left_) and id2 in (select doc_id from left_))""")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    f = plain_files(spark, d)
+    gone = read(spark, d, "documents").where("lang = 'es'").select(adapters.doc_path().alias("path"))
+    left, rel = files.delete(f, relations.valid(loose_relations(spark, d), f), gone)
+    return left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("files").alias("name"), "n").unionByName(rel.agg(F.count(F.lit(1)).alias("n")).select(F.lit("relations").alias("name"), "n"))
+
+
+@query(f"with {FILES} select id, case when path like '%/de/%' then '/moved/' || id || '.txt' else path end as path from base")
+def move_file(spark: SparkSession, d: str) -> DataFrame:
+    f = plain_files(spark, d)
+    moves = f.where(F.col("path").contains("/de/")).select("path", F.concat(F.lit("/moved/"), F.col("id").cast("string"), F.lit(".txt")).alias("new_path"))
+    return files.move(f, moves)[0].select("id", "path")
+
+
+@query("select path from (select '/' || source || '/' || lang || '/' || d.doc_id || '.txt' as path, l.doc_id as known, l.toxic from documents d left join labels l on d.doc_id = l.doc_id) where known is null or toxic = 1")
+def stale_files(spark: SparkSession, d: str) -> DataFrame:
+    """Listed are all documents; known are the labelled ones, the toxic of them without a hash."""
+    docs = read(spark, d, "documents").select("doc_id", adapters.doc_path().alias("path"), F.col("n_chars").cast("double").alias("last_modified"))
+    known = docs.join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id").select("path", "last_modified", F.when(F.col("toxic") == 1, "").otherwise("00ff00ff00ff00ff").alias("phash"))
+    return files.stale(docs.select("path", "last_modified"), known).select("path")
+
+
+_LAST = "select user_id, event_type, value, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"
+
+
+@query("""with ev as (select '/u/' || user_id as path, value as file_size, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
+old as (select row_number() over (order by '/u/' || user_id) as id, '/u/' || user_id as path from (select distinct user_id from events where event_type = 'signup' and value > 90)),
+top as (select coalesce(max(id), 0) as top from old)
+select coalesce(old.id, top + row_number() over (partition by old.id is null order by ev.path)) as id, ev.path, ev.file_size from ev left join old using (path), top""")
+def upsert_files(spark: SparkSession, d: str) -> DataFrame:
+    """Users as files: some are stored, the log of events is upserted, the last event of a user wins."""
+    ev = read(spark, d, "events")
+    first = ev.where("event_type = 'signup' and value > 90").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path")).distinct()
+    old = clusters.numbered(first, "path").select(F.col("number").alias("id"), "path", F.lit(0.0).alias("file_size"))
+    new = ev.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.col("value").alias("file_size"), F.struct("ts", "event_id").alias("seq"))
+    return files.upsert(old, new)
+
+
+@query(_LAST)
+def upsert_log(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.last_wins(read(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_type", "value", "event_id")
+
+
+@query(_LAST)
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream that reads the events and merges its batches."""
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    upsert_stream(rows.select("user_id", "event_type", "value", "ts", "event_id"), f"{at}/table", f"{at}/log", ["user_id"], ["ts", "event_id"])
+    return current(spark, f"{at}/table").select("user_id", "event_type", "value", "event_id")
+
+
+@query("select event_type as engine, '/u/' || user_id as path, max(ts) as indexed_at from events group by all")
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    new = read(spark, d, "events").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("engine"), F.col("ts").alias("indexed_at"))
+    return files.mark_indexed(new.limit(0), new)
+
+
+@query("select distinct '/u/' || user_id as path from events where event_type = 'view' except select '/u/' || user_id from events where event_type = 'error' and value > 40")
+def unindexed_files(spark: SparkSession, d: str) -> DataFrame:
+    ev = read(spark, d, "events").select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), "event_type", "value")
+    vectors = ev.where("event_type = 'error' and value > 40").select("path", F.lit("clip").alias("engine"))
+    return files.unindexed(ev.where("event_type = 'view'").select("path").distinct(), vectors, "clip")
+
+
+@query("with o as (select distinct '/' || source as path from documents where lang = 'es'), n as (select distinct '/' || source || '/' || lang as path from documents), m as (select distinct '/' || source as path from documents union select path from n) select path, 'added' as change from (select path from m except select path from o) union all select path, 'removed' from (select path from o except select path from m)")
+def root_changes(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    old = docs.where("lang = 'es'").select(F.concat(F.lit("/"), "source").alias("path"))
+    new = docs.select(F.concat(F.lit("/"), "source").alias("path")).union(docs.select(F.concat(F.lit("/"), "source", F.lit("/"), "lang")))
+    return files.root_changes(old, files.add_scanned(new.limit(0), new))
+
+
+# --- scalar functions -------------------------------------------------------------------
+
+
+@query(r"""with u as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) select page_id, string_split(p, '/')[-1] as name, regexp_extract(p, '^(.*)/[^/]*$', 1) as dir, regexp_extract(string_split(p, '/')[-1], '^\.*[^.].*?(\.[^.]*)$', 1) as ext, md5(p) || '_256.png' as thumb from u""")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.regexp_replace("url", "[?#].*$", "")
+    return read(spark, d, "pages").select("page_id", paths.basename(p).alias("name"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.thumbnail_key(p, 256).alias("thumb"))
+
+
+@query("select * from (values ('/a/./b//c/', '/a/b/c'), ('a/../b', 'b'), ('../x', '../x'), ('/..//y', '/y'), ('', '.'), ('a/b/../../..', '..')) t(path, norm)")
+def norm_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(p,) for p in ("/a/./b//c/", "a/../b", "../x", "/..//y", "", "a/b/../../..")]
+    return spark.createDataFrame(rows, "path string").select("path", paths.normpath(F.col("path")).alias("norm"))
+
+
+@query("""with taken as (select '/in/' || source || '_' || (quality + 3 * toxic) || '.txt' as path, source from documents join labels using (doc_id) union select '/in/' || source || '.txt', source from documents),
+want as (select source, row_number() over (partition by source order by doc_id) as k from documents),
+free as (select source, m, row_number() over (partition by source order by m) as k from (select s.source, r.m from (select distinct source from documents) s, range(1, (select count(*) + 10 from documents)) r(m)) x where '/in/' || source || '_' || m || '.txt' not in (select path from taken))
+select '/in/' || source || '.txt' as path, '/in/' || source || '_' || m || '.txt' as new_path from want join free using (source, k)""")
+def safe_rename(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    wanted = docs.select(F.concat(F.lit("/in/"), "source", F.lit(".txt")).alias("path"))
+    marked = docs.join(read(spark, d, "labels"), "doc_id").select(F.concat(F.lit("/in/"), "source", F.lit("_"), (F.col("quality") + 3 * F.col("toxic")).cast("string"), F.lit(".txt")).alias("path"))
+    return paths.free_names(wanted, marked.union(wanted))
+
+
+@query(f"with {FILES} select lang, md5(string_agg(path, '' order by path)) as key from base join documents on id = doc_id group by lang")
+def group_key_md5(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("lang", adapters.doc_path().alias("path"))
+    return docs.groupBy("lang").agg(paths.group_key(F.collect_list("path")).alias("key"))
+
+
+@query("select event_id, json_extract(props, '$.k')::int as k from events")
+def config_json(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select event_id, greatest(1, least(256, (value * 3)::bigint))::bigint as size from (select event_id, floor(value) as value from events)")
+def clamp_batch(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", adapters.clamped((F.floor("value") * 3).cast("bigint")).cast("bigint").alias("size"))
