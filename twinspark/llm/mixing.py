@@ -145,4 +145,5 @@ def resample(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     cols = docs.columns
     rows = rows_of(docs, F.struct(*cols).alias("row"))
     got = plan(rows.select("rid", "key", "source", "size"), weights, most).where("copies > 0").select("rid", "copies")
-    return rows.select("rid", "row").join(got, "rid").select("row.*", F.explode(F.sequence(F.lit(1), "copies"))).select(*cols)
+    taken = rows.select("rid", "row").join(got, "rid").select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select("row.*").select(*cols)

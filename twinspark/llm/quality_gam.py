@@ -106,7 +106,7 @@ def _pair_leaves(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
 class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         p = y.mean() if len(y) else 0.5
-        self.base = float(np.log(p / (1 - p))) if 0 < p < 1 else None
+        self.base = float(np.log(p / (1 - p))) if len(y) and 0 < p < 1 else None
         self.share = float(p)
         if self.base is None:
             return
