@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -61,37 +60,43 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+#: Removes a query's shuffle files as soon as it has ended; else they stay until the driver's garbage is collected.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder, so that later plans start from files that all executors see."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _WRITTEN.append(path)
-    # Shuffle files go once the driver's garbage is collected; without this they stay for the whole query.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
     """Documents by a key that is theirs alone and follows their order.
 
-    Returns (key, text) of all different documents and (key, doc_id, text) of
-    all rows. Where ids are neither null nor repeated, they are the keys. Else
-    equal rows are one document, and documents are numbered by id (null first),
-    then text.
+    Returns (key, text) of all different documents and (key, doc_id, text, row)
+    of all rows, row being a struct of the carried columns. Where ids are neither
+    null nor repeated, they are the keys. Else equal rows are one document, and
+    documents are numbered by id (null first), then text.
     """
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.struct(*carry or ("doc_id",)).alias("row"))
     odd = rows.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
     if odd.isEmpty():
-        keys = rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        keys = rows.select(F.col("doc_id").alias("key"), "doc_id", "text", "row")
         return keys.select("key", "text"), keys
-    one = rows.distinct()
+    one = rows.select("doc_id", "text").distinct()
     ordered = one.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered = settled(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
     back = ordered.select("key", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     every = rows.join(back, rows["doc_id"].eqNullSafe(back["_id"]) & (F.xxhash64(rows["text"]) == back["_hash"]))
-    return ordered.select("key", "text"), every.select("key", "doc_id", "text")
+    return ordered.select("key", "text"), every.select("key", "doc_id", "text", "row")
 
 
 def release(spark: SparkSession) -> None:

@@ -6,9 +6,11 @@ back), in three rounds of growing length. Each round sorts (rank, place) in
 Spark, keeps the first place of every rank, and passes on only what is not yet
 decided, so that later rounds see few positions:
 
-1. Anchors. Every window of LENGTH bytes names the gram of GRAM bytes in it that
-   has the least hash. A window can only repeat where its anchor repeats, so
-   windows with an unrepeated anchor are done: they are unique.
+1. Anchors. Every window of LENGTH bytes names one gram of GRAM bytes in it: the
+   place of its seed (the SEED bytes with the least hash), modulo the number of
+   grams in a window. Neighbouring windows mostly name the same gram, and equal
+   windows name equal ones. A window can only repeat where its anchor repeats,
+   so windows with an unrepeated anchor are done: they are unique.
 2. Blocks. The windows next to each other that share an anchor form a block. The
    pair of ranks (anchor, block's content) is sorted: a block that also starts
    earlier repeats in all its windows. The first block of each content goes on
@@ -41,7 +43,8 @@ from twinspark.llm.common import keyed, settled
 from twinspark.llm.rolling import Ranges, mixed, sliding_min
 
 LENGTH = 100
-GRAM = 40
+GRAM = 55
+SEED = 9
 #: Window starts of a very long text that are worked on at once.
 STRETCH = 1 << 23
 _AT = np.uint64(STRETCH * 2 - 1)
@@ -53,12 +56,13 @@ def blocks_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     for base in range(0, max(0, len(data) - length + 1), STRETCH):
         part = data[base : base + STRETCH + length - 1]
         ranges = Ranges(part)
-        grams = ranges.all(gram)
-        least = sliding_min((grams & ~_AT) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
-        anchor = (least & _AT).astype(np.int64)
+        seeds = ranges.all(min(SEED, gram))
+        least = sliding_min((seeds & ~_AT) | np.arange(len(seeds), dtype=np.uint64), length - min(SEED, gram) + 1)
+        window = np.arange(len(least))
+        anchor = window + ((least & _AT).astype(np.int64) - window) % (length - gram + 1)
         cut = np.flatnonzero(np.diff(anchor)) + 1
         first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
-        out.append((grams[anchor[first]], ranges.of(first, last + length - 1), first + base, last - first))
+        out.append((ranges.of(anchor[first], anchor[first] + gram), ranges.of(first, last + length - 1), first + base, last - first))
     return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
 
 
@@ -171,9 +175,9 @@ def removed(data: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) ->
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cases(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """All rows (key, doc_id, text), and (key, text, runs, more) of texts with repeated windows."""
-    one, rows = keyed(docs)
+def _cases(docs: DataFrame, length: int, gram: int, *carry: str) -> tuple[DataFrame, DataFrame]:
+    """All rows (key, doc_id, text, row), and (key, text, runs, more) of texts with repeated windows."""
+    one, rows = keyed(docs, *carry)
     found = settled(undecided(one, length, gram))
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("at", "count", "open")).alias("runs"))
     cases = settled(one.join(grouped, "key"))
@@ -218,3 +222,22 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     base = rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return base.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows with what is kept as their ``text`` and its size as ``n_chars``, other columns as they were.
+
+    Bytes of characters that are cut in two go as well.
+    """
+    cols = docs.columns
+    rows, cases = _cases(docs, length, gram, *cols)
+    cut = cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, False), "key long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["key", "kept"])
+
+    cut = cut.select("key", "kept").mapInArrow(decoded, "key long, kept string")
+    text = F.coalesce("kept", "row.text")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.join(cut, "key", "left").select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in cols])
