@@ -28,7 +28,8 @@ class Engine:
 
 def _hash_images(images: DataFrame) -> DataFrame:
     """Grey values (pixels: 32 x 32) to their hash."""
-    return hashes.with_chunks(images.withColumn("phash", hashes.median_hash(hashes.low_frequencies(F.col("pixels")))).drop("pixels"))
+    low = images.withColumn("low", hashes.low_frequencies(F.col("pixels")))
+    return hashes.with_chunks(low.withColumn("phash", hashes.median_hash(F.col("low"))).drop("pixels", "low"))
 
 
 def _vector_pairs(vectors: DataFrame, t: float) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ def hex_of_bits(bits: Column) -> Column:
 
 def median_hash(v: Column) -> Column:
     """Bits of 64 coefficients: over the lower median or not."""
-    return F.transform(F.array(F.get(F.sort_array(v), F.lit(31))), lambda m: hex_of_bits(F.transform(v, lambda x: x > m)))[0]
+    bits = F.transform(F.array(F.get(F.sort_array(v), F.lit(31))), lambda m: F.transform(v, lambda x: x > m))
+    return F.transform(bits, hex_of_bits)[0]
 
 
 def norm(v: Column) -> Column:
@@ -62,8 +65,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def dct_matrix(n: int = 32):
     """The orthonormal DCT-II matrix."""
-    import numpy as np
-
     k, i = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
     out = np.cos(np.pi * (2 * i + 1) * k / (2 * n)) * np.sqrt(2 / n)
     out[0] /= np.sqrt(2)
@@ -72,12 +73,8 @@ def dct_matrix(n: int = 32):
 
 def low_frequencies(pixels: Column) -> Column:
     """Of 32 x 32 grey values, row by row, the 8 x 8 lowest DCT coefficients, row by row."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def transform(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         c = dct_matrix(32)
         x = np.stack([np.asarray(v, float).reshape(32, 32) for v in s]) if len(s) else np.zeros((0, 32, 32))
         return pd.Series(list((c @ x @ c.T)[:, :8, :8].reshape(len(x), 64)))

@@ -17,9 +17,9 @@ def basename(p: Column) -> Column:
 
 
 def dirname(p: Column) -> Column:
-    """All before the last slash; the root keeps its slash."""
-    cut = F.regexp_extract(p, "^(.*)/[^/]*$", 1)
-    return F.when((cut == "") & p.startswith("/"), F.lit("/")).otherwise(cut)
+    """All up to the last slash, without slashes at its end unless it has nothing else."""
+    head = F.regexp_extract(p, "^(.*/)[^/]*$", 1)
+    return F.when(head.rlike("^/*$"), head).otherwise(F.rtrim(head, F.lit("/")))
 
 
 def extension(p: Column) -> Column:

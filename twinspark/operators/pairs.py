@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,9 +119,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None
     a matrix product, and only a block's best k of that part go on to the last
     ranking, so what is exchanged is queries times parts times k.
     """
-    import numpy as np
-    import pandas as pd
-
     q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(QUERY_BLOCKS)).alias("qb"))
     v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(VECTOR_PARTS)).alias("vp"))
     q = q.withColumn("vp", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_PARTS - 1)))).withColumn("vp", F.col("vp").cast("long"))
@@ -134,7 +133,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None
         out = []
         for lo in range(0, len(a), 1024):
             d = 1 - a[lo : lo + 1024] @ b.T
-            d = np.round(d, digits) if digits is not None else d
+            d = np.round(d, digits) + 0.0 if digits is not None else d  # no negative zero
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"id": np.repeat(left["qid"].to_numpy()[lo : lo + 1024], top.shape[1]), "match_id": ids[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)

@@ -222,7 +222,7 @@ def hamming_pairs_wide(spark: SparkSession, d: str) -> DataFrame:
     return near(spark, d, 10)
 
 
-_COSINE = "round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
+_COSINE = "round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) + 0::double"
 _KNN = f"nn as (select id, match_id, distance, row_number() over (partition by id order by distance, match_id)::int as rank from (select a.vec_id as id, b.vec_id as match_id, {_COSINE} as distance from embeddings a, embeddings b)), nn20 as (select * from nn where rank <= 20)"
 
 
@@ -584,7 +584,7 @@ def root_changes(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar functions -------------------------------------------------------------------
 
 
-@query(r"""with u as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) select page_id, string_split(p, '/')[-1] as name, regexp_extract(p, '^(.*)/[^/]*$', 1) as dir, regexp_extract(string_split(p, '/')[-1], '^\.*[^.].*?(\.[^.]*)$', 1) as ext, md5(p) || '_256.png' as thumb from u""")
+@query(r"""with u as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) select page_id, string_split(p, '/')[-1] as name, rtrim(regexp_extract(p, '^(.*/)[^/]*$', 1), '/') as dir, regexp_extract(string_split(p, '/')[-1], '^\.*[^.].*?(\.[^.]*)$', 1) as ext, md5(p) || '_256.png' as thumb from u""")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.regexp_replace("url", "[?#].*$", "")
     return read(spark, d, "pages").select("page_id", paths.basename(p).alias("name"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.thumbnail_key(p, 256).alias("thumb"))

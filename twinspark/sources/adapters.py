@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +38,6 @@ def intake_counts(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 def decoded(images: DataFrame, size: int = 32) -> DataFrame:
     """Grey values of images (path, content) with errors as data; pixels are NULL where decoding fails or no decoder is there."""
-    import pandas as pd
-
     @F.pandas_udf("pixels array<double>, width int, height int, err string")
     def decode(content: pd.Series) -> pd.DataFrame:
         import io
