@@ -25,9 +25,10 @@ def test_one_of_each(edge):
     got = ngram_join.one_of_each(edge)
     assert got.columns == edge.columns
     rows = [(r.doc_id, r.text) for r in edge.collect()]
-    groups = {c for (i, n, c), _ in zip(components(rows), rows) if n}
+    # The id 4 has two texts of two components, and is the least id of both.
+    groups = {(c, t.startswith("another")) for (i, n, c), (_, t) in zip(components(rows), rows) if n}
     worded = [r for r in got.collect() if ngram_join.signature(ngram_join.shingles(r.text)) is not None]
-    assert len(worded) == len(groups) and {r.doc_id for r in worded} == groups
+    assert len(worded) == len(groups) and {(r.doc_id, r.text.startswith("another")) for r in worded} == groups
     assert len(got.collect()) - len(worded) == sum(1 for _, n, _ in components(rows) if not n)
 
 
