@@ -149,41 +149,40 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> Dat
 
 
 def measured(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and sig of every row."""
+    """doc_id, n_shingles, sig, point and hash (of the text) of every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "sig"])
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([counts(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], ["doc_id", "n_shingles", "sig", "point", "hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long, point binary, hash long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, n, point, set) of the wanted signatures."""
+    """(sig, n, set) of the wanted (sig, hash), from one text with each hash."""
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Copies go here already as far as they stand together, so a large group of them is not sent to one task.
         seen: set[int] = set()
         for batch in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            sigs, texts = [], []
-            for text in batch.column(1):
-                sig = signature(shingles(text.as_py(), words))
-                if sig is not None and sig not in seen:
-                    seen.add(sig)
-                    sigs.append(sig)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([t.as_py() for t in texts], pa.string())], ["sig", "text"])
+            new = []
+            for h in batch.column(0).to_pylist():
+                new.append(h not in seen)
+                seen.add(h)
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([counts(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "n", "point", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "n", "set"])
 
-    texts = docs.select(F.lit(0).alias("x"), "text").mapInArrow(signed, "sig long, text string").join(wanted, "sig", "left_semi")
-    one = texts.withColumn("k", F.row_number().over(W.partitionBy("sig").orderBy("sig"))).where("k = 1")
-    return one.select("sig", "text").mapInArrow(sets, "sig long, n long, point binary, set binary")
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(once, "hash long, text string").join(wanted, "hash")
+    one = texts.withColumn("k", F.row_number().over(W.partitionBy("hash").orderBy("hash"))).where("k = 1")
+    return one.select("sig", "text").mapInArrow(sets, "sig long, n long, set binary")
 
 
 def need(a, b, percent: int):
@@ -211,8 +210,10 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs_with(pairs, sets, "point", percent).select("a", "b", "xa", "xb", "na", "nb").mapInArrow(work, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links by their whole sets."""
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The settled pairs that are links by their whole sets."""
+    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    sets = settled(sets_of(docs, points.join(ends, "sig", "left_semi").select("sig", "hash"), words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,23 +315,25 @@ def tree_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of all signatures that have a link to another one."""
+def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, component) of all signatures that have a link to another one; rows: what ``measured`` gives for docs."""
     last = frequent(docs, words)
     of = W.partitionBy("h")
     buckets = prefixes(docs, last, words, percent).repartition("h").withColumn("first", F.min("sig").over(of))
     buckets = settled(buckets.withColumn("most", F.max("sig").over(of)).where("first <> most").select("h", "sig", "first").distinct())
-    sets = settled(sets_of(docs, buckets.select("sig").distinct(), words))
+    # Of equal sets any one row will do; they are equal in all that is taken here.
+    one = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+    points = settled(one.join(buckets.select("sig").distinct(), "sig", "left_semi"))
     stars = buckets.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    edges = settled(verified(bounded(stars, sets, percent), sets, percent))
+    edges = settled(verified(settled(bounded(stars, points, percent)), points, docs, words, percent))
     known = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), settled).withColumnRenamed("id", "sig")
     named = buckets.select("h", "sig").join(known, "sig", "left").select("h", "sig", F.coalesce("component", "sig").alias("comp"))
     named = named.withColumn("least", F.min("comp").over(of)).withColumn("most", F.max("comp").over(of)).where("least <> most").select("h", "sig", "comp")
     named = settled(named)
     # Many shingles have the same bucket; one of them is enough.
     same = named.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("s")).groupBy("n", "s").agg(F.min("h").alias("h"))
-    pairs = tree_pairs(named.join(same.select("h"), "h", "left_semi"), sets, percent)
-    more = settled(verified(pairs, sets, percent))
+    pairs = settled(tree_pairs(named.join(same.select("h"), "h", "left_semi"), points, percent))
+    more = settled(verified(pairs, points, docs, words, percent))
     every = edges.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return components(every, settled)
 
@@ -338,9 +341,9 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and sig for every row."""
     docs = docs.select("doc_id", "text")
-    found = links(docs, words, percent)
     rows = settled(measured(docs, words))
-    named = rows.join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
+    found = links(docs, rows, words, percent)
+    named = rows.select("doc_id", "n_shingles", "sig").join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     named = settled(named.select("doc_id", "n_shingles", "sig", "class"))
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "class", "left")
