@@ -128,3 +128,35 @@ def test_equal_ranges_have_equal_hashes():
     h = r.all(3)
     assert h[0] == h[4] == h[8] == h[11] and len({*map(int, h)}) == len(h) - 3
     assert r.of(np.array([0, 8]), np.array([3, 11])).tolist() == [int(h[0])] * 2 or r.of(np.array([0]), np.array([3]))[0] == r.of(np.array([8]), np.array([11]))[0]
+
+
+def test_lone_shingles_only_part_what_cannot_link():
+    """The second bound holds for all linked pairs of random overlapping sets."""
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
+    often, pool = pool[::97], rng.permutation(pool)
+    sets = []
+    for k in range(30):
+        base = pool[(k % 20) * 190 : (k % 20) * 190 + 190]
+        sets.append(np.unique(np.concatenate((base[rng.random(len(base)) < 0.9], rng.choice(pool, 5)))))
+    first = [ngram_join.first_shingles(s, often, 75) for s in sets]
+    where = {}
+    for k, f in enumerate(first):
+        for h in np.concatenate(f[:2]):
+            where.setdefault(int(h), []).append(k)
+    alone = np.zeros((len(sets), 64), np.int32)
+    for k, f in enumerate(first):
+        cells = [int(h) >> 58 for h in f[0] if len(where[int(h)]) == 1]
+        alone[k, 1:] = np.cumsum(np.bincount(cells, minlength=64))[:-1]
+    n, reach = np.array([len(s) for s in sets]), np.array([f[2] for f in first])
+    linked = parted = 0
+    for i in range(30):
+        q = np.array([j for j in range(30) if j != i])
+        ok = ngram_join.may_link(n[i], n[q], alone[i], alone[q], reach[i], reach[q], 75)
+        for j, may in zip(q, ok):
+            o = len(np.intersect1d(sets[i], sets[j]))
+            link = 100 * o >= 75 * (n[i] + n[j] - o)
+            linked += link
+            parted += not may
+            assert may or not link
+    assert linked and parted

@@ -16,6 +16,9 @@ it do. Two passes lose no link and never list all pairs of a group of copies:
 2. in buckets whose sets aren't all connected by then: an R-tree over the counts
    gives the pairs of different components that the bound allows.
 
+A second bound holds for long sets, whose counts say little: shingles that a set
+has alone among all prefixes must be missing in the other (see ``with_alone``).
+
 Pairs are verified on their whole sets. Components are found with alternating
 stars. Two different shingles have equal hashes with a chance of 2**-64.
 
@@ -51,6 +54,8 @@ GROUPS = 256
 FREQUENT = 1024
 #: Sets below a leaf of an R-tree.
 LEAF = 16
+#: Equal parts of the range of hashes, by their highest 6 bits.
+CELLS = 64
 GATHER = 24 << 20
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -122,6 +127,18 @@ def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.sort(np.array(got.select("h").toPandas()["h"], np.int64).view(np.uint64))
 
 
+def first_shingles(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a set: its part of shingles that aren't frequent, the rest, and how far it reaches.
+
+    Any shingle of the set that isn't frequent and lies below the reach (in CELLS of the hash range) is in the prefix.
+    """
+    k = prefix_size(len(s), percent)
+    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
+    rare = s[~late]
+    reach = CELLS - 1 if k >= len(rare) else int(rare[k - 1] >> np.uint64(58))
+    return rare[:k], s[late][: max(0, k - len(rare))], reach
+
+
 def prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
     """(h, sig) of the first shingles of every different set."""
     sent = docs.sparkSession.sparkContext.broadcast(last)
@@ -135,12 +152,7 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> Dat
                 if sig is None or sig in seen:
                     continue
                 seen.add(sig)
-                k = prefix_size(len(s), percent)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    late = often[at] == s
-                    s = np.concatenate((s[~late][:k], s[late][: max(0, k - int((~late).sum()))]))
-                hs.append(s[:k])
+                hs.append(np.concatenate(first_shingles(s, often, percent)[:2]))
                 sigs.append(np.full(len(hs[-1]), sig))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sigs))], ["h", "sig"])
@@ -148,16 +160,44 @@ def prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> Dat
     return docs.select(F.lit(0).alias("x"), "text").mapInArrow(work, "h long, sig long")
 
 
-def measured(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, sig, point and hash (of the text) of every row."""
+def measured(docs: DataFrame, last: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, sig, point, reach, early (prefix shingles by cell) and hash (of the text) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column(1)]
+            firsts = [first_shingles(s, often, percent) if len(s) else None for s in sets]
+            early = [np.bincount((f[0] >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype(np.int32).tobytes() if f else None for f in firsts]
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([counts(s) if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], ["doc_id", "n_shingles", "sig", "point", "hash"])
+            cols += [pa.array([f and f[2] for f in firsts], pa.int32()), pa.array(early, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], ["doc_id", "n_shingles", "sig", "point", "reach", "early", "hash"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long, point binary, reach int, early binary, hash long")
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long, point binary, hash long")
+
+def with_alone(points: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Points with ``alone``: how many prefix shingles below each cell's start no other prefix has, at least.
+
+    A shingle of one set's prefix that no other prefix has is in no other set whose reach is above it. So two sets
+    differ in at least as many shingles as each has alone below the other's reach.
+    """
+    shared = buckets.groupBy("sig", F.shiftrightunsigned("h", 58).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.col("n").cast("int")))).alias("shared"))
+    cols = ["sig", "hash", "n", "point", "reach"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alone = []
+            for early, cells in zip(b.column(5), b.column(6)):
+                own = np.frombuffer(early.as_py(), np.int32).astype(np.int64)
+                for cell, n in cells.as_py() or ():
+                    own[cell] = max(0, own[cell] - n)
+                alone.append(np.concatenate(([0], np.cumsum(own)[:-1])).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(alone, pa.binary())], [*cols, "alone"])
+
+    return points.join(shared, "sig").select(*cols, "early", "shared").mapInArrow(work, "sig long, hash long, n long, point binary, reach int, alone binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -196,18 +236,29 @@ def _pairs_with(pairs: DataFrame, sets: DataFrame, column: str, percent: int) ->
     return pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that summed minima of their points allow."""
+def may_link(na, nb, aa, ab, ra, rb, percent: int):
+    """Whether the shingles that both have alone leave room for a link; a*: alone, r*: reach."""
+    rows = np.arange(len(rb)) if np.ndim(rb) else 0
+    own = aa[..., rb] if aa.ndim == 1 else aa[rows, rb]
+    other = ab[:, ra] if np.ndim(ra) == 0 else ab[np.arange(len(ra)), ra]
+    return own + other <= na + nb - 2 * need(na, nb, percent)
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that summed minima of their points and their lone shingles allow."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 xa, xb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (2, 3))
-                na, nb = (b.column(k).to_numpy() for k in (4, 5))
-                ok = np.minimum(xa, xb).sum(1) >= need(na, nb, percent)
+                na, nb, ra, rb = (b.column(k).to_numpy() for k in (4, 5, 6, 7))
+                aa, ab = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32).reshape(b.num_rows, -1) for k in (8, 9))
+                ok = (np.minimum(xa, xb).sum(1) >= need(na, nb, percent)) & may_link(na, nb, aa, ab, ra, rb, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy()[ok]) for k in (0, 1)], ["a", "b"])
 
-    return _pairs_with(pairs, sets, "point", percent).select("a", "b", "xa", "xb", "na", "nb").mapInArrow(work, "a long, b long")
+    side = lambda s: points.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"x{s}"), F.col("reach").alias(f"r{s}"), F.col("alone").alias(f"l{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return both.select("a", "b", "xa", "xb", "na", "nb", "ra", "rb", "la", "lb").mapInArrow(work, "a long, b long")
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -260,7 +311,7 @@ class RTree:
                 yield i, q[np.minimum(points[q], self.points[i]).sum(1) >= need(sizes[q], self.sizes[i], percent)]
 
 
-def _bucket_pairs(sig, comp, own, size, point, percent) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(sig, comp, own, size, point, reach, alone, percent) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components in a bucket and size band that the bound allows; own marks indexed sets."""
     mine = np.flatnonzero(own)
     if not len(mine):
@@ -270,6 +321,7 @@ def _bucket_pairs(sig, comp, own, size, point, percent) -> tuple[np.ndarray, np.
     for i, q in tree.pairs(np.arange(len(sig)), point, size, percent):
         i = mine[i]
         q = q[(comp[q] != comp[i]) & (~own[q] | (sig[q] > sig[i]))]
+        q = q[may_link(size[i], size[q], alone[i], alone[q], reach[i], reach[q], percent)] if len(q) else q
         a.append(np.full(len(q), sig[i]))
         b.append(sig[q])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
@@ -281,10 +333,10 @@ def tree_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A bucket is split into bands of set sizes; a band is joined with itself and the next smaller one.
     """
     step = float(np.log(100 / percent))
-    rows = buckets.join(sets.select("sig", "n", "point"), "sig")
+    rows = buckets.join(sets.select("sig", "n", "point", "reach", "alone"), "sig")
     band = F.floor(F.log("n") / step + 1e-9)
     # A size on the border of two bands may be counted to either, so the band below is joined up to two steps down.
-    rows = rows.select("h", "sig", "comp", "n", "point", F.explode(F.array(*[F.struct((band + k).alias("band"), F.lit(k == 0).alias("own")) for k in (0, 1, 2)])).alias("g")).select("h", "g.band", "g.own", "sig", "comp", "n", "point")
+    rows = rows.select("h", "sig", "comp", "n", "point", "reach", "alone", F.explode(F.array(*[F.struct((band + k).alias("band"), F.lit(k == 0).alias("own")) for k in (0, 1, 2)])).alias("g")).select("h", "g.band", "g.own", "sig", "comp", "n", "point", "reach", "alone")
     rows = rows.repartition("h", "band").sortWithinPartitions("h", "band")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,8 +346,10 @@ def tree_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             t = t.combine_chunks()
             h, band, own, sig, comp, n = (t.column(k).to_numpy() for k in range(6))
             point = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint32).reshape(len(h), -1)
+            reach = t.column(7).to_numpy()
+            alone = np.frombuffer(b"".join(t.column(8).to_pylist()), np.int32).reshape(len(h), -1)
             cut = np.flatnonzero((h[1:] != h[:-1]) | (band[1:] != band[:-1])) + 1
-            out = [_bucket_pairs(sig[i:j], comp[i:j], own[i:j].astype(bool), n[i:j], point[i:j], percent) for i, j in zip([0, *cut], [*cut, len(h)]) if j - i > 1]
+            out = [_bucket_pairs(sig[i:j], comp[i:j], own[i:j].astype(bool), n[i:j], point[i:j], reach[i:j], alone[i:j], percent) for i, j in zip([0, *cut], [*cut, len(h)]) if j - i > 1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
 
@@ -315,15 +369,14 @@ def tree_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, last: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, component) of all signatures that have a link to another one; rows: what ``measured`` gives for docs."""
-    last = frequent(docs, words)
     of = W.partitionBy("h")
     buckets = prefixes(docs, last, words, percent).repartition("h").withColumn("first", F.min("sig").over(of))
     buckets = settled(buckets.withColumn("most", F.max("sig").over(of)).where("first <> most").select("h", "sig", "first").distinct())
     # Of equal sets any one row will do; they are equal in all that is taken here.
-    one = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
-    points = settled(one.join(buckets.select("sig").distinct(), "sig", "left_semi"))
+    one = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("point", "reach", "early")])
+    points = settled(with_alone(one, buckets))
     stars = buckets.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
     edges = settled(verified(settled(bounded(stars, points, percent)), points, docs, words, percent))
     known = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), settled).withColumnRenamed("id", "sig")
@@ -341,8 +394,9 @@ def links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = P
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and sig for every row."""
     docs = docs.select("doc_id", "text")
-    rows = settled(measured(docs, words))
-    found = links(docs, rows, words, percent)
+    last = frequent(docs, words)
+    rows = settled(measured(docs, last, words, percent))
+    found = links(docs, rows, last, words, percent)
     named = rows.select("doc_id", "n_shingles", "sig").join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
     named = settled(named.select("doc_id", "n_shingles", "sig", "class"))
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
