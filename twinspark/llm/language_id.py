@@ -14,7 +14,7 @@ least hash of their id, a documented bound), all words of which can be drawn;
 every language's words are drawn equally often.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-rows with a null lang are not learned from; with no row to learn from every text
+rows with a null lang or id are not learned from; with no row to learn from every text
 is ``und`` with score 0; repeated rows get equal results; an empty table gives an
 empty result.
 """
@@ -229,8 +229,12 @@ def train(rows: list[tuple[str, str]]) -> Network | None:
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Network | None:
     """From the rows with a lang for which learn(doc_id) holds; at most ``sample`` of them."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
-    got = rows.orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id", F.xxhash64("text"), "lang").limit(sample).collect()
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
+    order = [F.xxhash64("doc_id", F.lit("language")), "doc_id", "hash", "lang"]
+    key = ["doc_id", "hash", "lang"]
+    # Rows are chosen without their texts, so that no part of the table sends more texts than are taken.
+    chosen = rows.select(*key).orderBy(*order).limit(sample).distinct()
+    got = rows.join(F.broadcast(chosen), key).orderBy(*order).collect()
     return train([(r["text"], r["lang"]) for r in got])
 
 
