@@ -63,6 +63,43 @@ def test_exchange_finds_the_classes():
     assert all(len({at[k] for k in range(c, 12, 3)}) == 1 for c in range(3)) and len(set(at)) == 3
 
 
+def _two_kinds(spark):
+    """Words of two kinds that are spelled alike and take turns, beside frequent words that show the turns."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{c}word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)] for c in "pq"]
+    texts = [" ".join(w for _ in range(25) for w in ("the", kinds[0][rng.integers(40)], "of", kinds[1][rng.integers(40)])) for _ in range(80)]
+    return kinds, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_words_beyond_the_seeds_have_classes_of_their_own(spark, monkeypatch):
+    """All 80 words have one spelling form, and only "the", "of" and the end are seeds."""
+    monkeypatch.setattr(class_lm, "ITEMS", 3)
+    kinds, docs = _two_kinds(spark)
+    assert len({class_lm.form(w.encode()) for k in kinds for w in k}) == 1
+    scorer, *_ = class_lm.fit(docs, F.lit(True), 5)
+    p, q = (Counter(class_lm.classes_of(scorer, k)).most_common(1)[0] for k in kinds)
+    assert p[0] != q[0] and min(p[1], q[1]) >= 36
+
+
+def test_a_step_takes_the_best_of_all_classes(small):
+    words = [w for w, _ in Counter(w for r in small.collect() for w in class_lm.tokens(r.text)).most_common(60)]
+    pairs = class_lm.bigrams(small, words)
+    at = class_lm.exchange(pairs, 6, 1)
+    member = np.eye(6)[at]
+    table, after, before = member.T @ pairs @ member, pairs @ member, pairs.T @ member
+    for w in np.flatnonzero(pairs.sum(0) > 0)[:25]:
+        own, right, left = pairs[w, w], after[w].copy(), before[w].copy()
+        right[at[w]] -= own
+        left[at[w]] -= own
+        got = class_lm.step(table.copy(), table.sum(0), at[w], right, left, own, pairs[:, w].sum())
+
+        def value(c):
+            m = np.eye(6)[np.where(np.arange(len(at)) == w, c, at)]
+            return class_lm.likelihood(m.T @ pairs @ m)
+
+        assert value(got) == pytest.approx(max(map(value, range(6))), abs=1e-6)
+
+
 def test_class_part_is_a_distribution_of_classes(small):
     scorer, *_ = class_lm.fit(small, F.lit(True))
     assert np.isfinite(scorer.class_part).all() and (scorer.class_part < 0).all()
