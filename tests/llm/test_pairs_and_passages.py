@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plain import components, repeats, sha
+from plain import components, repeats, sha, shingle_set
 from twinspark.llm import ngram_join, rolling, suffix_dedup
 
 
@@ -17,6 +17,32 @@ def test_components_are_those_of_all_pairs(docs, request):
     assert got == sorted(map(repr, components(rows)))
 
 
+def _links(rows):
+    """(id, words' shingles, linked other rows) of all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    return [(i, len(a), sum(1 for j, b in enumerate(sets) if j != k and a and 100 * len(a & b) >= 75 * len(a | b))) for k, ((i, _), a) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("docs", ["edge", "small"])
+def test_links_are_those_of_all_pairs(docs, request):
+    docs = request.getfixturevalue(docs)
+    want = _links([(r.doc_id, r.text) for r in docs.collect()])
+    got = [(r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.join(docs).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(n for *_, n in want)
+
+
+def test_links_of_a_large_group_are_all_counted(spark, monkeypatch):
+    """A group of several blocks with copies, in which not all sets link with each other."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    rows = [(k, " ".join(f"w{i}" for i in range(k // 2 % 40, k // 2 % 40 + 60))) for k in range(90)]
+    want = _links(rows)
+    assert len({n for *_, n in want}) > 3
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted(want)
+    assert {r.component_id for r in got} == {0}
+
+
 def test_join_of_an_empty_table(empty):
     assert ngram_join.join(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 

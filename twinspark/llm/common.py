@@ -64,16 +64,24 @@ _WRITTEN: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder, so that later plans start from files that all executors see."""
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder, so that later plans start from files that all executors see.
+
+    ``rows``: how many rows go to Python at a time, where they are large.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
+    before, at_a_time = spark.conf.get(_CLEAN, "false"), spark.conf.get(_ROWS)
     spark.conf.set(_CLEAN, "true")
+    spark.conf.set(_ROWS, str(rows or at_a_time))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+        spark.conf.set(_ROWS, at_a_time)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

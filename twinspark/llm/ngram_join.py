@@ -22,6 +22,11 @@ has alone among all prefixes must be missing in the other (see ``with_alone``).
 Pairs are verified on their whole sets. Components are found with alternating
 stars. Two different shingles have equal hashes with a chance of 2**-64.
 
+All links of a set lie in its component, so they are counted there: a component's
+different sets are dealt to blocks, each pair of blocks is compared set by set,
+and each set keeps the sum of rows that its links lead to. No pairs are listed, but
+the comparisons of a component grow with the square of its different sets.
+
 Frequent shingles are counted over all texts in gathered parts; the list is
 bounded by FREQUENT times the mean set size, at any number of texts. It only
 orders shingles, so it cannot lose a link.
@@ -57,6 +62,12 @@ LEAF = 16
 #: Equal parts of the range of hashes, by their highest 6 bits.
 CELLS = 64
 GATHER = 24 << 20
+#: Texts, sets or points that go to Python at a time.
+ROWS = 500
+#: Different sets of a component that are compared at once with as many others; this changes no result.
+BLOCK = 128
+#: Shingles that both blocks have, compared at once.
+COLUMNS = 1 << 14
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -216,9 +227,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield batch.filter(pa.array(new, pa.bool_()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A few rows at a time: the sets of a whole batch of long texts take some hundred MB.
         for batch in batches:
-            own = [shingles(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "n", "set"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                own = [shingles(t.as_py(), words) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "n", "set"])
 
     texts = docs.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(once, "hash long, text string").join(wanted, "hash")
     one = texts.withColumn("k", F.row_number().over(W.partitionBy("hash").orderBy("hash"))).where("k = 1")
@@ -264,7 +278,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The settled pairs that are links by their whole sets."""
     ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    sets = settled(sets_of(docs, points.join(ends, "sig", "left_semi").select("sig", "hash"), words))
+    sets = settled(sets_of(docs, points.join(ends, "sig", "left_semi").select("sig", "hash"), words), ROWS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -378,36 +392,108 @@ def links(docs: DataFrame, rows: DataFrame, last: np.ndarray, words: int = WORDS
     one = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("point", "reach", "early")])
     points = settled(with_alone(one, buckets))
     stars = buckets.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    edges = settled(verified(settled(bounded(stars, points, percent)), points, docs, words, percent))
+    edges = settled(verified(settled(bounded(stars, points, percent), ROWS), points, docs, words, percent), ROWS)
     known = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), settled).withColumnRenamed("id", "sig")
     named = buckets.select("h", "sig").join(known, "sig", "left").select("h", "sig", F.coalesce("component", "sig").alias("comp"))
     named = named.withColumn("least", F.min("comp").over(of)).withColumn("most", F.max("comp").over(of)).where("least <> most").select("h", "sig", "comp")
     named = settled(named)
     # Many shingles have the same bucket; one of them is enough.
     same = named.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("s")).groupBy("n", "s").agg(F.min("h").alias("h"))
-    pairs = settled(tree_pairs(named.join(same.select("h"), "h", "left_semi"), points, percent))
-    more = settled(verified(pairs, points, docs, words, percent))
+    pairs = settled(tree_pairs(named.join(same.select("h"), "h", "left_semi"), points, percent), ROWS)
+    more = settled(verified(pairs, points, docs, words, percent), ROWS)
     every = edges.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return components(every, settled)
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and sig for every row."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each left set shares with each right one."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)))
+    sides = []
+    for x, each in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(each)), [len(s) for s in each])
+        at = np.searchsorted(both, x)
+        shared = at < len(both)
+        shared[shared] = both[at[shared]] == x[shared]
+        order = np.argsort(at[shared], kind="stable")
+        sides.append((row[shared][order], at[shared][order]))
+    for start in range(0, len(both), COLUMNS):
+        size = min(COLUMNS, len(both) - start)
+        parts = []
+        for (row, at), each in zip(sides, (left, right)):
+            i, j = np.searchsorted(at, (start, start + size))
+            parts.append(np.zeros((len(each), size), np.float32))
+            parts[-1][row[i:j], at[i:j] - start] = 1
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def link_counts(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, links): the rows with other, linked sets; members: sig, component, hash and rows (of this set)."""
+    blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    sets = settled(sets_of(docs, members.select("sig", "hash"), words), ROWS)
+    dealt = members.select("sig", "component", "rows").join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    dealt = sets.join(dealt, "sig").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "rows", "set")
+    dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+
+    def counted(held: list[tuple]) -> pa.RecordBatch:
+        _, low, high = held[0][0]
+        sides = [[x for x in held if x[1] == k] for k in ((low,) if low == high else (low, high))]
+        out = []
+        if all(sides):
+            left, right = sides[0], sides[-1]
+            na, nb = (np.array([len(x[4]) for x in side]) for side in (left, right))
+            o = overlaps([x[4] for x in left], [x[4] for x in right])
+            link = 100 * o >= percent * (na[:, None] + nb - o)
+            if low == high:
+                np.fill_diagonal(link, False)
+            out.append((left, link @ np.array([x[3] for x in right])))
+            if low != high:
+                out.append((right, np.array([x[3] for x in left]) @ link))
+        return pa.RecordBatch.from_arrays([pa.array([x[2] for side, _ in out for x in side], pa.int64()), pa.array([int(n) for _, each in out for n in each], pa.int64())], ["sig", "links"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in (batch.slice(start, 200) for batch in batches for start in range(0, batch.num_rows, 200)):
+            for *group, own, sig, rows, data in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != group:
+                    yield counted(held)
+                    held = []
+                held.append((group, own, sig, rows, np.frombuffer(data, np.uint64)))
+        if held:
+            yield counted(held)
+
+    return dealt.mapInArrow(work, "sig long, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, sig and, if counted, n_links (other rows that it links with) for every row."""
     docs = docs.select("doc_id", "text")
     last = frequent(docs, words)
     rows = settled(measured(docs, last, words, percent))
     found = links(docs, rows, last, words, percent)
-    named = rows.select("doc_id", "n_shingles", "sig").join(found.select(F.col("id").alias("sig"), "component"), "sig", "left").withColumn("class", F.coalesce("component", "sig"))
-    named = settled(named.select("doc_id", "n_shingles", "sig", "class"))
+    found = found.select(F.col("id").alias("sig"), "component")
+    cols = ["doc_id", "n_shingles", "sig"]
+    if counted:
+        found = settled(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("hash").alias("hash")).join(found, "sig", "left"))
+        counts = link_counts(docs, found.where(F.col("component").isNotNull()), words, percent)
+        found = found.join(counts, "sig", "left").select("sig", "component", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        cols.append("n_links")
+    named = rows.select("doc_id", "n_shingles", "sig").join(found, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
+    if counted:
+        named = named.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    named = settled(named.select(*cols, "class"), ROWS)
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "sig")
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *cols[2:])
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of every component, the one with its least id, with the columns as they were; rows without words stay."""
     cols = docs.columns
-    known = join(docs, words, percent).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_of"), F.col("component_id").alias("_component")).distinct()
+    known = join(docs, words, percent, counted=False).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_of"), F.col("component_id").alias("_component")).distinct()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
