@@ -58,6 +58,15 @@ def test_one_of_each(edge):
     assert len(got.collect()) - len(worded) == sum(1 for _, n, _ in components(rows) if not n)
 
 
+def test_one_of_each_with_repeated_and_null_ids_in_a_component(spark):
+    """Near copies of one id, and others without any id, are one component each, of which one row stays."""
+    text = lambda k, end: " ".join(f"w{k}_{i}" for i in range(60)) + end
+    rows = [(1, text(1, "")), (1, text(1, " more")), (2, text(1, " other")), (None, text(2, "")), (None, text(2, " more")), (None, None), (3, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr(r.doc_id) for r in got if r.text) == ["1", "None"]
+    assert len(got) == 4
+
+
 def test_tree_finds_what_the_bound_allows():
     rng = np.random.default_rng(3)
     base = rng.poisson(2, (12, 64)).astype(np.uint32)

@@ -487,13 +487,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: b
     named = settled(named.select(*cols, "class"), ROWS)
     least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *cols[2:])
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *cols[2:], "class")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of every component, the one with its least id, with the columns as they were; rows without words stay."""
+    """One row of every component, of those with its least id the first by text, with the columns as they were; rows without words stay."""
     cols = docs.columns
-    known = join(docs, words, percent, counted=False).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_of"), F.col("component_id").alias("_component")).distinct()
+    known = join(docs, words, percent, counted=False).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_of"), F.col("component_id").alias("_component"), F.col("class").alias("_class")).distinct()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -503,7 +503,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows = docs.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", LongType())]))
     got = rows.join(known, rows["doc_id"].eqNullSafe(known["_id"]) & rows["_sig"].eqNullSafe(known["_of"]))
     got = got.where(F.col("_sig").isNull() | F.col("doc_id").eqNullSafe(F.col("_component")))
-    # Repeated rows of the least id: the first by text.
-    order = W.partitionBy("_id", "_of").orderBy(F.xxhash64("text"))
-    one = F.col("_sig").isNull() | (F.row_number().over(order) == 1)
-    return got.withColumn("_one", one).where("_one").select(*cols)
+    # Rows of the least id, or of a component without ids: the first by text.
+    order = W.partitionBy("_class").orderBy(F.xxhash64("text"), "text")
+    worded = got.where(F.col("_sig").isNotNull()).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return worded.select(*cols).unionByName(got.where(F.col("_sig").isNull()).select(*cols))
