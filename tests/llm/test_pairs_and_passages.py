@@ -73,11 +73,115 @@ def test_tree_finds_what_the_bound_allows():
     points = np.maximum(base[rng.integers(12, size=200)].astype(int) + rng.integers(-1, 2, (200, 64)), 0).astype(np.uint32)
     sizes = points.sum(1).astype(np.int64)
     tree = ngram_join.RTree(points, sizes)
-    got = {(i, j) for i, q in tree.pairs(np.arange(200), points, sizes, 75) for j in q}
+    got = {(i, j) for i, q in tree.pairs(points, sizes, 75) for j in q}
     want = {(i, j) for i in range(200) for j in range(200) if np.minimum(points[i], points[j]).sum() >= ngram_join.need(sizes[i], sizes[j], 75)}
     assert got == want
 
 
+def _top(n, pairs):
+    up = list(range(n))
+
+    def top(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    return [{j for j in range(n) if top(j) == top(i)} for i in range(n)]
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_connections_reach_every_linked_pair(blocks):
+    """Sets of sizes that have points of different numbers of groups, in one block and in two."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    sets = [np.unique(rng.choice(pool[(k % 5) * 600 : (k % 5) * 600 + 600], 200 + 30 * (k % 8) + 200 * (k % 3))) for k in range(60)]
+    sizes = np.array([len(s) for s in sets])
+    own = rng.integers(blocks, size=60)
+    left = np.flatnonzero(own == 0)
+    right = left if blocks == 1 else np.flatnonzero(own == 1)
+    got = ngram_join.connections(np.arange(60), left, right, sizes, [ngram_join.counts(s) for s in sets], 50)
+    assert len(got) < 60
+    reach = _top(60, got)
+    linked = 0
+    for i in left:
+        for j in right:
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and 100 * o >= 50 * (sizes[i] + sizes[j] - o):
+                linked += 1
+                assert j in reach[i]
+    assert linked > 10
+
+
+def test_points_bound_the_overlap_when_folded():
+    rng = np.random.default_rng(6)
+    a = np.unique(rng.integers(0, 2**40, 5000).astype(np.uint64))
+    b = np.unique(np.concatenate((a[:3000], rng.integers(0, 2**40, 900).astype(np.uint64))))
+    pa_, pb = ngram_join.counts(a), ngram_join.counts(b)
+    g = min(len(pa_), len(pb))
+    assert np.minimum(ngram_join.folded(pa_, g), ngram_join.folded(pb, g)).sum() >= len(np.intersect1d(a, b))
+    same = np.arange(1, 2000, dtype=np.uint64) << np.uint64(40)  # all in one group
+    assert ngram_join.counts(same[:200]).max() < 256
+
+
+def test_reached():
+    link = np.array([[1, 0, 0], [0, 0, 1], [0, 0, 1], [0, 0, 0]], bool)
+    assert ngram_join.reached(link).tolist() == [0, 1, 1, 3, 0, 5, 1]
+
+
+def _morse(n, swap=False):
+    return "".join("ba"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 8192])
+def test_complementary_words_are_no_copies(spark, n):
+    """Words that a polynomial modulo 2**64 can't tell apart."""
+    rows = [(1, _morse(n)), (2, _morse(n, True)), (3, _morse(n) + " x"), (4, _morse(n, True) + " x"), (5, _morse(n))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 1, 1)]
+
+
+def test_large_groups_beside_each_other(spark, monkeypatch):
+    """Buckets and components of many blocks, against all pairs."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [[f"w{g}_{i}" for i in range(80)] for g in range(3)]
+    rows = []
+    for k in range(240):
+        words = list(base[k % 3])
+        for i in rng.integers(80, size=k % 6):
+            words[i] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted(_links(rows))
+
+
+CLASHING = ["_sig", "_one", "_id", "_of", "_component", "_class", "row", "hash", "sig", "of", "id", "times", "a.b"]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(k, f"some words that stand here for number {k % 3} of three texts", *range(len(CLASHING))) for k in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *CLASHING])
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(rows[:3])
+    docs = docs.union(docs.limit(2))
+    assert sorted(map(tuple, ngram_join.one_of_each(docs).collect())) == sorted(rows[:3])
+
+
+def test_a_very_long_text_is_taken_whole(spark):
+    """Two texts of some 10 MB that differ at their ends only, a third with nothing of them, and a word of 4 MB."""
+    long = " ".join(f"{k * 7919 % 1000003}" for k in range(1_500_000))
+    rows = [(1, long + " end"), (2, long + " other end"), (3, " ".join(f"z{k}" for k in range(300_000))), (4, "y" * (4 << 20))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+    assert {r.doc_id: r.n_shingles for r in got}[1] == 1_000_004
+
+
 def test_frequent_shingles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
     common = "all of these documents begin with the very same words again and again "
@@ -163,35 +267,3 @@ def test_equal_ranges_have_equal_hashes():
     h = r.all(3)
     assert h[0] == h[4] == h[8] == h[11] and len({*map(int, h)}) == len(h) - 3
     assert r.of(np.array([0, 8]), np.array([3, 11])).tolist() == [int(h[0])] * 2 or r.of(np.array([0]), np.array([3]))[0] == r.of(np.array([8]), np.array([11]))[0]
-
-
-def test_lone_shingles_only_part_what_cannot_link():
-    """The second bound holds for all linked pairs of random overlapping sets."""
-    rng = np.random.default_rng(9)
-    pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
-    often, pool = pool[::97], rng.permutation(pool)
-    sets = []
-    for k in range(30):
-        base = pool[(k % 20) * 190 : (k % 20) * 190 + 190]
-        sets.append(np.unique(np.concatenate((base[rng.random(len(base)) < 0.9], rng.choice(pool, 5)))))
-    first = [ngram_join.first_shingles(s, often, 75) for s in sets]
-    where = {}
-    for k, f in enumerate(first):
-        for h in np.concatenate(f[:2]):
-            where.setdefault(int(h), []).append(k)
-    alone = np.zeros((len(sets), 64), np.int32)
-    for k, f in enumerate(first):
-        cells = [int(h) >> 58 for h in f[0] if len(where[int(h)]) == 1]
-        alone[k, 1:] = np.cumsum(np.bincount(cells, minlength=64))[:-1]
-    n, reach = np.array([len(s) for s in sets]), np.array([f[2] for f in first])
-    linked = parted = 0
-    for i in range(30):
-        q = np.array([j for j in range(30) if j != i])
-        ok = ngram_join.may_link(n[i], n[q], alone[i], alone[q], reach[i], reach[q], 75)
-        for j, may in zip(q, ok):
-            o = len(np.intersect1d(sets[i], sets[j]))
-            link = 100 * o >= 75 * (n[i] + n[j] - o)
-            linked += link
-            parted += not may
-            assert may or not link
-    assert linked and parted

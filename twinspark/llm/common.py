@@ -51,13 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='twinspark-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
-#: Tables written by this session, for ``release``.
-_WRITTEN: list[str] = []
+#: Tables written by this session, for ``dropped`` and ``release``: the frame and its path by the frame's identity.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 #: Removes a query's shuffle files as soon as it has ended; else they stay until the driver's garbage is collected.
@@ -82,8 +84,9 @@ def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN, before)
         spark.conf.set(_ROWS, at_a_time)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = out, path
+    return out
 
 
 def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +110,28 @@ def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
     return ordered.select("key", "text"), every.select("key", "doc_id", "text", "row")
 
 
+#: Rows of a table that may be broadcast: some tens of MB, as only tables of a few numbers are asked for.
+FEW = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (of a few numbers a row) marked for broadcast if it has at most FEW rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table that ``settled`` gave as ``df``; nothing that was built on it may still be unread."""
+    path = _WRITTEN.pop(id(df), (None, ""))[1]
+    if path:
+        _delete(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that ``settled`` wrote; results that were built on them must be stored by then."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    """Deletes all tables that ``settled`` wrote; results that were built on them must be stored by then."""
     while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.popitem()[1][1])

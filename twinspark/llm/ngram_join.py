@@ -1,40 +1,36 @@
 """N-gram Jaccard join: near duplicates by word shingles, found with count-vector R-trees.
 
-A text's set are the hashes of its shingles of WORDS words. Texts with equal sets
-are one class from the start. Two sets with a Jaccard similarity of PERCENT or
-more share a shingle among the first of each, in any order that all texts keep:
-of n shingles the first n - ceil(n * PERCENT / 100) + 1. Very frequent shingles
-come last in that order, so they seldom count. Sets that share such a shingle
-stand in a bucket.
-
-Within buckets, sets are points: their shingles are hashed into GROUPS groups,
-and the counts are the coordinates. Summed minima of coordinates bound the
-overlap of two sets from above; for a node of an R-tree, the largest counts below
-it do. Two passes lose no link and never list all pairs of a group of copies:
-
-1. every set of a bucket with the bucket's first one, if the bound allows it;
-2. in buckets whose sets aren't all connected by then: an R-tree over the counts
-   gives the pairs of different components that the bound allows.
-
-A second bound holds for long sets, whose counts say little: shingles that a set
-has alone among all prefixes must be missing in the other (see ``with_alone``).
-
-Pairs are verified on their whole sets. Components are found with alternating
-stars. Two different shingles have equal hashes with a chance of 2**-64.
-
-All links of a set lie in its component, so they are counted there: a component's
-different sets are dealt to blocks, each pair of blocks is compared set by set,
-and each set keeps the sum of rows that its links lead to. No pairs are listed, but
-the comparisons of a component grow with the square of its different sets.
-
-Frequent shingles are counted over all texts in gathered parts; the list is
-bounded by FREQUENT times the mean set size, at any number of texts. It only
-orders shingles, so it cannot lose a link.
+A text's set are the hashes of its shingles of WORDS words. Equal sets are one from
+the start. Two sets with a Jaccard similarity of PERCENT or more share a shingle
+among the first of each, in any order that all texts keep: of n shingles the first
+n - ceil(n * PERCENT / 100) + 1. Frequent shingles come last in that order. Sets
+that share such a shingle stand in a bucket.
+
+1. Sets are points: their shingles are hashed into groups, and the counts are the
+   coordinates (about one for SHARE shingles). Summed minima of coordinates bound
+   the overlap of two sets from above; for a node of an R-tree, the largest counts
+   below it do. In each bucket a tree finds sets whose bound allows a link. Sets
+   that are connected in the bucket already aren't compared again, and a bucket
+   passes on one connection for each set at most, never its pairs.
+2. Whatever is linked lies in one component of these connections. Within such a
+   component all different sets are compared whole: its sets are dealt to blocks,
+   each two blocks are compared by one task, and each set keeps the number of rows
+   that its links lead to, and one connection. No pairs are listed, but comparisons
+   grow with the square of a component's different sets.
+3. Components of true links are those of the connections of step 2.
+
+Components are found with alternating stars. Hashes of words and shingles are
+chained bijective mixings of 64 bits, no polynomials; two different shingles have
+equal ones with a chance of about 2**-64.
+
+Frequent shingles are counted over all texts in gathered parts; of the list at most
+LISTED are sent to the workers. It only orders shingles: it cannot lose a link.
 
 Defined results: a text without words (or null) has an empty set and is its own
 component; with fewer words than WORDS, all words are one shingle; a component
 without any id that isn't null has a null id; repeated rows get equal results;
-an empty table gives an empty result.
+ties (equal texts with other ids) are one set; texts of any length are taken
+whole; other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,51 +40,44 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from twinspark.llm.common import settled
-from twinspark.llm.rolling import Ranges, mixed
+from twinspark.llm.common import dropped, few, settled
+from twinspark.llm.rolling import mixed, word_hashes
 from twinspark.operators.graph import components
 
 WORDS = 5
 PERCENT = 75
-GROUPS = 256
+#: Shingles for a coordinate of a point.
+SHARE = 4
 #: Shingles are frequent from one in so many texts on.
-FREQUENT = 1024
+FREQUENT = 8192
+#: The most frequent shingles that are sent to the workers: 8 bytes each.
+LISTED = 1 << 20
 #: Sets below a leaf of an R-tree.
 LEAF = 16
-#: Equal parts of the range of hashes, by their highest 6 bits.
-CELLS = 64
+#: Sets of a bucket that are put into one tree; larger buckets are dealt to blocks.
+BUCKET = 2048
 GATHER = 24 << 20
-#: Texts, sets or points that go to Python at a time.
+#: Texts or points that go to Python at a time.
 ROWS = 500
-#: Different sets of a component that are compared at once with as many others; this changes no result.
-BLOCK = 128
+#: Different sets of a component that are compared at once with as many others, and their shingles.
+BLOCK, SHINGLES = 512, 1 << 20
 #: Shingles that both blocks have, compared at once.
-COLUMNS = 1 << 14
-
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+COLUMNS = 1 << 12
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted different shingle hashes of a text."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    blank = np.concatenate(([True], _BLANK[data], [True]))
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    if not len(edges):
+    each = word_hashes((text or "").encode().lower())
+    if not len(each):
         return np.zeros(0, np.uint64)
-    each = Ranges(_LOW[data]).of(edges[::2], edges[1::2])
     size = min(words, len(each))
     n = len(each) - size + 1
     out = np.full(n, size, np.uint64)
     for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + n]
-    return np.unique(mixed(out))
+        out = mixed(out ^ each[k : k + n])
+    return np.unique(out)
 
 
 def signature(s: np.ndarray) -> int | None:
@@ -100,197 +89,104 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def counts(s: np.ndarray, groups: int = GROUPS) -> bytes:
-    """The point of a set: how many of its shingles fall into each group."""
-    return np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32).tobytes()
+def need(a, b, percent: int):
+    """The least overlap of sets of these sizes that makes a link: 100 * o >= percent * (a + b - o)."""
+    return -(-(a + b) * percent // (100 + percent))
+
 
+def counts(s: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """The point of a set: how many of its shingles fall into each group; the number of groups is a power of two."""
+    groups = 1 << max(6, (len(s) // share).bit_length() - 1)
+    while True:
+        out = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if out.max(initial=0) < 256:
+            return out.astype(np.uint8)
+        groups *= 2
 
-def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[tuple[object, np.ndarray]]]:
-    """(first column, set) of the rows of about GATHER bytes at a time."""
-    held, size = [], 0
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same set's point with fewer groups."""
+    return point.reshape(-1, groups).sum(0, dtype=np.int32)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[list[np.ndarray]]:
+    """The different sets of about GATHER bytes at a time."""
+    held, size = {}, 0
     for batch in batches:
-        for x, text in zip(batch.column(0), batch.column(1)):
-            t = text.as_py()
-            held.append((x, shingles(t, words)))
-            size += 8 * len(held[-1][1]) + 64
+        for text in batch.column(0):
+            s = shingles(text.as_py(), words)
+            if len(s) and held.setdefault(signature(s), s) is s:
+                size += 8 * len(s) + 64
             if size > 2 * GATHER:
-                yield held
-                held, size = [], 0
+                yield list(held.values())
+                held, size = {}, 0
     if held:
-        yield held
+        yield list(held.values())
 
 
 def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of shingles in at least one of FREQUENT texts, from counts over all texts.
+    """Sorted hashes of shingles that stand in one of FREQUENT texts or more; the LISTED most frequent of them.
 
-    A gathered part reports what is that frequent in it (and stands in three texts of it); whatever is frequent over
-    all parts is so in one of them.
+    A gathered part reports whatever stands in two texts of it.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _gathered(batches, words):
-            h, n = np.unique(np.concatenate([s for _, s in part]), return_counts=True)
-            often = n >= max(3, len(part) // FREQUENT)
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+            h, n = np.unique(np.concatenate(part), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
-    n = docs.count()
-    got = docs.select(F.lit(0).alias("x"), "text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n // FREQUENT))
-    return np.sort(np.array(got.select("h").toPandas()["h"], np.int64).view(np.uint64))
+    least = max(3, docs.count() // FREQUENT)
+    got = docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = got.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    return np.sort(got["h"].to_numpy().view(np.uint64))
 
 
-def first_shingles(s: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set: its part of shingles that aren't frequent, the rest, and how far it reaches.
-
-    Any shingle of the set that isn't frequent and lies below the reach (in CELLS of the hash range) is in the prefix.
-    """
-    k = prefix_size(len(s), percent)
+def first_shingles(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set: its shingles that aren't frequent come first."""
     late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
-    rare = s[~late]
-    reach = CELLS - 1 if k >= len(rare) else int(rare[k - 1] >> np.uint64(58))
-    return rare[:k], s[late][: max(0, k - len(rare))], reach
-
-
-def prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(h, sig) of the first shingles of every different set."""
-    sent = docs.sparkSession.sparkContext.broadcast(last)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-        for part in _gathered(batches, words):
-            hs, sigs, seen = [], [], set()
-            for _, s in part:
-                sig = signature(s)
-                if sig is None or sig in seen:
-                    continue
-                seen.add(sig)
-                hs.append(np.concatenate(first_shingles(s, often, percent)[:2]))
-                sigs.append(np.full(len(hs[-1]), sig))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sigs))], ["h", "sig"])
-
-    return docs.select(F.lit(0).alias("x"), "text").mapInArrow(work, "h long, sig long")
+    k = prefix_size(len(s), percent)
+    rare = s[~late][:k]
+    return np.concatenate((rare, s[late][: k - len(rare)]))
 
 
-def measured(docs: DataFrame, last: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, sig, point, reach, early (prefix shingles by cell) and hash (of the text) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(last)
+def measured(docs: DataFrame, often: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, hash (of the text), sig and n of every row; first (shingles) and point of a set where a task meets it first."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
-        for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column(1)]
-            firsts = [first_shingles(s, often, percent) if len(s) else None for s in sets]
-            early = [np.bincount((f[0] >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype(np.int32).tobytes() if f else None for f in firsts]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([counts(s) if len(s) else None for s in sets], pa.binary())]
-            cols += [pa.array([f and f[2] for f in firsts], pa.int32()), pa.array(early, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2)], ["doc_id", "n_shingles", "sig", "point", "reach", "early", "hash"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig long, point binary, reach int, early binary, hash long")
-
-
-def with_alone(points: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Points with ``alone``: how many prefix shingles below each cell's start no other prefix has, at least.
-
-    A shingle of one set's prefix that no other prefix has is in no other set whose reach is above it. So two sets
-    differ in at least as many shingles as each has alone below the other's reach.
-    """
-    shared = buckets.groupBy("sig", F.shiftrightunsigned("h", 58).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    shared = shared.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.col("n").cast("int")))).alias("shared"))
-    cols = ["sig", "hash", "n", "point", "reach"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            alone = []
-            for early, cells in zip(b.column(5), b.column(6)):
-                own = np.frombuffer(early.as_py(), np.int32).astype(np.int64)
-                for cell, n in cells.as_py() or ():
-                    own[cell] = max(0, own[cell] - n)
-                alone.append(np.concatenate(([0], np.cumsum(own)[:-1])).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(alone, pa.binary())], [*cols, "alone"])
-
-    return points.join(shared, "sig").select(*cols, "early", "shared").mapInArrow(work, "sig long, hash long, n long, point binary, reach int, alone binary")
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, n, set) of the wanted (sig, hash), from one text with each hash."""
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Copies go here already as far as they stand together, so a large group of them is not sent to one task.
-        seen: set[int] = set()
+        often, seen = sent.value, set()
         for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column(2)]
+            sigs = [signature(s) for s in sets]
+            new = []
+            for sig in sigs:
+                new.append(sig is not None and sig not in seen)
+                seen.add(sig)
             if len(seen) > 1_000_000:
                 seen.clear()
-            new = []
-            for h in batch.column(0).to_pylist():
-                new.append(h not in seen)
-                seen.add(h)
-            yield batch.filter(pa.array(new, pa.bool_()))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A few rows at a time: the sets of a whole batch of long texts take some hundred MB.
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                own = [shingles(t.as_py(), words) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "n", "set"])
-
-    texts = docs.select(F.xxhash64("text").alias("hash"), "text").mapInArrow(once, "hash long, text string").join(wanted, "hash")
-    one = texts.withColumn("k", F.row_number().over(W.partitionBy("hash").orderBy("hash"))).where("k = 1")
-    return one.select("sig", "text").mapInArrow(sets, "sig long, n long, set binary")
-
-
-def need(a, b, percent: int):
-    """The least overlap of sets of these sizes that makes a link: 100 * o >= percent * (a + b - o)."""
-    return -(-(a + b) * percent // (100 + percent))
-
-
-def _pairs_with(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> DataFrame:
-    left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa"))
-    right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb"))
-    return pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-
-
-def may_link(na, nb, aa, ab, ra, rb, percent: int):
-    """Whether the shingles that both have alone leave room for a link; a*: alone, r*: reach."""
-    rows = np.arange(len(rb)) if np.ndim(rb) else 0
-    own = aa[..., rb] if aa.ndim == 1 else aa[rows, rb]
-    other = ab[:, ra] if np.ndim(ra) == 0 else ab[np.arange(len(ra)), ra]
-    return own + other <= na + nb - 2 * need(na, nb, percent)
-
-
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that summed minima of their points and their lone shingles allow."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                xa, xb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(b.num_rows, -1) for k in (2, 3))
-                na, nb, ra, rb = (b.column(k).to_numpy() for k in (4, 5, 6, 7))
-                aa, ab = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int32).reshape(b.num_rows, -1) for k in (8, 9))
-                ok = (np.minimum(xa, xb).sum(1) >= need(na, nb, percent)) & may_link(na, nb, aa, ab, ra, rb, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy()[ok]) for k in (0, 1)], ["a", "b"])
-
-    side = lambda s: points.select(F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"x{s}"), F.col("reach").alias(f"r{s}"), F.col("alone").alias(f"l{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "xa", "xb", "na", "nb", "ra", "rb", "la", "lb").mapInArrow(work, "a long, b long")
-
-
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The settled pairs that are links by their whole sets."""
-    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    sets = settled(sets_of(docs, points.join(ends, "sig", "left_semi").select("sig", "hash"), words), ROWS)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for xa, xb in zip(b.column(2), b.column(3)):
-                sa, sb = (np.frombuffer(x.as_py(), np.uint64) for x in (xa, xb))
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                ok.append(both * 100 >= (len(sa) + len(sb) - both) * percent)
-            ok = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy()[ok]) for k in (0, 1)], ["a", "b"])
-
-    return _pairs_with(pairs, sets, "set", percent).select("a", "b", "xa", "xb").mapInArrow(work, "a long, b long")
+            first = [first_shingles(s, often, percent) if one else None for s, one in zip(sets, new)]
+            at = np.concatenate(([0], np.cumsum([0 if f is None else len(f) for f in first]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *(f for f in first if f is not None)]).view(np.int64)
+            first = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+            point = pa.array([counts(s).tobytes() if one else None for s, one in zip(sets, new)], pa.binary())
+            cols = [batch.column(0), batch.column(1), pa.array(sigs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), first, point]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "sig", "n", "first", "point"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(work, f"doc_id {kind}, hash long, sig long, n long, first array<long>, point binary")
+
+
+def in_buckets(sets: DataFrame) -> DataFrame:
+    """(h, low, high, own, sig, n, point): the different buckets of two or more sets; large ones in blocks, two by two."""
+    rows = sets.select("sig", F.explode("first").alias("h"))
+    # Many shingles have the same sets; one of them is enough.
+    kept = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sig")).alias("who")).where("members > 1")
+    kept = kept.groupBy("members", "who").agg(F.min("h").alias("h"))
+    blocks = F.ceil(F.col("members") / BUCKET).cast("int")
+    rows = rows.join(kept, "h").select("h", "sig", blocks.alias("blocks"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig")
+    return rows.join(sets.select("sig", "n", "point"), "sig").select("h", "low", "high", "own", "sig", "n", "point")
 
 
 class RTree:
@@ -298,9 +194,9 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
-        self.root = self._node(np.arange(len(sizes)), 0)
+        self.root = self._node(np.arange(len(sizes)))
 
-    def _node(self, ids: np.ndarray, depth: int):
+    def _node(self, ids: np.ndarray):
         box = self.points[ids].max(0), self.sizes[ids].min()
         if len(ids) <= LEAF:
             return (*box, ids, None)
@@ -308,11 +204,11 @@ class RTree:
         # Split at the median of the coordinate that spreads most.
         ids = ids[np.argsort(below[:, below.var(0).argmax()], kind="stable")]
         parts = np.array_split(ids, min(8, -(-len(ids) // LEAF)))
-        return (*box, None, [self._node(p, depth + 1) for p in parts])
+        return (*box, None, [self._node(p) for p in parts])
 
-    def pairs(self, queries: np.ndarray, points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(indexed id, queries that the bound allows with it)."""
-        stack = [(self.root, queries)]
+    def pairs(self, points: np.ndarray, sizes: np.ndarray, percent: int, skip=None) -> Iterator[tuple[int, np.ndarray]]:
+        """(indexed id, queries that the bound allows with it); skip(id, queries) leaves some out before they are compared."""
+        stack = [(self.root, np.arange(len(sizes)))]
         while stack:
             (top, least, ids, kids), q = stack.pop()
             q = q[np.minimum(points[q], top).sum(1) >= need(sizes[q], least, percent)]
@@ -322,93 +218,88 @@ class RTree:
                 stack += [(k, q) for k in kids]
                 continue
             for i in ids:
-                yield i, q[np.minimum(points[q], self.points[i]).sum(1) >= need(sizes[q], self.sizes[i], percent)]
+                own = q if skip is None else skip(i, q)
+                if len(own):
+                    yield i, own[np.minimum(points[own], self.points[i]).sum(1) >= need(sizes[own], self.sizes[i], percent)]
 
 
-def _bucket_pairs(sig, comp, own, size, point, reach, alone, percent) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components in a bucket and size band that the bound allows; own marks indexed sets."""
-    mine = np.flatnonzero(own)
-    if not len(mine):
-        return (np.zeros(0, np.int64),) * 2
-    tree = RTree(point[mine], size[mine])
-    a, b = [], []
-    for i, q in tree.pairs(np.arange(len(sig)), point, size, percent):
-        i = mine[i]
-        q = q[(comp[q] != comp[i]) & (~own[q] | (sig[q] > sig[i]))]
-        q = q[may_link(size[i], size[q], alone[i], alone[q], reach[i], reach[q], percent)] if len(q) else q
-        a.append(np.full(len(q), sig[i]))
-        b.append(sig[q])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+def connections(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect what the bound allows to link between left and right (indexes), one for a set at most.
 
+    A point is compared with those of as many or more groups, which are folded to its own.
+    """
+    label, out = np.arange(len(sigs)), []
+    groups = np.array([len(p) for p in points])
+
+    def skip(i: int, q: np.ndarray) -> np.ndarray:
+        return q[label[asked[q]] != label[indexed[i]]]
+
+    for index, query in ((left, right),) if left is right else ((left, right), (right, left)):
+        for g in np.unique(groups[index]):
+            indexed = index[groups[index] == g]
+            fits = (100 * sizes[query] >= percent * sizes[indexed].min()) & (percent * sizes[query] <= 100 * sizes[indexed].max())
+            asked = query[(groups[query] >= g) & fits]
+            if not len(asked) or (index is query and len(asked) == 1):
+                continue
+            tree = RTree(np.stack([points[i] for i in indexed]).astype(np.int32), sizes[indexed])
+            for i, q in tree.pairs(np.stack([folded(points[i], g) for i in asked]), sizes[asked], percent, skip):
+                for j in asked[q]:
+                    a, b = label[indexed[i]], label[j]
+                    if a != b:
+                        label[label == b] = a
+                        out.append((int(sigs[indexed[i]]), int(sigs[j])))
+    return out
 
-def tree_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's different components; buckets: h, sig, comp.
 
-    A bucket is split into bands of set sizes; a band is joined with itself and the next smaller one.
-    """
-    step = float(np.log(100 / percent))
-    rows = buckets.join(sets.select("sig", "n", "point", "reach", "alone"), "sig")
-    band = F.floor(F.log("n") / step + 1e-9)
-    # A size on the border of two bands may be counted to either, so the band below is joined up to two steps down.
-    rows = rows.select("h", "sig", "comp", "n", "point", "reach", "alone", F.explode(F.array(*[F.struct((band + k).alias("band"), F.lit(k == 0).alias("own")) for k in (0, 1, 2)])).alias("g")).select("h", "g.band", "g.own", "sig", "comp", "n", "point", "reach", "alone")
-    rows = rows.repartition("h", "band").sortWithinPartitions("h", "band")
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns after the first ``keys`` ones, of rows next to each other that agree in those."""
+    now, held = None, []
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            for row in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns)):
+                if row[:keys] != now:
+                    if held:
+                        yield now, list(zip(*held))
+                    now, held = row[:keys], []
+                held.append(row[keys:])
+    if held:
+        yield now, list(zip(*held))
+
+
+def connected(buckets: DataFrame, percent: int) -> DataFrame:
+    """Different (a, b) that connect the sets of each bucket as far as the bound allows links; buckets: ``in_buckets``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            t = t.combine_chunks()
-            h, band, own, sig, comp, n = (t.column(k).to_numpy() for k in range(6))
-            point = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint32).reshape(len(h), -1)
-            reach = t.column(7).to_numpy()
-            alone = np.frombuffer(b"".join(t.column(8).to_pylist()), np.int32).reshape(len(h), -1)
-            cut = np.flatnonzero((h[1:] != h[:-1]) | (band[1:] != band[:-1])) + 1
-            out = [_bucket_pairs(sig[i:j], comp[i:j], own[i:j].astype(bool), n[i:j], point[i:j], reach[i:j], alone[i:j], percent) for i, j in zip([0, *cut], [*cut, len(h)]) if j - i > 1]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b"])
+        out = []
+        for (_, low, high), (own, sig, n, point) in _groups(batches, 3):
+            if len(sig) > 1:
+                own, points = np.array(own), [np.frombuffer(p, np.uint8) for p in point]
+                left = np.flatnonzero(own == low)
+                right = left if low == high else np.flatnonzero(own == high)
+                out += connections(np.array(sig), left, right, np.array(n), points, percent)
+            if len(out) > 100_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not t.num_rows:
-                continue
-            h, band = t.column(0).to_numpy(), t.column(1).to_numpy()
-            new = np.flatnonzero((h[1:] != h[:-1]) | (band[1:] != band[:-1]))
-            at = int(new[-1]) + 1 if len(new) else 0  # the last group may go on
-            if at:
-                yield from found(t.slice(0, at))
-            held = t.slice(at)
-        if held is not None and held.num_rows:
-            yield from found(held)
-
-    return rows.mapInArrow(work, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, rows: DataFrame, last: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of all signatures that have a link to another one; rows: what ``measured`` gives for docs."""
-    of = W.partitionBy("h")
-    buckets = prefixes(docs, last, words, percent).repartition("h").withColumn("first", F.min("sig").over(of))
-    buckets = settled(buckets.withColumn("most", F.max("sig").over(of)).where("first <> most").select("h", "sig", "first").distinct())
-    # Of equal sets any one row will do; they are equal in all that is taken here.
-    one = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("hash").alias("hash"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("point", "reach", "early")])
-    points = settled(with_alone(one, buckets))
-    stars = buckets.where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    edges = settled(verified(settled(bounded(stars, points, percent), ROWS), points, docs, words, percent), ROWS)
-    known = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), settled).withColumnRenamed("id", "sig")
-    named = buckets.select("h", "sig").join(known, "sig", "left").select("h", "sig", F.coalesce("component", "sig").alias("comp"))
-    named = named.withColumn("least", F.min("comp").over(of)).withColumn("most", F.max("comp").over(of)).where("least <> most").select("h", "sig", "comp")
-    named = settled(named)
-    # Many shingles have the same bucket; one of them is enough.
-    same = named.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("s")).groupBy("n", "s").agg(F.min("h").alias("h"))
-    pairs = settled(tree_pairs(named.join(same.select("h"), "h", "left_semi"), points, percent), ROWS)
-    more = settled(verified(pairs, points, docs, words, percent), ROWS)
-    every = edges.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return components(every, settled)
+    rows = buckets.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    found = rows.mapInArrow(work, "a long, b long")
+    return found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many shingles each left set shares with each right one."""
     a, b = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(a, b)
+    if left is right:
+        both, n = np.unique(a, return_counts=True)
+        both = both[n > 1]
+    else:
+        both = np.intersect1d(a, b)
     out = np.zeros((len(left), len(right)))
     sides = []
     for x, each in ((a, left), (b, right)):
@@ -426,84 +317,115 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             parts.append(np.zeros((len(each), size), np.float32))
             parts[-1][row[i:j], at[i:j] - start] = 1
         out += parts[0] @ parts[1].T
+    if left is right:
+        np.fill_diagonal(out, [len(s) for s in left])
+    return out
+
+
+def reached(link: np.ndarray) -> np.ndarray:
+    """For each row and then each column of a matrix of links, the first of all these that is connected with it."""
+    n = link.shape[0]
+    out = np.full(n + link.shape[1], -1)
+    for start in range(len(out)):
+        if out[start] >= 0:
+            continue
+        out[start] = start
+        rows, cols = (np.array([start]), np.zeros(0, int)) if start < n else (np.zeros(0, int), np.array([start - n]))
+        while len(rows) or len(cols):
+            next_cols = np.flatnonzero(link[rows].any(0) & (out[n:] < 0)) if len(rows) else np.zeros(0, int)
+            next_rows = np.flatnonzero(link[:, cols].any(1) & (out[:n] < 0)) if len(cols) else np.zeros(0, int)
+            out[n + next_cols], out[next_rows] = start, start
+            rows, cols = next_rows, next_cols
     return out
 
 
-def link_counts(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, links): the rows with other, linked sets; members: sig, component, hash and rows (of this set)."""
-    blocks = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    sets = settled(sets_of(docs, members.select("sig", "hash"), words), ROWS)
-    dealt = members.select("sig", "component", "rows").join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    dealt = sets.join(dealt, "sig").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "rows", "set")
+def link_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(sig, links, other): rows with other, linked sets, and a set that is connected with it, for each block it is compared with.
+
+    members: (sig, component, n, rows, hash), rows being those of this set.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    blocks = members.groupBy("component").agg(blocks.alias("blocks"))
+    wanted = few(members.join(blocks, "component").select("hash", "sig", "component", "rows", "blocks"))
+    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, "hash")
+    texts = texts.groupBy("sig", "component", "rows", "blocks").agg(F.first("text").alias("text"))
+    dealt = texts.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "rows", "text")
     dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
 
-    def counted(held: list[tuple]) -> pa.RecordBatch:
-        _, low, high = held[0][0]
-        sides = [[x for x in held if x[1] == k] for k in ((low,) if low == high else (low, high))]
-        out = []
-        if all(sides):
-            left, right = sides[0], sides[-1]
-            na, nb = (np.array([len(x[4]) for x in side]) for side in (left, right))
-            o = overlaps([x[4] for x in left], [x[4] for x in right])
-            link = 100 * o >= percent * (na[:, None] + nb - o)
-            if low == high:
-                np.fill_diagonal(link, False)
-            out.append((left, link @ np.array([x[3] for x in right])))
-            if low != high:
-                out.append((right, np.array([x[3] for x in left]) @ link))
-        return pa.RecordBatch.from_arrays([pa.array([x[2] for side, _ in out for x in side], pa.int64()), pa.array([int(n) for _, each in out for n in each], pa.int64())], ["sig", "links"])
+    def compared(low: int, high: int, own: list, sig: list, rows: list, text: list) -> list[tuple[int, int, int]]:
+        own, sig, rows = np.array(own), np.array(sig), np.array(rows)
+        sets = [shingles(t, words) for t in text]
+        at = [np.flatnonzero(own == low)]
+        at.append(at[0] if low == high else np.flatnonzero(own == high))
+        if not len(at[0]) or not len(at[1]):
+            return []
+        left = [sets[i] for i in at[0]]
+        right = left if low == high else [sets[i] for i in at[1]]
+        n = np.array([len(s) for s in sets])
+        o = overlaps(left, right)
+        link = 100 * o >= percent * (n[at[0]][:, None] + n[at[1]] - o)
+        top = sig[np.concatenate(at)][reached(link)]
+        if low == high:
+            np.fill_diagonal(link, False)
+            return list(zip(sig[at[0]], link @ rows[at[0]], top))
+        return [*zip(sig[at[0]], link @ rows[at[1]], top), *zip(sig[at[1]], rows[at[0]] @ link, top[len(at[0]) :])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in (batch.slice(start, 200) for batch in batches for start in range(0, batch.num_rows, 200)):
-            for *group, own, sig, rows, data in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][0] != group:
-                    yield counted(held)
-                    held = []
-                held.append((group, own, sig, rows, np.frombuffer(data, np.uint64)))
-        if held:
-            yield counted(held)
+        for (_, low, high), cols in _groups(batches, 3):
+            found = np.array(compared(low, high, *cols), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], ["sig", "links", "other"])
 
-    return dealt.mapInArrow(work, "sig long, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(work, "sig long, links long, other long")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counted: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id, sig and, if counted, n_links (other rows that it links with) for every row."""
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, hash, sig, n), and of each different set (sig) its class, n_links and the least doc_id of the class."""
     docs = docs.select("doc_id", "text")
-    last = frequent(docs, words)
-    rows = settled(measured(docs, last, words, percent))
-    found = links(docs, rows, last, words, percent)
-    found = found.select(F.col("id").alias("sig"), "component")
-    cols = ["doc_id", "n_shingles", "sig"]
-    if counted:
-        found = settled(rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("hash").alias("hash")).join(found, "sig", "left"))
-        counts = link_counts(docs, found.where(F.col("component").isNotNull()), words, percent)
-        found = found.join(counts, "sig", "left").select("sig", "component", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-        cols.append("n_links")
-    named = rows.select("doc_id", "n_shingles", "sig").join(found, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
-    if counted:
-        named = named.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    named = settled(named.select(*cols, "class"), ROWS)
-    least = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *cols[2:], "class")
+    measure = settled(measured(docs, frequent(docs, words), words, percent), ROWS)
+    rows = settled(measure.select("doc_id", "hash", "sig", "n"))
+    sets = measure.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.max("point").alias("point"), F.first(F.when(F.size("first") > 0, F.col("first")), ignorenulls=True).alias("first"))
+    sets = settled(sets)
+    dropped(measure)
+    near = settled(connected(in_buckets(sets), percent), ROWS)
+    sets = sets.select("sig", "rows", "least", "hash", "n")
+    members = settled(sets.join(few(components(near, settled)), sets["sig"] == F.col("id")).drop("id"))
+    links = settled(link_rows(docs, members, words, percent), ROWS)
+    found = components(links.where("links > 0").select(F.col("sig").alias("src"), F.col("other").alias("dst")), settled)
+    several = links.groupBy("sig").agg(F.sum("links").alias("links"))
+    found = few(settled(several.join(found, several["sig"] == F.col("id"), "left").select("sig", "links", F.coalesce("component", "sig").alias("class"))))
+    named = settled(sets.join(found, "sig", "left").select("sig", "least", F.coalesce("class", "sig").alias("class"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    # Only classes of several sets have to look further for their least id.
+    least = few(settled(named.join(found.select("sig"), "sig", "left_semi").groupBy("class").agg(F.min("least").alias("lower"))))
+    named = named.join(least, "class", "left").select("sig", "class", "n_links", F.least("lower", "least").alias("component_id"))
+    return rows, settled(named)
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other rows that it links with) and class (null without words) of every row."""
+    rows, named = classes(docs, words, percent)
+    id_ = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    links = F.coalesce("n_links", F.lit(0).cast("long"))
+    return rows.join(few(named), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), links.alias("n_links"), "class")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of every component, of those with its least id the first by text, with the columns as they were; rows without words stay."""
-    cols = docs.columns
-    known = join(docs, words, percent, counted=False).select(F.col("doc_id").alias("_id"), F.col("sig").alias("_of"), F.col("component_id").alias("_component"), F.col("class").alias("_class")).distinct()
+    """One row of every component, of those with its least id the first by text; rows without words stay.
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = [signature(shingles(t.as_py(), words)) for t in batch.column(batch.schema.get_field_index("text"))]
-            yield batch.append_column("_sig", pa.array(sigs, pa.int64()))
-
-    rows = docs.mapInArrow(signed, StructType([*docs.schema.fields, StructField("_sig", LongType())]))
-    got = rows.join(known, rows["doc_id"].eqNullSafe(known["_id"]) & rows["_sig"].eqNullSafe(known["_of"]))
-    got = got.where(F.col("_sig").isNull() | F.col("doc_id").eqNullSafe(F.col("_component")))
-    # Rows of the least id, or of a component without ids: the first by text.
-    order = W.partitionBy("_class").orderBy(F.xxhash64("text"), "text")
-    worded = got.where(F.col("_sig").isNotNull()).withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    return worded.select(*cols).unionByName(got.where(F.col("_sig").isNull()).select(*cols))
+    Columns are as they were, whatever their names. Of rows that repeat id and text any one stays.
+    """
+    rows, named = classes(docs, words, percent)
+    worded = rows.join(few(named), "sig").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = worded.groupBy("class").agg(F.min(F.struct(F.col("hash"))).alias("at"))
+    of = worded.groupBy("class", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times"))
+    kept = of.join(first, "class").where(F.col("hash") == F.col("at.hash")).select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "times")
+    wordless = rows.where(F.col("sig").isNull()).select("hash").distinct().select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("id"), F.col("hash").alias("of"), F.lit(0).cast("long").alias("times"))
+    kept = settled(kept.unionByName(wordless))
+    cols = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.xxhash64("row.text").alias("of"))
+    got = whole.join(few(kept), "of").where((F.col("times") == 0) | F.col("row.doc_id").eqNullSafe(F.col("id")))
+    once = got.where("times < 2").select("row")
+    if not kept.where("times > 1").isEmpty():
+        again = got.where("times > 1").groupBy("of", "id").agg(F.first("row").alias("row")).select("row")
+        once = once.unionByName(again)
+    return once.select(*cols)

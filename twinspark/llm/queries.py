@@ -43,7 +43,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(read(spark, sf_dir, "documents")).drop("sig", "class")
+    return ngram_join.join(read(spark, sf_dir, "documents")).drop("class")
 
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -29,6 +30,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Keeps the first k of 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
+def lanes(data: bytes) -> np.ndarray:
+    """The 8 bytes from every byte on as a number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", data + bytes(16), strides=(1,))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of every word; 8 bytes at a time are mixed into it."""
+    blank = np.concatenate(([True], _BLANK[np.frombuffer(data, np.uint8)], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    long = np.flatnonzero(size > LONG)
+    out, lane = mixed(size.astype(np.uint64)), lanes(data)
+    at = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
+    for k in range(0, LONG, 8):
+        left = size[at] - k
+        out[at] = mixed(out[at] ^ (lane[start[at] + k] & _FIRST[np.minimum(left, 8)]))
+        at = at[left > 8]
+        if not len(at):
+            break
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]], int(size[i]))
+    return out
+
+
 class Ranges:
     """Hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
 
