@@ -219,13 +219,13 @@ def test_cut_texts(edge, empty):
     assert suffix_dedup.cut_texts(empty).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(8, 20))
 def test_blocks_decide_as_all_windows_do(texts, length):
-    """Rounds 1 to 3 in one process: first places of anchors, blocks and windows."""
-    gram, places = length // 2 + 1, []
-    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    blocks = [(k, *b) for k, d in enumerate(data) for b in zip(*suffix_dedup.blocks_of(d, length, gram))]
+    """Rounds 1 to 3 in one process: first places of named positions, blocks and windows."""
+    places = []
+    data = [t.encode() for t in texts]
+    blocks = [(k, *b) for k, d in enumerate(data) for b in zip(*suffix_dedup.blocks_of(d, length))]
     for k, d in enumerate(data):
         covered = sorted(i for kk, _, _, at, n in blocks if kk == k for i in range(at, at + n))
         assert covered == list(range(max(0, len(d) - length + 1)))
@@ -239,7 +239,7 @@ def test_blocks_decide_as_all_windows_do(texts, length):
         by_anchor.setdefault(a, []).append(x)
     seen = set()
     for k, at, n in sorted(x for xs in by_anchor.values() if len(xs) > 1 for x in xs):
-        starts, rank = suffix_dedup.halves_of(data[k], np.array([at]), np.array([n]), length)
+        starts, rank = suffix_dedup.windows_of(data[k], np.array([at]), np.array([n]), length)
         for i, r in zip(starts, rank):
             if r in seen:
                 places.append((k, int(i)))
@@ -255,15 +255,47 @@ def test_blocks_decide_as_all_windows_do(texts, length):
 
 def test_stretches_of_a_long_text(monkeypatch):
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 103, 5000).astype(np.uint8)
+    data = rng.integers(97, 103, 5000).astype(np.uint8).tobytes()
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1024)
     monkeypatch.setattr(suffix_dedup, "_AT", np.uint64(2047))
-    anchor, rank, at, n = suffix_dedup.blocks_of(data, 100, 55)
+    named, rank, at, n = suffix_dedup.blocks_of(data, 100)
     assert at[0] == 0 and (at[1:] == at[:-1] + n[:-1]).all() and at[-1] + n[-1] == 4901
 
 
-def test_equal_ranges_have_equal_hashes():
-    r = rolling.Ranges(np.frombuffer(b"abcXabcYabcabc", np.uint8))
-    h = r.all(3)
-    assert h[0] == h[4] == h[8] == h[11] and len({*map(int, h)}) == len(h) - 3
-    assert r.of(np.array([0, 8]), np.array([3, 11])).tolist() == [int(h[0])] * 2 or r.of(np.array([0]), np.array([3]))[0] == r.of(np.array([8]), np.array([11]))[0]
+@pytest.mark.parametrize("size", [4, 8, 16, 64])
+def test_ranks_name_content(size):
+    data = bytes(np.random.default_rng(2).integers(97, 99, 400, dtype=np.uint8)) * 2
+    lane = rolling.lanes(data)
+    at = np.arange(len(data) - size + 1)
+    names = {}
+    for i, r in zip(at, rolling.rank_at(lane, at, size).tolist()):
+        assert names.setdefault(data[i : i + size], r) == r
+    assert len(set(names.values())) == len(names)
+
+
+def test_suffix_dedup_of_odd_texts(spark):
+    """Thue-Morse words, runs of one letter, characters of many bytes, passages that overlap, one common line in varied places."""
+    line = "a line that many documents share and that alone has more than sixty-four bytes. "
+    rows = [(1, _morse(1024)), (2, _morse(1024, True)), (3, _morse(8192)), (4, "a" * 700), (5, "a" * 99), (6, "b" * 100 + "a" * 100), (7, "日本語のテキスト🙂é" * 30), (8, "x" + "日本語のテキスト🙂é" * 9)]
+    rows += [(10 + k, " ".join(f"v{k}_{i}" for i in range(20)) + line + " ".join(f"u{k}_{i}" for i in range(20 + k % 3))) for k in range(40)]
+    rows += [(60 + k, f"{k}" * 3 + line * 3 + f"{k}" * 5) for k in range(10)]
+    want = [(i, n, gone, spans, sha(kept)) for (i, _), (n, gone, spans, kept) in zip(rows, repeats([t for _, t in rows]))]
+    assert sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())) == want
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 12 << 20, dtype=np.uint8).tobytes().decode()
+    rows = [(1, long), (2, "short " + long[9 << 20 : (9 << 20) + 5000] + " end")]
+    got = {r.doc_id: r for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, 5000, 1) and got[1].n_bytes == 12 << 20
+
+
+@pytest.mark.parametrize("change", [suffix_dedup.cut_texts])
+def test_cut_texts_keeps_columns_of_any_name(spark, change):
+    names = [*CLASHING, "key", "kept", "runs"]
+    rows = [(k, "a passage of words that is repeated " * 4, *range(len(names))) for k in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = change(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in got.collect()) == sorted(r[2:] for r in rows)

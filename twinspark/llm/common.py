@@ -97,7 +97,7 @@ def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
     null nor repeated, they are the keys. Else equal rows are one document, and
     documents are numbered by id (null first), then text.
     """
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.struct(*carry or ("doc_id",)).alias("row"))
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry or ("doc_id",)]).alias("row"))
     odd = rows.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
     if odd.isEmpty():
         keys = rows.select(F.col("doc_id").alias("key"), "doc_id", "text", "row")
@@ -131,7 +131,12 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all tables that ``settled`` wrote; results that were built on them must be stored by then."""
-    while _WRITTEN:
-        _delete(spark, _WRITTEN.popitem()[1][1])
+def written() -> set[int]:
+    """What ``settled`` has written so far, for ``release``."""
+    return set(_WRITTEN)
+
+
+def release(spark: SparkSession, before: set[int] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Deletes the tables that ``settled`` has written since ``before``, but for ``keep``; nothing built on them may still be unread."""
+    for k in [k for k in _WRITTEN if k not in before and k != id(keep)]:
+        _delete(spark, _WRITTEN.pop(k)[1])

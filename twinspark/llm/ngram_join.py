@@ -385,10 +385,11 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     measure = settled(measured(docs, frequent(docs, words), words, percent), ROWS)
     rows = settled(measure.select("doc_id", "hash", "sig", "n"))
     sets = measure.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.max("point").alias("point"), F.first(F.when(F.size("first") > 0, F.col("first")), ignorenulls=True).alias("first"))
-    sets = settled(sets)
+    points = settled(sets)
     dropped(measure)
-    near = settled(connected(in_buckets(sets), percent), ROWS)
-    sets = sets.select("sig", "rows", "least", "hash", "n")
+    near = settled(connected(in_buckets(points), percent), ROWS)
+    sets = settled(points.select("sig", "rows", "least", "hash", "n"))
+    dropped(points)
     members = settled(sets.join(few(components(near, settled)), sets["sig"] == F.col("id")).drop("id"))
     links = settled(link_rows(docs, members, words, percent), ROWS)
     found = components(links.where("links > 0").select(F.col("sig").alias("src"), F.col("other").alias("dst")), settled)

@@ -1,26 +1,10 @@
-"""Hashes of all substrings of a fixed length, and of any range, with numpy."""
+"""Hashes of words, and names of byte strings at any place, with numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
 
-#: An odd multiplier and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_CODE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(out)
-    return have[:n]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -62,23 +46,11 @@ def word_hashes(data: bytes) -> np.ndarray:
     return out
 
 
-class Ranges:
-    """Hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODE[data] * powers(BASE, n), out=self.total[1:])
-        self.back = powers(INVERSE, n + 1)
-
-    def all(self, size: int) -> np.ndarray:
-        """Of data[i:i+size] for every i."""
-        n = len(self.total) - size
-        return mixed((self.total[size:] - self.total[:n]) * self.back[:n])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of data[start:end]; the length takes part."""
-        return mixed((self.total[ends] - self.total[starts]) * self.back[starts] + ends.astype(np.uint64) - starts.astype(np.uint64))
+def rank_at(lane: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The names of the ``length`` bytes (a power of two) from each place on: up to 8 bytes these themselves, else of the pair of halves."""
+    if length <= 8:
+        return lane[at] & _FIRST[length]
+    return mixed(mixed(rank_at(lane, at, length // 2) + np.uint64(length)) ^ rank_at(lane, at + length // 2, length // 2))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -1,31 +1,40 @@
 """Suffix-array dedup: bytes that stand in a repeated string of ``LENGTH`` bytes go, but for its first place.
 
-Prefix doubling over positions, with ranks that are 64-bit hashes of content
-(equal content has the same rank wherever it stands, so no rank has to be sent
-back), in three rounds of growing length. Each round sorts (rank, place) in
-Spark, keeps the first place of every rank, and passes on only what is not yet
-decided, so that later rounds see few positions:
-
-1. Anchors. Every window of LENGTH bytes names one gram of GRAM bytes in it: the
-   place of its seed (the SEED bytes with the least hash), modulo the number of
-   grams in a window. Neighbouring windows mostly name the same gram, and equal
-   windows name equal ones. A window can only repeat where its anchor repeats,
-   so windows with an unrepeated anchor are done: they are unique.
-2. Blocks. The windows next to each other that share an anchor form a block. The
-   pair of ranks (anchor, block's content) is sorted: a block that also starts
-   earlier repeats in all its windows. The first block of each content goes on
-   if its anchor also stands in other blocks, as part of its windows may repeat.
-3. Windows of these blocks: the pair of ranks of their first and second halves,
-   at an offset of LENGTH / 2, is sorted; past that offset strings are LENGTH
-   long and all but the first place of each pair repeat.
-
-Places that already repeat within a batch are marked there and only pass by, so
-no hot passage or group of copies meets in one task. Strings are judged on the
-input. Two different strings get one rank with a chance of 2**-64 a pair.
+Prefix doubling over positions. The rank of a position at length h names its next
+h bytes: up to 8 bytes it is these bytes themselves, and at 2h it is the name of
+the pair (rank at i, rank at i + h). Names come from the pair's content by mixing,
+so equal content has the same rank on every executor, and no rank has to be sent
+back before the next offset. Offsets grow from 8 to half of GRAM, the largest power
+of two under LENGTH; the last one reaches LENGTH. Offsets under GRAM / 2 need no
+exchange, as a text has all bytes that take part. From there on Spark sorts rank
+pairs, and positions whose rank is unique drop out:
+
+1. GRAM bytes. A string of LENGTH bytes can repeat only where the ranks at GRAM
+   within it repeat. One position for each window is enough: the place of its seed
+   (the 8 bytes with the least hash), modulo the number of grams in a window.
+   Neighbouring windows mostly name the same position, and equal windows name
+   equal ones. Windows whose position has a rank that stands once are unique.
+2. Blocks. The windows next to each other that name one position form a block of
+   at most LENGTH + LENGTH - GRAM bytes. Pairs (rank at GRAM, rank of the block)
+   are sorted: a block that also starts earlier repeats in all its windows. The
+   first block of each content goes on if its position's rank also stands in other
+   blocks, as part of its windows may repeat.
+3. Pairs (rank at i, rank at i + LENGTH - GRAM) of all windows i of these blocks
+   are sorted: strings are LENGTH long then, and all but the first place of each
+   pair repeat.
+
+Sorting pairs at single bytes for all positions would move some 40 times the input
+(a row of 24 bytes for each byte); the README has figures. Places that already
+repeat within a batch are marked there and only pass by, and what all blocks of a
+frequent position need is aggregated and joined, so no hot passage, line or group
+of copies meets in one task. Strings are judged on the input. Two different strings
+get one rank with a chance of about 2**-64 a pair.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing;
 documents follow each other by id, null first, then by text; rows that repeat
-both are one document and get its result; an empty table gives an empty result.
+both are one document and get its result; ties (equal passages) are decided by
+that order, then by the place in the text; texts of any length are taken whole;
+other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,38 +48,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import keyed, settled
-from twinspark.llm.rolling import Ranges, mixed, sliding_min
+from twinspark.llm.common import dropped, few, keyed, settled
+from twinspark.llm.rolling import lanes, mixed, rank_at, sliding_min
 
 LENGTH = 100
-GRAM = 55
-SEED = 9
+#: Bytes of a seed at most.
+SEED = 8
 #: Window starts of a very long text that are worked on at once.
-STRETCH = 1 << 23
+STRETCH = 1 << 22
 _AT = np.uint64(STRETCH * 2 - 1)
 
 
-def blocks_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """anchor rank, content rank, first window and number of windows of all blocks of a text."""
-    out = []
+def gram_of(length: int) -> int:
+    """The largest power of two under the length."""
+    return 1 << ((length - 1).bit_length() - 1)
+
+
+def blocks_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """rank of the position, rank of the content, first window and number of windows of all blocks of a text."""
+    out, gram = [], gram_of(length)
+    seed = min(SEED, gram)
     for base in range(0, max(0, len(data) - length + 1), STRETCH):
         part = data[base : base + STRETCH + length - 1]
-        ranges = Ranges(part)
-        seeds = ranges.all(min(SEED, gram))
-        least = sliding_min((seeds & ~_AT) | np.arange(len(seeds), dtype=np.uint64), length - min(SEED, gram) + 1)
+        lane = lanes(part)
+        seeds = mixed(rank_at(lane, np.arange(len(part) - seed + 1), seed))
+        least = sliding_min((seeds & ~_AT) | np.arange(len(seeds), dtype=np.uint64), length - seed + 1)
         window = np.arange(len(least))
-        anchor = window + ((least & _AT).astype(np.int64) - window) % (length - gram + 1)
-        cut = np.flatnonzero(np.diff(anchor)) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(anchor)]))
-        out.append((ranges.of(anchor[first], anchor[first] + gram), ranges.of(first, last + length - 1), first + base, last - first))
+        named = window + ((least & _AT).astype(np.int64) - window) % (length - gram + 1)
+        cut = np.flatnonzero(np.diff(named)) + 1
+        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(named)]))
+        content, end = (last - first).astype(np.uint64), last + length - 1 - gram
+        for k in range(0, 2 * length - gram, gram):
+            content = mixed(content ^ rank_at(lane, np.minimum(first + k, end), gram))
+        out.append((mixed(rank_at(lane, named[first], gram)), content, first + base, last - first))
     return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
 
 
-def halves_of(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts in the given runs, and the rank of the pair of ranks of their halves."""
+def windows_of(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts in the given runs, and the rank of the pair of ranks at each and at the last offset from it."""
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    ranges, middle = Ranges(data), length // 2
-    return at, mixed(ranges.of(at, at + middle) * np.uint64(0x9E3779B97F4A7C15) + ranges.of(at + middle, at + length))
+    lane, gram = lanes(data), gram_of(length)
+    return at, mixed(mixed(rank_at(lane, at, gram)) ^ rank_at(lane, at + length - gram, gram))
 
 
 def later_places(rank: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -96,9 +114,9 @@ def runs(key: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray
 PLACES = "seen boolean, anchor int, rank long, key long, at int, count int"
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
     for x in batch.column(column):
-        yield np.frombuffer(x.as_py().encode(), np.uint8)
+        yield x.as_py().encode()
 
 
 def _table(seen: bool, anchor, rank, key, at, count) -> pa.RecordBatch:
@@ -134,21 +152,25 @@ def _gathered(batches: Iterator[pa.RecordBatch], parts) -> Iterator[pa.RecordBat
         yield from _places(*map(np.concatenate, zip(*held)))
 
 
-def undecided(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def undecided(docs: DataFrame, length: int) -> DataFrame:
     """Rounds 1 and 2: (key, at, count, open) of repeated runs of windows, and of open ones for round 3."""
 
     def parts(batch: pa.RecordBatch):
         for key, data in zip(batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)):
-            anchor, rank, at, count = blocks_of(data, length, gram)
-            yield len(data), (anchor >> np.uint64(32), rank, np.full(len(at), key, np.int64), at, count)
-
-    places = docs.select("key", "text").mapInArrow(lambda b: _gathered(b, parts), PLACES).repartition("seen", "anchor")
-    first = F.row_number().over(W.partitionBy("seen", "anchor", "rank").orderBy("key", "at")) == 1
-    anchors = W.partitionBy("seen", "anchor")
-    places = places.withColumn("first", first)
-    places = places.withColumn("more", F.min("rank").over(anchors) != F.max("rank").over(anchors))
-    left = places.where(F.col("seen") | ~F.col("first") | F.col("more"))
-    return left.select("key", "at", "count", (~F.col("seen") & F.col("first")).alias("open"))
+            named, rank, at, count = blocks_of(data, length)
+            yield len(data), (named >> np.uint64(32), rank, np.full(len(at), key, np.int64), at, count)
+
+    places = settled(docs.select("key", "text").mapInArrow(lambda b: _gathered(b, parts), PLACES))
+    own = places.where(~F.col("seen"))
+    often = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    left = settled(own.join(few(settled(often)), "anchor"))
+    others = left.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("anchor", F.lit(True).alias("more"))
+    first = F.row_number().over(W.partitionBy("anchor", "rank").orderBy("key", "at")) == 1
+    left = left.select("anchor", "key", "at", "count", first.alias("first")).join(few(others), "anchor", "left")
+    left = left.where(~F.col("first") | F.col("more")).select("key", "at", "count", F.col("first").alias("open"))
+    found = settled(left.unionByName(places.where("seen").select("key", "at", "count", F.lit(False).alias("open"))))
+    dropped(places)
+    return found
 
 
 def repeated_windows(cases: DataFrame, length: int) -> DataFrame:
@@ -158,7 +180,7 @@ def repeated_windows(cases: DataFrame, length: int) -> DataFrame:
         for key, data, runs_ in zip(batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1), batch.column(2)):
             open_ = [(r["at"], r["count"]) for r in runs_.as_py() if r["open"]]
             if open_:
-                at, rank = halves_of(data, *np.array(open_, np.int64).T, length)
+                at, rank = windows_of(data, *np.array(open_, np.int64).T, length)
                 yield len(data), (rank >> np.uint64(32), rank, np.full(len(at), key, np.int64), at, np.ones(len(at), np.int64))
 
     places = cases.select("key", "text", "runs").mapInArrow(lambda b: _gathered(b, parts), PLACES)
@@ -167,20 +189,21 @@ def repeated_windows(cases: DataFrame, length: int) -> DataFrame:
     return places.withColumn("first", first).where(F.col("seen") | ~F.col("first")).select("key", "at", "count")
 
 
-def removed(data: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+def removed(size: int, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
     """Which bytes stand in the windows of the runs."""
-    edge = np.zeros(len(data) + 1, np.int64)
+    edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + count + length - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cases(docs: DataFrame, length: int, gram: int, *carry: str) -> tuple[DataFrame, DataFrame]:
+def _cases(docs: DataFrame, length: int, *carry: str) -> tuple[DataFrame, DataFrame]:
     """All rows (key, doc_id, text, row), and (key, text, runs, more) of texts with repeated windows."""
     one, rows = keyed(docs, *carry)
-    found = settled(undecided(one, length, gram))
+    found = undecided(one, length)
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("at", "count", "open")).alias("runs"))
     cases = settled(one.join(grouped, "key"))
+    dropped(found)
     more = settled(repeated_windows(cases, length)).groupBy("key").agg(F.collect_list(F.struct("at", "count")).alias("more"))
     return rows, cases.join(more, "key", "left")
 
@@ -191,9 +214,9 @@ def _kept(length: int, digest: bool):
             keys, n_removed, n_spans, kept, spans = [], [], [], [], []
             for key, data, old, new in zip(batch.column(0), _texts(batch, 1), batch.column(2), batch.column(3)):
                 where = [(r["at"], r["count"]) for r in old.as_py() if not r["open"]] + [(r["at"], r["count"]) for r in new.as_py() or []]
-                gone = removed(data, *np.array(where, np.int64).reshape(-1, 2).T, length)
+                gone = removed(len(data), *np.array(where, np.int64).reshape(-1, 2).T, length)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
-                rest = data[~gone].tobytes()
+                rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 keys.append(key.as_py())
                 n_removed.append(int(gone.sum()))
                 n_spans.append(len(edges))
@@ -206,31 +229,31 @@ def _kept(length: int, digest: bool):
     return work
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (bytes), spans (removed [start, end) pairs) and counts for every row."""
-    rows, cases = _cases(docs, length, gram)
+    rows, cases = _cases(docs, length)
     cut = cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, False), "key long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
     zero = F.lit(0).cast("long")
     every = rows.join(cut, "key", "left")
     return every.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"))
 
 
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """As ``dedup``, with a hash in place of the kept bytes, so that no whole text is sent to the last join."""
-    rows, cases = _cases(docs, length, gram)
+    rows, cases = _cases(docs, length)
     cut = settled(cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, True), "key long, n_removed long, n_spans long, kept_sha256 string"))
     base = rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return base.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows with what is kept as their ``text`` and its size as ``n_chars``, other columns as they were.
 
     Bytes of characters that are cut in two go as well.
     """
     cols = docs.columns
-    rows, cases = _cases(docs, length, gram, *cols)
+    rows, cases = _cases(docs, length, *cols)
     cut = cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, False), "key long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,4 +263,4 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     cut = cut.select("key", "kept").mapInArrow(decoded, "key long, kept string")
     text = F.coalesce("kept", "row.text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.join(cut, "key", "left").select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in cols])
+    return rows.join(cut, "key", "left").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in cols])
