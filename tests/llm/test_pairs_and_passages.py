@@ -1,6 +1,7 @@
 """The n-gram join and suffix dedup."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -225,7 +226,7 @@ def test_blocks_decide_as_all_windows_do(texts, length):
     """Rounds 1 to 3 in one process: first places of named positions, blocks and windows."""
     places = []
     data = [t.encode() for t in texts]
-    blocks = [(k, *b) for k, d in enumerate(data) for b in zip(*suffix_dedup.blocks_of(d, length))]
+    blocks = list(zip(*suffix_dedup.blocks_of(data, length)))
     for k, d in enumerate(data):
         covered = sorted(i for kk, _, _, at, n in blocks if kk == k for i in range(at, at + n))
         assert covered == list(range(max(0, len(d) - length + 1)))
@@ -255,11 +256,15 @@ def test_blocks_decide_as_all_windows_do(texts, length):
 
 def test_stretches_of_a_long_text(monkeypatch):
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 103, 5000).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 103, n).astype(np.uint8).tobytes().decode() for n in (5000, 300, 99, 0, 800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["key", "text"])
     monkeypatch.setattr(suffix_dedup, "STRETCH", 1024)
-    monkeypatch.setattr(suffix_dedup, "_AT", np.uint64(2047))
-    named, rank, at, n = suffix_dedup.blocks_of(data, 100)
-    assert at[0] == 0 and (at[1:] == at[:-1] + n[:-1]).all() and at[-1] + n[-1] == 4901
+    monkeypatch.setattr(suffix_dedup, "_AT", np.uint64(4095))
+    windows = []
+    for held in suffix_dedup._stretches(iter([batch]), 100):
+        part, _, _, at, n = suffix_dedup.blocks_of([x[2] for x in held], 100)
+        windows += [(held[p][0], held[p][1] + i) for p, a, c in zip(part, at, n) for i in range(a, a + c)]
+    assert sorted(windows) == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 99)]
 
 
 @pytest.mark.parametrize("size", [4, 8, 16, 64])

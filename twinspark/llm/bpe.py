@@ -31,10 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from twinspark.llm.common import tidy
+
 #: Pieces of the byte-level kind (a fixed value of the file format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+#: Pairs of tokens whose compatibility a worker remembers.
+FITS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,7 +144,7 @@ class Vocabulary:
                 key = last[start - 1] << 32 | token
                 ok = fits.get(key)
                 if ok is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > FITS:
                         fits.clear()
                     ok = fits[key] = self.compatible(last[start - 1], token)
                 if ok:
@@ -238,4 +242,4 @@ def encode(docs: DataFrame, tokenizer: str, columns: tuple[str, ...] = ("n_token
                     col.append(COLUMNS[name][2](ids, back))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, COLUMNS[n][1]) for c, n in zip(cols, columns))], ["doc_id", *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {doc_id}, " + ", ".join(f"{n} {COLUMNS[n][0]}" for n in columns))
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), f"doc_id {doc_id}, " + ", ".join(f"{n} {COLUMNS[n][0]}" for n in columns))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, few, settled
+from twinspark.llm.common import dropped, few, settled, tidy
 from twinspark.llm.rolling import mixed, word_hashes
 from twinspark.operators.graph import components
 
@@ -58,7 +58,7 @@ LISTED = 1 << 20
 LEAF = 16
 #: Sets of a bucket that are put into one tree; larger buckets are dealt to blocks.
 BUCKET = 2048
-GATHER = 24 << 20
+GATHER = 16 << 20
 #: Texts or points that go to Python at a time.
 ROWS = 500
 #: Different sets of a component that are compared at once with as many others, and their shingles.
@@ -136,7 +136,7 @@ def frequent(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
 
     least = max(3, docs.count() // FREQUENT)
-    got = docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = docs.select("text").mapInArrow(tidy(work), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = got.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     return np.sort(got["h"].to_numpy().view(np.uint64))
 
@@ -173,7 +173,7 @@ def measured(docs: DataFrame, often: np.ndarray, words: int = WORDS, percent: in
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "hash", "sig", "n", "first", "point"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(work, f"doc_id {kind}, hash long, sig long, n long, first array<long>, point binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(tidy(work), f"doc_id {kind}, hash long, sig long, n long, first array<long>, point binary")
 
 
 def in_buckets(sets: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def connected(buckets: DataFrame, percent: int) -> DataFrame:
         yield _edges(out)
 
     rows = buckets.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
-    found = rows.mapInArrow(work, "a long, b long")
+    found = rows.mapInArrow(tidy(work), "a long, b long")
     return found.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
@@ -376,7 +376,7 @@ def link_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
             found = np.array(compared(low, high, *cols), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], ["sig", "links", "other"])
 
-    return dealt.mapInArrow(work, "sig long, links long, other long")
+    return dealt.mapInArrow(tidy(work), "sig long, links long, other long")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, few, keyed, settled
+from twinspark.llm.common import dropped, few, keyed, settled, tidy
 from twinspark.llm.rolling import lanes, mixed, rank_at, sliding_min
 
 LENGTH = 100
@@ -56,7 +56,7 @@ LENGTH = 100
 SEED = 8
 #: Window starts of a very long text that are worked on at once.
 STRETCH = 1 << 22
-_AT = np.uint64(STRETCH * 2 - 1)
+_AT = np.uint64(STRETCH * 4 - 1)
 
 
 def gram_of(length: int) -> int:
@@ -64,24 +64,26 @@ def gram_of(length: int) -> int:
     return 1 << ((length - 1).bit_length() - 1)
 
 
-def blocks_of(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """rank of the position, rank of the content, first window and number of windows of all blocks of a text."""
-    out, gram = [], gram_of(length)
-    seed = min(SEED, gram)
-    for base in range(0, max(0, len(data) - length + 1), STRETCH):
-        part = data[base : base + STRETCH + length - 1]
-        lane = lanes(part)
-        seeds = mixed(rank_at(lane, np.arange(len(part) - seed + 1), seed))
-        least = sliding_min((seeds & ~_AT) | np.arange(len(seeds), dtype=np.uint64), length - seed + 1)
-        window = np.arange(len(least))
-        named = window + ((least & _AT).astype(np.int64) - window) % (length - gram + 1)
-        cut = np.flatnonzero(np.diff(named)) + 1
-        first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(named)]))
-        content, end = (last - first).astype(np.uint64), last + length - 1 - gram
-        for k in range(0, 2 * length - gram, gram):
-            content = mixed(content ^ rank_at(lane, np.minimum(first + k, end), gram))
-        out.append((mixed(rank_at(lane, named[first], gram)), content, first + base, last - first))
-    return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+def blocks_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Part, rank of the position, rank of the content, first window and number of windows of all blocks of texts."""
+    gram, sizes = gram_of(length), np.array([len(p) for p in parts], np.int64)
+    seed, ends = min(SEED, gram), np.cumsum(sizes)
+    lane, n = lanes(b"".join(parts)), max(0, int(ends[-1]) - length + 1)
+    seeds = mixed(rank_at(lane, slice(n + length - seed), seed))
+    least = sliding_min((seeds & ~_AT) | np.arange(len(seeds), dtype=np.uint64), length - seed + 1)[:n] if n else seeds[:0]
+    window, part = np.arange(n), np.repeat(np.arange(len(parts)), sizes)[:n]
+    named = window + ((least & _AT).astype(np.int64) - window) % (length - gram + 1)
+    inside = window + length <= ends[part]
+    window, named, part = window[inside], named[inside], part[inside]
+    new = np.ones(len(window), bool)
+    new[1:] = (np.diff(named) != 0) | (np.diff(part) != 0)
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(window)))
+    first, named, part = window[start], named[start], part[start]
+    content, last = count.astype(np.uint64), first + count - 1 + length - gram
+    for k in range(0, 2 * length - gram, gram):
+        content = mixed(content ^ rank_at(lane, np.minimum(first + k, last), gram))
+    return part, mixed(rank_at(lane, named, gram)), content, first - (ends - sizes)[part], count
 
 
 def windows_of(data: bytes, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +116,13 @@ def runs(key: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray
 PLACES = "seen boolean, anchor int, rank long, key long, at int, count int"
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    for x in batch.column(column):
-        yield x.as_py().encode()
+def _runs(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """at, count and, where it is there, open of every row's runs."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    edges, values = column.offsets.to_numpy(), column.values
+    fields = [values.field(k).to_numpy(zero_copy_only=False) for k in range(values.type.num_fields)]
+    for i, j in zip(edges[:-1], edges[1:]):
+        yield tuple(f[i:j].astype(bool if f.dtype == object or f.dtype == bool else np.int64) for f in fields)
 
 
 def _table(seen: bool, anchor, rank, key, at, count) -> pa.RecordBatch:
@@ -134,33 +140,50 @@ def _places(anchor, rank, key, at, count) -> Iterator[pa.RecordBatch]:
     yield _table(True, mixed(k.view(np.uint64)) >> np.uint64(32), np.zeros(len(k), np.uint64), k, a, c)
 
 
-#: Rows of Arrow batches are joined up to so many bytes of text.
-GATHER = 24 << 20
+#: Places of about so many bytes of texts are looked at together, or of so many windows.
+GATHER, WINDOWS = 24 << 20, 1 << 20
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], parts) -> Iterator[pa.RecordBatch]:
-    """Places of texts of about GATHER bytes at a time; parts(batch) gives (bytes, arrays) of each row."""
+def _gathered(parts: Iterator[tuple[float, tuple]]) -> Iterator[pa.RecordBatch]:
+    """Places of parts whose shares sum up to 1 or more; parts: (share, arrays)."""
+    held, size = [], 0.0
+    for share, arrays in parts:
+        held.append(arrays)
+        size += share
+        if size >= 1:
+            yield from _places(*map(np.concatenate, zip(*held)))
+            held, size = [], 0.0
+    if held:
+        yield from _places(*map(np.concatenate, zip(*held)))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(key, base, bytes) of whole texts, or of stretches of very long ones, up to about STRETCH bytes at a time."""
     held, size = [], 0
     for batch in batches:
-        for n, arrays in parts(batch):
-            held.append(arrays)
-            size += n
-            if size >= GATHER:
-                yield from _places(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = text.as_py().encode()
+            for base in range(0, max(0, len(data) - length + 1), STRETCH):
+                part = data[base : base + STRETCH + length - 1]
+                if held and size + len(part) > STRETCH:
+                    yield held
+                    held, size = [], 0
+                held.append((key, base, part))
+                size += len(part)
     if held:
-        yield from _places(*map(np.concatenate, zip(*held)))
+        yield held
 
 
 def undecided(docs: DataFrame, length: int) -> DataFrame:
     """Rounds 1 and 2: (key, at, count, open) of repeated runs of windows, and of open ones for round 3."""
 
-    def parts(batch: pa.RecordBatch):
-        for key, data in zip(batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1)):
-            named, rank, at, count = blocks_of(data, length)
-            yield len(data), (named >> np.uint64(32), rank, np.full(len(at), key, np.int64), at, count)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[float, tuple]]:
+        for held in _stretches(batches, length):
+            keys, bases = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+            part, named, rank, at, count = blocks_of([x[2] for x in held], length)
+            yield sum(len(x[2]) for x in held) / GATHER, (named >> np.uint64(32), rank, keys[part], at + bases[part], count)
 
-    places = settled(docs.select("key", "text").mapInArrow(lambda b: _gathered(b, parts), PLACES))
+    places = settled(docs.select("key", "text").mapInArrow(tidy(lambda b: _gathered(parts(b))), PLACES))
     own = places.where(~F.col("seen"))
     often = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     left = settled(own.join(few(settled(often)), "anchor"))
@@ -176,14 +199,17 @@ def undecided(docs: DataFrame, length: int) -> DataFrame:
 def repeated_windows(cases: DataFrame, length: int) -> DataFrame:
     """Round 3: (key, at, count) of the repeated windows of open runs."""
 
-    def parts(batch: pa.RecordBatch):
-        for key, data, runs_ in zip(batch.column(0).to_numpy(zero_copy_only=False), _texts(batch, 1), batch.column(2)):
-            open_ = [(r["at"], r["count"]) for r in runs_.as_py() if r["open"]]
-            if open_:
-                at, rank = windows_of(data, *np.array(open_, np.int64).T, length)
-                yield len(data), (rank >> np.uint64(32), rank, np.full(len(at), key, np.int64), at, np.ones(len(at), np.int64))
-
-    places = cases.select("key", "text", "runs").mapInArrow(lambda b: _gathered(b, parts), PLACES)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[float, tuple]]:
+        for batch in batches:
+            for key, text, (at, count, open_) in zip(batch.column(0).to_pylist(), batch.column(1), _runs(batch.column(2))):
+                if not open_.any():
+                    continue
+                data, at, count = text.as_py().encode(), at[open_], count[open_]
+                for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(count) // WINDOWS)) + 1):
+                    starts, rank = windows_of(data, at[some], count[some], length)
+                    yield len(starts) / WINDOWS, (rank >> np.uint64(32), rank, np.full(len(starts), key, np.int64), starts, np.ones(len(starts), np.int64))
+
+    places = cases.select("key", "text", "runs").mapInArrow(tidy(lambda b: _gathered(parts(b))), PLACES)
     places = places.select("seen", "rank", "key", "at", "count", F.when(F.col("seen"), F.col("key")).otherwise(F.lit(0).cast("long")).alias("salt"))
     first = F.row_number().over(W.partitionBy("rank", "salt", "seen").orderBy("key", "at")) == 1
     return places.withColumn("first", first).where(F.col("seen") | ~F.col("first")).select("key", "at", "count")
@@ -212,9 +238,9 @@ def _kept(length: int, digest: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, n_removed, n_spans, kept, spans = [], [], [], [], []
-            for key, data, old, new in zip(batch.column(0), _texts(batch, 1), batch.column(2), batch.column(3)):
-                where = [(r["at"], r["count"]) for r in old.as_py() if not r["open"]] + [(r["at"], r["count"]) for r in new.as_py() or []]
-                gone = removed(len(data), *np.array(where, np.int64).reshape(-1, 2).T, length)
+            for key, text, (at, count, open_), (more_at, more_count) in zip(batch.column(0), batch.column(1), _runs(batch.column(2)), _runs(batch.column(3))):
+                data = text.as_py().encode()
+                gone = removed(len(data), np.concatenate((at[~open_], more_at)), np.concatenate((count[~open_], more_count)), length)
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 keys.append(key.as_py())
@@ -226,7 +252,7 @@ def _kept(length: int, digest: bool):
             last = [pa.array(kept, pa.string())] if digest else [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(cols + last, ["key", "n_removed", "n_spans", *(["kept_sha256"] if digest else ["kept", "spans"])])
 
-    return work
+    return tidy(work)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
