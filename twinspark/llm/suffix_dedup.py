@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, few, keyed, settled, tidy
+from twinspark.llm.common import dropped, keyed, settled, tidy
 from twinspark.llm.rolling import lanes, mixed, rank_at, sliding_min
 
 LENGTH = 100
@@ -186,10 +186,10 @@ def undecided(docs: DataFrame, length: int) -> DataFrame:
     places = settled(docs.select("key", "text").mapInArrow(tidy(lambda b: _gathered(parts(b))), PLACES))
     own = places.where(~F.col("seen"))
     often = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    left = settled(own.join(few(settled(often)), "anchor"))
+    left = settled(own.join(often, "anchor"))
     others = left.groupBy("anchor").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).where("low < high").select("anchor", F.lit(True).alias("more"))
     first = F.row_number().over(W.partitionBy("anchor", "rank").orderBy("key", "at")) == 1
-    left = left.select("anchor", "key", "at", "count", first.alias("first")).join(few(others), "anchor", "left")
+    left = left.select("anchor", "key", "at", "count", first.alias("first")).join(others, "anchor", "left")
     left = left.where(~F.col("first") | F.col("more")).select("key", "at", "count", F.col("first").alias("open"))
     found = settled(left.unionByName(places.where("seen").select("key", "at", "count", F.lit(False).alias("open"))))
     dropped(places)
