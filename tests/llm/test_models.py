@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
-from twinspark.llm import bpe, class_lm, language_id, quality_gam
+from twinspark.llm import bpe, class_lm, language_id, quality_gam, rolling
 from twinspark.llm.common import fold
 from twinspark.llm.queries import TOKENIZER
 
@@ -83,7 +83,14 @@ def test_words_beyond_the_seeds_have_classes_of_their_own(spark, monkeypatch):
 
 def test_a_step_takes_the_best_of_all_classes(small):
     words = [w for w, _ in Counter(w for r in small.collect() for w in class_lm.tokens(r.text)).most_common(60)]
-    pairs = class_lm.bigrams(small, words)
+    pairs = class_lm.bigrams(small, class_lm.keys(words))
+    items = {w: k for k, w in enumerate(words)}
+    want = np.zeros_like(pairs)
+    for r in small.collect():
+        own = [items.get(w, len(words) + class_lm.form(w)) for w in class_lm.tokens(r.text)]
+        for a, b in zip([items[class_lm.END], *own], own):
+            want[a, b] += 1
+    assert (pairs == want).all()
     at = class_lm.exchange(pairs, 6, 1)
     member = np.eye(6)[at]
     table, after, before = member.T @ pairs @ member, pairs @ member, pairs.T @ member
@@ -100,6 +107,15 @@ def test_a_step_takes_the_best_of_all_classes(small):
         assert value(got) == pytest.approx(max(map(value, range(6))), abs=1e-6)
 
 
+def test_lookup_of_hashes():
+    rng = np.random.default_rng(7)
+    keys = np.unique(np.concatenate((rng.integers(0, 2**63, 3000).astype(np.uint64), np.arange(500, dtype=np.uint64) << np.uint64(20))))
+    asked = np.concatenate((keys[::-1], keys + np.uint64(1)))
+    want = {int(k): i for i, k in enumerate(keys)}
+    assert rolling.Lookup(keys).of(asked).tolist() == [want.get(int(k), -1) for k in asked]
+    assert rolling.Lookup(keys[:0]).of(asked).max() == -1
+
+
 def test_class_part_is_a_distribution_of_classes(small):
     scorer, *_ = class_lm.fit(small, F.lit(True))
     assert np.isfinite(scorer.class_part).all() and (scorer.class_part < 0).all()

@@ -27,11 +27,16 @@ def lanes(data: bytes) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", data + bytes(16), strides=(1,))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of every word; 8 bytes at a time are mixed into it."""
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of every word."""
     blank = np.concatenate(([True], _BLANK[np.frombuffer(data, np.uint8)], [True]))
     edges = np.flatnonzero(blank[1:] != blank[:-1])
-    start, size = edges[::2], edges[1::2] - edges[::2]
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+def word_hashes(data: bytes, places: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of every word; 8 bytes at a time are mixed into it."""
+    start, size = places or word_places(data)
     long = np.flatnonzero(size > LONG)
     out, lane = mixed(size.astype(np.uint64)), lanes(data)
     at = np.flatnonzero(size <= LONG) if len(long) else np.arange(len(size))
@@ -46,6 +51,36 @@ def word_hashes(data: bytes) -> np.ndarray:
     return out
 
 
+class Lookup:
+    """The places of hashes in an array without repeats, as an open hash table."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.at = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        todo, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = todo[free]
+            self.keys[slot[free]] = keys[todo[free]]
+            # Of several that asked for a slot one has it; equal keys can't be there.
+            left = self.at[slot] != todo
+            self.keys[slot[~left]] = keys[todo[~left]]
+            todo, slot = todo[left], (slot[left] + 1) & (size - 1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out, todo, slot = np.full(len(hashes), -1, np.int32), None, (hashes & self.mask).astype(np.int64)
+        while todo is None or len(todo):
+            own = hashes if todo is None else hashes[todo]
+            at = self.at[slot]
+            hit = (self.keys[slot] == own) & (at >= 0)
+            out[np.flatnonzero(hit) if todo is None else todo[hit]] = at[hit]
+            on = np.flatnonzero(~hit & (at >= 0))
+            todo, slot = on if todo is None else todo[on], (slot[on] + 1) & (len(self.at) - 1)
+        return out
+
+
 def rank_at(lane: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The names of the ``length`` bytes (a power of two) from each place on: up to 8 bytes these themselves, else of the pair of halves."""
     if length <= 8:
