@@ -1,16 +1,19 @@
 """License scans: a positional index of rare licence words.
 
-Templates are word lists. The index has, for every template, its rarest
-mandatory words (highest inverse document frequency over the templates) with
-their positions. A text's occurrences of indexed words are looked up; each gives
-the start that the template would have there. Starts are kept where the postings
-of all indexed words of the template agree, and then the mandatory phrases are
-verified word by word. The other words of the template only add to the score.
-Everything happens within the row: one projection without a shuffle, so neither
-frequent words nor long texts gather rows in one task.
+Templates are word lists. The index has the ANCHORS rarest mandatory words of every
+template (highest inverse document frequency over the templates) with their
+positions. A text's occurrences of indexed words are looked up; each posting gives
+the start that the template would have there. Starts that the postings of all
+indexed words of a template share are kept, and then the mandatory phrases are
+verified word by word. The other words of the template only add to the score. Spans
+are those of the mandatory words. Everything happens within the row: one projection
+without a shuffle, so neither frequent words nor long texts gather rows in one task.
 
 Defined results: a null text is empty; a text without a licence has zero places,
-null positions, empty labels and score 0; repeated rows get equal results.
+null positions, empty labels and score 0; repeated rows get equal results; ties
+(places of several templates) are all reported, sorted by place, length and label;
+texts of any length are taken whole, as one row's array of words; other columns may
+have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,9 +63,11 @@ TEMPLATES = (
     Template("gpl-2.0", "licensed under the [gnu general public license version 2]"),
     Template("lgpl", "under the terms of the [gnu lesser general public license]"),
     Template("agpl", "under the terms of the [gnu affero general public license]"),
+    Template("gpl", "this program is free software you can [redistribute it and or modify it under the terms of the gnu general public license] as published by the free software foundation either version 3 of the license or at your option any later version"),
     Template("apache-2.0", "licensed under the [apache license version 2 0]"),
-    Template("mit", "[permission is hereby granted free of charge] to any person [obtaining a copy of this software] and associated documentation files"),
-    Template("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted"),
+    Template("apache-2.0", "licensed under the [apache license version 2 0] the license [you may not use this file except in compliance with the license] you may obtain a copy of the license at"),
+    Template("mit", "[permission is hereby granted free of charge] to any person [obtaining a copy of this software] and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    Template("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met"),
     Template("isc", "permission to use copy modify and or [distribute this software for any purpose with or without fee] is hereby granted"),
     Template("mpl-2.0", "this source code form is subject to the terms of the [mozilla public license v 2 0]"),
     Template("unlicense", "this is free and [unencumbered software released into the public domain]"),
@@ -91,25 +96,25 @@ def all_words(text: Column) -> Column:
 def places(ws: Column, templates=TEMPLATES) -> Column:
     """Struct of an array of verified starts for each template (``t0``, ``t1``, ...)."""
     idf = weights(templates)
-    index = [(w, k, i) for k, t in enumerate(templates) for w, i in anchors(t, idf)[:1]]
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k"), F.lit(i).alias("i")) for w, k, i in index])
+    index = [(w, k, i) for k, t in enumerate(templates) for w, i in anchors(t, idf)]
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(a).alias("a"), F.lit(i).alias("i")) for a, (w, _, i) in enumerate(index)])
     hits = F.when(F.size(ws) > 0, F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda p: F.get(ws, p).isin(sorted({w for w, _, _ in index})))).otherwise(F.array().cast("array<int>"))
-    found = F.flatten(F.transform(hits, lambda p: F.transform(F.filter(table, lambda e: e["w"] == F.get(ws, p)), lambda e: F.struct(e["k"].alias("k"), (p - e["i"]).alias("s")))))
+    postings = F.flatten(F.transform(hits, lambda p: F.transform(F.filter(table, lambda e: e["w"] == F.get(ws, p)), lambda e: F.struct(e["a"].alias("a"), (p - e["i"]).alias("s")))))
 
-    def verified(found: Column) -> Column:
-        out = []
-        for k, t in enumerate(templates):
-            must = [(w, i) for i, (w, m) in enumerate(t.parts) if m]
-            agree = [x for x in anchors(t, idf) if x in must]
-            order = agree + [x for x in must if x not in agree]
-            out.append(F.transform(F.filter(found, _stands(ws, k, order)), lambda c: c["s"]).alias(f"t{k}"))
-        return F.struct(*out)
+    def shared(postings: Column, k: int) -> Column:
+        """The starts that all indexed words of a template agree on."""
+        starts = lambda a: F.transform(F.filter(postings, lambda x: x["a"] == a), lambda x: x["s"])
+        return reduce(F.array_intersect, [starts(a) for a, (_, of, _) in enumerate(index) if of == k])
+
+    def verified(postings: Column) -> Column:
+        return F.struct(*[F.filter(shared(postings, k), _stands(ws, [(w, i) for i, (w, must) in enumerate(t.parts) if must])).alias(f"t{k}") for k, t in enumerate(templates)])
 
-    return let(found, verified)
+    none = F.struct(*[F.array().cast("array<int>").alias(f"t{k}") for k in range(len(templates))])
+    return let(postings, lambda found: F.when(F.size(found) > 0, verified(found)).otherwise(none))
 
 
-def _stands(ws: Column, k: int, must: list[tuple[str, int]]):
-    return lambda c: reduce(lambda a, b: a & b, [c["k"] == k, *[F.get(ws, c["s"] + i) == w for w, i in must]])
+def _stands(ws: Column, must: list[tuple[str, int]]):
+    return lambda s: reduce(lambda a, b: a & b, [F.get(ws, s + i) == w for w, i in must])
 
 
 def _got(ws: Column, parts: list[tuple[str, bool]], idf: dict[str, int]):
@@ -117,11 +122,12 @@ def _got(ws: Column, parts: list[tuple[str, bool]], idf: dict[str, int]):
 
 
 def _span(t: Template):
-    return lambda s: F.struct(s.alias("first"), F.lit(len(t.parts)).alias("words"), F.lit(t.label).alias("label"))
+    must = [i for i, (_, m) in enumerate(t.parts) if m]
+    return lambda s: F.struct((s + must[0]).alias("first"), F.lit(must[-1] - must[0] + 1).alias("words"), F.lit(t.label).alias("label"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """doc_id with base places, labels and score; ``spans`` has (label, first word, words) of all places."""
+    """doc_id with base places, labels and score; ``spans`` has (first word, words, label) of the mandatory words at all places."""
     idf = weights(templates)
 
     def of(ws: Column) -> Column:
