@@ -9,8 +9,8 @@ by merges gives back the two. Following the stored last tokens from the end of
 the piece emits the ids. Compatibility is decided from the merges alone by
 undoing them, and is cached for each pair of tokens.
 
-Pieces repeat, so a worker keeps those it has encoded in a bounded table that
-is cleared when it is full; this does not change any result. Texts are
+Pieces repeat, so a worker keeps those it has encoded lately in bounded tables;
+this does not change any result. Texts are
 processed whole, in Arrow batches cut by bytes; there is no shuffle.
 
 Defined results: a null text is encoded as empty text, which has no ids;
@@ -35,10 +35,8 @@ from twinspark.llm.common import tidy
 
 #: Pieces of the byte-level kind (a fixed value of the file format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers.
-REMEMBERED = 300_000
-#: Pairs of tokens whose compatibility a worker remembers.
-FITS = 500_000
+#: Pieces, and pairs of tokens whose compatibility is known, that a worker remembers twice: the last ones and those before them.
+REMEMBERED, FITS = 100_000, 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,20 +71,20 @@ class Vocabulary:
             self.made.setdefault(merged, (rank, left, right))
         # Only tokens that their own bytes encode to can end a prefix.
         self.whole = {b: i for b, i in self.id_of.items() if len(b) == 1 or self.merged(b) == [i]}
-        self.step: list[dict[int, int]] = [{}]
+        #: node << 8 | byte -> the node that follows.
+        self.step: dict[int, int] = {}
         self.token_at = [-1]
         for b, i in self.whole.items():
             node = 0
             for c in reversed(b):
-                nxt = self.step[node].get(c)
-                if nxt is None:
-                    nxt = self.step[node][c] = len(self.step)
-                    self.step.append({})
+                nxt = self.step.setdefault(node << 8 | c, len(self.token_at))
+                if nxt == len(self.token_at):
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = i
         self.length = [len(b) for b in self.bytes_of]
         self.fits: dict[int, bool] = {}
+        self.fits_before: dict[int, bool] = {}
         self.split = regex.compile(PIECES).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known = Known(self)
@@ -127,12 +125,12 @@ class Vocabulary:
 
     def last_tokens(self, piece: bytes) -> list[int]:
         """For every prefix of 1, 2, ... bytes, the last token of its encoding."""
-        step, token_at, length, fits = self.step, self.token_at, self.length, self.fits
+        step, token_at, length, fits = self.step.get, self.token_at, self.length, self.fits
         last: list[int] = []
         for end in range(1, len(piece) + 1):
             node, ends = 0, []
             for k in range(end - 1, -1, -1):
-                node = step[node].get(piece[k])
+                node = step(node << 8 | piece[k])
                 if node is None:
                     break
                 if token_at[node] >= 0:
@@ -144,9 +142,11 @@ class Vocabulary:
                 key = last[start - 1] << 32 | token
                 ok = fits.get(key)
                 if ok is None:
-                    if len(fits) > FITS:
+                    if len(fits) >= FITS:
+                        self.fits_before = dict(fits)
                         fits.clear()
-                    ok = fits[key] = self.compatible(last[start - 1], token)
+                    ok = self.fits_before.get(key)
+                    ok = fits[key] = self.compatible(last[start - 1], token) if ok is None else ok
                 if ok:
                     break
             else:
@@ -184,16 +184,20 @@ class Vocabulary:
 
 
 class Known(dict):
-    """The ids of pieces met so far, of REMEMBERED short pieces at most."""
+    """The ids of short pieces met lately: of REMEMBERED ones, and of as many before these, so that frequent ones stay."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.before: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.vocabulary.encode_piece(piece.encode())
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.vocabulary.encode_piece(piece.encode())
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

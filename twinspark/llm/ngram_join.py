@@ -162,7 +162,7 @@ def measured(docs: DataFrame, often: np.ndarray, words: int = WORDS, percent: in
             for sig in sigs:
                 new.append(sig is not None and sig not in seen)
                 seen.add(sig)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             first = [first_shingles(s, often, percent) if one else None for s, one in zip(sets, new)]
             at = np.concatenate(([0], np.cumsum([0 if f is None else len(f) for f in first]))).astype(np.int32)
