@@ -137,3 +137,34 @@ def test_resample(edge, empty):
     have = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert have == {k: n for k, n in want.items() if n}
     assert mixing.resample(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_borders_are_searched(spark):
+    borders = [3, 5, 5000, 70000, 70001]
+    rows = spark.createDataFrame([(k,) for k in (0, 3, 4, 5, 6, 5000, 5001, 70001, 70002, 10**9)], "k long")
+    got = [r[0] for r in rows.select(fingerprints.bucket_of(F.col("k"), borders)).collect()]
+    assert got == [sum(b < r.k for b in borders) for r in rows.collect()]
+
+
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_next_documents_of_many_buckets(plain, edge, bucket, monkeypatch):
+    """The edited texts of all rows against a plain loop, with borders between nearly all rows, and rows without ids."""
+    monkeypatch.setattr(fingerprints, "BUCKET", bucket)
+    rows = sorted(((r.doc_id, r.text or "") for r in plain.collect()))
+    want = {}
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]]):
+        half = len(t) // 2
+        want[i] = hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in fingerprints.compare(plain).collect()} == want
+    assert fingerprints.compare(edge).count() == edge.count()
+
+
+def test_repeated_rows_are_spread_over_blocks(spark):
+    """Thousands of copies of a row are numbered, so no block has more than some multiples of its size."""
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 3000 + [(k, "d e f g", "y") for k in range(50)], "doc_id long, text string, source string").repartition(7)
+    rows = mixing.rows_of(docs, "doc_id")
+    got = mixing.numbered(rows.select("rid", "key", "source", "size")).collect()
+    assert sorted(r.copy for r in got if r.source == "x") == list(range(3000)) and {r.copy for r in got if r.source == "y"} == {0}
+    first = mixing.mix(docs)
+    sums = {r.source: (r.taken, r.target) for r in first.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(taken - target) <= 4 for taken, target in sums.values())

@@ -3,8 +3,9 @@
 The lexicon has the terms whose document frequency lies in a band of shares of
 all documents (a band of inverse document frequencies). As every document of
 the mean count of distinct terms, m, adds to m frequencies, at most m / LOW terms
-can lie above the lower share at any corpus size; this bounds the lexicon, which
-the driver reads and compiles into the plan. Every subset of the lexicon is a
+can lie above the lower share at any corpus size; the LARGEST with the highest
+inverse document frequency make the lexicon, which the driver reads and compiles
+into the plan. Every subset of the lexicon is a
 cell of a random split of it into 1, 8 or 64 cells. Of a text, the distinct terms
 in the lexicon are sorted, and those of a cell are hashed together; the
 fingerprint is the list of the hashes of its cells. Texts without any term of the
@@ -14,8 +15,10 @@ The likeness of two fingerprints is the number of equal hashes over the number o
 cells that either has, so 1 for equal texts.
 
 Defined results: a null text is empty; documents are ordered by id with null
-first, then by text; of repeated rows one is the next of the other; a table of
-one row has that row as its own next; an empty table gives an empty result.
+first, then by the text's hash and the text; of repeated rows (ties) one is the next
+of the other; a table of one row has that row as its own next; texts of any length
+are taken whole; other columns may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import ascii_lower, let, whole, words
+from twinspark.llm.common import ascii_lower, let, settled, whole, words
 
 LOW, HIGH = 0.005, 0.10
 SPLITS = (1, 8, 64)
-#: Rows of a bucket of neighbouring ids, about.
-BUCKET = 4096
+#: Rows of a bucket of neighbouring ids, about, and buckets at most (their borders stand in the plan).
+BUCKET, BUCKETS = 4096, 1 << 16
+#: Terms of the lexicon at most; the driver reads it and it stands in the plan.
+LARGEST = 50_000
 _ALL = 255
 
 
@@ -38,7 +43,9 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
     n = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words(ascii_lower(whole(F.col("text")))))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return sorted(r[0] for r in df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))).select("term").collect())
+    band = df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)))
+    # Of a band with more terms the rarest are kept: those of the highest inverse document frequency.
+    return sorted(r[0] for r in band.orderBy("df", "term").limit(LARGEST).select("term").collect())
 
 
 def fingerprint(text: Column, lex: list[str]) -> Column:
@@ -74,33 +81,43 @@ def as_string(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 10, "0")), "")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text in the order of ids; buckets of neighbouring ids are sorted apart.
+def bucket_of(id_: Column, borders: list) -> Column:
+    """How many of the sorted borders lie below, by binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(len(borders).bit_length() - 1, -1, -1)])
+    sorted_ = F.lit(borders)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_, at + step - 1) < id_, at + step).otherwise(at))
 
-    The bucket borders are percentiles of the ids. The first rows of the
-    buckets, one for each, close the gaps between them.
+
+def with_next(docs: DataFrame, lex: list[str] | tuple = ()) -> DataFrame:
+    """doc_id, text, fp, next_text and next_fp (fingerprints) in the order of ids; buckets of neighbouring ids are sorted apart.
+
+    The bucket borders are percentiles of the ids, BUCKETS at most; rows without an id are dealt by ranges of the text's
+    hash, by which they are sorted. The first rows of the buckets, one for each, close the gaps between them.
     """
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    n = rows.count()
-    shares = [i / (n // BUCKET + 1) for i in range(1, n // BUCKET + 1)]
-    borders = sorted({x for x in (rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 100 * len(shares))).first()[0] or [] if shares else [])})
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.lit(borders), lambda b: b < F.col("doc_id"))) if borders else F.lit(0))
-    rows = rows.withColumn("bucket", bucket).withColumn("hash", F.xxhash64("text"))
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    n = min(rows.count() // BUCKET, BUCKETS)
+    shares = [i / (n + 1) for i in range(1, n + 1)]
+    borders = sorted({x for x in (rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), max(10_000, 10 * n))).first()[0] or [] if shares else [])})
+    bucket = F.when(F.col("doc_id").isNull(), F.shiftright("hash", 54).cast("int") - 513).otherwise(bucket_of(F.col("doc_id"), borders) if borders else F.lit(0))
+    rows = rows.withColumn("bucket", bucket).withColumn("fp", fingerprint(F.col("text"), lex))
     order = W.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "hash", "text")
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "hash"))).where("k = 1")
-    firsts = first.select("bucket", F.col("text").alias("first"))
-    ring = W.orderBy("bucket")
-    firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(ring), F.first("first").over(ring)).alias("after"))
-    rows = rows.withColumn("lead", F.lead("text").over(order))
-    return rows.join(firsts, "bucket", "left").select("doc_id", "bucket", "hash", "text", F.coalesce("lead", "after").alias("next_text"))
+    here = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash", "text")
+    first = docs.select("doc_id", whole(F.col("text")).alias("text")).withColumn("hash", F.xxhash64("text")).withColumn("bucket", bucket).groupBy("bucket").agg(F.min(here).alias("first"))
+    first = settled(first.select("bucket", F.col("first.text").alias("text")).withColumn("fp", fingerprint(F.col("text"), lex)))
+    ring = W.orderBy("bucket")  # of the buckets' numbers alone
+    after = first.select("bucket").select("bucket", F.coalesce(F.lead("bucket").over(ring), F.first("bucket").over(ring)).alias("after"))
+    after = after.join(first.select(F.col("bucket").alias("after"), F.struct("text", "fp").alias("first")), "after").select("bucket", "first")
+    rows = rows.withColumn("lead", F.lead(F.struct("text", "fp")).over(order))
+    near = F.coalesce("lead", "first")
+    return rows.join(after, "bucket", "left").select("doc_id", "bucket", "hash", "text", "fp", near["text"].alias("next_text"), near["fp"].alias("next_fp"))
 
 
 def compare(docs: DataFrame, lex: list[str] | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, with the likeness to that and to the next text."""
     lex = lexicon(docs) if lex is None else lex
-    pairs = with_next(docs)
+    pairs = with_next(docs, lex)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e, lex).alias("fp"))).alias("e"), fingerprint(F.col("text"), lex).alias("fp"), fingerprint(F.col("next_text"), lex).alias("next_fp"))
+    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e, lex).alias("fp"))).alias("e"), "fp", "next_fp")
     return rows.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), as_string(F.col("fp")).alias("fingerprint"), as_string(F.col("e.fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("e.fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

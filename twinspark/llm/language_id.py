@@ -9,14 +9,17 @@ bytes, and the state starts anew with each. A word's labels so depend on the wor
 alone, and a worker runs each different word once and adds its sums as often as it
 stands, which changes no result. Texts are processed whole.
 
-The network is fitted on the driver on at most ``SAMPLE`` texts (those with the
-least hash of their id, a documented bound), all words of which can be drawn;
-every language's words are drawn equally often.
+The network is fitted on the driver on at most ``SAMPLE`` different texts of at most
+LARGEST bytes each and SAMPLED bytes together (those with the least hash of their id,
+a documented bound), all words of which can be drawn; every language's words are drawn
+equally often.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 rows with a null lang or id are not learned from; with no row to learn from every text
-is ``und`` with score 0; repeated rows get equal results; an empty table gives an
-empty result.
+is ``und`` with score 0; repeated rows get results that are equal but for the rounding
+of float32 products; of languages with equal probabilities the first by name is given;
+texts of any length are labelled whole; other columns may have any name; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE = 1200
+#: Bytes of the largest text that is learned from, and of all together.
+LARGEST, SAMPLED = 1 << 20, 32 << 20
 HIDDEN = 16
 EMBED = 12
 STEPS = 500
@@ -228,13 +234,16 @@ def train(rows: list[tuple[str, str]]) -> Network | None:
 
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Network | None:
-    """From the rows with a lang for which learn(doc_id) holds; at most ``sample`` of them."""
+    """From the rows with a lang for which learn(doc_id) holds; at most ``sample`` different ones of SAMPLED bytes."""
     rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
     order = [F.xxhash64("doc_id", F.lit("language")), "doc_id", "hash", "lang"]
     key = ["doc_id", "hash", "lang"]
     # Rows are chosen without their texts, so that no part of the table sends more texts than are taken.
-    chosen = rows.select(*key).orderBy(*order).limit(sample).distinct()
-    got = rows.join(F.broadcast(chosen), key).orderBy(*order).collect()
+    sized = rows.select(*key, F.octet_length("text").alias("bytes")).where(F.col("bytes") <= LARGEST)
+    chosen = sized.distinct().orderBy(*order).limit(sample)
+    so_far = F.sum("bytes").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # of ``sample`` rows at most
+    chosen = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLED).select(*key)
+    got = rows.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("text").alias("text")).orderBy(*order).collect()
     return train([(r["text"], r["lang"]) for r in got])
 
 

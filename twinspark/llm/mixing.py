@@ -13,12 +13,16 @@ taken words so differ from its target by at most half the size of one document
 (the last one is rounded to the nearer side).
 
 Blocks are dealt by a hash, so a hot source is spread over all tasks, and a
-block has about ``BLOCK`` documents at any scale. Random numbers are hashes of
-the documents' content, so reruns agree.
+block has about ``BLOCK`` documents at any scale. Rows that repeat are numbered,
+and the number takes part in that hash, so they are spread as all others. Random
+numbers are hashes of the documents' content and this number, so reruns agree.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own, last in order; repeated rows are rounded each for itself;
-where all sizes are 0 all targets are 0; an empty table gives an empty result.
+source of its own, last in order; repeated rows are rounded each for itself, and
+which of them is taken more often doesn't matter; ties in meeting are settled by
+content, then number; texts of any length are counted whole; other columns may have
+any name; where all sizes are 0 all targets are 0; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def _meet(a: Column, b: Column) -> Column:
         return fills, F.when(fills, F.lit(1.0)).otherwise(x["part"] + down(y) / x["size"]), F.when(fills, y["part"] - up(x) / y["size"]).otherwise(F.lit(0.0))
 
     gain, loss = F.least(up(a), down(b)), F.least(down(a), up(b))
-    draw = F.pmod(F.xxhash64(a["key"], b["key"], F.lit("meet")), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    draw = F.pmod(F.xxhash64(a["key"], a["copy"], b["key"], b["copy"], F.lit("meet")), F.lit(1 << 52)).cast("double") / float(1 << 52)
     to_a = draw * (gain + loss) < loss
     a_fills, a_up, b_down = give(a, b)
     b_fills, b_up, a_down = give(b, a)
@@ -86,9 +90,6 @@ def _fold(items: Column) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), first, step)
 
 
-ITEM = ("key", "rid", "size", "part")
-
-
 def rounded(items: DataFrame, largest: int) -> DataFrame:
     """(source, item) of all items with integral parts; items: source, n (of the source), item; largest: the largest n."""
     out: list[DataFrame] = []
@@ -96,7 +97,7 @@ def rounded(items: DataFrame, largest: int) -> DataFrame:
     while True:
         width *= BLOCK
         blocks = F.ceil(F.col("n") / width)
-        block = F.pmod(F.xxhash64(F.col("item.key"), F.lit(width)), F.greatest(blocks, F.lit(1)))
+        block = F.pmod(F.xxhash64(F.col("item.key"), F.col("item.copy"), F.lit(width)), F.greatest(blocks, F.lit(1)))
         level = items.groupBy("source", "n", block.alias("block")).agg(F.sort_array(F.collect_list("item")).alias("items"))
         level = settled(level.select("source", "n", _fold(F.col("items")).alias("f")))
         out.append(level.select("source", F.explode("f.done").alias("item")))
@@ -111,16 +112,32 @@ def rounded(items: DataFrame, largest: int) -> DataFrame:
     return done
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: 0, 1, ... for rows with the same key, by the parts of the table that they stand in.
+
+    Only as many rows as one part has are ever numbered by one task.
+    """
+    part = F.shiftright("rid", 33).alias("part")
+    by = rows.groupBy("key", part).agg(F.count(F.lit(1)).alias("n"))
+    by = by.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts")).where((F.size("parts") > 1) | (F.col("parts")[0]["n"] > 1))
+    before = F.transform("parts", lambda p: F.struct(p["part"].alias("part"), F.aggregate(F.filter("parts", lambda q: q["part"] < p["part"]), F.lit(0).cast("long"), lambda s, q: s + q["n"]).alias("before")))
+    by = by.select("key", F.inline(before))
+    many = rows.select("rid", "key", part).join(by, ["key", "part"])
+    many = many.select("rid", (F.col("before") + F.row_number().over(W.partitionBy("key", "part").orderBy("rid")) - 1).alias("copy"))
+    return rows.join(many, "rid", "left").withColumn("copy", F.coalesce("copy", F.lit(0).cast("long")))
+
+
 def plan(rows: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """rid, size, source_size, target, copies of settled rows (rid, key, source, size)."""
     to = targets(rows, weights, most)
+    rows = numbered(rows)
     same = rows["source"].eqNullSafe(to["source"])
     want = rows.join(to, same, "left").select(rows["*"], "source_size", "target", "n")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     want = want.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     open_ = (F.col("part") > 0) & (F.col("size") > 0)
     about = ["whole", "source_size", "target"]
-    items = want.where(open_).select("source", "n", F.struct("key", "rid", F.col("size").cast("double").alias("size"), "part", *about).alias("item"))
+    items = want.where(open_).select("source", "n", F.struct("key", "copy", "rid", F.col("size").cast("double").alias("size"), "part", *about).alias("item"))
     largest = to.agg(F.max("n")).first()[0] or 0
     done = rounded(items, largest).select("item.*").select("rid", F.col("size").cast("long").alias("size"), "source_size", "target", (F.col("whole") + F.col("part").cast("long")).alias("copies"))
     rest = want.where(~open_).select("rid", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)).cast("long").alias("copies"))
@@ -143,7 +160,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def resample(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows as often as the mix takes them, with their columns as they were."""
     cols = docs.columns
-    rows = rows_of(docs, F.struct(*cols).alias("row"))
+    rows = rows_of(docs, F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
     got = plan(rows.select("rid", "key", "source", "size"), weights, most).where("copies > 0").select("rid", "copies")
     taken = rows.select("rid", "row").join(got, "rid").select("row", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.select("row.*").select(*cols)
+    return taken.select(*[F.col(f"row.`{c}`") for c in cols])

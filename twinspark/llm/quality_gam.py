@@ -158,14 +158,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = SAMPLE) -> Model:
     """From the texts of labelled rows for which learn(doc_id) holds."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & learn(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "y").limit(sample)
+    known = known.distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "y").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # of at most ``sample`` rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = found.select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"])
+    rows = found.select("doc_id", "text", "y").mapInArrow(work, f"doc_id {kind}, y int, x array<double>")
+    # Rows of one id are learned from once each, but no more than ``sample`` in all.
+    rows = rows.distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "y", "x").limit(sample).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return Model(x, rows["y"].to_numpy(float))
 
