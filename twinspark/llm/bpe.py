@@ -31,12 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from twinspark.llm.common import tidy
+from twinspark.llm.common import small_batches, tidy
 
 #: Pieces of the byte-level kind (a fixed value of the file format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, and pairs of tokens whose compatibility is known, that a worker remembers twice: the last ones and those before them.
-REMEMBERED, FITS = 100_000, 200_000
+REMEMBERED, FITS = 150_000, 250_000
+#: Texts whose ids are sent back at once.
+TOGETHER = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -232,12 +234,13 @@ def encode(docs: DataFrame, tokenizer: str, columns: tuple[str, ...] = ("n_token
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     key = hashlib.sha256(spec.encode()).hexdigest()
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(key, sent.value)
-        for batch in batches:
+        for batch in (b.slice(start, TOGETHER) for b in batches for start in range(0, b.num_rows, TOGETHER)):
             cols: list[list] = [[] for _ in columns]
             for text in batch.column(1):
                 ids = np.array(v.encode(text.as_py() or ""), "<u4")

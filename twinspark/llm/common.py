@@ -85,6 +85,14 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts that go to Python at a time, at most.
+AT_A_TIME = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on no more than AT_A_TIME rows go to Python at a time, as whole texts may be long: it bounds memory on both sides."""
+    if int(spark.conf.get(_ROWS)) > AT_A_TIME:
+        spark.conf.set(_ROWS, str(AT_A_TIME))
 
 
 def settled(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinspark.llm.common import small_batches
+
 SAMPLE = 1200
 #: Bytes of the largest text that is learned from, and of all together.
 LARGEST, SAMPLED = 1 << 20, 32 << 20
@@ -235,6 +237,7 @@ def train(rows: list[tuple[str, str]]) -> Network | None:
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE) -> Network | None:
     """From the rows with a lang for which learn(doc_id) holds; at most ``sample`` different ones of SAMPLED bytes."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("hash")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
     order = [F.xxhash64("doc_id", F.lit("language")), "doc_id", "hash", "lang"]
     key = ["doc_id", "hash", "lang"]

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, few, settled, tidy
+from twinspark.llm.common import dropped, few, settled, small_batches, tidy
 from twinspark.llm.rolling import mixed, word_hashes
 from twinspark.operators.graph import components
 
@@ -381,6 +381,7 @@ def link_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All rows (doc_id, hash, sig, n), and of each different set (sig) its class, n_links and the least doc_id of the class."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     measure = settled(measured(docs, frequent(docs, words), words, percent), ROWS)
     rows = settled(measure.select("doc_id", "hash", "sig", "n"))

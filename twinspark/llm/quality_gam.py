@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinspark.llm.common import small_batches
+
 SAMPLE = 6000
 BINS = 32
 PAIR_BINS = 8
@@ -157,6 +159,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, sample: int = SAMPLE) -> Model:
     """From the texts of labelled rows for which learn(doc_id) holds."""
+    small_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & learn(F.col("doc_id")))
     known = known.distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality")), "doc_id", "y").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # of at most ``sample`` rows

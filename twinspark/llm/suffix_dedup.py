@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, keyed, settled, tidy
+from twinspark.llm.common import dropped, keyed, settled, small_batches, tidy
 from twinspark.llm.rolling import lanes, mixed, rank_at, sliding_min
 
 LENGTH = 100
@@ -141,7 +141,7 @@ def _places(anchor, rank, key, at, count) -> Iterator[pa.RecordBatch]:
 
 
 #: Places of about so many bytes of texts are looked at together, or of so many windows.
-GATHER, WINDOWS = 24 << 20, 1 << 20
+GATHER, WINDOWS = 12 << 20, 1 << 19
 
 
 def _gathered(parts: Iterator[tuple[float, tuple]]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,7 @@ def removed(size: int, at: np.ndarray, count: np.ndarray, length: int) -> np.nda
 
 def _cases(docs: DataFrame, length: int, *carry: str) -> tuple[DataFrame, DataFrame]:
     """All rows (key, doc_id, text, row), and (key, text, runs, more) of texts with repeated windows."""
+    small_batches(docs.sparkSession)
     one, rows = keyed(docs, *carry)
     found = undecided(one, length)
     grouped = found.groupBy("key").agg(F.collect_list(F.struct("at", "count", "open")).alias("runs"))
@@ -234,43 +235,54 @@ def _cases(docs: DataFrame, length: int, *carry: str) -> tuple[DataFrame, DataFr
     return rows, cases.join(more, "key", "left")
 
 
-def _kept(length: int, digest: bool):
+#: What ``_kept`` can give for a text from what is left of it and the removed [start, end) pairs: name, Arrow type, Spark type.
+KEPT = {
+    "kept": (lambda rest, spans: rest, pa.binary(), "binary"),
+    "kept_text": (lambda rest, spans: rest.decode("utf-8", "ignore"), pa.string(), "string"),
+    "kept_sha256": (lambda rest, spans: hashlib.sha256(rest).hexdigest(), pa.string(), "string"),
+    "spans": (lambda rest, spans: spans, pa.list_(pa.list_(pa.int64())), "array<array<long>>"),
+    "n_removed": (lambda rest, spans: sum(b - a for a, b in spans), pa.int64(), "long"),
+    "n_spans": (lambda rest, spans: len(spans), pa.int64(), "long"),
+}
+
+
+def _kept(cases: DataFrame, length: int, *names: str) -> DataFrame:
+    """key and what KEPT names, of texts with repeated windows."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n_removed, n_spans, kept, spans = [], [], [], [], []
-            for key, text, (at, count, open_), (more_at, more_count) in zip(batch.column(0), batch.column(1), _runs(batch.column(2)), _runs(batch.column(3))):
+            out: list[list] = [[] for _ in names]
+            for text, (at, count, open_), (more_at, more_count) in zip(batch.column(1), _runs(batch.column(2)), _runs(batch.column(3))):
                 data = text.as_py().encode()
                 gone = removed(len(data), np.concatenate((at[~open_], more_at)), np.concatenate((count[~open_], more_count)), length)
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
+                spans = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2).tolist()
                 rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                keys.append(key.as_py())
-                n_removed.append(int(gone.sum()))
-                n_spans.append(len(edges))
-                kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
-                spans.append(edges.tolist())
-            cols = [pa.array(keys, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64())]
-            last = [pa.array(kept, pa.string())] if digest else [pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(cols + last, ["key", "n_removed", "n_spans", *(["kept_sha256"] if digest else ["kept", "spans"])])
+                for col, name in zip(out, names):
+                    col.append(KEPT[name][0](rest, spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, KEPT[n][1]) for c, n in zip(out, names))], ["key", *names])
 
-    return tidy(work)
+    return cases.select("key", "text", "runs", "more").mapInArrow(tidy(work), "key long, " + ", ".join(f"{n} {KEPT[n][2]}" for n in names))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (bytes), spans (removed [start, end) pairs) and counts for every row."""
     rows, cases = _cases(docs, length)
-    cut = cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, False), "key long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
+    every = rows.join(_kept(cases, length, "n_removed", "n_spans", "kept", "spans"), "key", "left")
     zero = F.lit(0).cast("long")
-    every = rows.join(cut, "key", "left")
-    return every.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", F.col("text").cast("binary")).alias("kept"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"))
+    return every.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept", F.col("text").cast("binary")).alias("kept"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"),
+    )
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """As ``dedup``, with a hash in place of the kept bytes, so that no whole text is sent to the last join."""
     rows, cases = _cases(docs, length)
-    cut = settled(cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, True), "key long, n_removed long, n_spans long, kept_sha256 string"))
+    cut = settled(_kept(cases, length, "n_removed", "n_spans", "kept_sha256"))
     base = rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return base.join(cut, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    every = base.join(cut, "key", "left")
+    return every.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -280,13 +292,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     cols = docs.columns
     rows, cases = _cases(docs, length, *cols)
-    cut = cases.select("key", "text", "runs", "more").mapInArrow(_kept(length, False), "key long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column(1)], pa.string())], ["key", "kept"])
-
-    cut = cut.select("key", "kept").mapInArrow(decoded, "key long, kept string")
-    text = F.coalesce("kept", "row.text")
+    cut = _kept(cases, length, "kept_text")
+    text = F.coalesce("kept_text", "row.text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.join(cut, "key", "left").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in cols])
