@@ -6,7 +6,9 @@
 4. mixing: documents are repeated or left out so that sources have their target shares;
 5. BPE: the ids of every text.
 
-Each stage reads what the one before has written.
+Each stage reads what the one before has written. Columns of any name are carried
+along; rows with null ids, null or empty texts, ties, repeated rows and texts of any
+length have the results that the stages' modules define; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinspark.llm import bpe, mixing, ngram_join, quality_rules, suffix_dedup
-from twinspark.llm.common import read, settled
+from twinspark.llm.common import read, release, settled, written
 from twinspark.llm.queries import TOKENIZER
 
 
@@ -51,9 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settled(docs)
+            release(spark, before, docs)  # what the stage has written on its way, and its input
     return docs

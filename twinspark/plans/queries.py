@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspark.functions import hashes, paths
-from twinspark.operators import clusters, files, graph, pairs, relations
+from twinspark.operators import actions, clusters, files, graph, pairs, relations
 from twinspark.plans.shared import folder, kept
 from twinspark.sources import adapters
 from twinspark.sources.adapters import read
@@ -264,9 +264,16 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 _IN = lambda p: f"({p} like '/src1/%' or {p} like '/src3/%')"
 
 
-@query(f"with {NEAR} select id1, id2, distance from near join base a on a.id = id1 join base b on b.id = id2 where {_IN('a.path')} and {_IN('b.path')}")
+PAIR_ROOTS = ["/src1", "/src10", "/src11", "/src13", "/src18"]
+
+
+def _under(column: str, roots: list[str], like: str = "like") -> str:
+    return "(" + " or ".join(f"{column} {like} '{r}/%'" for r in roots) + ")"
+
+
+@query(f"with {NEAR} select id1, id2, distance from near join base a on a.id = id1 join base b on b.id = id2 where {_under('a.path', PAIR_ROOTS)} and {_under('b.path', PAIR_ROOTS)}")
 def pairs_both_in_roots(spark: SparkSession, d: str) -> DataFrame:
-    scoped = plain_files(spark, d).where(paths.in_roots(F.col("path"), ROOTS))
+    scoped = plain_files(spark, d).where(paths.in_roots(F.col("path"), PAIR_ROOTS))
     return relations.both_in(near(spark, d), scoped).select("id1", "id2", "distance")
 
 
@@ -465,9 +472,13 @@ def cluster_new_members(spark: SparkSession, d: str) -> DataFrame:
     return shown_clusters(spark, d)[1]
 
 
-@query(_CLUSTERS + " select cluster_id, path from shown where cluster_id in (select cluster_id from shown group by cluster_id having bool_and(path ilike '/src1/%' or path ilike '/src3/%' or path ilike '/src7/%'))")
+#: Most sources, so that some clusters lie inside them and others don't.
+CLUSTER_ROOTS = [f"/SRC{k}" for k in range(15)]
+
+
+@query(_CLUSTERS + f" select cluster_id, path from shown where cluster_id in (select cluster_id from shown group by cluster_id having bool_and({_under('path', CLUSTER_ROOTS, 'ilike')}))")
 def cluster_root_filter(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.inside_roots(shown_clusters(spark, d)[0], paths.in_roots(F.col("path"), [*ROOTS, "/src7"], case_insensitive=True))
+    return clusters.inside_roots(shown_clusters(spark, d)[0], paths.in_roots(F.col("path"), CLUSTER_ROOTS, case_insensitive=True))
 
 
 @query(_CLUSTERS + ", k as (select *, row_number() over (partition by cluster_id order by path) as k from shown) select cluster_id, count(*) as n, string_agg(path, '|' order by path) filter (k <= 4) as paths, printf('Cluster %d (%d items)', cluster_id, count(*)) as title from k group by cluster_id")
@@ -481,11 +492,11 @@ def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
     return clusters.membership(members_of(spark, d))
 
 
-@query(f"with {MEMBERS} select distinct cluster_id from members where cluster_id not in (select cluster_id from members where file_path like '%/en/%')")
+@query(f"with {MEMBERS} select distinct cluster_id from members where cluster_id not in (select cluster_id from members where file_path like '%/de/%')")
 def empty_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters that would be empty without their English files."""
+    """Clusters that would be empty if only German files were left."""
     m = members_of(spark, d)
-    return m.select("cluster_id").distinct().join(m.where(F.col("file_path").contains("/en/")).select("cluster_id"), "cluster_id", "left_anti")
+    return m.select("cluster_id").distinct().join(m.where(F.col("file_path").contains("/de/")).select("cluster_id"), "cluster_id", "left_anti")
 
 
 @query(f"with {MEMBERS} select cluster_id, file_path from members where file_path not in (select '/' || source || '/' || lang || '/' || doc_id || '.txt' from documents join labels using (doc_id) where toxic = 0)")
@@ -621,3 +632,88 @@ def config_json(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, greatest(1, least(256, (value * 3)::bigint))::bigint as size from (select event_id, floor(value) as value from events)")
 def clamp_batch(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", adapters.clamped((F.floor("value") * 3).cast("bigint")).cast("bigint").alias("size"))
+
+
+# --- reviewing actions, pages, samples ------------------------------------------
+
+
+def spanish(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").where("lang = 'es'").select(adapters.doc_path().alias("path"))
+
+
+@query(f"with {FILES} select path, '/trash/' || id || '_' || id || '.txt' as trash_path from base where path like '%/es/%'")
+def trash_files(spark: SparkSession, d: str) -> DataFrame:
+    return actions.trashed(plain_files(spark, d).select("id", "path", "file_size"), spanish(spark, d), "/trash")[1].select("path", "trash_path")
+
+
+@query(f"with {FILES} select id, path, case when path like '%/es/%' then 0 else 1 end as width, file_size from base")
+def restore_trashed(spark: SparkSession, d: str) -> DataFrame:
+    """What went to the trash comes back without its size in pixels."""
+    rows = plain_files(spark, d).select("id", "path", F.lit(1).alias("width"), "file_size")
+    return actions.restored(*actions.trashed(rows, spanish(spark, d), "/trash"))
+
+
+@query(f"with {FILES} select a.id, a.path, coalesce(b.file_size, a.file_size) as file_size from base a left join base b on a.path like '%/es/%' and b.id = a.id + 1")
+def replace_content(spark: SparkSession, d: str) -> DataFrame:
+    """Spanish files get the content of the file with the next id."""
+    rows = plain_files(spark, d).select("id", "path", "file_size")
+    by = rows.select((F.col("id") - 1).alias("id"), F.col("path").alias("by"))
+    return actions.replaced(rows, rows.join(spanish(spark, d), "path").join(by, "id").select("path", "by"))[0]
+
+
+@query(f"with {STORED}, m as (select id1, id2, true as hit from near where distance = 0) select id1, id2, case when hit then 'ignored' else relation_type end as relation_type, distance from stored full join m using (id1, id2)")
+def ignore_pairs(spark: SparkSession, d: str) -> DataFrame:
+    found = kept(near(spark, d))
+    return actions.ignored(stored_of(spark, d, found), found.where("distance = 0").select("id1", "id2"))[0]
+
+
+@query(f"with {FILES}, {MEMBERS} select id, case when path in (select file_path from members where cluster_id = 3) then '/kept/' || id || '.txt' else path end as path from base")
+def gather_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return actions.gathered(plain_files(spark, d), members_of(spark, d), 3, "/kept")[0].select("id", "path")
+
+
+@query(f"with {HASHED}, idents as (select path as ident from files where id in (select doc_id from labels) union select phash from files where phash is not null), exact as (select ident, ident as path from idents where ident in (select path from files)) select * from exact union all select ident, path from idents join files on phash = ident where ident not in (select ident from exact)")
+def resolve_idents(spark: SparkSession, d: str) -> DataFrame:
+    rows = hashed_files(spark, d)
+    labelled = rows.join(read(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    idents = labelled.select(F.col("path").alias("ident")).union(rows.where("phash is not null").select("phash")).distinct()
+    return actions.resolved(rows, idents)
+
+
+@query(f"with {FILES} select id, path, ((row_number() over (order by path) - 1) // 100)::bigint as page from base")
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    return actions.paged(plain_files(spark, d).select("id", "path"), "path", 100)
+
+
+@query(f"with {_LOOSE} select id1, id2, relation_type from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents) order by id1, id2, relation_type limit 10")
+def first_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """The ten first orphan relations, as a report; the limit is its feature."""
+    ids = read(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
+    rows = loose_relations(spark, d)
+    ends = rows.join(ids.select(F.col("id").alias("id1"), F.lit(1).alias("x1")), "id1", "left").join(ids.select(F.col("id").alias("id2"), F.lit(1).alias("x2")), "id2", "left")
+    return actions.first_of(ends.where("x1 is null or x2 is null").select("id1", "id2", "relation_type"), 10, "id1", "id2", "relation_type")
+
+
+@query("select distinct '/' || source as path from documents where source not in (select source from documents join labels using (doc_id) where toxic = 1)")
+def remove_scanned(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", F.concat(F.lit("/"), "source").alias("path"))
+    toxic = read(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    return actions.remove_scanned(docs.select("path").distinct(), docs.join(toxic, "doc_id", "left_semi").select("path").distinct())
+
+
+@query(f"with {MEMBERS} select cluster_id, file_path from members where cluster_id in (select cluster_id from members where file_path like '%/de/%')")
+def clear_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters without German files lose all members."""
+    m = members_of(spark, d)
+    return actions.without_members(m, empty_clusters(spark, d).select(F.col("cluster_id").alias("id"))).select("cluster_id", "file_path")
+
+
+@query(f"with {_LOOSE} select id1, id2, relation_type, null::double as distance from loose")
+def legacy_tuples(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select(F.array(F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type").alias("t"))
+    return actions.from_tuples(rows).select("id1", "id2", "relation_type", "distance")
+
+
+@query("select event_type as relation_type, count(*) as n from events where event_id <> user_id group by event_type")
+def legacy_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return loose_relations(spark, d).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))
