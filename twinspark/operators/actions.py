@@ -18,7 +18,7 @@ def trashed(files: DataFrame, gone: DataFrame, folder: str) -> tuple[DataFrame,
     named = files.join(gone.select("path").distinct(), "path", "left_semi").select("path", row.alias("row"))
     # The id keeps names of the trash apart.
     name = F.concat(F.lit(f"{folder}/"), F.col("row.id").cast("string"), F.lit("_"), paths.basename(F.col("path")))
-    return files.join(gone.select("path"), "path", "left_anti"), named.select("path", name.alias("trash_path"), "row")
+    return files.join(gone.select("path"), "path", "left_anti").select(*files.columns), named.select("path", name.alias("trash_path"), "row")
 
 
 def restored(files: DataFrame, trash: DataFrame) -> DataFrame:
@@ -38,12 +38,12 @@ def replaced(files: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     new = files.join(pairs.select(F.col("by").alias("path"), F.col("path").alias("target")), "path").select(F.col("target").alias("path"), F.struct(*content).alias("new"))
     both = files.join(new, "path", "left")
     out = [F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in content else F.col(c) for c in files.columns]
-    return both.select(*out), files.join(new.select("path"), "path", "left_semi")
+    return both.select(*out), files.join(new.select("path"), "path", "left_semi").select(*files.columns)
 
 
 def put_back(files: DataFrame, before: DataFrame) -> DataFrame:
     """The inverse of ``replaced``."""
-    return files.join(before.select("path"), "path", "left_anti").unionByName(before.select(*files.columns))
+    return files.join(before.select("path"), "path", "left_anti").select(*files.columns).unionByName(before)
 
 
 def ignored(stored: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
