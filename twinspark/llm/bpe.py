@@ -36,7 +36,7 @@ from twinspark.llm.common import small_batches, tidy
 #: Pieces of the byte-level kind (a fixed value of the file format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, and pairs of tokens whose compatibility is known, that a worker remembers twice: the last ones and those before them.
-REMEMBERED, FITS = 150_000, 250_000
+REMEMBERED, FITS = 400_000, 1_000_000
 #: Texts whose ids are sent back at once.
 TOGETHER = 500
 
