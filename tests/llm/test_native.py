@@ -2,25 +2,13 @@
 
 import hashlib
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from plain import same_as_sql
 from twinspark.llm import fingerprints, licenses, mixing, quality_rules
 
 
-def same_as_sql(got, docs, sql):
-    documents = docs.select("doc_id", "text").toArrow()
-    con = duckdb.connect()
-    con.register("documents", documents)
-    cols = sorted(got.columns)
-    want = con.execute(sql).fetchall()
-    names = [c[0] for c in con.description]
-    order = [names.index(c) for c in cols]
-    rows = lambda x: sorted(map(repr, x))
-    assert rows(tuple(r) for r in got.select(*cols).collect()) == rows(tuple(r[i] for i in order) for r in want)
-
-
 @pytest.mark.parametrize("docs", ["edge", "empty", "small"])
 def test_license_scan_is_its_sql(docs, request):
     docs = request.getfixturevalue(docs)

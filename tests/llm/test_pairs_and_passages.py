@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plain import components, repeats, sha, shingle_set
+from plain import components, repeats, same_as_sql, sha, shingle_set
 from twinspark.llm import ngram_join, rolling, suffix_dedup
 
 
@@ -18,6 +18,18 @@ def test_components_are_those_of_all_pairs(docs, request):
     assert got == sorted(map(repr, components(rows)))
 
 
+@pytest.mark.parametrize("docs", ["edge", "small", "empty"])
+def test_join_is_its_sql(docs, request):
+    docs = request.getfixturevalue(docs)
+    same_as_sql(ngram_join.join(docs).drop("class"), docs, ngram_join.SQL)
+
+
+@pytest.mark.parametrize("docs", ["plain", "small", "empty"])
+def test_suffix_dedup_is_its_sql(docs, request):
+    docs = request.getfixturevalue(docs)
+    same_as_sql(suffix_dedup.digest(docs), docs, suffix_dedup.SQL)
+
+
 def _links(rows):
     """(id, words' shingles, linked other rows) of all pairs."""
     sets = [shingle_set(t) for _, t in rows]

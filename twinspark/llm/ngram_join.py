@@ -431,3 +431,21 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         again = got.where("times > 1").groupBy("of", "id").agg(F.first("row").alias("row")).select("row")
         once = once.unionByName(again)
     return once.select(*cols)
+
+
+#: The join by plain counting of common shingles.
+SQL = r"""
+with recursive t as materialized (select row_number() over (order by doc_id) as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+u as (select rid, unnest(ws) as x, unnest(range(len(ws))) as i from t),
+g as (select rid, x || ' ' || lead(x, 1) over w || ' ' || lead(x, 2) over w || ' ' || lead(x, 3) over w || ' ' || lead(x, 4) over w as shingle from u window w as (partition by rid order by i)),
+s as (select rid, shingle from g where shingle is not null union all select rid, array_to_string(ws, ' ') from t where len(ws) between 1 and 4),
+x as materialized (select distinct rid, md5_number(shingle) as shingle from s),
+n as materialized (select rid, count(*) as n from x group by rid),
+o as (select a.rid as p, b.rid as q, count(*) as c from x a join x b using (shingle) where a.rid < b.rid group by all),
+l as (select p, q from o join n a on a.rid = p join n b on b.rid = q where 100 * c >= 75 * (a.n + b.n - c)),
+e as (select p, q from l union all select q, p from l),
+r as (select rid as p, rid as q from n union select r.p, e.q from r join e on r.q = e.p),
+m as (select p as rid, min(doc_id) as least from r join t on t.rid = q group by p),
+k as (select p as rid, count(*) as n_links from e group by p)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(least, doc_id)::bigint as component_id, coalesce(n_links, 0)::bigint as n_links from t left join n using (rid) left join m using (rid) left join k using (rid)
+"""

@@ -62,4 +62,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op4_class_lm, op5_mixing, op6_language_id, op7_ngram_join, op8_quality_gam, op9_bpe, op10_suffix_dedup)}
-SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL}
+SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL, "op7_ngram_join": ngram_join.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

@@ -296,3 +296,19 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.coalesce("kept_text", "row.text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.join(cut, "key", "left").select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in cols])
+
+
+#: ``digest`` by grouping all windows of 100 bytes, in hex; texts are cut into overlapping pieces first, as long strings are slow to index.
+SQL = """
+with d as materialized (select row_number() over (order by doc_id) as rid, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+c as (select rid, start, substr(x, (2 * start + 1)::bigint, 710) as y from d, unnest(range(0, length(x) // 2 - 99, 256)) as u(start)),
+w as materialized (select rid * 4294967296 + start + j as place, md5_number(substr(y, (2 * j + 1)::bigint, 200)) as g from c, unnest(range(least(256, length(y) // 2 - 99))) as u(j)),
+h as (select g, min(place) as place from w group by g having count(*) > 1),
+f as (select w.place // 4294967296 as rid, w.place % 4294967296 as i from w join h using (g) where w.place > h.place),
+b as (select rid, i, case when i <= lag(i) over (partition by rid order by i) + 100 then 0 else 1 end as fresh from f),
+r as (select rid, i, sum(fresh) over (partition by rid order by i) as run from b),
+s as (select rid, min(i) as a, max(i) + 100 as z from r group by rid, run),
+p as (select rid, a, z, coalesce(lag(z) over (partition by rid order by a), 0) as since from s),
+k as (select rid, sum(z - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(x, (2 * since + 1)::bigint, (2 * (a - since))::bigint), '' order by a) || substr(any_value(x), (2 * max(z) + 1)::bigint) as rest from p join d using (rid) group by rid)
+select doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, x))) as kept_sha256 from d left join k using (rid)
+"""
