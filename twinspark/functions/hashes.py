@@ -85,3 +85,9 @@ def low_frequencies(pixels: Column) -> Column:
 def pixel_difference(a: Column, b: Column) -> Column:
     """Absolute differences of two images of the same size."""
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
+
+
+def autocontrast(v: Column) -> Column:
+    """Values stretched to 0 to 255, rounded down; equal values are 0."""
+    low, high = F.array_min(v), F.array_max(v)
+    return F.transform(v, lambda x: F.when(high > low, F.floor((x - low) * 255 / (high - low))).otherwise(F.lit(0)).cast("int"))

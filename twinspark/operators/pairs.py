@@ -119,17 +119,17 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None
     a matrix product, and only a block's best k of that part go on to the last
     ranking, so what is exchanged is queries times parts times k.
     """
-    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(QUERY_BLOCKS)).alias("qb"))
-    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(VECTOR_PARTS)).alias("vp"))
-    q = q.withColumn("vp", F.explode(F.sequence(F.lit(0), F.lit(VECTOR_PARTS - 1)))).withColumn("vp", F.col("vp").cast("long"))
-    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1)))).withColumn("qb", F.col("qb").cast("long"))
+    blocks, parts = blocks_of(queries), blocks_of(vectors)
+    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb"))
+    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("vp"))
+    q = q.withColumn("vp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("vp", F.col("vp").cast("long"))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        unit = lambda s: (lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300))(np.stack(s.to_list()).astype(float))
         right = right.sort_values("id")
-        a, b, ids = unit(left["qv"]), unit(right["embedding"]), right["id"].to_numpy()
+        a, b, ids = _unit(left["qv"]), _unit(right["embedding"]), right["id"].to_numpy()
         out = []
         for lo in range(0, len(a), 1024):
             d = 1 - a[lo : lo + 1024] @ b.T
@@ -143,7 +143,45 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-QUERY_BLOCKS, VECTOR_PARTS = 4, 4
+def cosine_within(vectors: DataFrame, t: float, digits: int | None = None) -> DataFrame:
+    """All (id1, id2, distance) of a table (id, embedding) within a cosine distance.
+
+    Vectors are cut into blocks and every two blocks meet once, as a matrix product; only pairs within ``t`` leave it.
+    """
+    n = blocks_of(vectors)
+    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    v = v.select("id", "embedding", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def near(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        rows = rows.sort_values("id")
+        left, right = rows[rows["own"] == low], rows[rows["own"] == high]
+        out = [pd.DataFrame({"id1": pd.Series(dtype="int64"), "id2": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
+        if not len(left) or not len(right):
+            return out[0]
+        a, b, i, j = _unit(left["embedding"]), _unit(right["embedding"]), left["id"].to_numpy(), right["id"].to_numpy()
+        for lo in range(0, len(a), 1024):
+            d = 1 - a[lo : lo + 1024] @ b.T
+            d = np.round(d, digits) + 0.0 if digits is not None else d
+            x, y = np.nonzero((d <= t) & (i[lo : lo + 1024, None] < j) if low == high else d <= t)
+            out.append(pd.DataFrame({"id1": np.minimum(i[lo + x], j[y]), "id2": np.maximum(i[lo + x], j[y]), "distance": d[x, y]}))
+        return pd.concat(out)
+
+    return v.groupBy("low", "high").applyInPandas(near, "id1 long, id2 long, distance double")
+
+
+#: Vectors of a block, about, and the least number of blocks.
+BLOCK_ROWS, LEAST_BLOCKS = 50_000, 4
+
+
+def blocks_of(vectors: DataFrame) -> int:
+    return max(LEAST_BLOCKS, -(-vectors.count() // BLOCK_ROWS))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_list()).astype(float)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 
 
 def knn_pairs(near: DataFrame, t: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,5 +118,19 @@ def next_visible(group: DataFrame, index: int, step: int) -> int:
     return -1 if got is None else got
 
 
+def visible_neighbours(rows: DataFrame, group: str, idx: str, hidden: Column) -> DataFrame:
+    """``rows`` with next_visible and previous_visible: for every row the nearest of its group that isn't hidden, itself included; else -1."""
+    seen = F.when(~hidden, F.col(idx))
+    w = W.partitionBy(group).orderBy(idx)
+    after = F.min(seen).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    before = F.max(seen).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumns({"next_visible": F.coalesce(after, F.lit(-1)), "previous_visible": F.coalesce(before, F.lit(-1))})
+
+
+def stamped(rows: DataFrame, column: str = "created_at") -> DataFrame:
+    """Rows without a time get the current one."""
+    return rows.withColumn(column, F.coalesce(F.col(column), F.current_timestamp()))
+
+
 def type_counts(stored: DataFrame) -> DataFrame:
     return stored.groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"))

@@ -250,13 +250,9 @@ def ai_groups(spark: SparkSession, d: str) -> DataFrame:
     return graph.groups(graph.components(edges(vector_pairs(spark, d)), kept))
 
 
-@query(f"select a.vec_id as id1, b.vec_id as id2, {_COSINE} as distance from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label where {_COSINE} <= {VECTOR_T}")
+@query(f"select a.vec_id as id1, b.vec_id as id2, {_COSINE} as distance from embeddings a join embeddings b on a.vec_id < b.vec_id where {_COSINE} <= {VECTOR_T}")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = read(spark, d, "embeddings")
-    a = v.select(F.col("vec_id").alias("id1"), "label", F.col("embedding").alias("x"))
-    b = v.select(F.col("vec_id").alias("id2"), "label", F.col("embedding").alias("y"))
-    got = a.join(b, "label").where("id1 < id2").select("id1", "id2", F.round(hashes.cosine_distance(F.col("x"), F.col("y")), 6).alias("distance"))
-    return got.where(F.col("distance") <= VECTOR_T)
+    return pairs.cosine_within(adapters.vectors(spark, d), VECTOR_T, 6)
 
 
 # --- relations -------------------------------------------------------------------

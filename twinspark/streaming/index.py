@@ -26,12 +26,17 @@ def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: list[str]
     query.awaitTermination()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The table of the last batch."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName()) for s in fs.listStatus(path))
-    return spark.read.parquet(f"{target}/{last}")
+def current(spark: SparkSession, target: str, schema: str | None = None) -> DataFrame:
+    """The table of the last batch that was written whole; before the first one an empty table of ``schema``."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = new(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(new(target))] if fs.exists(new(target)) else []
+    whole = [int(n) for n in names if n.isdigit() and fs.exists(new(f"{target}/{n}/_SUCCESS"))]
+    if whole:
+        return spark.read.parquet(f"{target}/{max(whole)}")
+    if schema is None:
+        raise FileNotFoundError(f"no batch is written to {target}")
+    return spark.createDataFrame([], schema)
 
 
 def index_files(store: Store, listing: DataFrame, fingerprint) -> int:
