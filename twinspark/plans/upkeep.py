@@ -9,7 +9,7 @@ from twinspark.engines import Engine
 from twinspark.functions import hashes
 from twinspark.operators import actions, clusters, files, pairs, relations
 from twinspark.plans import scan
-from twinspark.plans.queries import _LOOSE, FILES, MEMBERS, NEAR, ROOTS, T, loose_relations, members_of, plain_files, query
+from twinspark.plans.queries import _LOOSE, FILES, MEMBERS, NEAR, T, _under, loose_relations, members_of, plain_files, query
 from twinspark.plans.shared import kept
 from twinspark.sources import adapters
 from twinspark.sources.adapters import read
@@ -28,11 +28,10 @@ def known_clusters(spark: SparkSession, d: str) -> DataFrame:
 # --- scans ------------------------------------------------------------------------
 
 
-def _in_roots(id_: str) -> str:
-    return f"{id_} in (select id from base where " + " or ".join(f"starts_with(path, '{r}/')" for r in ROOTS) + ")"
+SCAN_ROOTS = [f"/src{k}" for k in range(14)]
 
 
-@query(f"with {NEAR} select id1, id2, distance from near where {_in_roots('id1')} and {_in_roots('id2')}")
+@query(f"with {NEAR} select id1, id2, distance from near join base a on a.id = id1 join base b on b.id = id2 where {_under('a.path', SCAN_ROOTS)} and {_under('b.path', SCAN_ROOTS)}")
 def scan_pairs(spark: SparkSession, d: str) -> DataFrame:
     """A scan from its listing to the pairs inside the roots; Spanish files are known, but without a hash."""
     rows = plain_files(spark, d)
@@ -40,7 +39,7 @@ def scan_pairs(spark: SparkSession, d: str) -> DataFrame:
     known = rows.select("id", "path", F.lit(None).cast("string").alias("phash"), *[F.lit(None).cast("int").alias(c) for c in hashes.CHUNKS], "file_size", F.lit(0.0).alias("last_modified"))
     prints = adapters.simhash(read(spark, d, "documents")).join(rows.select("id", "path"), "id").select("path", "phash")
     engine = Engine("phash", lambda stale: stale.join(prints, "path", "left"), lambda df, t: pairs.hamming_join(df, int(t)))
-    return scan.Scan(engine, ROOTS, T).run(listing, known).select("id1", "id2", "distance")
+    return scan.Scan(engine, SCAN_ROOTS, T).run(listing, known).select("id1", "id2", "distance")
 
 
 @query("select user_id, event_id, ts from events qualify row_number() over (partition by user_id, epoch_us(ts) // 86400000000 order by ts desc, event_id desc) = 1")
