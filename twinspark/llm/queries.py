@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import bpe, class_lm, fingerprints, language_id, licenses, mixing, ngram_join, quality_gam, quality_rules, suffix_dedup
+from twinspark.llm import bpe, class_lm, fingerprints, language_id, licenses, mixing, ngram_join, packing, quality_gam, quality_rules, suffix_dedup
 from twinspark.llm.common import fold, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,5 +61,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_fingerprints, op4_class_lm, op5_mixing, op6_language_id, op7_ngram_join, op8_quality_gam, op9_bpe, op10_suffix_dedup)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, columns=("ids_crc32",))
+
+
+_ALL = (
+    op1_license_scan,
+    op2_quality_rules,
+    op3_fingerprints,
+    op4_class_lm,
+    op5_mixing,
+    op6_language_id,
+    op7_ngram_join,
+    op8_quality_gam,
+    op9_bpe,
+    op10_suffix_dedup,
+    op11_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL, "op7_ngram_join": ngram_join.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
