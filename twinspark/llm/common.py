@@ -95,10 +95,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, str(AT_A_TIME))
 
 
-def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+def settled(df: DataFrame, rows: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as a table in the shared folder, so that later plans start from files that all executors see.
 
-    ``rows``: how many rows go to Python at a time, where they are large.
+    ``rows``: how many rows go to Python at a time, where they are large. ``by``: columns that have folders of their own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
@@ -106,7 +106,7 @@ def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark.conf.set(_CLEAN, "true")
     spark.conf.set(_ROWS, str(rows or at_a_time))
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
         spark.conf.set(_ROWS, at_a_time)
@@ -150,6 +150,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined(spark: SparkSession, tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables that ``settled`` gave and that have the same columns."""
+    return spark.read.schema(tables[0].schema).parquet(*[_WRITTEN[id(t)][1] for t in tables])
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the table that ``settled`` gave as ``df``; nothing that was built on it may still be unread."""
     path = _WRITTEN.pop(id(df), (None, ""))[1]

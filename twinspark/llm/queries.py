@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.llm import bpe, class_lm, fingerprints, language_id, licenses, mixing, ngram_join, packing, quality_gam, quality_rules, suffix_dedup
+from twinspark.llm import bpe, centroids, class_lm, fingerprints, language_id, licenses, mixing, negatives, ngram_join, packing, quality_gam, quality_rules, suffix_dedup
 from twinspark.llm.common import fold, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, columns=("ids_crc32",))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 _ALL = (
     op1_license_scan,
     op2_quality_rules,
@@ -77,6 +86,15 @@ _ALL = (
     op9_bpe,
     op10_suffix_dedup,
     op11_packing,
+    op12_centroids,
+    op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_license_scan": licenses.sql(), "op2_quality_rules": quality_rules.SQL, "op7_ngram_join": ngram_join.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+SQL = {
+    "op1_license_scan": licenses.sql(),
+    "op2_quality_rules": quality_rules.SQL,
+    "op7_ngram_join": ngram_join.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
+    "op12_centroids": centroids.sql(),
+    "op13_hard_negatives": negatives.sql(),
+}
