@@ -61,45 +61,66 @@ def hamming_mih(files: DataFrame, t: int) -> DataFrame:
     return mih_candidates(files).where(F.col("distance") <= t)
 
 
-def _blocks(n: int) -> list[tuple[int, int]]:
-    """First bit and width of n blocks of 64 bits."""
+def as_number(phash: Column) -> Column:
+    """A hash of 16 hex digits as a 64-bit number, NULL for anything else."""
+    parts = [hashes.chunk(phash, k).cast("long") for k in range(4)]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 48 - 16 * k) for k, c in enumerate(parts)])
+
+
+def as_hex(x: Column) -> Column:
+    return F.lpad(F.lower(F.hex(x)), 16, "0")
+
+
+def _blocks(t: int) -> list[tuple[int, int]]:
+    """First bit (from the low end) and width of the blocks of 64 bits for a threshold; at least one differs in at most t // n bits."""
+    n = 4 if t <= 7 else min(t // 2 + 1, 32)
     return [(64 * k // n, 64 * (k + 1) // n - 64 * k // n) for k in range(n)]
 
 
-def _block(start: int, width: int) -> Column:
-    """Bits start..start + width - 1 (from the high end) of the four chunks, as a number."""
-    parts, shift = [], 0
-    for k in range(3, -1, -1):
-        lo, hi = max(start, 16 * k), min(start + width, 16 * k + 16)
-        if lo < hi:
-            bits = F.shiftright(F.col(CHUNKS[k]).cast("long"), 16 * k + 16 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-            parts.append(F.shiftleft(bits, shift))
-            shift += hi - lo
-    return reduce(lambda x, y: x + y, parts)
+def block_rows(h: DataFrame, t: int) -> DataFrame:
+    """(k, v, x): the blocks of every hash x."""
+    value = [F.shiftrightunsigned("x", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _blocks(t)]
+    return h.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate(value)])).alias("b")).select("b.k", "b.v", "x")
+
+
+def near_rows(h: DataFrame, t: int) -> DataFrame:
+    """(k, v, x): the blocks of every hash x and, where the threshold needs it, all that differ in one bit."""
+    cut = _blocks(t)
+    if t // len(cut) == 0:
+        return block_rows(h, t)
+    width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("k") + 1)
+    bits = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return block_rows(h, t).select("k", F.explode(F.concat(F.array("v"), bits)).alias("v"), "x")
+
+
+def blocks_meet(around: DataFrame, blocks: DataFrame, t: int) -> DataFrame:
+    """(x, y, distance) within t bits, of hashes x of ``near_rows`` and y of ``block_rows``, x <> y, each once.
+
+    The distance is taken in the join, and a pair is kept at its first common block only.
+    """
+    cut = _blocks(t)
+    spare = t // len(cut)
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    masks = [((1 << width) - 1) << at for at, width in cut]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    first = [(F.col("k") <= j) | (F.bit_count(differ.bitwiseAND(F.lit(m).cast("long"))) > spare) for j, m in enumerate(signed[:-1])]
+    met = around.join(blocks.withColumnRenamed("x", "y"), ["k", "v"]).where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")))
+    return met.where(reduce(lambda a, b: a & b, first)).select("x", "y", F.bit_count(differ).alias("distance"))
 
 
-def distinct_hash_pairs(files: DataFrame, t: int, step: int = 3) -> DataFrame:
+def distinct_hash_pairs(files: DataFrame, t: int) -> DataFrame:
     """(h1, h2, distance) of all different hashes within t bits, h1 < h2; complete for every t.
 
     Of m blocks one differs in at most t / m bits. Up to t = 7, the four chunks are joined with all their neighbours
     by t // 4 bits; above, t // 2 + 1 blocks with at most one differing bit each are joined with theirs.
     """
-    h = files.where(F.col(CHUNKS[0]).isNotNull()).groupBy(F.lower("phash").alias("id")).agg(*[F.first(c).alias(c) for c in CHUNKS])
-    m = 4 if t <= 7 else min(t // 2 + 1, 32)
-    spare = t // m
-    if spare > 1:
-        a, b = _sides(h)
-        pairs = a.join(b, (a["id1"] < b["id2"]) & (_distance() <= t))
-        return pairs.select(F.col("id1").alias("h1"), F.col("id2").alias("h2"), _distance().alias("distance"))
-    blocks = F.array(*[F.struct(F.lit(k).alias("k"), _block(*w).alias("v")) for k, w in enumerate(_blocks(m))])
-    width = F.array(*[F.lit(w) for _, w in _blocks(m)])
-    a, b = _sides(h)
-    own = h.select("id", F.explode(blocks).alias("b")).select(F.col("id").alias("id1"), "b.*")
-    near = F.array(F.col("v")) if not spare else F.concat(F.array(F.col("v")), F.transform(F.sequence(F.lit(0), F.get(width, F.col("k")) - 1), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    other = h.select("id", F.explode(blocks).alias("b")).select(F.col("id").alias("id2"), "b.*").select("id2", "k", F.explode(near).alias("v"))
-    found = own.join(other, ["k", "v"]).where("id1 < id2").select("id1", "id2").distinct()
-    pairs = found.join(a, "id1").join(b, "id2").select(F.col("id1").alias("h1"), F.col("id2").alias("h2"), _distance().alias("distance"))
-    return pairs.where(F.col("distance") <= t)
+    h = files.where(F.col(CHUNKS[0]).isNotNull()).select(F.lower("phash").alias("phash")).distinct()
+    h = h.select(as_number(F.col("phash")).alias("x"))
+    if t >= 64:  # all pairs are the answer
+        found = h.join(h.withColumnRenamed("x", "y"), F.col("x") != F.col("y")).select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
+    else:
+        found = blocks_meet(near_rows(h, t), block_rows(h, t), t)
+    return found.select(as_hex(F.col("x")).alias("h1"), as_hex(F.col("y")).alias("h2"), "distance").where("h1 < h2")
 
 
 def hamming_join(files: DataFrame, t: int) -> DataFrame:
