@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinspark.functions.hashes import CHUNKS, with_chunks
 from twinspark.operators.clusters import numbered
+from twinspark.operators.store import Store
 
 
 def by_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
@@ -18,10 +19,10 @@ def missing_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(files.select("id"), "id", "left_anti")
 
 
-def upsert(files: DataFrame, new: DataFrame, order: str = "seq", keep_hash: bool = False) -> DataFrame:
+def upsert(files: DataFrame, new: DataFrame, order: str = "seq", keep_hash: bool = False, largest: int | None = None) -> DataFrame:
     """Insert or update by path; ids stay, new ones follow the largest in the order of paths, the last row of a path wins.
 
-    ``keep_hash``: a missing new hash leaves the stored one.
+    ``keep_hash``: a missing new hash leaves the stored one. ``largest``: the largest id so far, where ``files`` is a part of the table.
     """
     w = W.partitionBy("path").orderBy(F.desc(order))
     new = new.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", order)
@@ -31,12 +32,26 @@ def upsert(files: DataFrame, new: DataFrame, order: str = "seq", keep_hash: bool
     value = {c: F.coalesce(f"_{c}", c) if keep_hash and c == "phash" else F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in cols}
     both = both.select("path", "id", *[value[c].alias(c) if c in value else F.col(c) for c in files.columns if c not in ("path", "id", *CHUNKS)])
     old, fresh = both.where("id is not null"), both.where("id is null").drop("id")
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = numbered(fresh, "path").crossJoin(F.broadcast(top)).withColumn("id", F.col("number") + F.col("_top")).drop("number", "_top")  # one row
+    if largest is None:
+        top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+        fresh = numbered(fresh, "path").crossJoin(F.broadcast(top))  # one row
+    else:
+        fresh = numbered(fresh, "path").withColumn("_top", F.lit(largest).cast("long"))
+    fresh = fresh.withColumn("id", F.col("number") + F.col("_top")).drop("number", "_top")
     out = old.unionByName(fresh)
     return with_chunks(out).select(*files.columns) if CHUNKS[0] in files.columns else out.select(*files.columns)
 
 
+def upsert_into(store: Store, new: DataFrame, table: str = "files", order: str = "seq", keep_hash: bool = False) -> int:
+    """``upsert`` into a table that a store keeps in buckets of the path: k paths read and write k buckets at most. Returns the version."""
+    buckets = store.touched(table, new)
+    largest = store.note(f"{table}.largest_id", 0)
+    change = store.rewritten(table, upsert(store.read(table, buckets=buckets), new, order, keep_hash, largest), buckets)
+    written = [f"{store.root}/{folder}" for folder in change.buckets.values() if folder]
+    top = store.spark.read.parquet(*written).agg(F.max("id")).first()[0] if written else 0
+    return store.publish([change], notes={f"{table}.largest_id": max(largest, top or 0)})
+
+
 def delete(files: DataFrame, relations: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the paths, and relations without their files."""
     left = files.join(paths.select("path").distinct(), "path", "left_anti")

@@ -133,24 +133,14 @@ def hamming_join(files: DataFrame, t: int) -> DataFrame:
     return apart.unionByName(equal)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None = None) -> DataFrame:
-    """(id, match_id, distance, rank): the k nearest by cosine distance, a query itself included; ties by id.
-
-    Queries are cut into blocks; each block meets every part of the vectors once as
-    a matrix product, and only a block's best k of that part go on to the last
-    ranking, so what is exchanged is queries times parts times k.
-    """
-    blocks, parts = blocks_of(queries), blocks_of(vectors)
-    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb"))
-    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("vp"))
-    q = q.withColumn("vp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("vp", F.col("vp").cast("long"))
-    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
+def best_of(k: int, digits: int | None):
+    """Of two blocks (qid, qv) and (id, embedding): each query's k nearest (id, match_id, distance), ties by id."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         right = right.sort_values("id")
-        a, b, ids = _unit(left["qv"]), _unit(right["embedding"]), right["id"].to_numpy()
+        a, b, ids = unit_rows(left["qv"]), unit_rows(right["embedding"]), right["id"].to_numpy()
         out = []
         for lo in range(0, len(a), 1024):
             d = 1 - a[lo : lo + 1024] @ b.T
@@ -159,7 +149,23 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None
             out.append(pd.DataFrame({"id": np.repeat(left["qid"].to_numpy()[lo : lo + 1024], top.shape[1]), "match_id": ids[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
         return pd.concat(out)
 
-    near = q.groupBy("qb", "vp").cogroup(v.groupBy("qb", "vp")).applyInPandas(best, "id long, match_id long, distance double")
+    return best
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int = 20, digits: int | None = None) -> DataFrame:
+    """(id, match_id, distance, rank): the k nearest by cosine distance, a query itself included; ties by id.
+
+    Queries are cut into blocks; each block meets every part of the vectors once as
+    a matrix product, and only a block's best k of that part go on to the last
+    ranking, so what is exchanged is queries times parts times k.
+    """
+    blocks, parts = blocks_of(queries), blocks_of(vectors)
+    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("qv"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("qb"))
+    v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("vp"))
+    q = q.withColumn("vp", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("vp", F.col("vp").cast("long"))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
+
+    near = q.groupBy("qb", "vp").cogroup(v.groupBy("qb", "vp")).applyInPandas(best_of(k, digits), "id long, match_id long, distance double")
     rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "match_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -181,7 +187,7 @@ def cosine_within(vectors: DataFrame, t: float, digits: int | None = None) -> Da
         out = [pd.DataFrame({"id1": pd.Series(dtype="int64"), "id2": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
         if not len(left) or not len(right):
             return out[0]
-        a, b, i, j = _unit(left["embedding"]), _unit(right["embedding"]), left["id"].to_numpy(), right["id"].to_numpy()
+        a, b, i, j = unit_rows(left["embedding"]), unit_rows(right["embedding"]), left["id"].to_numpy(), right["id"].to_numpy()
         for lo in range(0, len(a), 1024):
             d = 1 - a[lo : lo + 1024] @ b.T
             d = np.round(d, digits) + 0.0 if digits is not None else d
@@ -200,7 +206,7 @@ def blocks_of(vectors: DataFrame) -> int:
     return max(LEAST_BLOCKS, -(-vectors.count() // BLOCK_ROWS))
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_list()).astype(float)
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 

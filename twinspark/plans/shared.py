@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from twinspark.operators.store import Store
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only on a local master."""
@@ -24,3 +26,8 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_store(spark: SparkSession) -> Store:
+    """An empty store in the shared folder."""
+    return Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")

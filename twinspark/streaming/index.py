@@ -9,25 +9,36 @@ from twinspark.operators.store import Store
 from twinspark.sources.adapters import last_wins
 
 
-def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+def upsert_stream(rows: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 16) -> None:
     """Brings a table of the last row of every key up to date with all that the stream has now.
 
-    A batch is merged with the version before it into a folder of its own number, so a batch that is run again after a
-    failure gives the same table.
+    The table is kept in buckets of its key, and a batch rewrites those of its own keys. The number of a batch is noted in
+    its commit, so a batch that is run again after a failure changes nothing. What no version uses any more is deleted.
     """
-    spark = rows.sparkSession
+    store = Store(rows.sparkSession, target)
+    if store.entry("rows") is None:
+        store.in_buckets("rows", rows.schema, keys, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = [batch] if not number else [spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}"), batch]
-        both = old[0] if len(old) == 1 else old[0].unionByName(old[1])
-        last_wins(both, keys, *order).write.mode("overwrite").parquet(f"{target}/{number}")
+        if number <= store.note("batch", -1):
+            return
+        touched = store.touched("rows", batch)
+        both = store.read("rows", buckets=touched).unionByName(batch)
+        store.publish([store.rewritten("rows", last_wins(both, keys, *order), touched)], notes={"batch": number})
+        store.vacuum(keep=2)
 
     query = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def current(spark: SparkSession, target: str, schema: str | None = None) -> DataFrame:
-    """The table of the last batch that was written whole; before the first one an empty table of ``schema``."""
+    """The table as the last whole batch has left it; before the first one an empty table of ``schema``.
+
+    A folder of numbered tables, one for each batch, is read as well.
+    """
+    store = Store(spark, target)
+    if store.entry("rows") is not None:
+        return store.read("rows")
     new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = new(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(new(target))] if fs.exists(new(target)) else []
