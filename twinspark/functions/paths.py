@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from twinspark.operators.running import running
+
 IMAGES = r"\.(png|jpe?g|bmp|gif|webp)$"
 DROPPED = r"\.(png|jpe?g|bmp|gif|webp|tiff)$"
 
@@ -79,24 +80,26 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     parts = {"prefix": F.regexp_replace(base, r"_\d{1,15}$", ""), "ext": extension(F.col("path")), "n": F.when(number == "", F.lit(0)).otherwise(number.cast("bigint"))}
     used = taken.select("path").distinct()
     asked = wanted.select("path").withColumns(parts).join(used.withColumn("known", F.lit(True)), "path", "left")
-    asked = asked.withColumn("turn", F.row_number().over(W.partitionBy("path").orderBy("path")))
+    one = F.lit(1).cast("long")
+    asked = running(asked, ["path"], [], turn=(one, "sum", "up"))
     stays = F.col("known").isNull() & (F.col("turn") == 1)
     kept, moved = asked.where(stays).select("path", F.col("path").alias("new_path")), asked.where(~stays)
-    of = W.partitionBy("prefix", "ext")
+    of = ["prefix", "ext"]
     named = used.unionByName(kept.select("path")).distinct().withColumns(parts)
     named = named.where((F.col("n") > 0) & (F.col("path") == F.concat("prefix", F.lit("_"), F.col("n").cast("string"), "ext")))
-    named = named.select("prefix", "ext", "n", (F.col("n") - F.row_number().over(of.orderBy("n"))).alias("free_before"))
-
-    def passed(rows: DataFrame, at: str, marks: DataFrame, mark: str, marks_first: bool) -> DataFrame:
-        """rows with ``c``, how many marks of their stem lie below ``at`` (or at it, with marks_first)."""
-        both = rows.withColumns({"x": F.col(at), "kind": F.lit(1)}).unionByName(marks.select("prefix", "ext", F.col(mark).alias("x"), F.lit(0 if marks_first else 2).alias("kind")), allowMissingColumns=True)
-        count = F.sum(F.when(F.col("kind") == 1, 0).otherwise(1)).over(of.orderBy("x", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-        return both.withColumn("c", count).where("kind = 1").drop("x", "kind")
-
-    moved = passed(moved.select("path", "turn", "prefix", "ext", "n"), "n", named, "n", True)
-    moved = moved.withColumn("k", F.row_number().over(of.orderBy("n", "path", "turn")))
-    first = F.max(F.col("n") - F.col("c") + 1 - F.col("k")).over(of.orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
-    moved = moved.withColumn("rank", F.col("k") + first).drop("c")
+    named = running(named, of, ["n"], place=(one, "sum", "up")).select(*of, "n", (F.col("n") - F.col("place")).alias("free_before"))
+
+    def passed(rows: DataFrame, at: str, marks: DataFrame, mark: str, marks_first: bool, *order: str) -> DataFrame:
+        """rows with ``c``, how many marks of their stem lie below ``at`` (or at it, with marks_first), and ``k``, their number by ``at`` and ``order``."""
+        marks = marks.select(*of, F.col(mark).alias("x"), F.lit(0 if marks_first else 2).alias("kind"))
+        both = rows.withColumns({"x": F.col(at), "kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+        mine = F.col("kind") == 1
+        counted = running(both, of, ["x", "kind", *order], c=((~mine).cast("long"), "sum", "up"), k=(mine.cast("long"), "sum", "up"))
+        return counted.where("kind = 1").drop("x", "kind")
+
+    moved = passed(moved.select("path", "turn", *of, "n"), "n", named, "n", True, "path", "turn")
+    moved = running(moved, of, ["k"], first=(F.col("n") - F.col("c") + 1 - F.col("k"), "max", "up"))
+    moved = moved.withColumn("rank", F.col("k") + F.col("first")).drop("c", "k")
     moved = passed(moved, "rank", named, "free_before", False)
     return kept.unionByName(moved.select("path", F.concat("prefix", F.lit("_"), (F.col("rank") + F.col("c")).cast("string"), "ext").alias("new_path")))
 

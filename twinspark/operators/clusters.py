@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Rows that are numbered in one task.
-RANGE = 100_000
+from twinspark.operators.running import numbered
 
 
 def membership(members: DataFrame) -> DataFrame:
@@ -42,28 +40,6 @@ def reconcile(components: DataFrame, members: DataFrame, files: DataFrame) -> tu
     return kept.unionByName(sticky).unionByName(new).distinct(), delta
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``number`` 1, 2, ... in the order of ``key``.
-
-    Keys are cut into ranges of about RANGE rows, with borders from about 50 keys a
-    range; rows are numbered inside their range, to which the sizes of the ranges
-    before it (one row each) are added. Borders only deal out the work.
-    """
-    n = rows.count()
-    if n <= RANGE:
-        part: Column = F.lit(0)
-    else:
-        share = min(1.0, 50 * (n // RANGE + 1) / n)
-        drawn = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(key)
-        cut = drawn.withColumn("_t", F.ntile(n // RANGE + 1).over(W.orderBy(key))).groupBy("_t").agg(F.max(key).alias("b"))
-        part = F.size(F.filter(F.lit(sorted({r["b"] for r in cut.collect()})), lambda b: b < F.col(key)))
-    rows = rows.withColumn("_part", part)
-    before = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return rows.withColumn("_rank", rank).join(before, "_part").withColumn("number", (F.col("_rank") + F.col("_before")).cast("long")).drop("_part", "_rank", "_before")
-
-
 def inside_roots(shown: DataFrame, inside: Column) -> DataFrame:
     """Clusters all paths of which are inside the roots."""
     ok = shown.groupBy("cluster_id").agg(F.bool_and(inside).alias("ok")).where("ok").select("cluster_id")

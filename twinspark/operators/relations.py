@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from twinspark import schemas
+from twinspark.operators.running import running
 
 KEY = ["id1", "id2"]
 
@@ -121,10 +122,8 @@ def next_visible(group: DataFrame, index: int, step: int) -> int:
 def visible_neighbours(rows: DataFrame, group: str, idx: str, hidden: Column) -> DataFrame:
     """``rows`` with next_visible and previous_visible: for every row the nearest of its group that isn't hidden, itself included; else -1."""
     seen = F.when(~hidden, F.col(idx))
-    w = W.partitionBy(group).orderBy(idx)
-    after = F.min(seen).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    before = F.max(seen).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.withColumns({"next_visible": F.coalesce(after, F.lit(-1)), "previous_visible": F.coalesce(before, F.lit(-1))})
+    near = running(rows, [group], [idx], next_visible=(seen, "min", "down"), previous_visible=(seen, "max", "up"))
+    return near.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("next_visible", "previous_visible")})
 
 
 def stamped(rows: DataFrame, column: str = "created_at") -> DataFrame:

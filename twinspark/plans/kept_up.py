@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.operators import files, ivf, pairs
+from twinspark.operators import files, ivf, metric, pairs
 from twinspark.operators.incremental import Components, Pairs
 from twinspark.plans.queries import _COSINE, _NEGATIVE, HASHED, STORED, VECTOR_T, T, closure, edges, hashed_files, near, query, stored_of
 from twinspark.plans.shared import folder, kept, new_store
@@ -125,3 +125,52 @@ def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
     for k in range(3):
         files.upsert_into(store, new.where(F.col("event_id") % 3 == k).drop("event_id"))
     return store.read("files")
+
+
+# --- any metric ---------------------------------------------------------------------
+
+
+#: Pivots, and the radius of each join.
+PIVOTS, EDITS = 8, 3
+_PAGES = "select distinct url as value from pages where url is not null"
+_HASHES = "select distinct (('0x' || phash)::ubigint) as value from files where phash is not null"
+
+
+def _pivots_sql(values: str, distance: str, text: str = "value") -> str:
+    """u: different values with their distances to the pivots."""
+    return f"""vals as materialized ({values}), piv as materialized (select value as p, row_number() over (order by md5({text}), value) as k from vals qualify k <= {PIVOTS}),
+u as materialized (select value, list({distance} order by k) as d from vals, piv group by value)"""
+
+
+def _compared_sql(radius: int) -> str:
+    """Pairs that are compared: the higher one's cell is visited by the lower one, or is its own, in a ring next to its own, and no pivot keeps them apart."""
+    return f"""placed as (select value, d, list_position(d, list_min(d)) as cell from u),
+cand as (select a.value as a, b.value as b, a.cell as own, b.cell as other from placed a join placed b on
+  (a.cell = b.cell and a.value < b.value or a.cell < b.cell and b.d[a.cell] <= b.d[b.cell] + 2 * {radius})
+  and len(list_filter(list_zip(a.d, b.d), lambda z: abs(z[1] - z[2]) > {radius})) = 0)"""
+
+
+def page_urls(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select(F.col("url").alias("value"))
+
+
+@query(f"with vals as ({_PAGES}) select * from (select a.value as a, b.value as b, levenshtein(a.value, b.value)::int as distance from vals a join vals b on a.value < b.value) where distance <= {EDITS}")
+def metric_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses within three edits of each other."""
+    urls = kept(page_urls(spark, d))
+    return metric.range_join(urls, metric.edit_distance, EDITS, metric.pivots(urls, PIVOTS))
+
+
+@query(f"with {_pivots_sql(_PAGES, 'levenshtein(value, p)')}, {_compared_sql(EDITS)} select (select count(*) from vals) as different, (select count(*) * (count(*) - 1) // 2 from vals)::bigint as pairs, (select count(*) from cand) as compared")
+def metric_edit_pruning(spark: SparkSession, d: str) -> DataFrame:
+    urls = kept(page_urls(spark, d))
+    return metric.pruning(urls, metric.edit_distance, EDITS, metric.pivots(urls, PIVOTS))
+
+
+@query(f"with {HASHED}, vals as ({_HASHES}) select * from (select printf('%016x', a.value) as h1, printf('%016x', b.value) as h2, bit_count(xor(a.value, b.value))::int as distance from vals a join vals b on a.value < b.value) where distance <= {T}")
+def metric_hash_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Different hashes within five bits, by the operator of any metric."""
+    numbers = kept(hashed_files(spark, d).select(pairs.as_number(F.col("phash")).alias("value")))
+    found = metric.range_join(numbers, metric.bits_apart, T, metric.pivots(numbers, PIVOTS))
+    h1, h2 = pairs.as_hex(F.col("a")), pairs.as_hex(F.col("b"))
+    return found.select(F.least(h1, h2).alias("h1"), F.greatest(h1, h2).alias("h2"), "distance")
