@@ -50,6 +50,11 @@ def median_hash(v: Column) -> Column:
     return F.transform(bits, hex_of_bits)[0]
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
@@ -82,6 +87,49 @@ def low_frequencies(pixels: Column) -> Column:
     return transform(pixels)
 
 
+def cubic(x: float, a: float = -0.5) -> float:
+    """The cubic convolution kernel (Keys, 1981)."""
+    x = abs(x)
+    return ((a + 2) * x - (a + 3)) * x * x + 1 if x < 1 else (((x - 5) * x + 8) * x - 4) * a if x < 2 else 0.0
+
+
+def resampling(n: int, m: int) -> np.ndarray:
+    """The m x n matrix that takes n samples to m: cubic, wider by the scale where there are fewer, weights of sum 1."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    centre = (np.arange(m) + 0.5) * scale
+    out = np.array([[cubic((i + 0.5 - c) / wide) for i in range(n)] for c in centre])
+    return out / out.sum(1, keepdims=True)
+
+
+def resized(pixels: Column, size: tuple[int, int], to: tuple[int, int]) -> Column:
+    """Values of 0 to 255 of an image of ``size`` (rows, columns), row by row, as one of another size: two matrix products, then whole numbers."""
+    (rows, columns), down, across = size, resampling(size[0], to[0]), resampling(size[1], to[1])
+    dot = lambda values, weights: F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    matrix = lambda m: F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in m])
+    across_all = lambda p: F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.transform(matrix(across), lambda w: dot(F.slice(p, r * columns + 1, columns), w)))
+    turned = lambda lines: F.transform(F.sequence(F.lit(0), F.lit(to[1] - 1)), lambda c: F.transform(lines, lambda line: F.get(line, c)))
+    down_all = lambda each: F.transform(matrix(down), lambda w: F.transform(each, lambda column: dot(column, w)))
+    out = once(pixels, lambda p: once(across_all(p), lambda lines: once(turned(lines), down_all)))
+    return F.transform(F.flatten(out), lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int"))
+
+
+#: Weights of red, green and blue in a grey value, in thousandths (fixed values).
+LUMA = (299, 587, 114)
+
+
+def luma(red: Column, green: Column, blue: Column) -> Column:
+    """Grey values of three channels, rounded."""
+    both = F.arrays_zip(red.alias("r"), green.alias("g"), blue.alias("b"))
+    return F.transform(both, lambda p: F.floor((p["r"] * LUMA[0] + p["g"] * LUMA[1] + p["b"] * LUMA[2] + 500) / 1000).cast("int"))
+
+
+def image_difference(left: list[Column], right: list[Column], size: tuple[int, int], other: tuple[int, int]) -> Column:
+    """How two images of three channels differ: the right one in the size of the left, differences by channel, grey, stretched."""
+    channels = [pixel_difference(a, resized(b, other, size) if size != other else b) for a, b in zip(left, right)]
+    return autocontrast(luma(*channels))
+
+
 def pixel_difference(a: Column, b: Column) -> Column:
     """Absolute differences of two images of the same size."""
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
@@ -89,5 +137,5 @@ def pixel_difference(a: Column, b: Column) -> Column:
 
 def autocontrast(v: Column) -> Column:
     """Values stretched to 0 to 255, rounded down; equal values are 0."""
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(high > low, F.floor((x - low) * 255 / (high - low))).otherwise(F.lit(0)).cast("int"))
+    stretched = lambda v, m: F.transform(v, lambda x: F.when(m["high"] > m["low"], F.floor((x - m["low"]) * 255 / (m["high"] - m["low"]))).otherwise(F.lit(0)).cast("int"))
+    return once(v, lambda v: once(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda m: stretched(v, m)))

@@ -169,10 +169,15 @@ def phash_chunks(spark: SparkSession, d: str) -> DataFrame:
     return hashes.with_chunks(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.md5("text"), 1, 16).alias("phash")))
 
 
-@query("select * from (values ('ffffffffffffffff', '0000000000000000', 64), ('0000000000000000', '0000000000000001', 1), ('8000000000000000', '0000000000000000', 1), ('abc', '0000000000000000', null::int), ('zzzzzzzzzzzzzzzz', '0000000000000000', null::int)) t(a, b, distance)")
+@query("""with h as (select event_id, md5(event_id::varchar) as a, md5(user_id::varchar) as b from events),
+n as (select event_id, event_id % 5 = 0 as odd, ('0x' || substr(a, 1, 8))::bigint as a1, ('0x' || substr(a, 9, 8))::bigint as a2, ('0x' || substr(b, 1, 8))::bigint as b1, ('0x' || substr(b, 9, 8))::bigint as b2 from h)
+select event_id, (case when not odd then bit_count(xor(a1, b1)) + bit_count(xor(a2, b2)) end)::int as distance from n""")
 def hamming_literals(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("ffffffffffffffff", "0000000000000000"), ("0000000000000000", "0000000000000001"), ("8000000000000000", "0000000000000000"), ("abc", "0000000000000000"), ("zzzzzzzzzzzzzzzz", "0000000000000000")]
-    return spark.createDataFrame(rows, "a string, b string").select("a", "b", hashes.hamming_hex(F.col("a"), F.col("b")).alias("distance"))
+    """Distances of hashes as text; every fifth one is too short to be a hash."""
+    rows = read(spark, d, "events")
+    a = F.substring(F.md5(F.col("event_id").cast("string")), 1, 16)
+    b = F.substring(F.md5(F.col("user_id").cast("string")), 1, F.when(F.col("event_id") % 5 == 0, F.lit(3)).otherwise(F.lit(16)))
+    return rows.select("event_id", hashes.hamming_hex(F.upper(a), b).alias("distance"))
 
 
 @query(
@@ -597,10 +602,15 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", paths.basename(p).alias("name"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.thumbnail_key(p, 256).alias("thumb"))
 
 
-@query("select * from (values ('/a/./b//c/', '/a/b/c'), ('a/../b', 'b'), ('../x', '../x'), ('/..//y', '/y'), ('', '.'), ('a/b/../../..', '..')) t(path, norm)")
+@query("""with p as (select doc_id, source, lang, doc_id % 6 as k from documents)
+select doc_id, case k when 0 then '/' || source || '/' || lang || '/c' when 1 then source when 2 then '../' || source when 3 then '/' || lang when 4 then '.' else '..' end as norm from p""")
 def norm_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(p,) for p in ("/a/./b//c/", "a/../b", "../x", "/..//y", "", "a/b/../../..")]
-    return spark.createDataFrame(rows, "path string").select("path", paths.normpath(F.col("path")).alias("norm"))
+    """Paths with empty segments, dots and ways up, some of them out of their root."""
+    source, lang, k = F.col("source"), F.col("lang"), F.col("doc_id") % 6
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    raw = F.when(k == 0, text("/", source, "/./", lang, "//c/")).when(k == 1, text(lang, "/../", source)).when(k == 2, text("../", source)).when(k == 3, text("/..//", lang))
+    raw = raw.when(k == 4, F.lit("")).otherwise(text(source, "/", lang, "/../../.."))
+    return read(spark, d, "documents").select("doc_id", paths.normpath(raw).alias("norm"))
 
 
 @query("""with taken as (select '/in/' || source || '_' || (quality + 3 * toxic) || '.txt' as path, source from documents join labels using (doc_id) union select '/in/' || source || '.txt', source from documents),

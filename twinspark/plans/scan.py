@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import logging
+import threading
 import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,6 +129,54 @@ def progress(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(100 * done / total)).otherwise(F.lit(0)).cast("int")
 
 
+def chunk_size(total: Column, cpus: Column) -> Column:
+    """How many items go to a worker at a time: a quarter of its share, one at least."""
+    return F.greatest(F.lit(1), F.floor(total / (4 * cpus))).cast("long")
+
+
+class JobProgress:
+    """Per cent of the tasks of the Spark jobs that are started inside it, passed on at most once in ``seconds``.
+
+    Used as ``with JobProgress(spark, emit):`` around actions of this thread. Later
+    stages become known as they start, so shares are of the tasks known so far; a share
+    that would fall is held back. 100 is passed on at the end, unless the work has failed.
+    """
+
+    def __init__(self, spark: SparkSession, emit: Callable[[int], None], seconds: float = 0.5, every: float = 0.1):
+        self.context, self.every = spark.sparkContext, every
+        self.throttle = Throttle(emit, seconds)
+        self.group, self.most, self.over = f"progress-{uuid.uuid4().hex}", -1, threading.Event()
+        self.watcher = threading.Thread(target=self._watch, daemon=True)
+
+    def _tell(self, percent: int) -> None:
+        if percent > self.most:
+            self.most = percent
+            self.throttle(percent)
+
+    def _watch(self) -> None:
+        tracker = self.context.statusTracker()
+        while not self.over.wait(self.every):
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self.group)]
+            stages = [tracker.getStageInfo(s) for s in {s for j in jobs if j for s in j.stageIds}]
+            known = [s for s in stages if s]
+            total = sum(s.numTasks for s in known)
+            if total:
+                self._tell(min(99, 100 * sum(s.numCompletedTasks for s in known) // total))
+
+    def __enter__(self) -> JobProgress:
+        self.context.setJobGroup(self.group, "progress", True)
+        self.watcher.start()
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        self.over.set()
+        self.watcher.join()
+        self.context.setLocalProperty("spark.jobGroup.id", None)
+        if kind is None:
+            self._tell(100)
+        self.throttle.flush()
+
+
 def throttled(rows: DataFrame, key: str, at: str, seconds: int, *order: str) -> DataFrame:
     """Of a key's rows within each stretch of ``seconds`` the last one, as a trigger of that interval would emit them."""
     rows = rows.withColumn("_slot", F.window(at, f"{seconds} seconds"))
