@@ -136,15 +136,6 @@ def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
     return ordered.select("key", "text"), every.select("key", "doc_id", "text", "row")
 
 
-#: Rows of a table that may be broadcast: some tens of MB, as only tables of a few numbers are asked for.
-FEW = 1_000_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    """``df`` (of a few numbers a row) marked for broadcast if it has at most FEW rows; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

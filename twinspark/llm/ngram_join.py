@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspark.llm.common import dropped, few, settled, small_batches, tidy
+from twinspark.llm.common import SPACES, dropped, settled, small_batches, tidy, whole
 from twinspark.llm.rolling import mixed, word_hashes
 from twinspark.operators.graph import components
 
@@ -342,20 +342,22 @@ def reached(link: np.ndarray) -> np.ndarray:
 def link_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """(sig, links, other): rows with other, linked sets, and a set that is connected with it, for each block it is compared with.
 
-    members: (sig, component, n, rows, hash), rows being those of this set.
+    members: (sig, component, n, rows, hash, of), rows being those of this set, hash and of the text and the doc_id of one of them.
+    Texts are joined by both, so copies of a text are spread like other rows.
     """
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
     blocks = members.groupBy("component").agg(blocks.alias("blocks"))
-    wanted = few(members.join(blocks, "component").select("hash", "sig", "component", "rows", "blocks"))
-    texts = docs.select(F.xxhash64("text").alias("hash"), "text").join(wanted, "hash")
-    texts = texts.groupBy("sig", "component", "rows", "blocks").agg(F.first("text").alias("text"))
+    wanted = members.join(blocks, "component").select("hash", "of", "sig", "component", "rows", "blocks")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+    texts = texts.join(wanted, (F.col("_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
     dealt = texts.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "rows", "text")
     dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
 
     def compared(low: int, high: int, own: list, sig: list, rows: list, text: list) -> list[tuple[int, int, int]]:
-        own, sig, rows = np.array(own), np.array(sig), np.array(rows)
-        sets = [shingles(t, words) for t in text]
+        sig, one = np.unique(np.array(sig), return_index=True)  # rows that repeat id and text come more than once
+        own, rows = np.array(own)[one], np.array(rows)[one]
+        sets = [shingles(text[i], words) for i in one]
         at = [np.flatnonzero(own == low)]
         at.append(at[0] if low == high else np.flatnonzero(own == high))
         if not len(at[0]) or not len(at[1]):
@@ -385,20 +387,20 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     docs = docs.select("doc_id", "text")
     measure = settled(measured(docs, frequent(docs, words), words, percent), ROWS)
     rows = settled(measure.select("doc_id", "hash", "sig", "n"))
-    sets = measure.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.max("n").alias("n"), F.max("point").alias("point"), F.first(F.when(F.size("first") > 0, F.col("first")), ignorenulls=True).alias("first"))
+    sets = measure.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.min(F.struct("hash", "doc_id")).alias("at"), F.max("n").alias("n"), F.max("point").alias("point"), F.first(F.when(F.size("first") > 0, F.col("first")), ignorenulls=True).alias("first"))
     points = settled(sets)
     dropped(measure)
     near = settled(connected(in_buckets(points), percent), ROWS)
-    sets = settled(points.select("sig", "rows", "least", "hash", "n"))
+    sets = settled(points.select("sig", "rows", "least", F.col("at.hash").alias("hash"), F.col("at.doc_id").alias("of"), "n"))
     dropped(points)
-    members = settled(sets.join(few(components(near, settled)), sets["sig"] == F.col("id")).drop("id"))
+    members = settled(sets.join(components(near, settled), sets["sig"] == F.col("id")).drop("id"))
     links = settled(link_rows(docs, members, words, percent), ROWS)
     found = components(links.where("links > 0").select(F.col("sig").alias("src"), F.col("other").alias("dst")), settled)
     several = links.groupBy("sig").agg(F.sum("links").alias("links"))
-    found = few(settled(several.join(found, several["sig"] == F.col("id"), "left").select("sig", "links", F.coalesce("component", "sig").alias("class"))))
+    found = settled(several.join(found, several["sig"] == F.col("id"), "left").select("sig", "links", F.coalesce("component", "sig").alias("class")))
     named = settled(sets.join(found, "sig", "left").select("sig", "least", F.coalesce("class", "sig").alias("class"), (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     # Only classes of several sets have to look further for their least id.
-    least = few(settled(named.join(found.select("sig"), "sig", "left_semi").groupBy("class").agg(F.min("least").alias("lower"))))
+    least = settled(named.join(found.select("sig"), "sig", "left_semi").groupBy("class").agg(F.min("least").alias("lower")))
     named = named.join(least, "class", "left").select("sig", "class", "n_links", F.least("lower", "least").alias("component_id"))
     return rows, settled(named)
 
@@ -408,7 +410,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows, named = classes(docs, words, percent)
     id_ = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     links = F.coalesce("n_links", F.lit(0).cast("long"))
-    return rows.join(few(named), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), links.alias("n_links"), "class")
+    return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), links.alias("n_links"), "class")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -417,20 +419,21 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Columns are as they were, whatever their names. Of rows that repeat id and text any one stays.
     """
     rows, named = classes(docs, words, percent)
-    worded = rows.join(few(named), "sig").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    worded = rows.join(named, "sig").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = worded.groupBy("class").agg(F.min(F.struct(F.col("hash"))).alias("at"))
     of = worded.groupBy("class", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times"))
     kept = of.join(first, "class").where(F.col("hash") == F.col("at.hash")).select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "times")
-    wordless = rows.where(F.col("sig").isNull()).select("hash").distinct().select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("id"), F.col("hash").alias("of"), F.lit(0).cast("long").alias("times"))
-    kept = settled(kept.unionByName(wordless))
+    kept = settled(kept)
     cols = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.xxhash64("row.text").alias("of"))
-    got = whole.join(few(kept), "of").where((F.col("times") == 0) | F.col("row.doc_id").eqNullSafe(F.col("id")))
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    worded = F.length(F.btrim(whole(F.col("row.text")), F.lit(SPACES))) > 0
+    # By text and id: copies of a text are spread like other rows, and of each component one meets its row of ``kept``.
+    got = every.where(worded).withColumn("hash", F.xxhash64("row.text")).join(kept, (F.col("hash") == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
     once = got.where("times < 2").select("row")
     if not kept.where("times > 1").isEmpty():
         again = got.where("times > 1").groupBy("of", "id").agg(F.first("row").alias("row")).select("row")
         once = once.unionByName(again)
-    return once.select(*cols)
+    return once.unionByName(every.where(~worded)).select(*cols)
 
 
 #: The join by plain counting of common shingles.
