@@ -41,6 +41,8 @@ def test_three_batches_give_the_pairs_of_the_whole_join(spark, store, t):
     want = {(a, b, (x ^ y).bit_count()) for a, x in number.items() for b, y in number.items() if a < b and (x ^ y).bit_count() <= t}
     got = [tuple(r) for r in kept_up.pairs().collect()]
     assert len(got) == len(want) > 50 and set(got) == want
+    near = lambda i: sum(i in p[:2] for p in want)
+    assert {tuple(r) for r in kept_up.links().collect()} == {(i, near(i)) for i in number}
     whole = hashes.with_chunks(spark.createDataFrame(list(now.items()), "id long, phash string"))
     assert {tuple(r) for r in pairs.hamming_join(whole, t).collect()} == want
     assert {tuple(r) for r in kept_up.hashes().collect()} == {tuple(r) for r in pairs.distinct_hash_pairs(whole, t).collect()}

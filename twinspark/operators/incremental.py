@@ -102,6 +102,15 @@ class Pairs:
         return apart.unionByName(equal)
 
 
+    def links(self) -> DataFrame:
+        """(id, n_links) of every file with a hash: how many others are within t bits. A row a file, however large a group of equal files is."""
+        members = self.store.read(self.members)
+        size = members.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        around = self.store.read(self.near).join(size.select(F.col("x").alias("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("m"))
+        total = size.join(around, "x", "left").select("x", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+        return members.join(total, "x").select("id", "n_links")
+
+
 class Components:
     """Connected components of edges that come, go and are rejected; a component's label is its least id.
 

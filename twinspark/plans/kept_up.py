@@ -7,10 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.operators import files, ivf, metric, pairs
+from twinspark.engines import engine
+from twinspark.operators import files, ivf, metric, pairs, review
 from twinspark.operators.incremental import Components, Pairs
-from twinspark.plans.queries import _COSINE, _NEGATIVE, HASHED, STORED, VECTOR_T, T, closure, edges, hashed_files, near, query, stored_of
+from twinspark.plans import scan
+from twinspark.plans.queries import (
+    _CLUSTERS,
+    _COSINE,
+    _NEGATIVE,
+    HASHED,
+    MEMBERS,
+    STORED,
+    VECTOR_T,
+    T,
+    closure,
+    edges,
+    hashed_files,
+    members_of,
+    near,
+    query,
+    shown_clusters,
+    stored_of,
+)
 from twinspark.plans.shared import folder, kept, new_store
+from twinspark.plans.upkeep import _SOURCE, known_clusters
 from twinspark.sources import adapters
 from twinspark.sources.adapters import read
 
@@ -90,17 +110,17 @@ def knn_cell_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {HASHED}, last as (select id, case when id % 7 = 0 then (select phash from hashed h where h.id = files.id - 1) else phash end as phash from files where not contains(path, '/es/')),
 n as (select id, phash, ('0x' || substr(phash, 1, 4))::int as c1, ('0x' || substr(phash, 5, 4))::int as c2, ('0x' || substr(phash, 9, 4))::int as c3, ('0x' || substr(phash, 13, 4))::int as c4 from last where phash is not null)
-select * from (select a.id as id1, b.id as id2, (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4)))::int as distance
-from n a join n b on a.id < b.id) where distance <= {T}""")
-def incremental_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Two thirds of the files, then the rest, then Spanish ones go and every seventh has changed to what the one before it has."""
+select id1 as id, count(id2) as n_links from (select a.id as id1, b.id as id2, (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4)))::int as distance
+from n a left join n b on a.id <> b.id and (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4))) <= {T}) group by id1""")
+def incremental_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many others each file is near: two thirds come, then the rest, then Spanish ones go and every seventh has changed to what the one before it has."""
     rows, index = hashed_files(spark, d).select("id", "path", "phash"), Pairs(new_store(spark), T, kept)
     index.update(rows.where("id % 3 < 2").select("id", "phash"))
     index.update(rows.where("id % 3 = 2").select("id", "phash"))
     changed = rows.where("id % 7 = 0").join(rows.select((F.col("id") + 1).alias("id"), F.col("phash").alias("other")), "id", "left")
     spanish = F.contains("path", F.lit("/es/"))
     index.update(changed.where(~spanish).select("id", F.col("other").alias("phash")), rows.where(spanish).select("id"))
-    return index.pairs()
+    return index.links()
 
 
 @query(f"with recursive {STORED}, {closure(_NEGATIVE)} select id, component from comp")
@@ -174,3 +194,58 @@ def metric_hash_pairs(spark: SparkSession, d: str) -> DataFrame:
     found = metric.range_join(numbers, metric.bits_apart, T, metric.pivots(numbers, PIVOTS))
     h1, h2 = pairs.as_hex(F.col("a")), pairs.as_hex(F.col("b"))
     return found.select(F.least(h1, h2).alias("h1"), F.greatest(h1, h2).alias("h2"), "distance")
+
+
+# --- a reviewer's commands --------------------------------------------------------------
+
+
+@query(_CLUSTERS + f""", known as (select distinct {_SOURCE} as id, source as name from documents), top as (select max(id) as top from known),
+left_ as (select id, case when id = 2 then 'renamed' else name end as name from known where id <> 1 union all select top + 1, 'kept' from top),
+m as (select cluster_id, file_path from members where cluster_id <> 1 union select top + 1, path from shown, top where cluster_id = -1)
+select (row_number() over (order by id))::bigint as place, id, name, (select count(*) from m where cluster_id = id) as n from left_""")
+def cluster_commands(spark: SparkSession, d: str) -> DataFrame:
+    """A transient cluster is kept, one is renamed, one made and unmade, one deleted, brought back and deleted again."""
+    store = new_store(spark)
+    store.commit(clusters=known_clusters(spark, d), cluster_members=members_of(spark, d))
+    desk = review.Review(store)
+    desk.persist(shown_clusters(spark, d)[0], -1, "kept")
+    desk.change(2, name="renamed")
+    desk.create("unmade")
+    store.undo()
+    desk.delete(1)
+    store.undo()
+    store.redo()
+    return review.listed(store).select("place", "id", "name", "n")
+
+
+@query(f"with {MEMBERS} select cluster_id, file_path from members where cluster_id = 3")
+def cluster_members_of(spark: SparkSession, d: str) -> DataFrame:
+    store = new_store(spark)
+    store.commit(cluster_members=members_of(spark, d))
+    return review.members_of(store, 3).select("cluster_id", "file_path")
+
+
+#: Images are products of halves of random vectors, so the threshold is wide.
+IMAGE_T = 14
+
+
+@query(f"""with c as (select k, i, cos(pi() * (2 * i + 1) * k / 64) * sqrt(case when k = 0 then 1 else 2 end / 32) as c from range(8) a(k), range(32) b(i)),
+e as (select vec_id as id, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings),
+f as (select id, k, sum(c * x) as f from e join c using (i) where i < 32 group by all),
+g as (select id, k, sum(c * x) as g from e join c on e.i - 32 = c.i group by all),
+v as (select f.id, 8 * f.k + g.k as place, f * g as v from f join g on f.id = g.id),
+m as (select id, list(v order by v)[32] as m from v group by id),
+b as (select id, sum(case when v > m and place < 32 then 1::ubigint << (31 - place) else 0 end)::ubigint as hi,
+  sum(case when v > m and place >= 32 then 1::ubigint << (63 - place) else 0 end)::ubigint as lo from v join m using (id) group by id)
+select id1, id2, distance from (select x.id as id1, y.id as id2, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int as distance from b x join b y on x.id < y.id) where distance <= {IMAGE_T}""")
+def scan_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images from their listing to pairs by the engine for hashes, as it is shipped."""
+    half = lambda start: F.slice("embedding", start, 32)
+    pixels = F.flatten(F.transform(half(1), lambda x: F.transform(half(33), lambda y: x.cast("double") * y.cast("double"))))
+    path = F.concat(F.lit("/images/"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    images = kept(adapters.vectors(spark, d).select(path.alias("path"), pixels.alias("pixels"), F.lit(1.0).alias("last_modified"), F.lit(0).cast("long").alias("file_size")))
+    known = spark.createDataFrame([], "id long, path string, phash string, phash_c1 int, phash_c2 int, phash_c3 int, phash_c4 int, file_size long, last_modified double")
+    one = scan.Scan(engine("phash"), ["/images"], IMAGE_T)
+    found = one.run(images, known)
+    name = lambda c, to: one.files.select(F.col("id").alias(c), F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias(to))
+    return found.join(name("id1", "a"), "id1").join(name("id2", "b"), "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")

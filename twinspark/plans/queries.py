@@ -80,7 +80,8 @@ def hashed_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str, t: int = T) -> DataFrame:
-    return pairs.hamming_join(hashed_files(spark, d), t)
+    """The pairs within t bits, written once: what is built on them uses them more than once."""
+    return kept(pairs.hamming_join(hashed_files(spark, d), t))
 
 
 def stored_of(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
