@@ -1,11 +1,15 @@
 """License scans, quality rules, fingerprints and mixing."""
 
+import base64
 import hashlib
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from plain import same_as_sql
+from plain import LOWER, WORD, same_as_sql
 from twinspark.llm import fingerprints, licenses, mixing, quality_rules
 
 
@@ -52,6 +56,52 @@ def test_edited_texts_and_likeness(docs, request):
         assert (r.near_next == 1.0) == (r.fingerprint == nxt.fingerprint)
 
 
+def spark_hash(*values):
+    """Spark's hash of 64 bits: each value's XXH64 is the seed of the next."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<i", v), seed=h).intdigest()
+    return h
+
+
+def plain_fingerprint(text, lex):
+    terms = sorted(set(WORD.findall((text or "").translate(LOWER))), key=str.encode)
+    kept = [t for t in terms if t in lex]
+    if not kept:
+        return {(255, spark_hash(*terms))}
+    subsets = {0: kept}
+    for base, n in ((1, 8), (9, 64)):
+        for t in kept:
+            for r in range(2):
+                h = spark_hash(t, n, r)
+                subsets.setdefault(base + (h - (h >> 63 << 64)) % n, []).append(t)
+    return {(k, spark_hash(*v)) for k, v in subsets.items()}
+
+
+@pytest.mark.parametrize("docs", ["plain", "small"])
+def test_fingerprints_and_likeness_as_a_plain_version_has_them(docs, request):
+    docs = request.getfixturevalue(docs)
+    lex = fingerprints.lexicon(docs)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:] + texts[:1])]
+    as_bytes = lambda fp: b"".join(bytes([k]) + h.to_bytes(8, "big") for k, h in sorted(fp))
+    like = lambda a, b: len(a & b) / len({k for k, _ in a | b})
+    mine, theirs = [plain_fingerprint(t, set(lex)) for t in texts], [plain_fingerprint(t, set(lex)) for t in edited]
+    for k, r in enumerate(fingerprints.compare(docs, lex).orderBy("doc_id").collect()):
+        assert base64.b64decode(r.fingerprint) == as_bytes(mine[k]) and base64.b64decode(r.edited_fingerprint) == as_bytes(theirs[k])
+        assert r.near_edited == like(mine[k], theirs[k]) and r.near_next == like(mine[k], mine[(k + 1) % len(texts)])
+
+
+def test_a_band_of_too_many_terms_ends_at_a_lower_frequency(small, monkeypatch):
+    df = Counter(t for r in small.collect() for t in set(WORD.findall((r.text or "").translate(LOWER))))
+    whole = fingerprints.lexicon(small, 0.01, 0.5)
+    monkeypatch.setattr(fingerprints, "LARGEST", 3 * len(whole) // 4)
+    part = fingerprints.lexicon(small, 0.01, 0.5)
+    top = max(df[t] for t in part)
+    assert 0 < len(part) <= 3 * len(whole) // 4 and set(part) == {t for t in whole if df[t] <= top}
+    assert len([t for t in whole if df[t] <= min(df[t] for t in whole if df[t] > top)]) > 3 * len(whole) // 4
+
+
 def test_fingerprints_of_odd_tables(edge, empty, spark):
     assert fingerprints.compare(edge).count() == edge.count()
     assert fingerprints.compare(empty).count() == 0

@@ -3,16 +3,19 @@
 The lexicon has the terms whose document frequency lies in a band of shares of
 all documents (a band of inverse document frequencies). As every document of
 the mean count of distinct terms, m, adds to m frequencies, at most m / LOW terms
-can lie above the lower share at any corpus size; the LARGEST with the highest
-inverse document frequency make the lexicon, which the driver reads and compiles
-into the plan. Every subset of the lexicon is a
-cell of a random split of it into 1, 8 or 64 cells. Of a text, the distinct terms
-in the lexicon are sorted, and those of a cell are hashed together; the
-fingerprint is the list of the hashes of its cells. Texts without any term of the
-lexicon get one hash of all their sorted terms.
+can lie above the lower share at any corpus size. Where more than LARGEST do, the
+band ends at a lower frequency: at the highest one up to which there are no more
+than that, so that terms of equal frequency are all in or all out. The driver reads
+the lexicon and compiles it into the plan.
+
+Subsets of the lexicon are the whole of it and, for each of SUBSETS, so many random
+ones, each term being in those that PICKS independent draws name: subsets overlap.
+Of a text, the distinct terms in the lexicon are sorted, and those of a subset are
+hashed together to 64 bits; the fingerprint is the list of the hashes by subset.
+Texts without any term of the lexicon get one hash of all their sorted terms.
 
 The likeness of two fingerprints is the number of equal hashes over the number of
-cells that either has, so 1 for equal texts.
+subsets that either has, so 1 for equal texts.
 
 Defined results: a null text is empty; documents are ordered by id with null
 first, then by the text's hash and the text; of repeated rows (ties) one is the next
@@ -23,6 +26,8 @@ result.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,12 +35,14 @@ from pyspark.sql import functions as F
 from twinspark.llm.common import ascii_lower, let, settled, whole, words
 
 LOW, HIGH = 0.005, 0.10
-SPLITS = (1, 8, 64)
+#: Random subsets of either kind, and how many of them a term is in.
+SUBSETS, PICKS = (8, 64), 2
 #: Rows of a bucket of neighbouring ids, about, and buckets at most (their borders stand in the plan).
 BUCKET, BUCKETS = 4096, 1 << 16
-#: Terms of the lexicon at most; the driver reads it and it stands in the plan.
+#: Terms of the lexicon, about at most; the driver reads it and it stands in the plan.
 LARGEST = 50_000
-_ALL = 255
+#: Numbers of the whole lexicon and of all terms of a text without any of it.
+_WHOLE, _ALL = 0, 255
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
@@ -43,42 +50,46 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
     n = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words(ascii_lower(whole(F.col("text")))))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    band = df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)))
-    # Of a band with more terms the rarest are kept: those of the highest inverse document frequency.
-    return sorted(r[0] for r in band.orderBy("df", "term").limit(LARGEST).select("term").collect())
+    band = settled(df.where((F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n))))
+    levels = band.groupBy("df").count().orderBy("df").collect()  # no more than the band has terms
+    upto = [r["df"] for r, total in zip(levels, accumulate(r["count"] for r in levels)) if total <= LARGEST or r is levels[0]]
+    return sorted(r[0] for r in band.where(F.col("df") <= max(upto, default=0)).select("term").collect())
 
 
 def fingerprint(text: Column, lex: list[str]) -> Column:
-    """Sorted array of longs: the cell's number above 32 bits of the cell's hash."""
+    """Sorted array of (number of the subset, hash of the text's terms in it)."""
     empty = F.array().cast("array<string>")
+    code = lambda subset, terms: F.struct(subset.cast("int").alias("subset"), F.xxhash64(terms).alias("hash"))
 
-    def cells(terms: Column) -> Column:
+    def subsets(terms: Column) -> Column:
         kept = F.filter(terms, lambda t: t.isin(lex)) if lex else F.filter(terms, lambda t: F.lit(False))
-        everything = F.array(F.shiftleft(F.lit(_ALL).cast("long"), 32) + F.xxhash64(F.sort_array(terms)).bitwiseAND(F.lit(0xFFFFFFFF)))
-        return let(kept, lambda k: F.when(F.size(k) == 0, everything).otherwise(F.sort_array(F.flatten(F.array(*[split(k, i, n) for i, n in enumerate(SPLITS)])))))
+        everything = F.array(code(F.lit(_ALL), F.sort_array(terms)))
+        return let(kept, lambda k: F.when(F.size(k) == 0, everything).otherwise(F.concat(F.array(code(F.lit(_WHOLE), F.sort_array(k))), drawn(k))))
 
-    def split(terms: Column, i: int, n: int) -> Column:
-        code = lambda cell, own: F.shiftleft((F.lit(sum(SPLITS[:i])) + cell).cast("long"), 32) + F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF))
-        if n == 1:
-            return F.array(code(F.lit(0), F.sort_array(terms)))
-        pairs = F.sort_array(F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(n)), F.lit(n)).cast("int").alias("c"), t.alias("t"))))
+    def drawn(terms: Column) -> Column:
+        draws = [(1 + sum(SUBSETS[:i]), n, r) for i, n in enumerate(SUBSETS) for r in range(PICKS)]
+        place = lambda t, base, n, r: F.struct((F.pmod(F.xxhash64(t, F.lit(n), F.lit(r)), F.lit(n)) + base).cast("int").alias("c"), t.alias("t"))
+        pairs = F.sort_array(F.flatten(F.transform(terms, lambda t: F.array(*[place(t, *d) for d in draws]))))
 
         def runs(p: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["c"] != F.get(p, k - 1)["c"]))
-            return let(starts, lambda s: F.transform(s, lambda x, k: code(F.get(p, x)["c"], F.slice(p, x + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - x))))
+            own = lambda s, x, k: F.transform(F.slice(p, x + 1, F.coalesce(F.get(s, k + 1), F.size(p)) - x), lambda e: e["t"])
+            return let(starts, lambda s: F.transform(s, lambda x, k: code(F.get(p, x)["c"], own(s, x, k))))
 
         return let(pairs, runs)
 
-    return let(F.coalesce(F.array_distinct(words(ascii_lower(whole(text)))), empty), cells)
+    return let(F.coalesce(F.array_distinct(words(ascii_lower(whole(text)))), empty), subsets)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    cell = lambda x: F.shiftright(x, 32)
-    return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(F.transform(a, cell), F.transform(b, cell)))
+    subset = lambda x: x["subset"]
+    return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(F.transform(a, subset), F.transform(b, subset)))
 
 
 def as_string(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 10, "0")), "")
+    """The bytes of the fingerprint, nine for each subset, in base 64."""
+    each = F.transform(fp, lambda x: F.concat(F.lpad(F.hex(x["subset"]), 2, "0"), F.lpad(F.hex(x["hash"]), 16, "0")))
+    return F.base64(F.unhex(F.array_join(each, "")))
 
 
 def bucket_of(id_: Column, borders: list) -> Column:
