@@ -230,3 +230,32 @@ def test_last_tokens_are_those_of_every_prefix():
         v = bpe.Vocabulary(json.load(f))
     for piece in (b"unbelievably", b" hippopotamus", b"aaaaaaa", "straße".encode()):
         assert v.last_tokens(piece) == [v.merged(piece[: i + 1])[-1] for i in range(len(piece))]
+
+
+def test_scores_are_those_of_a_plain_version(small, monkeypatch):
+    """The class part token by token, from the classes, the counts and the fitted tables."""
+    monkeypatch.setattr(class_lm, "SHARE", 1e-4)
+    learn = F.col("doc_id") % 3 != 0
+    scorer, _, total, different = class_lm.fit(small, learn, 6)
+    rows = [(r.doc_id, class_lm.tokens(r.text)) for r in small.collect()]
+    count = Counter(w for k, t in rows if k % 3 for w in t)
+    names = sorted({w for _, t in rows for w in t if w != class_lm.END})
+    cls = dict(zip(names, class_lm.classes_of(scorer, [w.decode() for w in names])))
+    cls[class_lm.END] = int(scorer.classes.of(class_lm.Words([b""]))[0])
+    table = np.zeros((6, 6))
+    for _, t in (r for r in rows if r[0] % 3):
+        for a, b in zip([class_lm.END, *t], t):
+            table[cls[a], cls[b]] += 1
+    share = (table.sum(0) + 1) / (table.sum() + 6)
+    move = (table + class_lm.SMOOTH * share) / (table.sum(1, keepdims=True) + class_lm.SMOOTH)
+    n, v = np.zeros(6), np.zeros(6)
+    for w, k in count.items():
+        n[cls[w]] += k
+        v[cls[w]] += 1
+    outside = 1 / (total + different + 1)
+    part = 10**scorer.class_part
+    mix = (part[0, 0] - outside) / (move[0, 0] / (n[0] + v[0] + 1) - outside)
+    assert 0.001 <= mix <= 0.999
+    want = {i: sum(np.log10(count[b] + 1) + np.log10(mix * move[cls[a], cls[b]] / (n[cls[b]] + v[cls[b]] + 1) + (1 - mix) * outside) for a, b in zip([class_lm.END, *t], t)) for i, t in rows}
+    got = {r.doc_id: r.score for r in class_lm.score(small, scorer, *class_lm.fit(small, learn, 6)[1:]).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
