@@ -108,10 +108,14 @@ def knn_cell_recall(spark: SparkSession, d: str) -> DataFrame:
 # --- batches ----------------------------------------------------------------------
 
 
-@query(f"""with {HASHED}, last as (select id, case when id % 7 = 0 then (select phash from hashed h where h.id = files.id - 1) else phash end as phash from files where not contains(path, '/es/')),
-n as (select id, phash, ('0x' || substr(phash, 1, 4))::int as c1, ('0x' || substr(phash, 5, 4))::int as c2, ('0x' || substr(phash, 9, 4))::int as c3, ('0x' || substr(phash, 13, 4))::int as c4 from last where phash is not null)
-select id1 as id, count(id2) as n_links from (select a.id as id1, b.id as id2, (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4)))::int as distance
-from n a left join n b on a.id <> b.id and (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4))) <= {T}) group by id1""")
+@query(f"""with {HASHED}, last as (select id, case when id % 7 = 0 then (select phash from hashed h where h.id = files.id - 1) else phash end as phash from files
+  where not contains(path, '/es/')),
+n as (select id, phash, ('0x' || substr(phash, 1, 4))::int as c1, ('0x' || substr(phash, 5, 4))::int as c2, ('0x' || substr(phash, 9, 4))::int as c3,
+  ('0x' || substr(phash, 13, 4))::int as c4 from last where phash is not null)
+select id1 as id, count(id2) as n_links from (select a.id as id1, b.id as id2, (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) +
+  bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4, b.c4)))::int as distance
+from n a left join n b on a.id <> b.id and (bit_count(xor(a.c1, b.c1)) + bit_count(xor(a.c2, b.c2)) + bit_count(xor(a.c3, b.c3)) + bit_count(xor(a.c4,
+  b.c4))) <= {T}) group by id1""")
 def incremental_links(spark: SparkSession, d: str) -> DataFrame:
     """How many others each file is near: two thirds come, then the rest, then Spanish ones go and every seventh has changed to what the one before it has."""
     rows, index = hashed_files(spark, d).select("id", "path", "phash"), Pairs(new_store(spark), T, kept)
@@ -174,20 +178,23 @@ def page_urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(F.col("url").alias("value"))
 
 
-@query(f"with vals as ({_PAGES}) select * from (select a.value as a, b.value as b, levenshtein(a.value, b.value)::int as distance from vals a join vals b on a.value < b.value) where distance <= {EDITS}")
+@query(f"""with vals as ({_PAGES}) select * from (select a.value as a, b.value as b, levenshtein(a.value, b.value)::int as distance from vals a join vals b on
+  a.value < b.value) where distance <= {EDITS}""")
 def metric_edit_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Addresses within three edits of each other."""
     urls = kept(page_urls(spark, d))
     return metric.range_join(urls, metric.edit_distance, EDITS, metric.pivots(urls, PIVOTS))
 
 
-@query(f"with {_pivots_sql(_PAGES, 'levenshtein(value, p)')}, {_compared_sql(EDITS)} select (select count(*) from vals) as different, (select count(*) * (count(*) - 1) // 2 from vals)::bigint as pairs, (select count(*) from cand) as compared")
+@query(f"""with {_pivots_sql(_PAGES, 'levenshtein(value, p)')}, {_compared_sql(EDITS)} select (select count(*) from vals) as different, (select count(*) *
+  (count(*) - 1) // 2 from vals)::bigint as pairs, (select count(*) from cand) as compared""")
 def metric_edit_pruning(spark: SparkSession, d: str) -> DataFrame:
     urls = kept(page_urls(spark, d))
     return metric.pruning(urls, metric.edit_distance, EDITS, metric.pivots(urls, PIVOTS))
 
 
-@query(f"with {HASHED}, vals as ({_HASHES}) select * from (select printf('%016x', a.value) as h1, printf('%016x', b.value) as h2, bit_count(xor(a.value, b.value))::int as distance from vals a join vals b on a.value < b.value) where distance <= {T}")
+@query(f"""with {HASHED}, vals as ({_HASHES}) select * from (select printf('%016x', a.value) as h1, printf('%016x', b.value) as h2, bit_count(xor(a.value,
+  b.value))::int as distance from vals a join vals b on a.value < b.value) where distance <= {T}""")
 def metric_hash_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Different hashes within five bits, by the operator of any metric."""
     numbers = kept(hashed_files(spark, d).select(pairs.as_number(F.col("phash")).alias("value")))
@@ -237,7 +244,8 @@ v as (select f.id, 8 * f.k + g.k as place, f * g as v from f join g on f.id = g.
 m as (select id, list(v order by v)[32] as m from v group by id),
 b as (select id, sum(case when v > m and place < 32 then 1::ubigint << (31 - place) else 0 end)::ubigint as hi,
   sum(case when v > m and place >= 32 then 1::ubigint << (63 - place) else 0 end)::ubigint as lo from v join m using (id) group by id)
-select id1, id2, distance from (select x.id as id1, y.id as id2, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int as distance from b x join b y on x.id < y.id) where distance <= {IMAGE_T}""")
+select id1, id2, distance from (select x.id as id1, y.id as id2, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int as distance from b x
+  join b y on x.id < y.id) where distance <= {IMAGE_T}""")
 def scan_images(spark: SparkSession, d: str) -> DataFrame:
     """Images from their listing to pairs by the engine for hashes, as it is shipped."""
     half = lambda start: F.slice("embedding", start, 32)

@@ -29,9 +29,11 @@ HASHED = (
     + """,
 tok as (select distinct doc_id as id, unnest(string_split(lower(text), ' ')) as t from documents),
 dig as (select id, md5(t) as h from tok where t <> ''),
-votes as (select id, k, b, sum(case when (('0x' || substr(h, (4 * k + 1)::int, 4))::int >> (15 - b)::int) & 1 = 1 then 1 else -1 end) as s from dig, range(4) r1(k), range(16) r2(b) group by all),
+votes as (select id, k, b, sum(case when (('0x' || substr(h, (4 * k + 1)::int, 4))::int >> (15 - b)::int) & 1 = 1 then 1 else -1 end) as s from dig,
+  range(4) r1(k), range(16) r2(b) group by all),
 chunks as (select id, k, sum(case when s > 0 then (1 << (15 - b)::int) else 0 end)::int as c from votes group by id, k),
-hashed as (select id, string_agg(printf('%04x', c), '' order by k) as phash, max(c) filter (k = 0) as c1, max(c) filter (k = 1) as c2, max(c) filter (k = 2) as c3, max(c) filter (k = 3) as c4 from chunks group by id),
+hashed as (select id, string_agg(printf('%04x', c), '' order by k) as phash, max(c) filter (k = 0) as c1, max(c) filter (k = 1) as c2, max(c) filter
+  (k = 2) as c3, max(c) filter (k = 3) as c4 from chunks group by id),
 files as (select base.*, phash, c1, c2, c3, c4 from base left join hashed using (id))"""
 )
 NEAR = (
@@ -165,13 +167,15 @@ def simhash(spark: SparkSession, d: str) -> DataFrame:
     return adapters.files(spark, d).select("id", "phash")
 
 
-@query("with h as (select doc_id as id, left(md5(text), 16) as phash from documents) select id, phash, ('0x' || substr(phash, 1, 4))::int as phash_c1, ('0x' || substr(phash, 5, 4))::int as phash_c2, ('0x' || substr(phash, 9, 4))::int as phash_c3, ('0x' || substr(phash, 13, 4))::int as phash_c4 from h")
+@query("""with h as (select doc_id as id, left(md5(text), 16) as phash from documents) select id, phash, ('0x' || substr(phash, 1, 4))::int as phash_c1, ('0x'
+  || substr(phash, 5, 4))::int as phash_c2, ('0x' || substr(phash, 9, 4))::int as phash_c3, ('0x' || substr(phash, 13, 4))::int as phash_c4 from h""")
 def phash_chunks(spark: SparkSession, d: str) -> DataFrame:
     return hashes.with_chunks(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.md5("text"), 1, 16).alias("phash")))
 
 
 @query("""with h as (select event_id, md5(event_id::varchar) as a, md5(user_id::varchar) as b from events),
-n as (select event_id, event_id % 5 = 0 as odd, ('0x' || substr(a, 1, 8))::bigint as a1, ('0x' || substr(a, 9, 8))::bigint as a2, ('0x' || substr(b, 1, 8))::bigint as b1, ('0x' || substr(b, 9, 8))::bigint as b2 from h)
+n as (select event_id, event_id % 5 = 0 as odd, ('0x' || substr(a, 1, 8))::bigint as a1, ('0x' || substr(a, 9, 8))::bigint as a2, ('0x' || substr(b,
+  1, 8))::bigint as b1, ('0x' || substr(b, 9, 8))::bigint as b2 from h)
 select event_id, (case when not odd then bit_count(xor(a1, b1)) + bit_count(xor(a2, b2)) end)::int as distance from n""")
 def hamming_literals(spark: SparkSession, d: str) -> DataFrame:
     """Distances of hashes as text; every fifth one is too short to be a hash."""
@@ -212,7 +216,8 @@ def mih_candidates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.mih_candidates(hashed_files(spark, d))
 
 
-@query(f"with {NEAR} select id1, id2, distance, a.path as left_path, b.path as right_path from far join files a on a.id = id1 join files b on b.id = id2 where chunk and distance <= {T} order by distance, id1, id2")
+@query(f"""with {NEAR} select id1, id2, distance, a.path as left_path, b.path as right_path from far join files a on a.id = id1 join files b on b.id = id2 where
+  chunk and distance <= {T} order by distance, id1, id2""")
 def hamming_mih_pairs(spark: SparkSession, d: str) -> DataFrame:
     f = hashed_files(spark, d)
     return relations.hydrate(pairs.hamming_mih(f, T), f, "path").select("id1", "id2", "distance", "left_path", "right_path").orderBy("distance", "id1", "id2")
@@ -284,7 +289,8 @@ def pairs_threshold(spark: SparkSession, d: str) -> DataFrame:
     return relations.scan(stored_of(spark, d, near(spark, d)).withColumn("distance", F.col("distance").cast("double")), 2.0)
 
 
-@query(f"with {STORED} select id1, id2, n.distance, coalesce(s.relation_type, 'new_match') as relation_type from near n left join stored s using (id1, id2) where coalesce(s.relation_type, 'new_match') = 'new_match'")
+@query(f"""with {STORED} select id1, id2, n.distance, coalesce(s.relation_type, 'new_match') as relation_type from near n left join stored s using (id1, id2)
+  where coalesce(s.relation_type, 'new_match') = 'new_match'""")
 def pairs_visible(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     return relations.reconcile(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found)).select("id1", "id2", "distance", "relation_type")
@@ -302,7 +308,8 @@ def reconcile_relations(spark: SparkSession, d: str) -> DataFrame:
     return relations.reconcile(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found), include_ignored=True).select("id1", "id2", "distance", "relation_type")
 
 
-@query(f"with {STORED}, r as (select coalesce(s.relation_type, 'new_match') as t from near n left join stored s using (id1, id2)) select count(*) filter (t <> 'new_match') as annotated, count(*) filter (t = 'new_match') as returned, count(*) as total from r")
+@query(f"""with {STORED}, r as (select coalesce(s.relation_type, 'new_match') as t from near n left join stored s using (id1, id2)) select count(*) filter (t <>
+  'new_match') as annotated, count(*) filter (t = 'new_match') as returned, count(*) as total from r""")
 def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     return relations.reconcile_counts(found.withColumn("relation_type", F.lit("new_match")), stored_of(spark, d, found))
@@ -314,14 +321,16 @@ def merge_keep(spark: SparkSession, d: str) -> DataFrame:
     return relations.merge(stored_of(spark, d, found), found.select("*", F.lit("new_match").alias("relation_type"), F.lit(0).alias("seq")), overwrite=False)
 
 
-@query(f"with {STORED}, new as (select * from near where distance <= 3) select id1, id2, 'near_duplicate' as relation_type, distance from new union all select id1, id2, relation_type, distance from stored anti join new using (id1, id2)")
+@query(f"""with {STORED}, new as (select * from near where distance <= 3) select id1, id2, 'near_duplicate' as relation_type, distance from new union all select
+  id1, id2, relation_type, distance from stored anti join new using (id1, id2)""")
 def merge_overwrite(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     new = found.where("distance <= 3").select("*", F.lit("near_duplicate").alias("relation_type"), F.lit(0).alias("seq"))
     return relations.merge(stored_of(spark, d, found), new, overwrite=True)
 
 
-@query(f"with {STORED} select coalesce(s.id1, n.id1) as id1, coalesce(s.id2, n.id2) as id2, case when n.id1 is not null then 'same_image_set' else relation_type end as relation_type, s.distance from stored s full join (select * from near where distance = 0) n using (id1, id2)")
+@query(f"""with {STORED} select coalesce(s.id1, n.id1) as id1, coalesce(s.id2, n.id2) as id2, case when n.id1 is not null then 'same_image_set' else
+  relation_type end as relation_type, s.distance from stored s full join (select * from near where distance = 0) n using (id1, id2)""")
 def annotate_pair(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     marks = found.where("distance = 0").select("id1", "id2", F.lit("same_image_set").alias("relation_type"))
@@ -347,12 +356,14 @@ def loose_relations(spark: SparkSession, d: str) -> DataFrame:
     return relations.canonical(read(spark, d, "events").select(F.col("event_id").alias("id1"), F.col("user_id").alias("id2"), F.col("event_type").alias("relation_type")))
 
 
-@query(f"with {_LOOSE} select count(*) filter (ok) as added, count(*) filter (not ok) as skipped from (select id1 in (select doc_id from documents) and id2 in (select doc_id from documents) as ok from loose)")
+@query(f"""with {_LOOSE} select count(*) filter (ok) as added, count(*) filter (not ok) as skipped from (select id1 in (select doc_id from documents) and id2 in
+  (select doc_id from documents) as ok from loose)""")
 def validate_relations(spark: SparkSession, d: str) -> DataFrame:
     return relations.validation_counts(loose_relations(spark, d), plain_files(spark, d))
 
 
-@query(f"with {_LOOSE} select id1, id2, case when relation_type in ('new_match', 'duplicate') then relation_type else 'new_match' end as relation_type, 0.0::double as distance from loose where id1 in (select doc_id from documents) and id2 in (select doc_id from documents)")
+@query(f"""with {_LOOSE} select id1, id2, case when relation_type in ('new_match', 'duplicate') then relation_type else 'new_match' end as relation_type,
+  0.0::double as distance from loose where id1 in (select doc_id from documents) and id2 in (select doc_id from documents)""")
 def scan_relations(spark: SparkSession, d: str) -> DataFrame:
     rows = loose_relations(spark, d).withColumn("distance", F.lit(None).cast("double"))
     return relations.scan(relations.valid(rows, plain_files(spark, d)))
@@ -365,7 +376,8 @@ def orphan_relations(spark: SparkSession, d: str) -> DataFrame:
     return ends.where("x1 is null or x2 is null").select("id1", "id2")
 
 
-@query(f"with {NEAR} select id1, id2, distance, case when a.file_size < b.file_size then id1 when b.file_size < a.file_size then id2 end as delete_id from near join base a on a.id = id1 join base b on b.id = id2")
+@query(f"""with {NEAR} select id1, id2, distance, case when a.file_size < b.file_size then id1 when b.file_size < a.file_size then id2 end as delete_id from near
+  join base a on a.id = id1 join base b on b.id = id2""")
 def smart_resolve_size(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     full = relations.hydrate(found, plain_files(spark, d), "file_size")
@@ -377,7 +389,8 @@ def pairs_without_file(spark: SparkSession, d: str) -> DataFrame:
     return relations.without_file(near(spark, d), 3)
 
 
-@query(f"with {NEAR} select id1, id2, a.path as left_path, b.path as right_path, a.file_size as left_file_size, b.file_size as right_file_size from near join base a on a.id = id1 join base b on b.id = id2")
+@query(f"""with {NEAR} select id1, id2, a.path as left_path, b.path as right_path, a.file_size as left_file_size, b.file_size as right_file_size from near join
+  base a on a.id = id1 join base b on b.id = id2""")
 def hydrate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return relations.hydrate(near(spark, d), plain_files(spark, d), "path", "file_size").drop("distance")
 
@@ -391,7 +404,9 @@ def pair_display(spark: SparkSession, d: str) -> DataFrame:
     return full.select("id1", "id2", paths.pair_title(F.col("left_path"), F.col("right_path")).alias("title"), paths.distance_text(F.col("distance").cast("double")).alias("distance_text"), paths.megabytes(F.col("left_file_size")).alias("left_size"))
 
 
-@query(f"with {NEAR} select id1, id2, len(list_filter(list_zip(x, y), lambda z: z[1] is not distinct from z[2]))::int as same, greatest(len(x), len(y))::int as places from (select id1, id2, list_filter(string_split(a.path, '/'), lambda s: s <> '') as x, list_filter(string_split(b.path, '/'), lambda s: s <> '') as y from near join base a on a.id = id1 join base b on b.id = id2)")
+@query(f"""with {NEAR} select id1, id2, len(list_filter(list_zip(x, y), lambda z: z[1] is not distinct from z[2]))::int as same, greatest(len(x), len(y))::int as
+  places from (select id1, id2, list_filter(string_split(a.path, '/'), lambda s: s <> '') as x, list_filter(string_split(b.path, '/'), lambda s: s <>
+  '') as y from near join base a on a.id = id1 join base b on b.id = id2)""")
 def path_segment_diff(spark: SparkSession, d: str) -> DataFrame:
     full = relations.hydrate(near(spark, d), plain_files(spark, d), "path").withColumn("diff", paths.segment_diff(F.col("left_path"), F.col("right_path")))
     return full.select("id1", "id2", F.size(F.filter("diff", lambda x: x["same"])).alias("same"), F.size("diff").alias("places"))
@@ -418,7 +433,8 @@ def components_negative(spark: SparkSession, d: str) -> DataFrame:
 _RELATED = "select a.id as a, b.id as b from files a join files b on a.phash = b.phash and a.id < b.id union select id1, id2 from stored where relation_type in ('duplicate', 'near_duplicate')"
 
 
-@query(f"with recursive {STORED}, positive as ({_RELATED}), {closure('select a, b from positive where (a, b) not in (select (id1, id2) from stored where relation_type = ' + chr(39) + 'not_duplicate' + chr(39) + ')')} select id, component from comp")
+@query(f"""with recursive {STORED}, positive as ({_RELATED}),
+  {closure('select a, b from positive where (a, b) not in (select (id1, id2) from stored where relation_type = ' + chr(39) + 'not_duplicate' + chr(39) + ')')} select id, component from comp""")
 def components_related(spark: SparkSession, d: str) -> DataFrame:
     """Clusters as detected: equal hashes and enabled relation types, less rejected pairs.
 
@@ -431,7 +447,8 @@ def components_related(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(graph.without_negatives(positive, negative), kept)
 
 
-@query(f"with {STORED} select 'hash' as kind, (select coalesce(sum(n * (n - 1) // 2), 0) from (select count(*) as n from files where phash <> '' group by phash))::bigint as n union all select 'db', (select count(*) from stored where relation_type in ('duplicate', 'near_duplicate'))")
+@query(f"""with {STORED} select 'hash' as kind, (select coalesce(sum(n * (n - 1) // 2), 0) from (select count(*) as n from files where phash <> '' group by
+  phash))::bigint as n union all select 'db', (select count(*) from stored where relation_type in ('duplicate', 'near_duplicate'))""")
 def edge_counts(spark: SparkSession, d: str) -> DataFrame:
     f = hashed_files(spark, d)
     return graph.edge_counts(f, stored_of(spark, d, pairs.hamming_join(f, T)), TYPES)
@@ -442,7 +459,8 @@ def groups_by_size(spark: SparkSession, d: str) -> DataFrame:
     return graph.groups(graph.components(edges(near(spark, d)), kept))
 
 
-@query(f"with recursive {NEAR}, {closure(_EDGES)} select a.id as id1, b.id as id2, a.component, n.distance from comp a join comp b on a.component = b.component and a.id < b.id left join near n on n.id1 = a.id and n.id2 = b.id")
+@query(f"""with recursive {NEAR}, {closure(_EDGES)} select a.id as id1, b.id as id2, a.component, n.distance from comp a join comp b on a.component = b.component
+  and a.id < b.id left join near n on n.id1 = a.id and n.id2 = b.id""")
 def clique_pairs(spark: SparkSession, d: str) -> DataFrame:
     found = near(spark, d)
     return graph.cliques(graph.components(edges(found), kept), found)
@@ -501,7 +519,8 @@ def empty_clusters(spark: SparkSession, d: str) -> DataFrame:
     return m.select("cluster_id").distinct().join(m.where(F.col("file_path").contains("/de/")).select("cluster_id"), "cluster_id", "left_anti")
 
 
-@query(f"with {MEMBERS} select cluster_id, file_path from members where file_path not in (select '/' || source || '/' || lang || '/' || doc_id || '.txt' from documents join labels using (doc_id) where toxic = 0)")
+@query(f"""with {MEMBERS} select cluster_id, file_path from members where file_path not in (select '/' || source || '/' || lang || '/' || doc_id || '.txt' from
+  documents join labels using (doc_id) where toxic = 0)""")
 def orphan_members(spark: SparkSession, d: str) -> DataFrame:
     """Members that lose their file when toxic documents and those without a label go."""
     left = read(spark, d, "documents").join(read(spark, d, "labels").where("toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi").select(adapters.doc_path().alias("file_path"))
@@ -511,16 +530,21 @@ def orphan_members(spark: SparkSession, d: str) -> DataFrame:
 # --- files and maintenance -----------------------------------------------------------
 
 
-@query(f"""with {_LOOSE}, {MEMBERS} select 'files' as metric, count(*) as value from documents union all select 'relations', count(*) from loose union all select 'members', count(*) from members
-union all select 'clusters', count(distinct source) from documents union all select 'orphan_relations', count(*) from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents)
-union all select 'orphan_members', 0 union all select 'empty_clusters', count(*) from (select distinct regexp_extract(source, '([0-9]+)', 1)::bigint + 1 as c from documents) where c not in (select cluster_id from members)""")
+@query(f"""with {_LOOSE}, {MEMBERS} select 'files' as metric, count(*) as value from documents union all select 'relations', count(*) from loose union all select
+  'members', count(*) from members
+union all select 'clusters', count(distinct source) from documents union all select 'orphan_relations', count(*) from loose where id1 not in (select
+  doc_id from documents) or id2 not in (select doc_id from documents)
+union all select 'orphan_members', 0 union all select 'empty_clusters', count(*) from (select distinct regexp_extract(source, '([0-9]+)', 1)::bigint +
+  1 as c from documents) where c not in (select cluster_id from members)""")
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
     known = read(spark, d, "documents").select((F.regexp_extract("source", "([0-9]+)", 1).cast("bigint") + 1).alias("id")).distinct()
     return files.integrity(plain_files(spark, d), loose_relations(spark, d), members_of(spark, d), known)
 
 
-@query(f"""with {_LOOSE}, left_ as (select doc_id, source from documents where lang <> 'es'), rel as (select id1, id2 from loose where id1 in (select doc_id from documents) and id2 in (select doc_id from documents))
-select 'files' as name, (select count(*) from left_) as n union all select 'relations', (select count(*) from rel where id1 in (select doc_id from left_) and id2 in (select doc_id from left_))""")
+@query(f"""with {_LOOSE}, left_ as (select doc_id, source from documents where lang <> 'es'), rel as (select id1, id2 from loose where id1 in (select doc_id from
+  documents) and id2 in (select doc_id from documents))
+select 'files' as name, (select count(*) from left_) as n union all select 'relations', (select count(*) from rel where id1 in (select doc_id from
+  left_) and id2 in (select doc_id from left_))""")
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     f = plain_files(spark, d)
     gone = read(spark, d, "documents").where("lang = 'es'").select(adapters.doc_path().alias("path"))
@@ -535,7 +559,8 @@ def move_file(spark: SparkSession, d: str) -> DataFrame:
     return files.move(f, moves)[0].select("id", "path")
 
 
-@query("select path from (select '/' || source || '/' || lang || '/' || d.doc_id || '.txt' as path, l.doc_id as known, l.toxic from documents d left join labels l on d.doc_id = l.doc_id) where known is null or toxic = 1")
+@query("""select path from (select '/' || source || '/' || lang || '/' || d.doc_id || '.txt' as path, l.doc_id as known, l.toxic from documents d left join
+  labels l on d.doc_id = l.doc_id) where known is null or toxic = 1""")
 def stale_files(spark: SparkSession, d: str) -> DataFrame:
     """Listed are all documents; known are the labelled ones, the toxic of them without a hash."""
     docs = read(spark, d, "documents").select("doc_id", adapters.doc_path().alias("path"), F.col("n_chars").cast("double").alias("last_modified"))
@@ -586,7 +611,9 @@ def unindexed_files(spark: SparkSession, d: str) -> DataFrame:
     return files.unindexed(ev.where("event_type = 'view'").select("path").distinct(), vectors, "clip")
 
 
-@query("with o as (select distinct '/' || source as path from documents where lang = 'es'), n as (select distinct '/' || source || '/' || lang as path from documents), m as (select distinct '/' || source as path from documents union select path from n) select path, 'added' as change from (select path from m except select path from o) union all select path, 'removed' from (select path from o except select path from m)")
+@query("""with o as (select distinct '/' || source as path from documents where lang = 'es'), n as (select distinct '/' || source || '/' || lang as path from
+  documents), m as (select distinct '/' || source as path from documents union select path from n) select path, 'added' as change from (select path
+  from m except select path from o) union all select path, 'removed' from (select path from o except select path from m)""")
 def root_changes(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     old = docs.where("lang = 'es'").select(F.concat(F.lit("/"), "source").alias("path"))
@@ -597,7 +624,9 @@ def root_changes(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar functions -------------------------------------------------------------------
 
 
-@query(r"""with u as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) select page_id, string_split(p, '/')[-1] as name, rtrim(regexp_extract(p, '^(.*/)[^/]*$', 1), '/') as dir, regexp_extract(string_split(p, '/')[-1], '^\.*[^.].*?(\.[^.]*)$', 1) as ext, md5(p) || '_256.png' as thumb from u""")
+@query(r"""with u as (select page_id, regexp_replace(url, '[?#].*$', '') as p from pages) select page_id, string_split(p, '/')[-1] as name,
+  rtrim(regexp_extract(p, '^(.*/)[^/]*$', 1), '/') as dir, regexp_extract(string_split(p, '/')[-1], '^\.*[^.].*?(\.[^.]*)$', 1) as ext, md5(p) ||
+  '_256.png' as thumb from u""")
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
     p = F.regexp_replace("url", "[?#].*$", "")
     return read(spark, d, "pages").select("page_id", paths.basename(p).alias("name"), paths.dirname(p).alias("dir"), paths.extension(p).alias("ext"), paths.thumbnail_key(p, 256).alias("thumb"))
@@ -614,9 +643,11 @@ def norm_paths(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", paths.normpath(raw).alias("norm"))
 
 
-@query("""with taken as (select '/in/' || source || '_' || (quality + 3 * toxic) || '.txt' as path, source from documents join labels using (doc_id) union select '/in/' || source || '.txt', source from documents),
+@query("""with taken as (select '/in/' || source || '_' || (quality + 3 * toxic) || '.txt' as path, source from documents join labels using (doc_id) union
+  select '/in/' || source || '.txt', source from documents),
 want as (select source, row_number() over (partition by source order by doc_id) as k from documents),
-free as (select source, m, row_number() over (partition by source order by m) as k from (select s.source, r.m from (select distinct source from documents) s, range(1, (select count(*) + 10 from documents)) r(m)) x where '/in/' || source || '_' || m || '.txt' not in (select path from taken))
+free as (select source, m, row_number() over (partition by source order by m) as k from (select s.source, r.m from (select distinct source from
+  documents) s, range(1, (select count(*) + 10 from documents)) r(m)) x where '/in/' || source || '_' || m || '.txt' not in (select path from taken))
 select '/in/' || source || '.txt' as path, '/in/' || source || '_' || m || '.txt' as new_path from want join free using (source, k)""")
 def safe_rename(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
@@ -668,7 +699,8 @@ def replace_content(spark: SparkSession, d: str) -> DataFrame:
     return actions.replaced(rows, rows.join(spanish(spark, d), "path").join(by, "id").select("path", "by"))[0]
 
 
-@query(f"with {STORED}, m as (select id1, id2, true as hit from near where distance = 0) select id1, id2, case when hit then 'ignored' else relation_type end as relation_type, distance from stored full join m using (id1, id2)")
+@query(f"""with {STORED}, m as (select id1, id2, true as hit from near where distance = 0) select id1, id2, case when hit then 'ignored' else relation_type end
+  as relation_type, distance from stored full join m using (id1, id2)""")
 def ignore_pairs(spark: SparkSession, d: str) -> DataFrame:
     found = kept(near(spark, d))
     return actions.ignored(stored_of(spark, d, found), found.where("distance = 0").select("id1", "id2"))[0]
@@ -679,7 +711,9 @@ def gather_cluster(spark: SparkSession, d: str) -> DataFrame:
     return actions.gathered(plain_files(spark, d), members_of(spark, d), 3, "/kept")[0].select("id", "path")
 
 
-@query(f"with {HASHED}, idents as (select path as ident from files where id in (select doc_id from labels) union select phash from files where phash is not null), exact as (select ident, ident as path from idents where ident in (select path from files)) select * from exact union all select ident, path from idents join files on phash = ident where ident not in (select ident from exact)")
+@query(f"""with {HASHED}, idents as (select path as ident from files where id in (select doc_id from labels) union select phash from files where phash is not
+  null), exact as (select ident, ident as path from idents where ident in (select path from files)) select * from exact union all select ident, path
+  from idents join files on phash = ident where ident not in (select ident from exact)""")
 def resolve_idents(spark: SparkSession, d: str) -> DataFrame:
     rows = hashed_files(spark, d)
     labelled = rows.join(read(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
@@ -692,7 +726,8 @@ def page_files(spark: SparkSession, d: str) -> DataFrame:
     return actions.paged(plain_files(spark, d).select("id", "path"), "path", 100)
 
 
-@query(f"with {_LOOSE} select id1, id2, relation_type from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents) order by id1, id2, relation_type limit 10")
+@query(f"""with {_LOOSE} select id1, id2, relation_type from loose where id1 not in (select doc_id from documents) or id2 not in (select doc_id from documents)
+  order by id1, id2, relation_type limit 10""")
 def first_orphans(spark: SparkSession, d: str) -> DataFrame:
     """The ten first orphan relations, as a report; the limit is its feature."""
     ids = read(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()

@@ -97,7 +97,9 @@ def maintain(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "name string, gone long")
 
 
-@query("select doc_id as id, coalesce(min(case when not hidden then doc_id end) over (partition by source order by doc_id rows between current row and unbounded following), -1) as next_visible, coalesce(max(case when not hidden then doc_id end) over (partition by source order by doc_id rows between unbounded preceding and current row), -1) as previous_visible from (select doc_id, source, lang = 'es' as hidden from documents)")
+@query("""select doc_id as id, coalesce(min(case when not hidden then doc_id end) over (partition by source order by doc_id rows between current row and
+  unbounded following), -1) as next_visible, coalesce(max(case when not hidden then doc_id end) over (partition by source order by doc_id rows between
+  unbounded preceding and current row), -1) as previous_visible from (select doc_id, source, lang = 'es' as hidden from documents)""")
 def visible_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Spanish documents are hidden; the nearest other document of their source."""
     rows = read(spark, d, "documents").select("source", F.col("doc_id").alias("id"), "lang")
@@ -188,8 +190,10 @@ _GREY = "least(greatest(floor(128 + 400 * embedding[{0}]::double), 0), 255)::int
 @query(f"""with {_resized_sql(5, 3, 4, 4)}, ch as (select vec_id as id, embedding, ch from embeddings, range(3) c(ch)),
 l as (select id, ch, p, {_GREY.format('16 * ch + p + 1')} as v from ch, range(16) a(p)),
 r as (select id, ch, p // 3 as r, p % 3 as c, {_GREY.format('19 + 15 * ch + p + 1')} as v from ch, range(15) a(p)),
-s as (select id, ch, 4 * wr.o + wc.o as p, floor(least(greatest(sum(v * wr.w * wc.w), 0), 255) + 0.5)::int as v from r join wr on wr.i = r.r join wc on wc.i = r.c group by id, ch, wr.o, wc.o),
-f as (select id, p, (sum(abs(l.v - s.v) * case ch when 0 then 299 when 1 then 587 else 114 end) + 500)::bigint // 1000 as x from l join s using (id, ch, p) group by id, p),
+s as (select id, ch, 4 * wr.o + wc.o as p, floor(least(greatest(sum(v * wr.w * wc.w), 0), 255) + 0.5)::int as v from r join wr on wr.i = r.r join wc
+  on wc.i = r.c group by id, ch, wr.o, wc.o),
+f as (select id, p, (sum(abs(l.v - s.v) * case ch when 0 then 299 when 1 then 587 else 114 end) + 500)::bigint // 1000 as x from l join s using (id,
+  ch, p) group by id, p),
 m as (select id, min(x) as low, max(x) as high from f group by id)
 select id, p as i, (case when high > low then (x - low) * 255 // (high - low) else 0 end)::int as x from f join m using (id)""")
 def image_contrast(spark: SparkSession, d: str) -> DataFrame:
