@@ -259,3 +259,11 @@ def test_scores_are_those_of_a_plain_version(small, monkeypatch):
     want = {i: sum(np.log10(count[b] + 1) + np.log10(mix * move[cls[a], cls[b]] / (n[cls[b]] + v[cls[b]] + 1) + (1 - mix) * outside) for a, b in zip([class_lm.END, *t], t)) for i, t in rows}
     got = {r.doc_id: r.score for r in class_lm.score(small, scorer, *class_lm.fit(small, learn, 6)[1:]).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "BPE", "byte_fallback": True}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}])
+def test_other_tokenizer_files_are_refused(change):
+    plain = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": []}
+    assert bpe.checked(plain) is plain
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.checked(plain | change)

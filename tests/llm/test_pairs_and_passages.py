@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plain import components, repeats, same_as_sql, sha, shingle_set
 from twinspark.llm import ngram_join, rolling, suffix_dedup
@@ -316,3 +317,11 @@ def test_cut_texts_keeps_columns_of_any_name(spark, change):
     got = change(docs)
     assert got.columns == docs.columns
     assert sorted(tuple(r)[2:] for r in got.collect()) == sorted(r[2:] for r in rows)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_passages_with_ids_of_another_type(plain, kind):
+    want = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digest(plain.where("doc_id < 10")).collect()}
+    rows = plain.where("doc_id < 10").withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert {int(r.doc_id): tuple(r)[1:] for r in suffix_dedup.digest(rows).collect()} == want
+    assert suffix_dedup.cut_texts(rows).schema["doc_id"] == rows.schema["doc_id"]

@@ -11,11 +11,17 @@ undoing them, and is cached for each pair of tokens.
 
 Pieces repeat, so a worker keeps those it has encoded lately in bounded tables;
 this does not change any result. Texts are
-processed whole, in Arrow batches cut by bytes; there is no shuffle.
+processed whole, some hundred at a time; there is no shuffle.
+
+Only files of the byte-level kind can be read, with the usual split into pieces and
+without a normalizer, a prefix space or options of the model or of added tokens;
+others raise (``checked``).
 
 Defined results: a null text is encoded as empty text, which has no ids;
-special tokens that stand in a text become their own id; repeated rows get
-equal results. Ids decode to the same bytes as the library's, with invalid
+special tokens that stand in a text become their own id; repeated rows, null and
+tied ids get equal results for equal texts; a text of any length is encoded whole, a
+piece of n bytes in time that grows with n; other columns, of whatever name, are not
+read; an empty table gives an empty result. Ids decode to the same bytes as the library's, with invalid
 UTF-8 replaced.
 """
 
@@ -48,6 +54,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def checked(spec: dict) -> dict:
+    """The content of a tokenizer file; raises if it asks for anything that isn't done here."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if spec.get("normalizer"):
+        odd.append("normalizer")
+    if model.get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        odd.append("pre_tokenizer or type of the model")
+    if odd:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(odd)}")
+    return spec
+
+
 class Vocabulary:
     """Tokens as bytes, merges, and the automaton of the reversed tokens."""
 
@@ -212,7 +232,7 @@ def vocabulary(key: str, spec: str) -> Vocabulary:
     """A worker builds a vocabulary once."""
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Vocabulary(json.loads(spec))
+        _LOADED[key] = Vocabulary(checked(json.loads(spec)))
     return _LOADED[key]
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from twinspark.plans.shared import folder
 
 #: White space that separates words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -65,17 +67,6 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return tidied
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='twinspark-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
 #: Tables written by this session, for ``dropped`` and ``release``: the frame and its path by the frame's identity.
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
@@ -101,7 +92,7 @@ def settled(df: DataFrame, rows: int | None = None, by: tuple[str, ...] = ()) ->
     ``rows``: how many rows go to Python at a time, where they are large. ``by``: columns that have folders of their own.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/twinspark-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/twinspark-{uuid.uuid4().hex}"
     before, at_a_time = spark.conf.get(_CLEAN, "false"), spark.conf.get(_ROWS)
     spark.conf.set(_CLEAN, "true")
     spark.conf.set(_ROWS, str(rows or at_a_time))
@@ -116,17 +107,17 @@ def settled(df: DataFrame, rows: int | None = None, by: tuple[str, ...] = ()) ->
 
 
 def keyed(docs: DataFrame, *carry: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by a key that is theirs alone and follows their order.
+    """Documents by a key (a long) that is theirs alone and follows their order.
 
     Returns (key, text) of all different documents and (key, doc_id, text, row)
-    of all rows, row being a struct of the carried columns. Where ids are neither
-    null nor repeated, they are the keys. Else equal rows are one document, and
-    documents are numbered by id (null first), then text.
+    of all rows, row being a struct of the carried columns. Where ids are whole
+    numbers, neither null nor repeated, they are the keys. Else equal rows are one
+    document, and documents are numbered by id (null first), then text.
     """
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry or ("doc_id",)]).alias("row"))
     odd = rows.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
-    if odd.isEmpty():
-        keys = rows.select(F.col("doc_id").alias("key"), "doc_id", "text", "row")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType) and odd.isEmpty():
+        keys = rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", "row")
         return keys.select("key", "text"), keys
     one = rows.select("doc_id", "text").distinct()
     ordered = one.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinspark.llm.bpe import PIECES, byte_alphabet, vocabulary
+from twinspark.llm.bpe import PIECES, byte_alphabet, checked, vocabulary
 from twinspark.llm.common import settled, small_batches, tidy
 
 #: Tokens of a sequence, and the id that ends every document.
@@ -58,7 +58,7 @@ COLUMNS = {
 
 @cache
 def _encoding(spec: str) -> tiktoken.Encoding:
-    model = json.loads(spec)
+    model = checked(json.loads(spec))
     vocab, to_byte = model["model"]["vocab"], byte_alphabet()
     made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
     if made != sorted(made):

@@ -15,7 +15,9 @@ scored whole, in Arrow batches without a shuffle.
 Defined results: null and empty texts get a score from their zero features;
 labels that are null are not learned from; if no labelled text is left to learn
 from, or only one label, all scores are the share of label 1 (0.5 without any);
-repeated rows get equal scores; an empty table gives an empty result.
+repeated rows and equal texts (ties) get equal scores, also where ids are null;
+texts of any length are measured whole; other columns, of whatever name, are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ ratios are compared by cross multiplication, so no rounding is involved. The
 projection needs no shuffle and no user functions; every row is judged alone.
 
 Defined results: a null text counts as no words; a text of under ten words
-fails the base; repeated rows get equal verdicts; an empty table gives an
+fails the base; repeated rows and equal texts (ties) get equal verdicts, also where ids are
+null; texts of any length are counted whole; an empty table gives an
 empty result; other columns of the input are passed through by ``apply`` and
 ignored by ``measure``.
 """
