@@ -70,11 +70,10 @@ def plain_fingerprint(text, lex):
     if not kept:
         return {(255, spark_hash(*terms))}
     subsets = {0: kept}
-    for base, n in ((1, 8), (9, 64)):
-        for t in kept:
-            for r in range(2):
-                h = spark_hash(t, n, r)
-                subsets.setdefault(base + (h - (h >> 63 << 64)) % n, []).append(t)
+    for t in kept:
+        for r in range(2):
+            h = spark_hash(t, r)
+            subsets.setdefault(1 + (h - (h >> 63 << 64)) % 64, []).append(t)
     return {(k, spark_hash(*v)) for k, v in subsets.items()}
 
 

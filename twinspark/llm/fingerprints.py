@@ -8,8 +8,8 @@ band ends at a lower frequency: at the highest one up to which there are no more
 than that, so that terms of equal frequency are all in or all out. The driver reads
 the lexicon and compiles it into the plan.
 
-Subsets of the lexicon are the whole of it and, for each of SUBSETS, so many random
-ones, each term being in those that PICKS independent draws name: subsets overlap.
+Subsets of the lexicon are the whole of it and SUBSETS random ones, each term being in
+those that PICKS independent draws name: subsets overlap.
 Of a text, the distinct terms in the lexicon are sorted, and those of a subset are
 hashed together to 64 bits; the fingerprint is the list of the hashes by subset.
 Texts without any term of the lexicon get one hash of all their sorted terms.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from twinspark.llm.common import ascii_lower, let, settled, whole, words
 
 LOW, HIGH = 0.005, 0.10
-#: Random subsets of either kind, and how many of them a term is in.
-SUBSETS, PICKS = (8, 64), 2
+#: Random subsets, and how many of them a term is drawn into.
+SUBSETS, PICKS = 64, 2
 #: Rows of a bucket of neighbouring ids, about, and buckets at most (their borders stand in the plan).
 BUCKET, BUCKETS = 4096, 1 << 16
 #: Terms of the lexicon, about at most; the driver reads it and it stands in the plan.
@@ -67,9 +67,8 @@ def fingerprint(text: Column, lex: list[str]) -> Column:
         return let(kept, lambda k: F.when(F.size(k) == 0, everything).otherwise(F.concat(F.array(code(F.lit(_WHOLE), F.sort_array(k))), drawn(k))))
 
     def drawn(terms: Column) -> Column:
-        draws = [(1 + sum(SUBSETS[:i]), n, r) for i, n in enumerate(SUBSETS) for r in range(PICKS)]
-        place = lambda t, base, n, r: F.struct((F.pmod(F.xxhash64(t, F.lit(n), F.lit(r)), F.lit(n)) + base).cast("int").alias("c"), t.alias("t"))
-        pairs = F.sort_array(F.flatten(F.transform(terms, lambda t: F.array(*[place(t, *d) for d in draws]))))
+        place = lambda t, r: F.struct((F.pmod(F.xxhash64(t, F.lit(r)), F.lit(SUBSETS)) + 1).cast("int").alias("c"), t.alias("t"))
+        pairs = F.sort_array(F.concat(*[F.transform(terms, lambda t, r=r: place(t, r)) for r in range(PICKS)]))
 
         def runs(p: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["c"] != F.get(p, k - 1)["c"]))
