@@ -67,8 +67,8 @@ def fingerprint(text: Column, lex: list[str]) -> Column:
         return let(kept, lambda k: F.when(F.size(k) == 0, everything).otherwise(F.concat(F.array(code(F.lit(_WHOLE), F.sort_array(k))), drawn(k))))
 
     def drawn(terms: Column) -> Column:
-        place = lambda t, r: F.struct((F.pmod(F.xxhash64(t, F.lit(r)), F.lit(SUBSETS)) + 1).cast("int").alias("c"), t.alias("t"))
-        pairs = F.sort_array(F.concat(*[F.transform(terms, lambda t, r=r: place(t, r)) for r in range(PICKS)]))
+        place = lambda r: lambda t: F.struct((F.pmod(F.xxhash64(t, F.lit(r)), F.lit(SUBSETS)) + 1).cast("int").alias("c"), t.alias("t"))
+        pairs = F.sort_array(F.concat(*[F.transform(terms, place(r)) for r in range(PICKS)]))
 
         def runs(p: Column) -> Column:
             starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: (k == 0) | (F.get(p, k)["c"] != F.get(p, k - 1)["c"]))
