@@ -23,6 +23,9 @@ Components are found with alternating stars. Hashes of words and shingles are
 chained bijective mixings of 64 bits, no polynomials; two different shingles have
 equal ones with a chance of about 2**-64.
 
+Joins with all rows are sort-merge joins at every size: what they need has as many
+rows as there are documents or near duplicates, so it is never broadcast.
+
 Frequent shingles are counted over all texts in gathered parts; of the list at most
 LISTED are sent to the workers. It only orders shingles: it cannot lose a link.
 
@@ -349,7 +352,7 @@ def link_rows(docs: DataFrame, members: DataFrame, words: int, percent: int) ->
     blocks = members.groupBy("component").agg(blocks.alias("blocks"))
     wanted = members.join(blocks, "component").select("hash", "of", "sig", "component", "rows", "blocks")
     texts = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
-    texts = texts.join(wanted, (F.col("_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = texts.join(wanted.hint("merge"), (F.col("_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("of")))
     dealt = texts.withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "rows", "text")
     dealt = dealt.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
@@ -410,7 +413,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     rows, named = classes(docs, words, percent)
     id_ = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     links = F.coalesce("n_links", F.lit(0).cast("long"))
-    return rows.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), links.alias("n_links"), "class")
+    return rows.join(named.hint("merge"), "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), id_.alias("component_id"), links.alias("n_links"), "class")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -419,7 +422,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Columns are as they were, whatever their names. Of rows that repeat id and text any one stays.
     """
     rows, named = classes(docs, words, percent)
-    worded = rows.join(named, "sig").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    worded = rows.join(named.hint("merge"), "sig").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = worded.groupBy("class").agg(F.min(F.struct(F.col("hash"))).alias("at"))
     of = worded.groupBy("class", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times"))
     kept = of.join(first, "class").where(F.col("hash") == F.col("at.hash")).select(F.col("doc_id").alias("id"), F.col("hash").alias("of"), "times")
@@ -428,7 +431,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     worded = F.length(F.btrim(whole(F.col("row.text")), F.lit(SPACES))) > 0
     # By text and id: copies of a text are spread like other rows, and of each component one meets its row of ``kept``.
-    got = every.where(worded).withColumn("hash", F.xxhash64("row.text")).join(kept, (F.col("hash") == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    got = every.where(worded).withColumn("hash", F.xxhash64("row.text")).join(kept.hint("merge"), (F.col("hash") == F.col("of")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
     once = got.where("times < 2").select("row")
     if not kept.where("times > 1").isEmpty():
         again = got.where("times > 1").groupBy("of", "id").agg(F.first("row").alias("row")).select("row")
