@@ -50,3 +50,20 @@ def test_empty_documents(spark, empty):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, edge):
+    """Nulls, empty and blank texts, a long one, ties, repeated rows and ids, and columns with names that the stages use."""
+    docs, seen = edge, []
+    for name, stage in P.STAGES[:-1]:
+        docs = settled(stage(spark, docs, SF))
+        assert docs.columns == edge.columns and docs.dtypes == edge.dtypes, name
+        seen.append([(r.doc_id, r.text) for r in docs.collect()])
+    good, one, cut, mixed = seen
+    assert {i for i, _ in good} >= {1, 2, 3, 4, 5, 6, None} and not {7, 8, 9, 11, 14, 16} & {i for i, _ in good}
+    assert len([x for x in good if x[0] == 3]) == 3 and len([x for x in one if x[0] == 3]) == 1  # a repeated row
+    assert sorted(map(str, {i for i, _ in one})) == sorted(map(str, {i for i, n, c in components(good) if c == i or i is None}))
+    assert len(cut) == len(one) and sum(len(t) for _, t in cut) < sum(len(t) for _, t in one)
+    assert set(mixed) <= set(cut) and mixed
+    out = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(map(str, (r.decoded_sha256 for r in out))) == sorted(sha(t.encode()) for _, t in mixed)
