@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinspark.functions import hashes
-from twinspark.operators import graph, pairs
+from twinspark.operators import files, graph, pairs
 from twinspark.operators.incremental import Components, Pairs
 from twinspark.operators.store import Conflict, Store
 from twinspark.plans.shared import kept
@@ -127,6 +127,21 @@ def test_merge_rewrites_only_the_buckets_of_its_keys(spark, store):
     assert store.read("t").count() == 500 and len(store.versions()) == 1
 
 
+def test_files_are_upserted_by_bucket(spark, store):
+    schema = "id long, path string, phash string, file_size long"
+    store.in_buckets("files", spark.createDataFrame([], schema).schema, ["path"], 16)
+    store.publish([store.merged("files", spark.createDataFrame([(7, "/old", "h", 1), (3, "/x", "h", 1)], schema))])
+    new = spark.createDataFrame([("/old", None, 9, 2), ("/b", "h", 5, 1), ("/b", "h2", 6, 2), ("/a", "h", 4, 1)], "path string, phash string, file_size long, seq int")
+    before = store.entry("files")["at"]
+    files.upsert_into(store, new, keep_hash=True)
+    got = {r.path: (r.id, r.phash, r.file_size) for r in store.read("files").collect()}
+    assert got == {"/old": (7, "h", 9), "/x": (3, "h", 1), "/a": (8, "h", 4), "/b": (9, "h2", 6)}
+    assert sum(before.get(b) != at for b, at in store.entry("files")["at"].items()) <= 3
+    files.upsert_into(store, new.limit(0))
+    files.upsert_into(store, spark.createDataFrame([("/c", None, 1, 1)], new.schema))
+    assert {r.path: r.id for r in store.read("files").collect()}["/c"] == 10
+
+
 def test_two_writers_lose_no_change(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     one = Store(spark, root)

@@ -45,7 +45,9 @@ def upsert(files: DataFrame, new: DataFrame, order: str = "seq", keep_hash: bool
 def upsert_into(store: Store, new: DataFrame, table: str = "files", order: str = "seq", keep_hash: bool = False) -> int:
     """``upsert`` into a table that a store keeps in buckets of the path: k paths read and write k buckets at most. Returns the version."""
     buckets = store.touched(table, new)
-    largest = store.note(f"{table}.largest_id", 0)
+    largest = store.note(f"{table}.largest_id")
+    if largest is None:  # nothing was upserted yet; later upserts needn't read the whole table
+        largest = store.read(table).agg(F.max("id")).first()[0] or 0
     change = store.rewritten(table, upsert(store.read(table, buckets=buckets), new, order, keep_hash, largest), buckets)
     written = [f"{store.root}/{folder}" for folder in change.buckets.values() if folder]
     top = store.spark.read.parquet(*written).agg(F.max("id")).first()[0] if written else 0
