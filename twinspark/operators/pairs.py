@@ -34,26 +34,18 @@ def exact_groups(files: DataFrame, key: str = "phash") -> DataFrame:
     return files.where(F.col(key) != "").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-def _sides(h: DataFrame) -> tuple[DataFrame, DataFrame]:
-    side = lambda s: h.select(F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{c}_{s}") for c in CHUNKS])
-    return side(1), side(2)
-
-
-def _distance() -> Column:
-    return hashes.hamming([F.col(f"{c}_1") for c in CHUNKS], [F.col(f"{c}_2") for c in CHUNKS])
-
-
 def mih_candidates(files: DataFrame) -> DataFrame:
     """(id1, id2, distance) of hashes that share a chunk in the same place.
 
-    Four equi-joins instead of one join with OR; the k-th leaves out pairs that an earlier chunk has found.
+    Each file stands under its four chunks, and one join by place and value meets them; a pair is kept at its first common chunk.
     """
-    a, b = _sides(files.where(F.col(CHUNKS[0]).isNotNull()))
-    out = []
-    for k, c in enumerate(CHUNKS):
-        on = [a[f"{c}_1"] == b[f"{c}_2"], a["id1"] < b["id2"], *[a[f"{x}_1"] != b[f"{x}_2"] for x in CHUNKS[:k]]]
-        out.append(a.join(b, reduce(lambda x, y: x & y, on)))
-    return reduce(DataFrame.unionByName, out).select("id1", "id2", _distance().alias("distance"))
+    chunks = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(CHUNKS)])
+    rows = files.where(F.col(CHUNKS[0]).isNotNull()).select("id", *CHUNKS, F.explode(chunks).alias("b"))
+    side = lambda s: rows.select("b.k", "b.v", F.col("id").alias(f"id{s}"), *[F.col(c).alias(f"{c}_{s}") for c in CHUNKS])
+    met = side(1).join(side(2), ["k", "v"]).where("id1 < id2")
+    first = [(F.col("k") <= j) | (F.col(f"{c}_1") != F.col(f"{c}_2")) for j, c in enumerate(CHUNKS[:-1])]
+    distance = hashes.hamming([F.col(f"{c}_1") for c in CHUNKS], [F.col(f"{c}_2") for c in CHUNKS])
+    return met.where(reduce(lambda x, y: x & y, first)).select("id1", "id2", distance.alias("distance"))
 
 
 def hamming_mih(files: DataFrame, t: int) -> DataFrame:
@@ -144,9 +136,14 @@ def best_of(k: int, digits: int | None):
         out = []
         for lo in range(0, len(a), 1024):
             d = 1 - a[lo : lo + 1024] @ b.T
-            d = np.round(d, digits) + 0.0 if digits is not None else d  # no negative zero
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(left["qid"].to_numpy()[lo : lo + 1024], top.shape[1]), "match_id": ids[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}))
+            n = min(k, d.shape[1])
+            edge = np.partition(d, n - 1, axis=1)[:, n - 1 :]
+            r, c = np.nonzero(d <= edge[:, :1] + (10.0**-digits if digits is not None else 0))  # rounding may bring in who lies just behind
+            v = np.round(d[r, c], digits) + 0.0 if digits is not None else d[r, c]  # no negative zero
+            order = np.lexsort((c, v, r))
+            r, c, v = r[order], c[order], v[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"id": left["qid"].to_numpy()[lo + r[first]], "match_id": ids[c[first]], "distance": v[first]}))
         return pd.concat(out)
 
     return best
