@@ -167,8 +167,8 @@ def dct_low(spark: SparkSession, d: str) -> DataFrame:
 @query("""with e as (select vec_id as id, i, abs(floor(100 * embedding[i + 1])::int - floor(100 * embedding[i + 33])::int) as x from embeddings, range(32) r(i)),
 m as (select id, min(x) as low, max(x) as high from e group by id) select id, i, (case when high > low then (x - low) * 255 // (high - low) else 0 end)::int as x from e join m using (id)""")
 def pixel_contrast(spark: SparkSession, d: str) -> DataFrame:
-    """The difference of the two halves of a vector as grey values, stretched."""
-    grey = lambda start: F.transform(F.slice("embedding", start, 32), lambda x: F.floor(x * 100).cast("int"))
+    """The difference of the two halves of a vector as grey values, stretched; components are floats and stay so, as in SQL."""
+    grey = lambda start: F.transform(F.slice("embedding", start, 32), lambda x: F.floor((x * F.lit(100).cast("float")).cast("float")).cast("int"))
     rows = adapters.vectors(spark, d).select("id", F.posexplode(hashes.autocontrast(hashes.pixel_difference(grey(1), grey(33)))).alias("i", "x"))
     return rows.select("id", F.col("i").cast("long").alias("i"), "x")
 
