@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,24 +66,43 @@ def as_hex(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 16, "0")
 
 
-def _blocks(t: int) -> list[tuple[int, int]]:
-    """First bit (from the low end) and width of the blocks of 64 bits for a threshold; at least one differs in at most t // n bits."""
-    n = 4 if t <= 7 else min(t // 2 + 1, 32)
+def _cut(n: int) -> list[tuple[int, int]]:
+    """First bit (from the low end) and width of n blocks of 64 bits."""
     return [(64 * k // n, 64 * (k + 1) // n - 64 * k // n) for k in range(n)]
 
 
+def _blocks(t: int) -> tuple[list[tuple[tuple[int, int], ...]], int]:
+    """The blocks that hashes meet by, each of one or two parts, and in how many bits one of them may differ at most.
+
+    For 4 <= t <= 6 there are t + 2 parts, of which two have no differing bit: every two of them are a block of about
+    20 bits. Else a block is one part, and of n parts one differs in at most t // n bits.
+    """
+    if 4 <= t <= 6:
+        return list(combinations(_cut(t + 2), 2)), 0
+    n = 4 if t <= 7 else min(t // 2 + 1, 32)
+    return [(part,) for part in _cut(n)], t // n
+
+
 def block_rows(h: DataFrame, t: int) -> DataFrame:
     """(k, v, x): the blocks of every hash x."""
-    value = [F.shiftrightunsigned("x", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _blocks(t)]
-    return h.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in enumerate(value)])).alias("b")).select("b.k", "b.v", "x")
+
+    def value(parts: tuple[tuple[int, int], ...]) -> Column:
+        out, filled = F.lit(0).cast("long"), 0
+        for at, width in parts:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("x", at).bitwiseAND(F.lit((1 << width) - 1)), filled))
+            filled += width
+        return out
+
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), value(parts).alias("v")) for k, parts in enumerate(_blocks(t)[0])])
+    return h.select("x", F.explode(blocks).alias("b")).select("b.k", "b.v", "x")
 
 
 def near_rows(h: DataFrame, t: int) -> DataFrame:
     """(k, v, x): the blocks of every hash x and, where the threshold needs it, all that differ in one bit."""
-    cut = _blocks(t)
-    if t // len(cut) == 0:
+    cut, spare = _blocks(t)
+    if spare == 0:
         return block_rows(h, t)
-    width = F.element_at(F.array(*[F.lit(w) for _, w in cut]), F.col("k") + 1)
+    width = F.element_at(F.array(*[F.lit(sum(w for _, w in parts)) for parts in cut]), F.col("k") + 1)
     bits = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.col("v").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     return block_rows(h, t).select("k", F.explode(F.concat(F.array("v"), bits)).alias("v"), "x")
 
@@ -90,28 +112,90 @@ def blocks_meet(around: DataFrame, blocks: DataFrame, t: int) -> DataFrame:
 
     The distance is taken in the join, and a pair is kept at its first common block only.
     """
-    cut = _blocks(t)
-    spare = t // len(cut)
+    cut, spare = _blocks(t)
     differ = F.col("x").bitwiseXOR(F.col("y"))
-    masks = [((1 << width) - 1) << at for at, width in cut]
+    masks = [sum(((1 << width) - 1) << at for at, width in parts) for parts in cut]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     first = [(F.col("k") <= j) | (F.bit_count(differ.bitwiseAND(F.lit(m).cast("long"))) > spare) for j, m in enumerate(signed[:-1])]
     met = around.join(blocks.withColumnRenamed("x", "y"), ["k", "v"]).where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")))
     return met.where(reduce(lambda a, b: a & b, first)).select("x", "y", F.bit_count(differ).alias("distance"))
 
 
+#: Up to this threshold hashes meet by blocks; beyond it most of them have a block in common, and all are compared.
+BY_BLOCKS = 7
+#: Hashes of a part, about; every two parts are compared in one task, in squares of so many rows and columns.
+PART, ROWS, COLUMNS = 16_384, 64, 4_096
+
+
+def all_compared(h: DataFrame, t: int) -> DataFrame:
+    """(x, y, distance) of all different hashes x < y (x; each once) within t bits, by comparing all: parts of them meet two by two.
+
+    A task holds two parts and what it has found in a few squares. The number of tasks follows from the number of
+    pairs, not from the bytes of the hashes, which are few.
+    """
+    n = max(4, -(-h.count() // PART))
+    v = h.select("x", F.pmod(F.xxhash64("x"), F.lit(n)).cast("int").alias("own"))
+    v = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    v = v.select("x", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low, high, own, x in sorted_groups(batches):
+            left, right = np.sort(x[own == low]), np.sort(x[own == high])
+            for i in range(0, len(left), ROWS):
+                a = left[i : i + ROWS, None]
+                for j in range(0, len(right), COLUMNS):
+                    d = np.bitwise_count((a ^ right[None, j : j + COLUMNS]).view(np.uint64))  # of a signed number it would count the absolute value's
+                    r, c = np.nonzero(d <= t)
+                    one, two, far = left[i + r], right[j + c], d[r, c]
+                    keep = one < two if low == high else slice(None)
+                    one, two, far = one[keep], two[keep], far[keep]
+                    if len(one):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(far.astype(np.int32))], ["x", "y", "distance"])
+
+    spread = v.repartition(tasks_for(h, n), "low", "high").sortWithinPartitions("low", "high")
+    return spread.select("low", "high", "own", "x").mapInArrow(compared, "x long, y long, distance int")
+
+
+def tasks_for(df: DataFrame, n: int) -> int:
+    """Tasks for the meetings of ``n`` parts, two by two: as many as there are meetings, at most 2,000 and what the session shuffles to."""
+    return min(n * (n + 1) // 2, max(2_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(low, high, and the other columns as arrays) of each group of rows (low, high, ...) that come sorted by these two."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple:
+        t = pa.Table.from_batches(held)
+        return held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py(), *(t.column(k).to_numpy() for k in range(2, t.num_columns))
+
+    for b in batches:
+        low, high = b.column(0).to_numpy(), b.column(1).to_numpy()
+        cuts = np.flatnonzero((np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        for at, to in zip([0, *cuts], [*cuts, b.num_rows]):
+            if at == to:
+                continue
+            part = b.slice(at, to - at)
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (low[at], high[at]):
+                yield out()
+                held = []
+            held.append(part)
+    if held:
+        yield out()
+
+
 def distinct_hash_pairs(files: DataFrame, t: int) -> DataFrame:
     """(h1, h2, distance) of all different hashes within t bits, h1 < h2; complete for every t.
 
-    Of m blocks one differs in at most t / m bits. Up to t = 7, the four chunks are joined with all their neighbours
-    by t // 4 bits; above, t // 2 + 1 blocks with at most one differing bit each are joined with theirs.
+    By blocks up to BY_BLOCKS bits; above, all are compared.
     """
     h = files.where(F.col(CHUNKS[0]).isNotNull()).select(F.lower("phash").alias("phash")).distinct()
     h = h.select(as_number(F.col("phash")).alias("x"))
-    if t >= 64:  # all pairs are the answer
-        found = h.join(h.withColumnRenamed("x", "y"), F.col("x") != F.col("y")).select("x", "y", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
-    else:
-        found = blocks_meet(near_rows(h, t), block_rows(h, t), t)
+    if t > BY_BLOCKS:
+        met = all_compared(h, t)
+        a, b = as_hex(F.col("x")), as_hex(F.col("y"))
+        return met.select(F.least(a, b).alias("h1"), F.greatest(a, b).alias("h2"), "distance")
+    found = blocks_meet(near_rows(h, t), block_rows(h, t), t)
     return found.select(as_hex(F.col("x")).alias("h1"), as_hex(F.col("y")).alias("h2"), "distance").where("h1 < h2")
 
 
