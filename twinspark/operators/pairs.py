@@ -216,14 +216,26 @@ def best_of(k: int, digits: int | None):
         if not len(left) or not len(right):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "match_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         right = right.sort_values("id")
-        a, b, ids = unit_rows(left["qv"]), unit_rows(right["embedding"]), right["id"].to_numpy()
+        a, b, ids, slack = unit_rows(left["qv"]), unit_rows(right["embedding"]), right["id"].to_numpy(), 10.0**-digits if digits is not None else 0
         out = []
-        for lo in range(0, len(a), 1024):
-            d = 1 - a[lo : lo + 1024] @ b.T
-            n = min(k, d.shape[1])
-            edge = np.partition(d, n - 1, axis=1)[:, n - 1 :]
-            r, c = np.nonzero(d <= edge[:, :1] + (10.0**-digits if digits is not None else 0))  # rounding may bring in who lies just behind
-            v = np.round(d[r, c], digits) + 0.0 if digits is not None else d[r, c]  # no negative zero
+        for lo in range(0, len(a), SQUARE):
+            some = a[lo : lo + SQUARE]
+            r, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            edge = np.full((len(some), 1), np.inf)  # no one beyond it is among a query's k nearest
+            for at in range(0, len(b), COLUMNS):
+                d = 1 - some @ b[at : at + COLUMNS].T
+                if at == 0 and d.shape[1] >= k:
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                x, y = np.nonzero(d <= edge + slack)  # rounding may bring in who lies just behind
+                r, c, v = np.concatenate((r, x)), np.concatenate((c, at + y)), np.concatenate((v, d[x, y]))
+                order = np.lexsort((c, v, r))
+                r, c, v = r[order], c[order], v[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                last = place == k - 1
+                edge[r[last], 0] = v[last]
+                near = v <= edge[r, 0] + slack
+                r, c, v = r[near], c[near], v[near]
+            v = np.round(v, digits) + 0.0 if digits is not None else v  # no negative zero
             order = np.lexsort((c, v, r))
             r, c, v = r[order], c[order], v[order]
             first = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -279,6 +291,8 @@ def cosine_within(vectors: DataFrame, t: float, digits: int | None = None) -> Da
     return v.groupBy("low", "high").applyInPandas(near, "id1 long, id2 long, distance double")
 
 
+#: Queries whose products with COLUMNS vectors are in memory at a time.
+SQUARE = 256
 #: Vectors of a block, about, and the least number of blocks.
 BLOCK_ROWS, LEAST_BLOCKS = 50_000, 4
 
