@@ -22,3 +22,15 @@ def test_neighbours_by_squares_are_those_of_the_whole_matrix(monkeypatch):
         want = [(q, int(m), d[q, m]) for q in range(60) for m in np.lexsort((np.arange(60), d[q]))[:k]]
         assert list(got.itertuples(index=False, name=None)) == want
     assert all(rows <= 7 and columns <= 11 for rows, columns in seen)  # never all vectors at once
+
+
+def test_near_vectors_by_squares(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SQUARE", 7, raising=False)
+    monkeypatch.setattr(pairs, "COLUMNS", 11, raising=False)
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (90, 4)).astype(float) + 0.5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    d = np.round(1 - pairs.unit_rows(pd.Series(list(v))) @ pairs.unit_rows(pd.Series(list(v))).T, 6) + 0.0
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if d[i, j] <= 0.3}
+    got = [(r.id1, r.id2) for r in pairs.cosine_within(df, 0.3, 6).collect()]
+    assert len(got) == len(want) > 0 and set(got) == want

@@ -281,11 +281,14 @@ def cosine_within(vectors: DataFrame, t: float, digits: int | None = None) -> Da
         if not len(left) or not len(right):
             return out[0]
         a, b, i, j = unit_rows(left["embedding"]), unit_rows(right["embedding"]), left["id"].to_numpy(), right["id"].to_numpy()
-        for lo in range(0, len(a), 1024):
-            d = 1 - a[lo : lo + 1024] @ b.T
-            d = np.round(d, digits) + 0.0 if digits is not None else d
-            x, y = np.nonzero((d <= t) & (i[lo : lo + 1024, None] < j) if low == high else d <= t)
-            out.append(pd.DataFrame({"id1": np.minimum(i[lo + x], j[y]), "id2": np.maximum(i[lo + x], j[y]), "distance": d[x, y]}))
+        for lo in range(0, len(a), SQUARE):
+            for at in range(0, len(b), COLUMNS):
+                d = 1 - a[lo : lo + SQUARE] @ b[at : at + COLUMNS].T
+                d = np.round(d, digits) + 0.0 if digits is not None else d
+                x, y = np.nonzero(d <= t)
+                one, two = i[lo + x], j[at + y]
+                keep = one < two if low == high else np.ones(len(one), bool)
+                out.append(pd.DataFrame({"id1": np.minimum(one, two)[keep], "id2": np.maximum(one, two)[keep], "distance": d[x, y][keep]}))
         return pd.concat(out)
 
     return v.groupBy("low", "high").applyInPandas(near, "id1 long, id2 long, distance double")
