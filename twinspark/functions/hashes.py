@@ -6,10 +6,13 @@ hashes from 2**63 on overflow there.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,47 @@ def hex_of_bits(bits: Column) -> Column:
     return F.concat(*[digit(F.lit(k)) for k in range(16)])
 
 
+#: Bytes of text whose tokens are in memory at a time, and tokens that 16 bits can count.
+TEXT_BYTES, COUNTED = 4 << 20, (1 << 16) - 1
+
+
+def _token_hashes(texts: pa.Array) -> list[str | None]:
+    """Hashes of some lower-case texts; a token that several of them have is digested once."""
+    lists = pc.split_pattern(texts, " ")
+    tokens = lists.flatten().dictionary_encode()
+    words, codes, row = tokens.dictionary.cast(pa.binary()).to_pylist(), tokens.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    some = np.array([w != b"" for w in words], bool)[codes] if words else np.zeros(0, bool)
+    each = np.sort(row[some] * len(words) + codes[some])
+    if not len(each):
+        return [None] * len(texts)
+    each = each[np.diff(each, prepend=-1) != 0]
+    row, codes = each // len(words), each % len(words)
+    digests = np.frombuffer(b"".join([hashlib.md5(w, usedforsecurity=False).digest()[:8] for w in words]), np.uint8).reshape(-1, 8)
+    lanes = np.unpackbits(digests, axis=1).astype(np.uint16).view(np.uint64)  # four counters of 16 bits in each of 16 numbers
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    size = np.diff(first, append=len(row))
+    cuts = np.concatenate([np.arange(at, at + n, COUNTED) for at, n in zip(first, size)]) if size.max() > COUNTED else first
+    ones = np.add.reduceat(lanes[codes], cuts, axis=0).view(np.uint16).astype(np.int64)
+    ones = np.add.reduceat(ones, np.searchsorted(cuts, first), axis=0)
+    text = np.packbits(2 * ones > size[:, None], axis=1).tobytes().hex()
+    out: list[str | None] = [None] * len(texts)
+    for k, r in enumerate(row[first]):
+        out[r] = text[16 * k : 16 * k + 16]
+    return out
+
+
+def token_hash(text: Column) -> Column:
+    """16 hex digits: the signs of the summed bits of the md5 of all different tokens of a text (lower case, cut at blanks); NULL without a token."""
+
+    @F.arrow_udf("string")
+    def hashed(texts: pa.Array) -> pa.Array:
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1), len(texts)]
+        return pa.array([h for at, to in zip(cuts, cuts[1:]) if to > at for h in _token_hashes(texts[at:to])], pa.string())
+
+    return hashed.asNondeterministic()(F.lower(text))  # a filter on the hash would compute it twice
+
+
 def median_hash(v: Column) -> Column:
     """Bits of 64 coefficients: over the lower median or not."""
     bits = F.transform(F.array(F.get(F.sort_array(v), F.lit(31))), lambda m: F.transform(v, lambda x: x > m))

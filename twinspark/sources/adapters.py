@@ -63,17 +63,18 @@ def doc_path() -> Column:
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """id, phash: the signs of the summed bits of the md5 of all different tokens of a text.
+    """id, phash: the signs of the summed bits of the md5 of all different tokens of an id's texts; ids without a token are left out.
 
-    Tokens are summed up next to where they are read; one row for each text is exchanged.
+    A text is hashed where it is read. Only texts of ids that come more than once are exchanged, as their tokens count together.
     """
-    token = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda t: t != ""))).alias("t"))
-    digest = token.select("id", F.md5("t").alias("h"))
-    digest = digest.select("id", *[F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int").alias(f"c{k}") for k in range(4)])
-    votes = [F.sum(F.shiftright(f"c{k}", 15 - b).bitwiseAND(1) * 2 - 1).alias(f"s{k}_{b}") for k in range(4) for b in range(16)]
-    summed = digest.groupBy("id").agg(*votes)
-    number = lambda k: sum((F.when(F.col(f"s{k}_{b}") > 0, F.lit(1 << (15 - b))).otherwise(F.lit(0)) for b in range(16)), F.lit(0))
-    return summed.select("id", F.concat(*[F.lpad(F.lower(F.hex(number(k))), 4, "0") for k in range(4)]).alias("phash"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        again = again.withColumnRenamed("id", "_id")
+        together = rows.join(again, same, "left_semi").groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        rows = rows.join(again, same, "left_anti").unionByName(together)
+    return rows.select("id", hashes.token_hash(F.col("text")).alias("phash")).where("phash is not null")
 
 
 def files(spark: SparkSession, sf_dir: str, hashed: bool = True) -> DataFrame:
