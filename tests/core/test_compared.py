@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinspark.functions import hashes
-from twinspark.operators import pairs
+from twinspark.operators import graph, pairs
 
 
 def some_hashes(seed, n=8):
@@ -36,3 +36,20 @@ def test_blocks_of_a_hash(spark):
     h = spark.createDataFrame([(v - (1 << 63),) for v in some_hashes(1)], "x long").distinct()
     n = h.count()
     assert pairs.near_rows(h, 5).count() == pairs.block_rows(h, 5).count() == 21 * n
+
+
+def test_links_have_the_components_of_all_pairs(spark):
+    rng = random.Random(5)
+    some = [rng.getrandbits(64) for _ in range(6)]
+    some += [v ^ sum(1 << rng.randrange(64) for _ in range(4)) for v in some for _ in range(3)]
+    rows = [(i, f"{v:016x}" if i % 2 else f"{v:016X}") for i, v in enumerate(some + some[:9] + [some[0]] * 200)] + [(900, None), (901, "")]
+    files = hashes.with_chunks(spark.createDataFrame(rows, "id long, phash string"))
+    keep = lambda df: df.localCheckpoint()
+    edges = lambda df: df.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
+    known, links = pairs.hamming_join(files, 5), pairs.hamming_links(files, 5)
+    want, got = (graph.components(edges(x), keep) for x in (known, links))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert links.count() < len(rows) + 100 < known.count()  # all pairs of 200 copies are 20,000
+    full = graph.cliques(want, known)
+    short = graph.hash_cliques(got, files.select("id", pairs.as_number(F.col("phash")).alias("x")), 5)
+    assert short.columns == full.columns and sorted(map(str, short.collect())) == sorted(map(str, full.collect()))

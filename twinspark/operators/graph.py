@@ -76,6 +76,15 @@ def groups(found: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "component")
 
 
+def hash_cliques(found: DataFrame, hashed: DataFrame, t: int) -> DataFrame:
+    """All pairs of each component with the distance of their ``hashed`` numbers (id, x), NULL beyond t bits: ``cliques`` without a table of known pairs."""
+    rows = found.join(hashed, "id")
+    a = rows.select(F.col("id").alias("id1"), "component", "x")
+    b = rows.select(F.col("id").alias("id2"), "component", F.col("x").alias("y"))
+    apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    return a.join(b, "component").where("id1 < id2").select("id1", "id2", "component", F.when(apart <= t, apart).alias("distance"))
+
+
 def cliques(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """All pairs of each component. With ``known`` (id1, id2, distance) their distance, NULL where never compared; else 0.0.
 

@@ -209,6 +209,18 @@ def hamming_join(files: DataFrame, t: int) -> DataFrame:
     return apart.unionByName(equal)
 
 
+def hamming_links(files: DataFrame, t: int) -> DataFrame:
+    """(id1, id2) with the components of ``hamming_join``: the least ids of hashes within t bits of each other, and the least id of every hash with its others.
+
+    Rows grow with the different hashes and the files, not with the square of equal ones.
+    """
+    ids = files.where(F.col(CHUNKS[0]).isNotNull()).select("id", F.lower("phash").alias("phash"))
+    least = ids.groupBy("phash").agg(F.min("id").alias("id"))
+    a, b = (least.select(F.col("phash").alias(h), F.col("id").alias(i)) for h, i in (("h1", "a"), ("h2", "b")))
+    apart = distinct_hash_pairs(files, t).join(a, "h1").join(b, "h2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+    return apart.unionByName(exact_stars(ids))
+
+
 def best_of(k: int, digits: int | None):
     """Of two blocks (qid, qv) and (id, embedding): each query's k nearest (id, match_id, distance), ties by id."""
 
