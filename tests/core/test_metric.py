@@ -59,3 +59,30 @@ def test_rows_behind_the_values(spark):
     assert {tuple(r) for r in metric.rows_of(found, df).collect()} == {(1, 2, 1), (2, 3, 1)}
     empty = df.where(F.lit(False))
     assert metric.range_join(empty, metric.edit_distance, 1, metric.pivots(empty, 2)).count() == 0
+
+
+def test_without_pivots_and_of_other_metrics(spark):
+    df = spark.createDataFrame([("ab",), ("abc",), ("zzzzz",)], "value string")
+    assert [tuple(r) for r in metric.range_join(df, metric.edit_distance, 1, []).collect()] == [("ab", "abc", 1)]
+    hashes = spark.createDataFrame([(-1,), (0,), (1,), (7,)], "value long")
+    got = sorted(map(tuple, metric.range_join(hashes, metric.bits_apart, 2, []).collect()))
+    assert got == [(0, 1, 1), (1, 7, 2)]
+    far = [3 * i * i - 700 for i in range(60)]
+    apart = lambda a, b: F.abs(a - b) / 2
+    df = spark.createDataFrame([(v,) for v in far], "value long")
+    for pivots in ([], [far[3], far[50]]):
+        got = sorted(map(tuple, metric.range_join(df, apart, 40.5, pivots).collect()))
+        assert got == sorted((a, b, (b - a) / 2) for a in far for b in far if a < b and b - a <= 81)
+
+
+def test_alike_values_are_dealt_evenly(spark):
+    """All have the same distances to the pivots, so rings would bring them to one task."""
+    texts = [f"é{i:04d}" for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in texts], "value string")
+    pivots = ["zzzzz", "yyyyyyy"]
+    sizes = [r["count"] for r in metric.parts_met(df, metric.edit_distance, pivots).groupBy("low", "high").count().collect()]
+    assert sum(sizes) == 3000 * 12 and max(sizes) < 2 * 3000 * 2 / 12
+    assert metric.pruning(df, metric.edit_distance, 2, pivots).first()["compared"] == 3000 * 2999 // 2
+    few = df.where("value < 'é0150'")
+    want = {(a, b, edits(a, b)) for a in texts[:150] for b in texts[:150] if a < b and edits(a, b) <= 1}
+    assert {tuple(r) for r in metric.range_join(few, metric.edit_distance, 1, pivots).collect()} == want

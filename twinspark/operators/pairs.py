@@ -162,12 +162,15 @@ def tasks_for(df: DataFrame, n: int) -> int:
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(low, high, and the other columns as arrays) of each group of rows (low, high, ...) that come sorted by these two."""
+    """(low, high, and the other columns) of each group of rows (low, high, ...) that come sorted by these two; numbers as numpy arrays."""
     held: list[pa.RecordBatch] = []
 
+    def plain(column: pa.ChunkedArray) -> np.ndarray | pa.Array:
+        return column.to_numpy() if pa.types.is_integer(column.type) else pa.concat_arrays(column.chunks)
+
     def out() -> tuple:
         t = pa.Table.from_batches(held)
-        return held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py(), *(t.column(k).to_numpy() for k in range(2, t.num_columns))
+        return held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py(), *(plain(t.column(k)) for k in range(2, t.num_columns))
 
     for b in batches:
         low, high = b.column(0).to_numpy(), b.column(1).to_numpy()
