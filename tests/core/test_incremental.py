@@ -182,3 +182,18 @@ def test_a_refused_command_runs_again_on_the_new_version(spark, tmp_path):
 
     assert one.run(add("/one", lambda: two.commit(scanned_paths=spark.createDataFrame([("/two",)], "path string"))))
     assert seen == ["/one", "/one"] and {r.path for r in one.read("scanned_paths").collect()} == {"/one", "/two"}
+
+
+def test_no_table_of_a_batch_goes_through_the_driver(spark, tmp_path):
+    """Tables of blocks take few bytes on disk, which is no reason to send their rows through the driver."""
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    index = Pairs(Store(spark, f"file://{tmp_path}/store"), 5, keep)
+    index.update(spark.createDataFrame([(i, f"{i * 2654435761 % 2**64:016x}") for i in range(50)], "id long, phash string"))
+    index.update(spark.createDataFrame([(i, f"{i * 40503 % 2**64:016x}") for i in range(30, 80)], "id long, phash string"))
+    plans.append(index.links()._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)

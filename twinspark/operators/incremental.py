@@ -26,6 +26,11 @@ def _tables(store: Store, wanted: dict[str, tuple[str, list[str]]], buckets: int
             store.in_buckets(name, schema_of(schema), key, buckets)
 
 
+def large(rows: DataFrame) -> DataFrame:
+    """The side of a join that grows with a batch or a table: never sent through the driver, as its few bytes on disk would suggest."""
+    return rows.hint("merge")
+
+
 class Pairs:
     """Pairs of files whose hashes are within ``t`` bits of each other, complete for t up to 63.
 
@@ -61,30 +66,30 @@ class Pairs:
         out = new.select("id") if gone is None else new.select("id").unionByName(gone.select("id"))
         out = keep(out.where("id is not null").distinct())
         ids, id_buckets = self._of(self.ids, out)
-        had = keep(ids.join(out, "id", "left_semi"))
+        had = keep(ids.join(large(out), "id", "left_semi"))
         put = keep(put.where("id is not null and x is not null"))
-        leaving, coming = keep(had.join(put, ["id", "x"], "left_anti")), keep(put.join(had, ["id", "x"], "left_anti"))
+        leaving, coming = keep(had.join(large(put), ["id", "x"], "left_anti")), keep(put.join(large(had), ["id", "x"], "left_anti"))
         members, member_buckets = self._of(self.members, leaving.select("x").unionByName(coming.select("x")))
-        after = keep(members.join(leaving, ["x", "id"], "left_anti").unionByName(coming.select("x", "id")))
-        dead = keep(leaving.select("x").distinct().join(after, "x", "left_anti"))
-        born = keep(coming.select("x").distinct().join(members, "x", "left_anti"))
+        after = keep(members.join(large(leaving), ["x", "id"], "left_anti").unionByName(coming.select("x", "id")))
+        dead = keep(leaving.select("x").distinct().join(large(after), "x", "left_anti"))
+        born = keep(coming.select("x").distinct().join(large(members), "x", "left_anti"))
         # What is near a hash that goes: its own rows, and one row of each of its neighbours.
         near, _ = self._of(self.near, dead)
-        lost = near.join(dead, "x", "left_semi")
+        lost = near.join(large(dead), "x", "left_semi")
         lost = keep(lost.unionByName(lost.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")))
         # What is near a hash that comes: blocks one bit around its own are looked up among the old and the new.
         around, own = near_rows(born, self.t), keep(block_rows(born, self.t))
         old, _ = self._of(self.blocks, around.select("k", "v"))
-        met = blocks_meet(around, old.join(dead, "x", "left_anti").unionByName(own), self.t)
-        met = met.join(born.select(F.col("x").alias("y"), F.lit(True).alias("both")), "y", "left").where("both is null or x < y").drop("both")
+        met = blocks_meet(around, old.join(large(dead), "x", "left_anti").unionByName(own), self.t)
+        met = met.join(large(born.select(F.col("x").alias("y"), F.lit(True).alias("both"))), "y", "left").where("both is null or x < y").drop("both")
         met = keep(met.unionByName(met.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")))
         near, near_buckets = self._of(self.near, lost.select("x").unionByName(met.select("x")))
         blocks, block_buckets = self._of(self.blocks, block_rows(dead, self.t).select("k", "v").unionByName(own.select("k", "v")))
         changes = [
-            store.rewritten(self.ids, ids.join(out, "id", "left_anti").unionByName(put), id_buckets),
+            store.rewritten(self.ids, ids.join(large(out), "id", "left_anti").unionByName(put), id_buckets),
             store.rewritten(self.members, after, member_buckets),
-            store.rewritten(self.near, near.join(lost, ["x", "y"], "left_anti").unionByName(met.select(*near.columns)), near_buckets),
-            store.rewritten(self.blocks, blocks.join(dead, "x", "left_anti").unionByName(own.select(*blocks.columns)), block_buckets),
+            store.rewritten(self.near, near.join(large(lost), ["x", "y"], "left_anti").unionByName(met.select(*near.columns)), near_buckets),
+            store.rewritten(self.blocks, blocks.join(large(dead), "x", "left_anti").unionByName(own.select(*blocks.columns)), block_buckets),
         ]
         return store.publish(changes, reads=(self.ids, self.members, self.near, self.blocks))
 
@@ -97,18 +102,17 @@ class Pairs:
         """(id1, id2, distance) of all files within t bits, equal hashes included; a report whose rows grow with the square of equal files."""
         a = self.store.read(self.members)
         b = a.select(F.col("x").alias("y"), F.col("id").alias("id2"))
-        apart = self.store.read(self.near).join(a.withColumnRenamed("id", "id1"), "x").join(b, "y").where("id1 < id2").select("id1", "id2", "distance")
-        equal = a.join(b, a["x"] == b["y"]).where("id < id2").select(F.col("id").alias("id1"), "id2", F.lit(0).alias("distance"))
+        apart = self.store.read(self.near).join(large(a.withColumnRenamed("id", "id1")), "x").join(large(b), "y").where("id1 < id2").select("id1", "id2", "distance")
+        equal = a.join(large(b), a["x"] == b["y"]).where("id < id2").select(F.col("id").alias("id1"), "id2", F.lit(0).alias("distance"))
         return apart.unionByName(equal)
 
-
     def links(self) -> DataFrame:
         """(id, n_links) of every file with a hash: how many others are within t bits. A row a file, however large a group of equal files is."""
         members = self.store.read(self.members)
         size = members.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        around = self.store.read(self.near).join(size.select(F.col("x").alias("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("m"))
-        total = size.join(around, "x", "left").select("x", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
-        return members.join(total, "x").select("id", "n_links")
+        around = self.store.read(self.near).join(large(size.select(F.col("x").alias("y"), "n")), "y").groupBy("x").agg(F.sum("n").alias("m"))
+        total = size.join(large(around), "x", "left").select("x", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+        return members.join(large(total), "x").select("id", "n_links")
 
 
 class Components:
@@ -135,7 +139,7 @@ class Components:
         return self.store.read(table, buckets=self.store.touched(table, keys))
 
     def _edges_of(self, labels: DataFrame) -> DataFrame:
-        return self._of(self.edges, labels).join(labels, "component", "left_semi")
+        return self._of(self.edges, labels).join(large(labels), "component", "left_semi")
 
     @staticmethod
     def _clean(edges: DataFrame | None, like: DataFrame) -> DataFrame:
@@ -150,39 +154,39 @@ class Components:
         bad = keep(self._clean(rejected, empty))
         out = keep(self._clean(gone, empty).unionByName(bad).distinct())
         put = self._clean(new, empty)
-        put = keep(put.join(self._of(self.rejected, put).unionByName(bad), ["src", "dst"], "left_anti"))
+        put = keep(put.join(large(self._of(self.rejected, put).unionByName(bad)), ["src", "dst"], "left_anti"))
         both = put.unionByName(out)
         ends = keep(both.select(F.col("src").alias("id")).unionByName(both.select(F.col("dst").alias("id"))).distinct())
-        label = keep(self._of(self.labels, ends).join(ends, "id", "left_semi"))
+        label = keep(self._of(self.labels, ends).join(large(ends), "id", "left_semi"))
         at = lambda c, name: label.select(F.col("id").alias(c), F.col("component").alias(name))
         # Components that lose an edge are opened: their other edges give new labels.
-        asked = keep(out.join(at("src", "component"), "src").join(at("dst", "_other"), "dst").where("component = _other").select("component", "src", "dst"))
-        hit = keep(self._edges_of(asked.select("component").distinct()).join(asked, ["component", "src", "dst"], "left_semi"))
+        asked = keep(out.join(large(at("src", "component")), "src").join(large(at("dst", "_other")), "dst").where("component = _other").select("component", "src", "dst"))
+        hit = keep(self._edges_of(asked.select("component").distinct()).join(large(asked), ["component", "src", "dst"], "left_semi"))
         opened = keep(hit.select("component").distinct())
-        left = keep(self._edges_of(opened).join(hit, ["component", "src", "dst"], "left_anti"))
+        left = keep(self._edges_of(opened).join(large(hit), ["component", "src", "dst"], "left_anti"))
         again = keep(components(left, keep))
         # Where the ends of new edges are now; a node without a label is its own.
-        now = label.join(opened, "component", "left_anti").unionByName(again.join(ends, "id", "left_semi"))
-        now = keep(ends.join(now, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+        now = label.join(large(opened), "component", "left_anti").unionByName(again.join(large(ends), "id", "left_semi"))
+        now = keep(ends.join(large(now), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
         side = lambda c, name: now.select(F.col("id").alias(c), F.col("component").alias(name))
-        put = keep(put.join(side("src", "a"), "src").join(side("dst", "b"), "dst"))
+        put = keep(put.join(large(side("src", "a")), "src").join(large(side("dst", "b")), "dst"))
         joined = keep(components(put.select(F.col("a").alias("src"), F.col("b").alias("dst")), keep).select(F.col("id").alias("was"), F.col("component").alias("to")))
         renamed = keep(joined.where("was <> to"))
-        final = lambda df, c: df.join(renamed.withColumnRenamed("was", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        final = lambda df, c: df.join(large(renamed.withColumnRenamed("was", c)), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         # Edges under new labels: of the opened components, of those that are joined to a lower one, and the new ones.
-        moved = self._edges_of(renamed.select(F.col("was").alias("component"))).join(opened, "component", "left_anti")
-        reopened = left.select("src", "dst").join(again.withColumnRenamed("id", "src"), "src")
+        moved = self._edges_of(renamed.select(F.col("was").alias("component"))).join(large(opened), "component", "left_anti")
+        reopened = left.select("src", "dst").join(large(again.withColumnRenamed("id", "src")), "src")
         fresh = put.select("src", "dst", F.col("a").alias("component"))
         rows = keep(final(moved.unionByName(reopened.select(*moved.columns)).unionByName(fresh.select(*moved.columns)), "component").distinct())
         stale = keep(opened.unionByName(renamed.select(F.col("was").alias("component"))).distinct())
         edge_buckets = store.touched(self.edges, stale.unionByName(rows.select("component")))
-        edges = store.read(self.edges, buckets=edge_buckets).join(stale, "component", "left_anti").unionByName(rows).distinct()
+        edges = store.read(self.edges, buckets=edge_buckets).join(large(stale), "component", "left_anti").unionByName(rows).distinct()
         # Labels of their ends; nodes that lost their last edge have none.
         named = keep(rows.select(F.col("src").alias("id"), "component").unionByName(rows.select(F.col("dst").alias("id"), "component")).distinct())
-        left_alone = hit.select(F.col("src").alias("id")).unionByName(hit.select(F.col("dst").alias("id"))).distinct().join(named, "id", "left_anti")
+        left_alone = hit.select(F.col("src").alias("id")).unionByName(hit.select(F.col("dst").alias("id"))).distinct().join(large(named), "id", "left_anti")
         changed = named.select("id").unionByName(left_alone.select("id"))
         label_buckets = store.touched(self.labels, changed)
-        labels = store.read(self.labels, buckets=label_buckets).join(changed, "id", "left_anti").unionByName(named)
+        labels = store.read(self.labels, buckets=label_buckets).join(large(changed), "id", "left_anti").unionByName(named)
         changes = [store.rewritten(self.edges, edges, edge_buckets), store.rewritten(self.labels, labels, label_buckets)]
         if rejected is not None:
             changes.append(store.merged(self.rejected, bad))

@@ -117,7 +117,8 @@ def blocks_meet(around: DataFrame, blocks: DataFrame, t: int) -> DataFrame:
     masks = [sum(((1 << width) - 1) << at for at, width in parts) for parts in cut]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     first = [(F.col("k") <= j) | (F.bit_count(differ.bitwiseAND(F.lit(m).cast("long"))) > spare) for j, m in enumerate(signed[:-1])]
-    met = around.join(blocks.withColumnRenamed("x", "y"), ["k", "v"]).where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")))
+    # The blocks are few bytes on disk, but many rows in a driver that would send them.
+    met = around.join(blocks.withColumnRenamed("x", "y").hint("merge"), ["k", "v"]).where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")))
     return met.where(reduce(lambda a, b: a & b, first)).select("x", "y", F.bit_count(differ).alias("distance"))
 
 
