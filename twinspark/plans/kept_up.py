@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspark.engines import engine
+from twinspark.engines import Engine, engine
 from twinspark.operators import files, ivf, metric, pairs, review
 from twinspark.operators.incremental import Components, Pairs
 from twinspark.plans import scan
@@ -247,13 +249,18 @@ b as (select id, sum(case when v > m and place < 32 then 1::ubigint << (31 - pla
 select id1, id2, distance from (select x.id as id1, y.id as id2, (bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)))::int as distance from b x
   join b y on x.id < y.id) where distance <= {IMAGE_T}""")
 def scan_images(spark: SparkSession, d: str) -> DataFrame:
-    """Images from their listing to pairs by the engine for hashes, as it is shipped."""
-    half = lambda start: F.slice("embedding", start, 32)
-    pixels = F.flatten(F.transform(half(1), lambda x: F.transform(half(33), lambda y: x.cast("double") * y.cast("double"))))
+    """Images from their listing to pairs by the engine for hashes, as it is shipped; pixels are there for its fingerprints only."""
+
+    @F.pandas_udf("array<double>")
+    def pixels(vectors: pd.Series) -> pd.Series:
+        return pd.Series([np.outer(*np.asarray(v, float).reshape(2, 32)).ravel() for v in vectors], dtype=object)
+
     path = F.concat(F.lit("/images/"), F.lpad(F.col("id").cast("string"), 12, "0"))
-    images = kept(adapters.vectors(spark, d).select(path.alias("path"), pixels.alias("pixels"), F.lit(1.0).alias("last_modified"), F.lit(0).cast("long").alias("file_size")))
+    images = adapters.vectors(spark, d).select(path.alias("path"), "embedding", F.lit(1.0).alias("last_modified"), F.lit(0).cast("long").alias("file_size"))
     known = spark.createDataFrame([], "id long, path string, phash string, phash_c1 int, phash_c2 int, phash_c3 int, phash_c4 int, file_size long, last_modified double")
-    one = scan.Scan(engine("phash"), ["/images"], IMAGE_T)
+    shipped = engine("phash")
+    decoded = Engine("phash", lambda stale: shipped.fingerprint(stale.withColumn("pixels", pixels("embedding")).drop("embedding")), shipped.pairs)
+    one = scan.Scan(decoded, ["/images"], IMAGE_T)
     found = one.run(images, known)
     name = lambda c, to: one.files.select(F.col("id").alias(c), F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias(to))
     return found.join(name("id1", "a"), "id1").join(name("id2", "b"), "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")
