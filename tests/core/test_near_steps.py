@@ -19,6 +19,39 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 KNOWN = "id long, path string, phash string, phash_c1 int, phash_c2 int, phash_c3 int, phash_c4 int, last_modified double"
 
 
+def test_blocks_are_sorted_by_one_number(spark):
+    h = spark.createDataFrame([(v,) for v in range(100)], "x long")
+    plan = pairs.blocks_meet(pairs.near_rows(h, 5), pairs.block_rows(h, 5), 5)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"SortMergeJoin \[([^\]]*)\]", plan)
+    assert len(keys) == 1 and "," not in keys[0]
+
+
+@pytest.mark.parametrize("t", [3, 5, 7, 9])
+def test_pairs_of_hashes_in_parts(spark, monkeypatch, t):
+    monkeypatch.setattr(pairs, "COPIES", 4, raising=False)
+    rng = random.Random(t)
+    some = [rng.getrandbits(64) for _ in range(4)] + [0, (1 << 64) - 1, 1 << 63]
+    some += [v ^ sum(1 << b for b in rng.sample(range(64), k)) for v in some for k in (1, 3, 5, 7, 9)]
+    values = some + [some[0]] * 20 + [some[7]] * 11
+    files = hashes.with_chunks(spark.createDataFrame([(i, f"{v:016x}" if i % 2 else f"{v:016X}") for i, v in enumerate(values)] + [(900, None), (901, "")], "id long, phash string"))
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= t)
+    assert sorted(map(tuple, pairs.hamming_join(files, t).collect())) == want
+
+
+def test_pairs_of_one_key_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "COPIES", 20, raising=False)
+    files = hashes.with_chunks(spark.range(200).select("id", F.lit("00ff00ff00ff00ff").alias("phash")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (pairs.exact_pairs(files), pairs.hamming_join(files, 5)):
+            made = found.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r[1] for r in made) == 199 * 100 and max(r[1] for r in made) < 199 * 75
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_images_are_listed_without_pixels(spark, monkeypatch):
     seen, run = [], Scan.run
     monkeypatch.setattr(Scan, "run", lambda self, listing, known: seen.append(listing.columns) or run(self, listing, known))

@@ -18,11 +18,33 @@ from twinspark.functions import hashes
 CHUNKS = hashes.CHUNKS
 
 
+#: Files of one key that are a part of it, about. A key with more of them has parts, each of which is joined on its own.
+COPIES = 1_000
+
+
+def large_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): keys of more than COPIES rows and their number of parts; a row for COPIES rows at most, so it may be sent to all."""
+    return F.broadcast(rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("n")).where("n > 1"))
+
+
+def in_parts(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``part`` of their key that their id belongs to."""
+    rows = rows.join(large, key, "left")
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))).cast("int")).drop("n")
+
+
+def by_parts(rows: DataFrame, large: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` once for every part of their key, as the column ``name``."""
+    rows = rows.join(large, key, "left")
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+
+
 def exact_pairs(files: DataFrame, key: str = "phash") -> DataFrame:
     """All (id1, id2) with an equal key. For components ``exact_stars`` has the same result with fewer rows."""
-    a = files.where(F.col(key) != "").select(F.col("id").alias("id1"), F.col(key).alias("k"))
-    b = files.where(F.col(key) != "").select(F.col("id").alias("id2"), F.col(key).alias("k"))
-    return a.join(b, "k").where("id1 < id2").select("id1", "id2")
+    rows = files.where(F.col(key) != "").select("id", F.col(key).alias("k"))
+    large = large_keys(rows, "k")
+    a, b = by_parts(rows, large, "k", "part"), in_parts(rows, large, "k")
+    return a.withColumnRenamed("id", "id1").join(b.withColumnRenamed("id", "id2").hint("merge"), ["k", "part"]).where("id1 < id2").select("id1", "id2")
 
 
 def exact_stars(files: DataFrame, key: str = "phash") -> DataFrame:
@@ -110,18 +132,26 @@ def near_rows(h: DataFrame, t: int) -> DataFrame:
 def blocks_meet(around: DataFrame, blocks: DataFrame, t: int) -> DataFrame:
     """(x, y, distance) within t bits, of hashes x of ``near_rows`` and y of ``block_rows``, x <> y, each once.
 
-    The distance is taken in the join, and a pair is kept at its first common block only.
+    The distance is taken in the join, and a pair is kept at its first common block only: no part that comes before
+    those of the block fits. A block is one number there, as rows are sorted by their first column at once and by others
+    one by one; and what few pairs are asked is a function of arrays, as code of all parts would be too long to be compiled.
     """
     cut, spare = _blocks(t)
     differ = F.col("x").bitwiseXOR(F.col("y"))
-    masks = [sum(((1 << width) - 1) << at for at, width in parts) for parts in cut]
+    parts = sorted({p for block in cut for p in block})
+    masks = [((1 << width) - 1) << at for at, width in parts]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    first = [(F.col("k") <= j) | (F.bit_count(differ.bitwiseAND(F.lit(m).cast("long"))) > spare) for j, m in enumerate(signed[:-1])]
+    before = [[m for p, m in zip(parts, signed) if p < block[-1] and p not in block] for block in cut]
+    before = F.array(*[F.array(*[F.lit(m).cast("long") for m in some]).cast("array<long>") for some in before])
+    first = F.forall(F.element_at(before, F.shiftright("b", PLACE).cast("int") + 1), lambda m: F.bit_count(differ.bitwiseAND(m)) > spare)
+    block = lambda rows, x: rows.select(F.shiftleft(F.col("k").cast("long"), PLACE).bitwiseOR(F.col("v")).alias("b"), F.col("x").alias(x))
     # The blocks are few bytes on disk, but many rows in a driver that would send them.
-    met = around.join(blocks.withColumnRenamed("x", "y").hint("merge"), ["k", "v"]).where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")))
-    return met.where(reduce(lambda a, b: a & b, first)).select("x", "y", F.bit_count(differ).alias("distance"))
+    met = block(around, "x").join(block(blocks, "y").hint("merge"), "b")
+    return met.where((F.bit_count(differ) <= t) & (F.col("x") != F.col("y")) & first).select("x", "y", F.bit_count(differ).alias("distance"))
 
 
+#: Bits of a block's value, at most; its number stands above them.
+PLACE = 32
 #: Up to this threshold hashes meet by blocks; beyond it most of them have a block in common, and all are compared.
 BY_BLOCKS = 7
 #: Hashes of a part, about; every two parts are compared in one task, in squares of so many rows and columns.
@@ -188,29 +218,39 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield out()
 
 
-def distinct_hash_pairs(files: DataFrame, t: int) -> DataFrame:
-    """(h1, h2, distance) of all different hashes within t bits, h1 < h2; complete for every t.
+def numbers_of(files: DataFrame) -> DataFrame:
+    """(id, x): the hashes of files as numbers, of their chunks; files without one are left out."""
+    parts = [F.shiftleft(F.col(c).cast("long"), 48 - 16 * k) for k, c in enumerate(CHUNKS)]
+    return files.where(F.col(CHUNKS[0]).isNotNull()).select("id", reduce(lambda x, y: x.bitwiseOR(y), parts).alias("x"))
+
+
+def near_numbers(h: DataFrame, t: int) -> DataFrame:
+    """(x, y, distance) of all different numbers x < y (x; each once) within t bits; complete for every t.
 
     By blocks up to BY_BLOCKS bits; above, all are compared.
     """
-    h = files.where(F.col(CHUNKS[0]).isNotNull()).select(F.lower("phash").alias("phash")).distinct()
-    h = h.select(as_number(F.col("phash")).alias("x"))
-    if t > BY_BLOCKS:
-        met = all_compared(h, t)
-        a, b = as_hex(F.col("x")), as_hex(F.col("y"))
-        return met.select(F.least(a, b).alias("h1"), F.greatest(a, b).alias("h2"), "distance")
-    found = blocks_meet(near_rows(h, t), block_rows(h, t), t)
-    return found.select(as_hex(F.col("x")).alias("h1"), as_hex(F.col("y")).alias("h2"), "distance").where("h1 < h2")
+    return all_compared(h, t) if t > BY_BLOCKS else blocks_meet(near_rows(h, t), block_rows(h, t), t).where("x < y")
+
+
+def distinct_hash_pairs(files: DataFrame, t: int) -> DataFrame:
+    """(h1, h2, distance) of all different hashes within t bits, h1 < h2; complete for every t."""
+    a, b = as_hex(F.col("x")), as_hex(F.col("y"))
+    return near_numbers(numbers_of(files).select("x").distinct(), t).select(F.least(a, b).alias("h1"), F.greatest(a, b).alias("h2"), "distance")
 
 
 def hamming_join(files: DataFrame, t: int) -> DataFrame:
-    """All (id1, id2, distance) within t bits, equal hashes included; different hashes are compared once each."""
-    near = distinct_hash_pairs(files, t)
-    ids = files.where(F.col(CHUNKS[0]).isNotNull()).select("id", F.lower("phash").alias("h"))
-    a, b = ids.select(F.col("id").alias("a"), F.col("h").alias("h1")), ids.select(F.col("id").alias("b"), F.col("h").alias("h2"))
-    apart = near.join(a, "h1").join(b, "h2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")
-    equal = exact_pairs(ids.withColumnRenamed("h", "phash")).withColumn("distance", F.lit(0))
-    return apart.unionByName(equal)
+    """All (id1, id2, distance) within t bits, equal hashes included; different hashes are compared once each.
+
+    A hash with many files is cut into parts, each of which is joined on its own, so no task makes all pairs of it.
+    """
+    ids = numbers_of(files)
+    large = large_keys(ids, "x")
+    near = by_parts(near_numbers(ids.select("x").distinct(), t), large, "x", "x_part")
+    near = by_parts(near, large.withColumnRenamed("x", "y"), "y", "y_part")
+    side = lambda i, x: in_parts(ids, large, "x").select(F.col("id").alias(i), F.col("x").alias(x), F.col("part").alias(f"{x}_part")).hint("merge")
+    apart = near.join(side("a", "x"), ["x", "x_part"]).join(side("b", "y"), ["y", "y_part"])
+    apart = apart.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")
+    return apart.unionByName(exact_pairs(ids.withColumn("x", F.hex("x")), "x").withColumn("distance", F.lit(0)))
 
 
 def hamming_links(files: DataFrame, t: int) -> DataFrame:
@@ -218,11 +258,12 @@ def hamming_links(files: DataFrame, t: int) -> DataFrame:
 
     Rows grow with the different hashes and the files, not with the square of equal ones.
     """
-    ids = files.where(F.col(CHUNKS[0]).isNotNull()).select("id", F.lower("phash").alias("phash"))
-    least = ids.groupBy("phash").agg(F.min("id").alias("id"))
-    a, b = (least.select(F.col("phash").alias(h), F.col("id").alias(i)) for h, i in (("h1", "a"), ("h2", "b")))
-    apart = distinct_hash_pairs(files, t).join(a, "h1").join(b, "h2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
-    return apart.unionByName(exact_stars(ids))
+    ids = numbers_of(files)
+    least = ids.groupBy("x").agg(F.min("id").alias("id"))
+    a, b = (least.select(F.col("x").alias(x), F.col("id").alias(i)) for x, i in (("x", "a"), ("y", "b")))
+    apart = near_numbers(ids.select("x").distinct(), t).join(a, "x").join(b, "y").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+    stars = ids.join(least.select("x", F.col("id").alias("id1")), "x").where("id <> id1").select("id1", F.col("id").alias("id2"))
+    return apart.unionByName(stars)
 
 
 def best_of(k: int, digits: int | None):
