@@ -59,6 +59,17 @@ def test_components_related_joins_hashes_once(spark, monkeypatch):
     assert "bit_count" not in seen[0]  # the near pairs are read, not made for positive and for negative edges
 
 
+def test_smart_resolve_of_a_repeated_id(spark, tmp_path):
+    rows = [(1, "a b c", "en", "src1", 5), (1, "a b c", "en", "src1", 7), (2, "a b c", "en", "src2", 6), (3, "x y", "de", "src1", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(core.SQL["smart_resolve_size"])
+    names, want = [c[0] for c in cur.description], sorted(cur.fetchall(), key=repr)
+    got = core.smart_resolve_size(spark, str(tmp_path)).select(*names).collect()
+    assert len(want) == 4 and sorted(map(tuple, got), key=repr) == want
+
+
 def test_images_are_listed_without_pixels(spark, monkeypatch):
     seen, run = [], Scan.run
     monkeypatch.setattr(Scan, "run", lambda self, listing, known: seen.append(listing.columns) or run(self, listing, known))

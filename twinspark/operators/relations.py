@@ -104,11 +104,11 @@ def without_file(pairs: DataFrame, file_id: int) -> DataFrame:
     return pairs.where((F.col("id1") != file_id) & (F.col("id2") != file_id))
 
 
-def smart_resolve(pairs: DataFrame, by: str) -> DataFrame:
-    """Which id of a hydrated pair to delete: the one with the smaller size or resolution, none if equal."""
+def smart_resolve(pairs: DataFrame, by: str, *keep: str) -> DataFrame:
+    """Which id of a hydrated pair to delete: the one with the smaller size or resolution, none if equal; ``keep`` are columns that stay."""
     value = {"size": ("left_file_size", "right_file_size"), "resolution": (F.col("left_width") * F.col("left_height"), F.col("right_width") * F.col("right_height"))}[by]
     a, b = (F.col(x) if isinstance(x, str) else x for x in value)
-    return pairs.select("id1", "id2", F.when(a < b, F.col("id1")).when(b < a, F.col("id2")).alias("delete_id"))
+    return pairs.select("id1", "id2", *keep, F.when(a < b, F.col("id1")).when(b < a, F.col("id2")).alias("delete_id"))
 
 
 def next_visible(group: DataFrame, index: int, step: int) -> int:
