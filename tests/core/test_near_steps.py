@@ -70,6 +70,21 @@ def test_smart_resolve_of_a_repeated_id(spark, tmp_path):
     assert len(want) == 4 and sorted(map(tuple, got), key=repr) == want
 
 
+def test_a_scan_fingerprints_a_file_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(h):
+        seen.add(1)
+        return h
+
+    engine = Engine("phash", lambda stale: stale.select("path", counted.asNondeterministic()("h").alias("phash"), "last_modified"), lambda df, t: pairs.hamming_join(df, int(t)))
+    listing = spark.createDataFrame([(f"/a/{i}", 1.0, "00ff00ff00ff00ff") for i in range(4)], "path string, last_modified double, h string")
+    known = spark.createDataFrame([(1, "/a/0", None, None, None, None, None, 0.0), (2, "/a/1", None, None, None, None, None, 0.0)], KNOWN)
+    assert Scan(engine, ["/a"], 5).run(listing, known).count() == 6
+    assert seen.value == 4
+
+
 def test_images_are_listed_without_pixels(spark, monkeypatch):
     seen, run = [], Scan.run
     monkeypatch.setattr(Scan, "run", lambda self, listing, known: seen.append(listing.columns) or run(self, listing, known))

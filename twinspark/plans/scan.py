@@ -117,8 +117,8 @@ class Scan:
         if not n:
             return None
         self._enter(INDEXING)
-        stale = file_ops.stale(found, known)
-        self.files = kept(file_ops.upsert(known, self.engine.fingerprint(stale).withColumn("seq", F.lit(0))))
+        prints = kept(self.engine.fingerprint(file_ops.stale(found, known)))  # an upsert reads them more than once
+        self.files = kept(file_ops.upsert(known, prints.withColumn("seq", F.lit(0))))
         self._enter(MATCHING)
         scope = self.files.where(paths.in_roots(F.col("path"), self.roots))
         return kept(self.engine.pairs(scope, self.threshold))
