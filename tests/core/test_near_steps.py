@@ -40,7 +40,7 @@ def test_pairs_of_hashes_in_parts(spark, monkeypatch, t):
 
 def test_pairs_of_one_key_are_dealt_to_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(pairs, "COPIES", 20, raising=False)
-    files = hashes.with_chunks(spark.range(200).select("id", F.lit("00ff00ff00ff00ff").alias("phash")))
+    files = hashes.with_chunks(spark.createDataFrame([(i, "00ff00ff00ff00ff") for i in range(200)], "id long, phash string"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
