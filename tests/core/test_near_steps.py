@@ -59,6 +59,29 @@ def test_components_related_joins_hashes_once(spark, monkeypatch):
     assert "bit_count" not in seen[0]  # the near pairs are read, not made for positive and for negative edges
 
 
+def test_annotated_pairs_are_not_exchanged(spark):
+    plan = core.annotate_pair(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.rindex("Generate explode(b")] if "Generate explode(b" in plan else plan
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_annotate_of_repeated_ids_and_labels(spark, tmp_path):
+    """Pairs of one hash and of near ones whose ids or labels come several times, against the SQL."""
+    near = " ".join(f"w{i}" for i in range(400))
+    texts = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (2, "a b c"), (2, "a b c"), (3, "a b c"), (4, "a b c"), (5, near), (5, near), (6, near + " x"), (7, near + " y"), (8, ""), (9, None), (10, near), (None, "a b c")]
+    rows = [(i, t, "en", f"src{k}", k) for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (1, 0, 1), (2, 0, 0), (5, 1, 0), (5, 1, 0), (6, 0, 1), (8, 1, 1), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"create view {name} as from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    cur = con.execute(core.SQL["annotate_pair"])
+    names, want = [c[0] for c in cur.description], sorted(cur.fetchall(), key=repr)
+    got = core.annotate_pair(spark, str(tmp_path)).select(*names).collect()
+    assert {0, None} < {r[names.index("distance")] for r in want} and sorted(map(tuple, got), key=repr) == want
+
+
 def test_smart_resolve_of_a_repeated_id(spark, tmp_path):
     rows = [(1, "a b c", "en", "src1", 5), (1, "a b c", "en", "src1", 7), (2, "a b c", "en", "src2", 6), (3, "x y", "de", "src1", 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")

@@ -6,7 +6,6 @@ hashes from 2**63 on overflow there.
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -16,6 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:
+    from _md5 import md5  # Python's own; OpenSSL's takes twice as long for a word
+except ImportError:
+    from hashlib import md5
+
 CHUNKS = ("phash_c1", "phash_c2", "phash_c3", "phash_c4")
 
 
@@ -47,28 +51,32 @@ def hex_of_bits(bits: Column) -> Column:
     return F.concat(*[digit(F.lit(k)) for k in range(16)])
 
 
-#: Bytes of text whose tokens are in memory at a time, and tokens that 16 bits can count.
-TEXT_BYTES, COUNTED = 4 << 20, (1 << 16) - 1
+#: Bytes of text whose tokens are in memory at a time, tokens that a byte can count, and counts that are summed at a time.
+TEXT_BYTES, COUNTED, SUMMED = 4 << 20, 255, 4_096
 
 
 def _token_hashes(texts: pa.Array) -> list[str | None]:
     """Hashes of some lower-case texts; a token that several of them have is digested once."""
     lists = pc.split_pattern(texts, " ")
     tokens = lists.flatten().dictionary_encode()
-    words, codes, row = tokens.dictionary.cast(pa.binary()).to_pylist(), tokens.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
-    some = np.array([w != b"" for w in words], bool)[codes] if words else np.zeros(0, bool)
+    words, codes, row = tokens.dictionary.cast(pa.large_binary()), tokens.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)[codes]
     each = np.sort(row[some] * len(words) + codes[some])
     if not len(each):
         return [None] * len(texts)
     each = each[np.diff(each, prepend=-1) != 0]
     row, codes = each // len(words), each % len(words)
-    digests = np.frombuffer(b"".join([hashlib.md5(w, usedforsecurity=False).digest()[:8] for w in words]), np.uint8).reshape(-1, 8)
-    lanes = np.unpackbits(digests, axis=1).astype(np.uint16).view(np.uint64)  # four counters of 16 bits in each of 16 numbers
+    _, ends, raw = words.buffers()
+    ends, raw = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist(), raw.to_pybytes()
+    digests = b"".join([md5(raw[i:j], usedforsecurity=False).digest() for i, j in zip(ends, ends[1:])])
+    lanes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16)[:, :8], axis=1).view(np.uint64)  # eight counters of a byte in each of 8 numbers
     first = np.flatnonzero(np.diff(row, prepend=-1))
     size = np.diff(first, append=len(row))
-    cuts = np.concatenate([np.arange(at, at + n, COUNTED) for at, n in zip(first, size)]) if size.max() > COUNTED else first
-    ones = np.add.reduceat(lanes[codes], cuts, axis=0).view(np.uint16).astype(np.int64)
-    ones = np.add.reduceat(ones, np.searchsorted(cuts, first), axis=0)
+    cuts = np.concatenate([np.arange(at, at + n, COUNTED) for at, n in zip(first, size)])
+    edges = [*range(0, len(cuts), SUMMED), len(cuts)]
+    starts = np.append(cuts, len(codes))
+    ones = np.concatenate([np.add.reduceat(lanes[codes[starts[i] : starts[j]]], cuts[i:j] - cuts[i], axis=0) for i, j in zip(edges, edges[1:])])
+    ones = np.add.reduceat(ones.view(np.uint8), np.searchsorted(cuts, first), axis=0, dtype=np.int64)
     text = np.packbits(2 * ones > size[:, None], axis=1).tobytes().hex()
     out: list[str | None] = [None] * len(texts)
     for k, r in enumerate(row[first]):

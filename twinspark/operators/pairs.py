@@ -238,19 +238,38 @@ def distinct_hash_pairs(files: DataFrame, t: int) -> DataFrame:
     return near_numbers(numbers_of(files).select("x").distinct(), t).select(F.least(a, b).alias("h1"), F.greatest(a, b).alias("h2"), "distance")
 
 
-def hamming_join(files: DataFrame, t: int) -> DataFrame:
-    """All (id1, id2, distance) within t bits, equal hashes included; different hashes are compared once each.
+def near_or_equal(ids: DataFrame, t: int) -> DataFrame:
+    """(x, y, distance): hashes of files (id, x) within t bits, in both orders, and those of more than one file with themselves."""
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    apart = near_numbers(ids.select("x").distinct(), t).select(F.explode(both).alias("p"), "distance").select("p.*", "distance")
+    several = ids.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return apart.unionByName(several.select("x", F.col("x").alias("y"), F.lit(0).alias("distance")))
+
 
-    A hash with many files is cut into parts, each of which is joined on its own, so no task makes all pairs of it.
+def pairs_of(near: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id1, id2, distance, other columns of left, other columns of right): the files (id, x, ...) of the hashes of ``near_or_equal``, id1 < id2.
+
+    Joined and exchanged are lists of the files of a hash, of about COPIES each, and every two lists become pairs where they
+    are then dealt to; so pairs are never sorted or exchanged, and no task makes all pairs of a hash.
     """
+
+    def lists(rows: DataFrame, x: str, name: str) -> DataFrame:
+        parts = in_parts(rows, large_keys(rows, "x"), "x")
+        made = parts.groupBy(F.col("x").alias(x), F.col("part").alias(f"{x}_part")).agg(F.collect_list(F.struct("id", *others(rows))).alias(name))
+        return made.hint("merge")  # few bytes on disk, but many rows in a driver that would send them
+
+    others = lambda rows: [c for c in rows.columns if c not in ("id", "x")]
+    met = near.join(lists(left, "x", "a"), "x").join(lists(right, "y", "b"), "y")
+    # A number that is given is not lowered for few bytes, which are many pairs here.
+    met = met.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "x_part", "y_part")
+    met = met.select("distance", F.explode("a").alias("a"), "b").select("distance", "a", F.explode("b").alias("b")).where("a.id < b.id")
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), "distance", *[f"a.{c}" for c in others(left)], *[f"b.{c}" for c in others(right)])
+
+
+def hamming_join(files: DataFrame, t: int) -> DataFrame:
+    """All (id1, id2, distance) within t bits, equal hashes included; different hashes are compared once each."""
     ids = numbers_of(files)
-    large = large_keys(ids, "x")
-    near = by_parts(near_numbers(ids.select("x").distinct(), t), large, "x", "x_part")
-    near = by_parts(near, large.withColumnRenamed("x", "y"), "y", "y_part")
-    side = lambda i, x: in_parts(ids, large, "x").select(F.col("id").alias(i), F.col("x").alias(x), F.col("part").alias(f"{x}_part")).hint("merge")
-    apart = near.join(side("a", "x"), ["x", "x_part"]).join(side("b", "y"), ["y", "y_part"])
-    apart = apart.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"), "distance")
-    return apart.unionByName(exact_pairs(ids.withColumn("x", F.hex("x")), "x").withColumn("distance", F.lit(0)))
+    return pairs_of(near_or_equal(ids, t), ids, ids)
 
 
 def hamming_links(files: DataFrame, t: int) -> DataFrame:

@@ -51,7 +51,11 @@ def merge(stored: DataFrame, new: DataFrame, overwrite: bool, order: str = "seq"
 def annotate(stored: DataFrame, marks: DataFrame, preserve_distance: bool = True) -> DataFrame:
     """Marks (id1, id2, relation_type) take the place of stored types; distances are kept unless asked otherwise."""
     marks = canonical(marks).select(*KEY, F.col("relation_type").alias("_mark"))
-    both = stored.select(*KEY, "relation_type", "distance").join(marks, KEY, "full_outer")
+    return annotated(stored.select(*KEY, "relation_type", "distance").join(marks, KEY, "full_outer"), preserve_distance)
+
+
+def annotated(both: DataFrame, preserve_distance: bool = True) -> DataFrame:
+    """What ``annotate`` makes of pairs that have what is stored of them (relation_type, distance) and their mark (_mark), or NULL."""
     distance = F.col("distance") if preserve_distance else F.when(F.col("_mark").isNull(), F.col("distance"))
     return both.select(*KEY, F.coalesce("_mark", "relation_type").alias("relation_type"), distance.alias("distance"))
 
