@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import groupby
 
 import pytest
@@ -61,3 +62,13 @@ def test_rows_that_tie_are_numbered_too(spark, cut):
 
 def test_empty(spark):
     assert numbered(spark.range(0), "id").columns == ["id", "number"] and numbered(spark.range(0), "id").count() == 0
+
+
+def test_rows_below_are_not_folded_anew_for_every_row(spark, cut):
+    """A frame from a row to the end of its group is folded for every row, with the square of the group."""
+    rows = spark.range(40).select((F.col("id") % 2).alias("g"), "id")
+    got = running(rows, ["g"], ["id"], least=(F.col("id"), "min", "down"), rest=(F.col("id"), "sum", "down"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    frames = set(re.findall(r"specifiedwindowframe\(RowFrame, (\S+), (\S+)\)", plan))
+    assert frames and not [f for f in frames if "unboundedfollowing" in f[1] and "unboundedpreceding" not in f[0]]
+    assert all(r.least == r.id and r.rest == sum(range(r.id, 40, 2)) for r in got.collect())

@@ -29,10 +29,11 @@ def running(rows: DataFrame, by: list[str], order: list[str], **what: tuple[Colu
     values = {name: f"_{name}" for name in what}
     rows = rows.withColumns({values[name]: value for name, (value, _, _) in what.items()}).withColumn("_tie", F.monotonically_increasing_id())
     dealt = kept(rows.repartitionByRange(*[F.col(c) for c in (*by, *order, "_tie")]).withColumn("_segment", F.spark_partition_id()))
-    inside = W.partitionBy("_segment", *by).orderBy(*order, "_tie")
-    rowwise = {"up": inside.rowsBetween(W.unboundedPreceding, W.currentRow), "down": inside.rowsBetween(W.currentRow, W.unboundedFollowing)}
-    group = W.partitionBy(*by)
-    among = {"up": group.orderBy("_segment").rowsBetween(W.unboundedPreceding, -1), "down": group.orderBy("_segment").rowsBetween(1, W.unboundedFollowing)}
+    inside, group = W.partitionBy("_segment", *by), W.partitionBy(*by)
+    # A frame that ends with the group is folded anew for every row, so what goes down goes up in the opposite order.
+    turn = {"up": F.asc, "down": F.desc}
+    rowwise = {way: inside.orderBy(*[turned(c) for c in (*order, "_tie")]).rowsBetween(W.unboundedPreceding, W.currentRow) for way, turned in turn.items()}
+    among = {way: group.orderBy(turned("_segment")).rowsBetween(W.unboundedPreceding, -1) for way, turned in turn.items()}
     totals = dealt.groupBy("_segment", *by).agg(*[_FOLD[kind][0](values[name]).alias(values[name]) for name, (_, kind, _) in what.items()])
     carried = totals.select("_segment", *by, F.count(F.lit(1)).over(group).alias("_cut"), *[_FOLD[kind][0](values[name]).over(among[way]).alias(f"_of_{name}") for name, (_, kind, way) in what.items()])
     carried = F.broadcast(carried.where("_cut > 1").drop("_cut").withColumnsRenamed({c: f"_by_{c}" for c in by}).withColumnRenamed("_segment", "_at"))
