@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,39 @@ def test_few_hashes_with_many_pairs_are_dealt_to_many_tasks(spark):
     assert pairs.distinct_hash_pairs(h, 10).rdd.getNumPartitions() >= 10  # 1 MB of hashes, 2.4 billion pairs
 
 
+def spread_and_alike(seed, n=3_000):
+    """Numbers anywhere, a group of near copies, one that shares a quarter, and both ends."""
+    rng = np.random.default_rng(seed)
+    near = lambda x, bits: x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(x), bits)).astype(np.uint64), axis=1)
+    some = rng.integers(0, 2**64, n, np.uint64)
+    alike = near(np.full(n // 8, some[0]), 7)
+    common = (rng.integers(0, 2**64, n // 8, np.uint64) & ~np.uint64(0xFFFF)) | np.uint64(77)
+    return rng.permutation(np.unique(np.concatenate([some, near(some[: n // 2], 6), alike, common, np.array([0, 2**63, 2**64 - 1], np.uint64)])))
+
+
+@pytest.mark.parametrize("t", [0, 3, 8, 10, 13, 40])
+@pytest.mark.parametrize("dear", [0, 12, 10**6])
+def test_numbers_looked_up_by_quarters_are_those_of_all_squares(monkeypatch, t, dear):
+    monkeypatch.setattr(pairs, "AT_ONCE", 500)
+    monkeypatch.setattr(pairs, "DEAR", dear)
+    some = spread_and_alike(t)
+    left, right = (some[:300], some[300:]) if t < 40 else (some[:60], some[60:900])
+    d = np.bitwise_count(left[:, None] ^ right)
+    want = {(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(d <= t))}
+    got = [(int(a), int(b)) for one, two in pairs.within(left.view(np.int64), right.view(np.int64), t) for a, b in zip(one, two)]
+    assert len(got) == len(want) and set(got) == want and (t < 8 or want)
+
+
+def test_few_of_many_numbers_are_compared(monkeypatch):
+    """All pairs of two parts were: 400 million here."""
+    compared, count = [0], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, **k: compared.append(x.size) or count(x, **k))
+    some = spread_and_alike(1, 32_000)
+    left, right = some[:20_000], some[20_000:40_000]
+    assert sum(len(a) for a, _ in pairs.within(left, right, 10)) > 100_000  # the group of near copies
+    assert sum(compared) < len(left) * len(right) / 5
+
+
 def test_blocks_of_a_hash(spark):
     h = spark.createDataFrame([(v - (1 << 63),) for v in some_hashes(1)], "x long").distinct()
     n = h.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -152,16 +153,20 @@ def blocks_meet(around: DataFrame, blocks: DataFrame, t: int) -> DataFrame:
 
 #: Bits of a block's value, at most; its number stands above them.
 PLACE = 32
-#: Up to this threshold hashes meet by blocks; beyond it most of them have a block in common, and all are compared.
+#: Up to this threshold hashes meet by blocks; beyond it most of them have a block in common, and all parts of them meet.
 BY_BLOCKS = 7
-#: Hashes of a part, about; every two parts are compared in one task, in squares of so many rows and columns.
-PART, ROWS, COLUMNS = 16_384, 64, 4_096
+#: Hashes of a part, about; every two parts are compared in one task, where that is needed in squares of so many rows and columns.
+PART, ROWS, COLUMNS = 262_144, 64, 4_096
+#: Bits of the quarters that hashes of two parts are looked up by; lookups, candidates or found pairs in memory at a time, about.
+WIDTH, AT_ONCE = 16, 65_536
+#: A lookup or a candidate takes about as long as so many hashes of a square.
+DEAR = 12
 
 
 def all_compared(h: DataFrame, t: int) -> DataFrame:
-    """(x, y, distance) of all different hashes x < y (x; each once) within t bits, by comparing all: parts of them meet two by two.
+    """(x, y, distance) of all different hashes x < y (x; each once) within t bits: parts of them meet two by two.
 
-    A task holds two parts and what it has found in a few squares. The number of tasks follows from the number of
+    A task holds two parts and what it has found of a few hashes. The number of tasks follows from the number of
     pairs, not from the bytes of the hashes, which are few.
     """
     n = max(4, -(-h.count() // PART))
@@ -170,23 +175,103 @@ def all_compared(h: DataFrame, t: int) -> DataFrame:
     v = v.select("x", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            one, two = (np.concatenate(side) for side in zip(*held))
+            held.clear()
+            distance, one, two = bits_between(one, two).astype(np.int32), one.view(np.int64), two.view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(distance)], ["x", "y", "distance"])
+
         for low, high, own, x in sorted_groups(batches):
-            left, right = np.sort(x[own == low]), np.sort(x[own == high])
-            for i in range(0, len(left), ROWS):
-                a = left[i : i + ROWS, None]
-                for j in range(0, len(right), COLUMNS):
-                    d = np.bitwise_count((a ^ right[None, j : j + COLUMNS]).view(np.uint64))  # of a signed number it would count the absolute value's
-                    r, c = np.nonzero(d <= t)
-                    one, two, far = left[i + r], right[j + c], d[r, c]
-                    keep = one < two if low == high else slice(None)
-                    one, two, far = one[keep], two[keep], far[keep]
-                    if len(one):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(far.astype(np.int32))], ["x", "y", "distance"])
+            for one, two in within(x[own == low], x[own == high], t):
+                if low == high:
+                    keep = one.view(np.int64) < two.view(np.int64)
+                    one, two = one[keep], two[keep]
+                held.append((one, two))
+                if sum(len(some) for some, _ in held) >= AT_ONCE:
+                    yield out()
+            if held:
+                yield out()
 
     spread = v.repartition(tasks_for(h, n), "low", "high").sortWithinPartitions("low", "high")
     return spread.select("low", "high", "own", "x").mapInArrow(compared, "x long, y long, distance int")
 
 
+def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)  # of numbers without a sign; of a signed one it would count the absolute value's
+
+
+def within(left: np.ndarray, right: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a number of left and one of right within t bits, each once, some at a time as two arrays.
+
+    Of four quarters one differs in few bits at most, so a number looks up what is around each of its quarters. A number
+    with so many candidates there that it is not worth it is compared with all.
+    """
+    left, right = left.view(np.uint64), right.view(np.uint64)
+    spare = [(t - 3 + k) // 4 for k in range(4)]  # more than these in every quarter are more than t
+    cost = np.zeros(len(left), np.int64)
+    for k, d in enumerate(spare):
+        cost += around(np.bincount(quarter(right, k), minlength=1 << WIDTH), d)[quarter(left, k)] + sum(comb(WIDTH, i) for i in range(d + 1))
+    dense = DEAR * cost > len(right)
+    yield from in_squares(left[dense], right, t)
+    yield from by_quarters(left[~dense], right, t, spare)
+
+
+def quarter(x: np.ndarray, k: int) -> np.ndarray:
+    return ((x >> np.uint64(WIDTH * k)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16)
+
+
+def around(counts: np.ndarray, d: int) -> np.ndarray:
+    """For every number of WIDTH bits, the sum of ``counts`` of all within d bits of it."""
+    total, before, at = np.zeros_like(counts), np.zeros_like(counts), counts
+    for k in range(d + 1):
+        total += at
+        beside = sum(at.reshape(-1, 2, 1 << b)[:, ::-1].reshape(-1) for b in range(WIDTH))
+        before, at = at, (beside - (WIDTH - k + 1) * before) // (k + 1)  # a bit more, or the same bit again
+    return total
+
+
+def in_squares(left: np.ndarray, right: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    differ, bits = np.empty((ROWS, COLUMNS), np.uint64), np.empty((ROWS, COLUMNS), np.uint8)
+    for i in range(0, len(left), ROWS):
+        a = left[i : i + ROWS]
+        for j in range(0, len(right), COLUMNS):
+            b = right[j : j + COLUMNS]
+            d = np.bitwise_xor(a[:, None], b[None, :], out=differ[: len(a), : len(b)])
+            close = np.flatnonzero(np.bitwise_count(d, out=bits[: len(a), : len(b)]) <= t)  # by rows and columns it takes three times as long
+            if len(close):
+                yield a[close // len(b)], b[close % len(b)]
+
+
+def by_quarters(left: np.ndarray, right: np.ndarray, t: int, spare: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs within t bits, at the first quarter in which they differ in no more bits than are spare there."""
+    for k, d in enumerate(spare):
+        near = np.flatnonzero(np.bitwise_count(np.arange(1 << WIDTH)) <= d)
+        if not len(near) or not len(left):
+            continue
+        value, mine = quarter(right, k), left[np.argsort(quarter(left, k), kind="stable")]
+        there, counts = right[np.argsort(value, kind="stable")], np.bincount(value, minlength=1 << WIDTH)
+        starts, step = np.cumsum(counts) - counts, max(1, AT_ONCE // len(near))
+        for i in range(0, len(mine), step):
+            asked = (quarter(mine[i : i + step], k).astype(np.int64)[:, None] ^ near).ravel()
+            found = counts[asked]
+            some = np.flatnonzero(found)
+            found, first, own = found[some], starts[asked[some]], mine[i + some // len(near)]
+            cuts = np.flatnonzero(np.diff(np.cumsum(found) // AT_ONCE)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(found)]):
+                n = found[at:to]
+                before = np.cumsum(n) - n
+                a, b = np.repeat(own[at:to], n), there[np.repeat(first[at:to] - before, n) + np.arange(n.sum())]
+                close = np.flatnonzero(bits_between(a, b) <= t)
+                a, b = a[close], b[close]
+                for j in range(k):
+                    new = bits_between(quarter(a, j), quarter(b, j)) > spare[j]
+                    a, b = a[new], b[new]
+                if len(a):
+                    yield a, b
+
+
 def tasks_for(df: DataFrame, n: int) -> int:
     """Tasks for the meetings of ``n`` parts, two by two: as many as there are meetings, at most 2,000 and what the session shuffles to."""
     return min(n * (n + 1) // 2, max(2_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -227,7 +312,7 @@ def numbers_of(files: DataFrame) -> DataFrame:
 def near_numbers(h: DataFrame, t: int) -> DataFrame:
     """(x, y, distance) of all different numbers x < y (x; each once) within t bits; complete for every t.
 
-    By blocks up to BY_BLOCKS bits; above, all are compared.
+    By blocks up to BY_BLOCKS bits; above, all parts of them meet.
     """
     return all_compared(h, t) if t > BY_BLOCKS else blocks_meet(near_rows(h, t), block_rows(h, t), t).where("x < y")
 
